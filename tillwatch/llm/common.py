@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.session import ship
+
 #: Rows that Spark hands to a Python worker at once, and the bytes of text that a worker takes up at once.
 BATCH_ROWS = 1000
 CHUNK_BYTES = 2_000_000
@@ -18,7 +20,7 @@ CHUNK_BYTES = 2_000_000
 def session(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return ship(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
