@@ -30,7 +30,7 @@ FIT_ROWS, FIT_WORDS, LEAST_Z, LEAST_SHARE = 20_000, 300, 6.0, 0.01
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 SEPARATORS = " ._-*~'"
 #: Costs of a substitution, of an empty separator, of a sign or separator that ends a word, and of a run of letters that counts once.
-SUBSTITUTED, SKIPPED, ENDED, REPEATED = 0.7, 0.2, 2.5, 0.7
+SUBSTITUTED, SKIPPED, ENDED, REPEATED = 0.7, 0.2, 4.5, 0.7
 END, OTHER, SYMBOLS = 0, 27, 28
 DISGUISED = re.compile(r"[^\W\d_][0-9$@!|+€(*._~'-]+[^\W_$]|[0-9$@!|+€(][^\W\d_]|([^\W\d_])\1\1")
 TRIMMED = re.compile(r"^[^\w$@!|+€(]+|(?:[^\w$@!|+€(]|\$\$+|[!+|]+)+$")
@@ -92,7 +92,7 @@ class Channel:
             if symbol:
                 letter = chr(96 + symbol) if symbol != OTHER else c
                 readings = [(0.0, letter * run)] if run < 3 else []
-                readings += [(REPEATED * (run > 1), letter), (REPEATED, letter * 2)] if run > 1 else []
+                readings += [(REPEATED, letter), (REPEATED, letter * 2)] if run > 2 else [(2.5, letter)] if run > 1 else []
             else:
                 readings = [(SUBSTITUTED * (1 + (run > 1) * 0.5), x) for x in SIGNS.get(c, "")]
                 readings += [(SKIPPED, "")] if c in SEPARATORS else []
