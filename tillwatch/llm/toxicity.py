@@ -92,11 +92,12 @@ class Channel:
             if symbol:
                 letter = chr(96 + symbol) if symbol != OTHER else c
                 readings = [(0.0, letter * run)] if run < 3 else []
-                readings += [(REPEATED, letter), (REPEATED, letter * 2)] if run > 2 else [(2.5, letter)] if run > 1 else []
+                readings += [(REPEATED, letter), (REPEATED, letter * 2)] if run > 2 else [(4.0, letter)] if run > 1 else []
             else:
                 readings = [(SUBSTITUTED * (1 + (run > 1) * 0.5), x) for x in SIGNS.get(c, "")]
                 readings += [(SKIPPED, "")] if c in SEPARATORS else []
-                readings.append((ENDED, " "))
+                if c in SEPARATORS or not SIGNS.get(c) or 0 < k < len(token) - run:
+                    readings.append((ENDED, " "))
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, out) in best.items():
                 for extra, text in readings:
