@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: Query name to module; each module has a function of the query's name, and OPn_SQL where SQL can say it.
 MODULES = {
+    "op1_topk_search": "cover_tree",
     "op2_mix_sources": "mix",
     "op3_language_id": "language",
     "op4_toxicity": "toxicity",
     "op6_byte_bpe": "bpe",
+    "op7_simhash": "simhash",
     "op8_secrets": "secrets",
     "op9_media": "media",
 }
