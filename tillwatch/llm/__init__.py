@@ -14,6 +14,7 @@ MODULES = {
     "op7_simhash": "simhash",
     "op8_secrets": "secrets",
     "op9_media": "media",
+    "op10_substrings": "substrings",
 }
 
 
