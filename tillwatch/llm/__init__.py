@@ -10,6 +10,7 @@ MODULES = {
     "op2_mix_sources": "mix",
     "op3_language_id": "language",
     "op4_toxicity": "toxicity",
+    "op5_quality": "quality",
     "op6_byte_bpe": "bpe",
     "op7_simhash": "simhash",
     "op8_secrets": "secrets",

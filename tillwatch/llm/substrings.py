@@ -18,7 +18,6 @@ are read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -264,21 +263,12 @@ def _judge_windows(batches):
         yield _batch(1, 0, 0, d[run], (start + begin) << _TAG_BITS | tag, start + end - 1 + WINDOW)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A written table in the shared folder, read again."""
-    spark = df.sparkSession
-    common.checkpointed(spark.range(0))  # sets the folder where it is unset
-    path = f"{spark.sparkContext.getCheckpointDir()}/substrings-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text with the bytes to remove: i (the id), t (the text), cut array<struct<b, e>> (not merged, unordered)."""
     common.session(df.sparkSession)
     docs = df.select(df[id_col].alias("i"), F.coalesce(df[id_col].cast("long"), F.lit(_LAST_ID)).alias("d"), F.pmod(F.xxhash64(df[text_col]), F.lit(1 << _TAG_BITS)).alias("tag"), df[text_col].alias("t"))
     runs = docs.select("d", "tag", "t").mapInArrow(_send_runs, _ROWS)
-    judged = _stored(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_judge_runs, _ROWS))
+    judged = common.stored(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_judge_runs, _ROWS))
     tag = F.col("z").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
     open_ = judged.where("kind = 2").groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("g", "z")).alias("open"))
     texts = docs.repartition("d", "tag")
