@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("search_queries",)
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -20,7 +22,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    return None
+    """Import the modules that register queries."""
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
