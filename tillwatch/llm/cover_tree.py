@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows in a block of data and in one of queries, and points in a leaf.
-DATA_BLOCK, QUERY_BLOCK, LEAF = 8192, 4096, 48
+#: Rows in a block of data and in one of queries, points in a leaf, and most children: large enough that a pair of leaves is one matrix product.
+DATA_BLOCK, QUERY_BLOCK, LEAF, BRANCHES = 16384, 4096, 512, 6
 
 
 @dataclass
@@ -57,8 +57,8 @@ def cover_tree(x: np.ndarray) -> Node:
             belongs[closer], near[closer] = len(centres), d[closer]
             centres.append(centre)
             each.append(d)
-            if len(centres) > max(16, len(own) // 4):
-                break  # as many children as this would be no index: the node's points are near-equidistant
+            if len(centres) >= BRANCHES:
+                break  # the points are near-equidistant: what is left goes to its nearest child, whose radius says so
         if len(centres) == 1:
             return build(own, first, distances, scale / 2)
         for k, c in enumerate(centres):
@@ -71,41 +71,45 @@ def cover_tree(x: np.ndarray) -> Node:
     return build(np.arange(len(x)), 0, start, float(start.max()))
 
 
-def distinct_points(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct vectors, and the ascending ids of each."""
+def distinct_points(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct vectors; their ids, ascending per vector, with where each vector's begin and how many they are."""
     order = np.lexsort((ids, *x.T[::-1])) if len(x) else np.zeros(0, np.int64)
     ids, x = ids[order], x[order]
     new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1))) if len(x) else np.zeros(0, np.int64)
-    return x[new], np.split(ids, new[1:]) if len(x) else []
+    return x[new], (ids, new, np.diff(np.append(new, len(x))))
 
 
 class Best:
-    """The k best (score, id) of each query."""
+    """The k best (score, id) of each query, in order; scores of -inf where there are fewer."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.rows = k, [[] for _ in range(queries)]
-        self.worst = np.full(queries, -np.inf)
-
-    def offer(self, q: int, scores: np.ndarray, ids: list[np.ndarray], own: int) -> None:
-        """Points of at least the worst kth score; of equal vectors, only the first ids can matter."""
-        rows = self.rows[q]
-        for s, same in zip(scores.tolist(), ids):
-            left = self.k
-            for i in same.tolist():
-                if i == own:
-                    continue
-                entry = (s, -i)
-                if len(rows) < self.k:
-                    heapq.heappush(rows, entry)
-                elif entry > rows[0]:
-                    heapq.heapreplace(rows, entry)
-                else:
-                    break
-                left -= 1
-                if not left:
-                    break
-        if len(rows) == self.k:
-            self.worst[q] = rows[0][0]
+        self.k = k
+        self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def worst(self, own: np.ndarray) -> np.ndarray:
+        return self.scores[own, -1]
+
+    def offer(self, own: np.ndarray, own_ids: np.ndarray, scores: np.ndarray, points: np.ndarray, held: tuple) -> None:
+        """Scores of queries (rows) and points (columns). Of equal vectors, only the first k + 1 ids can matter."""
+        k = self.k
+        least = self.worst(own)
+        if scores.shape[1] > k + 1:
+            least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1])  # one more: a query may meet itself
+        row, col = np.nonzero(scores >= least[:, None])
+        if not len(row):
+            return
+        ids, begin, counts = held
+        many = np.minimum(counts[points[col]], k + 1)
+        place = np.repeat(begin[points[col]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        row, value, ids = np.repeat(row, many), np.repeat(scores[row, col], many), ids[place]
+        other = ids != own_ids[row]
+        row = np.concatenate([np.repeat(np.arange(len(own)), k), row[other]])
+        value, ids = np.concatenate([self.scores[own].ravel(), value[other]]), np.concatenate([self.ids[own].ravel(), ids[other]])
+        order = np.lexsort((ids, -value, row))
+        row, value, ids = row[order], value[order], ids[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        self.scores[own], self.ids[own] = value[keep].reshape(len(own), k), ids[keep].reshape(len(own), k)
 
 
 def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -129,21 +133,16 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, dat
         own = node.points
         while heap:
             bound, _, other = heapq.heappop(heap)
-            if -bound < best.worst[own].min():
+            if -bound < best.worst(own).min():
                 return
             if other.children:
+                least = best.worst(own).min()
                 for b, o in zip(bounds(node, other.children).tolist(), other.children):
-                    if b >= best.worst[own].min():
+                    if b >= least:
                         heapq.heappush(heap, (-b, ticket, o))
                         ticket += 1
                 continue
-            scores = q[own] @ points[other.points].T
-            for row, i in enumerate(own.tolist()):
-                if -bound >= best.worst[i]:
-                    good = np.flatnonzero(scores[row] >= best.worst[i])
-                    if len(good):
-                        good = good[np.argsort(-scores[row][good], kind="stable")]
-                        best.offer(i, scores[row][good], [held[p] for p in other.points[good].tolist()], int(query_ids[i]))
+            best.offer(own, query_ids[own], q[own] @ points[other.points].T, other.points, held)
 
     todo = [(q_tree, [d_tree])]
     while todo:
@@ -153,10 +152,11 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, dat
             continue
         wider = [c for o in others for c in (o.children if o.children and o.radius > node.radius else [o])]
         for child in node.children:
-            worst = best.worst[child.points].min()
+            worst = best.worst(child.points).min()
             keep = [o for o, b in zip(wider, bounds(child, wider).tolist()) if b >= worst]
             todo.append((child, keep))
-    return [(i, -neg, int(s)) for i, rows in enumerate(best.rows) for s, neg in rows]
+    row, col = np.nonzero(np.isfinite(best.scores))
+    return list(zip(row.tolist(), best.ids[row, col].tolist(), best.scores[row, col].astype(np.int64).tolist()))
 
 
 def search(df: DataFrame, is_query: Column, k: int, id_col: str, vector: Column) -> DataFrame:
