@@ -92,7 +92,7 @@ def merge_incidents(open_: DataFrame, found: DataFrame) -> DataFrame:
 def canary_hits(lines: DataFrame, canaries: DataFrame, zone: str, line: str = "line") -> DataFrame:
     """Hits of canary names under `zone` in log lines `<time> <name> [source] [detail]`, joined to the exports that carry them."""
     parts = F.split(F.trim(line), r"\s+", 4)
-    name = F.lower(F.rtrim(F.lit("."), F.try_element_at(parts, F.lit(2))))
+    name = F.lower(F.rtrim(F.try_element_at(parts, F.lit(2)), F.lit(".")))
     label = F.regexp_extract(name, rf"([^.]+)\.{zone.replace('.', chr(92) + '.')}$", 1)
     at = F.try_to_timestamp(F.regexp_replace(F.try_element_at(parts, F.lit(1)), "Z$", "+00:00"))
     hits = lines.where(~F.trim(line).startswith("#")).select(at.alias("ts"), F.concat(label, F.lit("." + zone)).alias("domain"), F.try_element_at(parts, F.lit(3)).alias("source"), F.try_element_at(parts, F.lit(4)).alias("detail"), (label != "").alias("ok"))
