@@ -100,7 +100,8 @@ def signature_rules(spark: SparkSession, path: str) -> DataFrame:
     keyed = lambda m, joined: F.transform(F.map_entries(m), lambda e: F.when(joined & (e["value"] != ""), F.concat(e["key"], F.lit(":"), e["value"])).otherwise(e["key"]))
     parts = [("scriptSrc", one(F.col("t.scriptSrc"))), ("html", one(F.col("t.html"))), ("js", keyed(F.col("t.js"), F.lit(False))), ("cookies", keyed(F.col("t.cookies"), F.lit(False))), ("headers", keyed(F.col("t.headers"), F.lit(True)))]
     none = F.array().cast("array<string>")
-    each = F.concat(*[F.transform(F.coalesce(v, none), lambda p, k=k: F.struct(F.lit(kinds[k]).alias("signal_type"), p.alias("p"))) for k, v in parts])
+    of_kind = lambda kind: lambda p: F.struct(F.lit(kind).alias("signal_type"), p.alias("p"))
+    each = F.concat(*[F.transform(F.coalesce(v, none), of_kind(kinds[k])) for k, v in parts])
     rows = doc.select("name", F.posexplode(each).alias("k", "s")).select("name", "k", "s.*")
     weight = F.regexp_extract("p", r"\\;confidence:(\d+)", 1)
     slug = F.regexp_replace(F.lower("name"), "[^a-z0-9_]+", "_")
