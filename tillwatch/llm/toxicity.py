@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(known.values())) < 2:
         share = float(np.mean(list(known.values()))) if known else 0.0
         return Model(channel, [], np.zeros(0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    chosen = docs.join(F.broadcast(spark.createDataFrame(some.to_pandas())), docs[id_col] == F.col("i")).select("i", docs[text_col].alias("t"))
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in known], f"i {docs.schema[id_col].dataType.simpleString()}"))  # FIT_ROWS at most
+    chosen = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(ids, "i")
     shared = spark.sparkContext.broadcast(channel)
 
     def count(batches):
