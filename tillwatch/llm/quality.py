@@ -162,7 +162,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """Per row: id, lang, n_bytes, perplexity, threshold, keep."""
     common.session(docs.sparkSession)
     trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("q")).where("q = 1").select("k")
-    counts = common.checkpointed(count(docs.join(trusted, docs[id_col] == F.col("k")).select(docs[text_col].alias("t"))))
+    # a sort-merge join whatever the sizes: trusted ids have no bound that would allow a broadcast
+    counts = common.checkpointed(count(docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).join(trusted.hint("merge"), "k")))
     sent = docs.select(docs[id_col].alias("i"), docs[lang_col].cast("string").alias("g"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("t"))
     parts = [partial_sums(sent, shard) for shard in shards(counts)]
     if len(parts) == 1:
@@ -174,7 +175,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         rows = F.count("*") / len(parts)  # rows that repeat id, language and text
         scored = every.groupBy("i", "g", "h", "n").agg((F.sum("s") / rows).alias("s"), rows.cast("int").alias("rows"))
         scored = scored.withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
-    scored = common.checkpointed(scored.select("i", "g", "n", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity")))
+    scored = common.checkpointed(scored.select("i", "g", "n", F.when(F.col("n") > 0, F.round(F.exp(-F.col("s") / F.col("n")), 6)).alias("perplexity")))
     sure = scored.join(trusted, scored["i"] == F.col("k"), "left_semi").where("perplexity is not null")
     by_lang = sure.groupBy(F.col("g").alias("h")).agg(F.percentile_approx("perplexity", kept, 10_000).alias("own"))
     overall = sure.agg(F.percentile_approx("perplexity", kept, 10_000)).first()[0]
