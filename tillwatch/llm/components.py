@@ -13,6 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of joins and grouped minima; each round is checkpointed, and ends nothing but the list itself on disk. The
     number of rounds grows with the logarithm of the longest path. An empty list gives no rows.
+
+    The minima are stored before they are joined: then neither side of the join comes straight from a grouping, and Spark
+    can split the partition of a node with very many links.
     """
     tight = lambda e: common.checkpointed(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -20,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = common.checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tight(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tight(small.unionByName(least.select("u", F.col("m").alias("v"))))
         now = mark(edges)

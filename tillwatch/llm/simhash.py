@@ -230,8 +230,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = common.checkpointed(fingerprints(df, F.struct(df[id_col].alias("i")), df[text_col]).select("row.i", "fp"))
     nodes = common.checkpointed(hashed.groupBy("fp").agg(F.min("i").alias("first")))
     roots = components(links(nodes.select("fp")))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    joined = common.checkpointed(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = common.checkpointed(joined.groupBy("root").agg(F.min("first").alias("component_id")))  # stored, so that the partition of a large component can be split
     named = joined.join(least, "root").select(F.col("fp").alias("node"), "component_id")
     return hashed.join(named, hashed["fp"] == named["node"]).select(F.col("i").alias(id_col), "fp", "component_id")
 
