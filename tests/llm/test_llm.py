@@ -369,14 +369,17 @@ def brute_removal(docs):
     return out
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 150])
-def test_removal_equals_brute_force(spark, rows, monkeypatch, piece):
-    monkeypatch.setattr(substrings, "PIECE", piece)
+@pytest.mark.parametrize("piece, hot, block", [(1 << 20, 4096, 4_000_000), (150, 4096, 300), (1 << 20, 2, 4_000_000), (150, 3, 300)])
+def test_removal_equals_brute_force(spark, rows, monkeypatch, piece, hot, block):
+    for name, value in (("PIECE", piece), ("HOT_RUNS", hot), ("BLOCK_RUNS", block)):
+        monkeypatch.setattr(substrings, name, value)
     base = ["".join(R.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]
     fill = ["a", "ab", "xyz " * 30, "the quick brown fox jumps over the lazy dog. "]
     piece_of = lambda: R.choice([R.choice(base)[R.randrange(300) :][: R.randrange(300)], R.choice(fill) * R.randrange(40), "".join(R.choice("xyé") for _ in range(50))])
     docs = [(k, "".join(piece_of() for _ in range(R.randrange(6)))) for k in range(90)] + [(90, None), (91, base[0]), (92, base[0][:100]), (93, base[0][:99])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    sent = df.select(F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("tag"), F.col("text").alias("t"))
+    assert (len(substrings.busy_grams(sent)) > 0) == (hot < 10)
     assert rows(substrings.digests(df)) == sorted(brute_removal(docs), key=repr)
 
 

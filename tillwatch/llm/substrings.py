@@ -8,8 +8,9 @@ each are fetched, suffixes to the right of the anchor and reversed prefixes to i
 windows fall into classes by the common prefixes of neighbours in either order: each window that isn't the first of its
 class is a repeat. Results equal a comparison of all windows of all documents (64-bit hashes of grams and runs aside).
 
-A gram or run that occurs everywhere is sent at most once a task. Places go back to documents by id, and texts move
-once, for both joins. Order of places: id (null last), then start; rows that repeat id and text are one document and get
+A run that occurs everywhere is sent at most once a task. A first pass finds the grams around which too many runs
+differ, as at the edges of a passage that many documents share: their runs are dealt out by content, and their windows
+by a 128-bit hash, so no group grows a task. Places go back to documents by id, and texts move once, for both joins.Order of places: id (null last), then start; rows that repeat id and text are one document and get
 equal results; rows that repeat an id with another text are further documents, ordered by start and a hash of the text.
 Nulls and empty texts lose nothing, as do texts shorter than WINDOW. An empty table gives no rows. Only named columns
 are read.
@@ -32,6 +33,10 @@ WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
 #: A text is cut into pieces that overlap by WINDOW - 1 bytes, so that a window lies in one piece.
 PIECE = 1 << 20
+#: Runs of one gram from which its windows are compared by hash, in many tasks; the least part of all runs, which bounds how many such grams there are.
+HOT_RUNS, HOT_SHARE = 4096, 1_000_000
+#: Runs, and windows, that a task holds at once before it sends them.
+BLOCK_RUNS, BLOCK_WINDOWS = 4_000_000, 500_000
 _LAST_ID = (1 << 63) - 1
 _TAG_BITS, _POSITION_BITS = 18, 26
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -99,13 +104,19 @@ def _unpacked(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return head >> 14, (head >> 7) & 127, head & 127, z & ((1 << _TAG_BITS) - 1)
 
 
+# Kinds of rows: 0 a run, 1 removed bytes, 2 an open run; of grams with too many runs 3 a run, 4 an open run or a window of one.
 _ROWS = "kind int, g long, s long, d long, z long, e long"
+_NAMES = ["kind", "g", "s", "d", "z", "e"]
 
 
-def _batch(kind: int, g, s, d, z, e) -> pa.RecordBatch:
+def _batch(kind, g, s, d, z, e) -> pa.RecordBatch:
     n = len(d)
     col = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), n))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), col(g), col(s), col(d), col(z), col(e)], names=["kind", "g", "s", "d", "z", "e"])
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), col(g), col(s), col(d), col(z), col(e)], names=_NAMES)
+
+
+def _texts_beside(batch: pa.RecordBatch, lefts: list[bytes] | None = None, rights: list[bytes] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.binary()) if x is not None else pa.nulls(batch.num_rows, pa.binary()) for x in (lefts, rights)]], names=[*_NAMES, "l", "r"])
 
 
 def _first_of_runs(g, s, d, z):
@@ -132,32 +143,54 @@ def _intervals(d: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
     return _batch(1, d[at], 0, d[at], start[at] << _TAG_BITS | tag[at], np.maximum.reduceat(end, at))
 
 
-def _send_runs(batches):
-    """Each distinct run of a task with its first place (kind 0), and what repeats within the task (kind 1)."""
+def _task_runs(batches, size_of_piece: int, limit: int):
+    """A task's runs, in blocks of about `limit`: gram, content, place, and whether it is the first of its gram and content."""
     found: list[list[np.ndarray]] = []
+    held = 0
     for batch in batches:
         for part, data, offsets in common.chunks(batch, "t"):
             d, tag = part.column("d").to_numpy(), part.column("tag").to_numpy()
             long_ = np.flatnonzero(np.diff(offsets) >= WINDOW)
-            counts = np.maximum(1, -(-(np.diff(offsets)[long_] - WINDOW + 1) // PIECE))
+            counts = np.maximum(1, -(-(np.diff(offsets)[long_] - WINDOW + 1) // size_of_piece))
             doc = np.repeat(long_, counts)
-            step = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * PIECE
+            step = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * size_of_piece
             begin = offsets[doc] + step
-            end = np.minimum(begin + PIECE + WINDOW - 1, offsets[doc + 1])
+            end = np.minimum(begin + size_of_piece + WINDOW - 1, offsets[doc + 1])
             for k in range(0, len(doc), 4096):
                 b, e, own = begin[k : k + 4096], end[k : k + 4096], doc[k : k + 4096]
                 for lo, hi in _spans(b, e):
                     piece, at, size, anchor, g, s = runs_of(data[b[lo] : e[hi - 1]], b[lo:hi] - b[lo], e[lo:hi] - b[lo])
                     who = own[lo:hi][piece]
                     found.append([g.view(np.int64), s.view(np.int64), d[who], _packed(at + b[lo] - offsets[who], size, anchor - at, tag[who])])
-    if not found:
-        return
-    g, s, d, z, first = _first_of_runs(*(np.concatenate(x) for x in zip(*found)))
-    del found
-    for k in range(0, len(g), 50_000):
-        at = np.flatnonzero(first[k : k + 50_000]) + k
-        yield _batch(0, g[at], s[at], d[at], z[at], 0)
-    yield _intervals(d[~first], z[~first])
+                    held += len(g)
+                    if held >= limit:
+                        yield _first_of_runs(*(np.concatenate(x) for x in zip(*found)))
+                        found, held = [], 0
+    if found:
+        yield _first_of_runs(*(np.concatenate(x) for x in zip(*found)))
+
+
+def _counter(size_of_piece: int, limit: int):
+    def run(batches):
+        """How many runs each gram has, where it has several in a block; with a null gram, how many runs there are."""
+        for g, _, _, _, first in _task_runs(batches, size_of_piece, limit):
+            grams, n = np.unique(g[first], return_counts=True)
+            several = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array([*grams[several].tolist(), None], pa.int64()), pa.array(np.append(n[several], n.sum()))], names=["g", "n"])
+
+    return run
+
+
+def _sender(busy, size_of_piece: int, limit: int):
+    def run(batches):
+        """Each distinct run of a block with its first place (kind 0 or 3), and what repeats within the block (kind 1)."""
+        for g, s, d, z, first in _task_runs(batches, size_of_piece, limit):
+            for k in range(0, len(g), 50_000):
+                at = np.flatnonzero(first[k : k + 50_000]) + k
+                yield _batch(np.where(np.isin(g[at], busy.value), 3, 0), g[at], s[at], d[at], z[at], 0)
+            yield _intervals(d[~first], z[~first])
+
+    return run
 
 
 def _spans(begin: np.ndarray, end: np.ndarray, limit: int = 4 * PIECE):
@@ -169,51 +202,84 @@ def _spans(begin: np.ndarray, end: np.ndarray, limit: int = 4 * PIECE):
         at = upto
 
 
-def _groups(batches, rows: int = 50_000):
-    """Tables of whole groups of equal g, from batches sorted by g."""
+def _dealt(df: DataFrame, fine: int) -> DataFrame:
+    """Rows of one gram in one task and in a row; those of kind `fine`, of one gram and content."""
+    own = F.col("kind") == fine
+    return df.repartition(F.when(own, F.xxhash64("g", "s")).otherwise(F.col("g"))).sortWithinPartitions(own, "g", F.when(own, F.col("s")))
+
+
+def _groups(batches, fine: int, rows: int = 50_000):
+    """Tables of whole groups, from batches of `_dealt`."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         rest = table if rest is None else pa.concat_tables([rest, table])
         if rest.num_rows >= rows:
-            g = rest.column("g").to_numpy()
-            last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
-            if last:
-                yield rest.slice(0, last)
-                rest = rest.slice(last)
+            own, g, s = rest.column("kind").to_numpy() == fine, rest.column("g").to_numpy(), rest.column("s").to_numpy()
+            ends = np.flatnonzero((own[1:] != own[:-1]) | (g[1:] != g[:-1]) | (own[1:] & (s[1:] != s[:-1])))
+            if len(ends):
+                yield rest.slice(0, int(ends[-1]) + 1)
+                rest = rest.slice(int(ends[-1]) + 1)
     if rest is not None and rest.num_rows:
         yield rest
 
 
 def _judge_runs(batches):
-    """Repeats of equal runs (kind 1), and the first of each run of grams with several (kind 2)."""
-    for table in _groups(batches):
+    """Repeats of equal runs (kind 1), and the first of each run of grams with several (kind 2) or too many (kind 4)."""
+    for table in _groups(batches, 3):
         kind = table.column("kind").to_numpy()
         if (kind == 1).any():
             yield from table.filter(pa.array(kind == 1)).to_batches()
-        g, s, d, z = (table.column(c).to_numpy()[kind == 0] for c in "gsdz")
+        g, s, d, z = (table.column(c).to_numpy()[kind != 1] for c in "gsdz")
+        busy = np.unique(g[kind[kind != 1] == 3])
         g, s, d, z, first = _first_of_runs(g, s, d, z)
         if not len(g):
             continue
         yield _intervals(d[~first], z[~first])
         g, s, d, z = g[first], s[first], d[first], z[first]
-        several = np.zeros(len(g), bool)
+        own = np.isin(g, busy)
+        several = own.copy()
         same = g[1:] == g[:-1]
         several[1:] |= same
         several[:-1] |= same
-        yield _batch(2, g[several], s[several], d[several], z[several], 0)
+        yield _batch(np.where(own, 4, 2)[several], g[several], s[several], d[several], z[several], 0)
 
 
 def _fetch(batches):
-    """The text around each open run: right of its anchor, and reversed left of it."""
+    """The text around each open run: right of its anchor, and reversed left of it (kind 2). Of the runs of a gram that
+    has too many, the hash of each window with its first place in a block (kind 4), and what repeats there (kind 1)."""
+    import xxhash
+
+    digest, seen = xxhash.xxh3_128_digest, set()
+    windows: list[tuple[bytes, int, int]] = []
+
+    def first_windows():
+        s = np.frombuffer(b"".join(h for h, _, _ in windows), np.int64).reshape(-1, 2)
+        g, s, d, z, first = _first_of_runs(s[:, 0], s[:, 1], np.array([d for _, d, _ in windows], np.int64), np.array([z for _, _, z in windows], np.int64))
+        windows.clear()
+        yield _texts_beside(_batch(4, g[first], s[first], d[first], z[first], 0))
+        yield _texts_beside(_intervals(d[~first], z[~first]))
+
     for batch in batches:
+        own: list[tuple[int, int, int, bytes, bytes]] = []
         texts = batch.column("t").cast(pa.binary()).to_pylist()
-        for text, d, places in zip(texts, batch.column("d").to_pylist(), batch.column("open").to_pylist()):
-            z = np.array([p["z"] for p in places], np.int64)
-            start, size, offset, _ = (x.tolist() for x in _unpacked(z))
-            rights = [text[a + o : a + n - 1 + WINDOW] for a, n, o in zip(start, size, offset)]
-            lefts = [text[a : a + o][::-1] for a, o in zip(start, offset)]
-            yield pa.RecordBatch.from_arrays([pa.array([p["g"] for p in places], pa.int64()), pa.array(np.full(len(z), d, np.int64)), pa.array(z), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["g", "d", "z", "l", "r"])
+        for text, d, tag, places in zip(texts, batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("open").to_pylist()):
+            if (d, tag) in seen:  # rows that repeat are one document
+                continue
+            seen.add((d, tag))
+            start, size, offset, _ = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
+            for p, a, n, o in zip(places, start, size, offset):
+                if p["busy"]:
+                    windows += [(digest(text[b : b + WINDOW]), d, _packed(np.int64(b), 1, 0, tag)) for b in range(a, a + n)]
+                else:
+                    own.append((p["g"], d, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
+            if len(windows) >= BLOCK_WINDOWS:
+                yield from first_windows()
+        if own:
+            g, d, z, lefts, rights = zip(*own)
+            yield _texts_beside(_batch(2, g, 0, d, z, 0), lefts, rights)
+    if windows:
+        yield from first_windows()
 
 
 def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
@@ -249,9 +315,20 @@ def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: l
 
 
 def _judge_windows(batches):
-    for table in _groups(batches, 20_000):
+    """Repeated windows (kind 1): of open runs by sorting the texts around them, of single windows by their hashes."""
+    for table in _groups(batches, 4, 20_000):
+        kind = table.column("kind").to_numpy()
+        if (kind == 1).any():
+            yield from table.filter(pa.array(kind == 1)).select(_NAMES).to_batches()
+        if (own := kind == 4).any():
+            _, _, d, z, first = _first_of_runs(*(table.column(c).to_numpy()[own] for c in "gsdz"))
+            yield _intervals(d[~first], z[~first])
+        if not (kind == 2).any():
+            continue
+        table = table.filter(pa.array(kind == 2))
         g, d, z = (table.column(c).to_numpy() for c in "gdz")
         order = np.lexsort((z, d, g))
+        order = order[np.append(True, (np.diff(g[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(z[order]) != 0))]
         lefts, rights = (table.column(c).combine_chunks().to_pylist() for c in "lr")
         lefts, rights = [lefts[i] for i in order], [rights[i] for i in order]
         g, d, z = g[order], d[order], z[order]
@@ -263,17 +340,27 @@ def _judge_windows(batches):
         yield _batch(1, 0, 0, d[run], (start + begin) << _TAG_BITS | tag, start + end - 1 + WINDOW)
 
 
+def busy_grams(sent: DataFrame) -> np.ndarray:
+    """Grams with too many runs for one task: HOT_SHARE at most, as each has at least that part of all runs."""
+    counts = sent.mapInArrow(_counter(PIECE, BLOCK_RUNS), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = common.checkpointed(counts.where(F.col("g").isNull() | (F.col("n") >= HOT_RUNS)))
+    every = counts.where("g is null").agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("g").isNotNull() & (F.col("n") >= max(HOT_RUNS, every // HOT_SHARE))).orderBy("g")
+    return np.array([r["g"] for r in found.collect()], np.int64)
+
+
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text with the bytes to remove: i (the id), t (the text), cut array<struct<b, e>> (not merged, unordered)."""
     common.session(df.sparkSession)
     docs = df.select(df[id_col].alias("i"), F.coalesce(df[id_col].cast("long"), F.lit(_LAST_ID)).alias("d"), F.pmod(F.xxhash64(df[text_col]), F.lit(1 << _TAG_BITS)).alias("tag"), df[text_col].alias("t"))
-    runs = docs.select("d", "tag", "t").mapInArrow(_send_runs, _ROWS)
-    judged = common.stored(runs.repartition("g").sortWithinPartitions("g").mapInArrow(_judge_runs, _ROWS))
+    sent = docs.select("d", "tag", "t")
+    busy = df.sparkSession.sparkContext.broadcast(busy_grams(sent))
+    judged = common.stored(_dealt(sent.mapInArrow(_sender(busy, PIECE, BLOCK_RUNS), _ROWS), 3).mapInArrow(_judge_runs, _ROWS))
     tag = F.col("z").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-    open_ = judged.where("kind = 2").groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("g", "z")).alias("open"))
+    open_ = judged.where("kind in (2, 4)").groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("g", "z", (F.col("kind") == 4).alias("busy"))).alias("open"))
     texts = docs.repartition("d", "tag")
-    around = texts.join(open_, ["d", "tag"]).select("d", "t", "open").mapInArrow(_fetch, "g long, d long, z long, l binary, r binary").distinct()
-    more = around.repartition("g").sortWithinPartitions("g").mapInArrow(_judge_windows, _ROWS)
+    around = texts.join(open_, ["d", "tag"]).select("d", "tag", "t", "open").mapInArrow(_fetch, f"{_ROWS}, l binary, r binary")
+    more = _dealt(around, 4).mapInArrow(_judge_windows, _ROWS)
     cuts = judged.where("kind = 1").unionByName(more).select("d", tag.alias("tag"), F.struct(F.shiftright("z", _TAG_BITS).alias("b"), "e").alias("cut"))
     return texts.join(cuts.groupBy("d", "tag").agg(F.collect_list("cut").alias("cut")), ["d", "tag"], "left").select("i", "t", "cut")
 
