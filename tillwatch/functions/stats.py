@@ -9,7 +9,8 @@ Z95 = 1.959963984540054
 
 
 def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Lower and upper bound of a share; (0, 0) without trials, successes beyond the trials count as all."""
+    """Lower and upper bound of a share; (0, 0) without trials, successes beyond the trials count as all. No successes
+    give a lower bound of exactly 0, and all an upper bound of exactly 1, so that rounding never leaves the share outside."""
     n = total.cast("double")
     s = F.greatest(F.lit(0.0), F.least(successes.cast("double"), n))
     p, z2 = s / n, z * z
@@ -17,10 +18,7 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
     spread = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     low = F.greatest(F.lit(0.0), (middle - spread) / (1 + z2 / n))
     high = F.least(F.lit(1.0), (middle + spread) / (1 + z2 / n))
-    return F.when(n <= 0, 0.0).otherwise(low), F.when(n <= 0, 0.0).otherwise(high)
-
-
-WILSON_SQL = """CASE WHEN {n} <= 0 THEN 0.0 ELSE {pick} END"""
+    return F.when((n <= 0) | (s <= 0), 0.0).otherwise(low), F.when(n <= 0, 0.0).when(s >= n, 1.0).otherwise(high)
 
 
 def wilson_sql(s: str, n: str) -> tuple[str, str]:
@@ -28,8 +26,8 @@ def wilson_sql(s: str, n: str) -> tuple[str, str]:
     z2 = Z95 * Z95
     p = f"(greatest(0.0, least({s}, {n})) / {n})"
     middle, spread = f"({p} + {z2!r} / (2 * {n}))", f"({Z95!r} * sqrt({p} * (1 - {p}) / {n} + {z2!r} / (4 * {n} * {n})))"
-    low = f"CASE WHEN {n} <= 0 THEN 0.0 ELSE greatest(0.0, ({middle} - {spread}) / (1 + {z2!r} / {n})) END"
-    return low, f"CASE WHEN {n} <= 0 THEN 0.0 ELSE least(1.0, ({middle} + {spread}) / (1 + {z2!r} / {n})) END"
+    low = f"CASE WHEN {n} <= 0 OR {s} <= 0 THEN 0.0 ELSE greatest(0.0, ({middle} - {spread}) / (1 + {z2!r} / {n})) END"
+    return low, f"CASE WHEN {n} <= 0 THEN 0.0 WHEN {s} >= {n} THEN 1.0 ELSE least(1.0, ({middle} + {spread}) / (1 + {z2!r} / {n})) END"
 
 
 def rank_score(rank: Column) -> Column:
