@@ -164,6 +164,20 @@ def test_language_rejects_strangers_and_sums_to_one(spark):
     assert (p < 1.0001).all() and (p > 0.98).all()  # what is left is for letters never seen
 
 
+def test_language_models_are_whole_in_any_sharding(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    small = spark.createDataFrame([(-1, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "el"), (-5, "ξεσκεπάζω βδελυγμία", "el")], docs.schema)
+    docs = docs.unionByName(small).unionByName(small).unionByName(spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang"))
+    counts = language.count(docs, F.col("lang"), F.col("text")).cache()
+    whole, many = language.train(counts), language.train(counts, 3000)
+    assert isinstance(whole, language.Model) and len(many.shards) > 5 and whole.names == many.names and "el" in many.names
+    for name in ("entropy", "spread", "limit"):
+        assert np.allclose(getattr(whole, name), getattr(many, name), rtol=1e-9)
+    key = F.struct("doc_id", "text")
+    a, b = (sorted(((r.row.doc_id, r.row.text, r.lang_pred, r.rejected, r.score, r.cross_entropy) for r in language.identify(docs, m, key, F.col("text")).collect()), key=repr) for m in (whole, many))
+    assert [x[:4] for x in a] == [x[:4] for x in b] and np.allclose([x[4:] for x in a], [x[4:] for x in b], rtol=1e-9)
+
+
 def test_quality_is_a_distribution_in_any_sharding(spark):
     counts = quality.count(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text").alias("t"))).cache()
     whole, many = list(quality.shards(counts)), list(quality.shards(counts, 500))
