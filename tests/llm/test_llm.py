@@ -337,6 +337,24 @@ def test_grammar_finds_formats_and_leaves_words(spark):
     assert {r[0]: r[1] for r in got.select("d", secrets.redacted(F.col("text"), F.col("found"))).collect()} == {1: "é key=x [SECRET] and [SECRET]", 2: None}
 
 
+def test_rare_and_short_credentials_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "FIT_DOCS", 40, raising=False)
+    rare = ["".join(R.choice("0123456789abcdef") for _ in range(40)) for _ in range(9)]
+    pin = lambda: "".join(R.choice("BCDFGHJK") + R.choice("0123456789") for _ in range(5))
+    docs = [(k, "plain words of another ordinary document") for k in range(900)] + [(1000 + k, f"see {v} there") for k, v in enumerate(rare)]
+    assert {len(a.logp) > 0 for a in secrets.infer(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").automata} == {True}
+    docs = [(k, f"token={pin()}") for k in range(300)] + [(500 + k, "several ordinary sentences without anything hidden inside") for k in range(50)]
+    model = secrets.infer(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    text = "a " + pin() + " sentences"
+    assert secrets.spans(text.encode(), model)[0] == [(2, 12, "format")]
+
+
+def test_sample_is_of_least_hash(spark):
+    values = ["".join(R.choice("abcdefgh日é.") for _ in range(R.randrange(1, 90))) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    assert [r.value for r in df.orderBy(F.xxhash64("value"), "value").collect()] == sorted(values, key=lambda v: secrets._order(v.encode()))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 def test_media_round_trip(spark, odd):
     found = media.op9_media(spark, odd).collect()

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from the credentials that the patterns label.
 
-Values of pattern matches are labelled credentials. For each kind, a bounded sample of distinct values makes a
-prefix tree over character classes; states whose futures agree within Hoeffding bounds are merged, red states first,
-into a small probabilistic automaton. Every candidate token of every text is then scored by the log-likelihood per
+Values of pattern matches are labelled credentials, looked for in all documents. For each kind, the FIT_VALUES distinct
+values of least hash make a prefix tree over character classes; states whose futures agree within Hoeffding bounds are merged, red states first,
+into a small probabilistic automaton. Every token of every text that is as long as some automaton's values is then scored by the log-likelihood per
 character under each automaton. A token is a find if it is at least as likely as all but a few of the labelled values
 of that kind, and likelier than under the letter model of ordinary tokens, and lies in no pattern's span.
 
@@ -16,9 +16,11 @@ import hashlib
 import math
 import re
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,14 @@ ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
-#: Documents, values a kind, and ordinary tokens that inference looks at.
-FIT_DOCS, FIT_VALUES, FIT_PLAIN = 20_000, 300, 2_000
+#: Ordinary tokens of this length and more count as of one length when they are sampled.
+PLAIN_LONG = 16
+#: Values a kind, and ordinary tokens that inference looks at.
+FIT_VALUES, FIT_PLAIN = 300, 2_000
+#: Distinct values from which a kind has an automaton.
+FEWEST = 5
+#: Tokens whose judgement a worker remembers.
+REMEMBERED = 100_000
 #: Confidence of the merge test; share of labelled values that may be less likely than a find.
 ALPHA, TAIL = 0.05, 0.02
 
@@ -40,6 +47,12 @@ _CLASS = np.array([0 if 48 <= c < 58 else 1 if 97 <= c < 103 else 2 if 103 <= c
 _SIZE = {0: 10, 1: 6, 2: 20, 3: 26}
 
 
+@lru_cache
+def candidates(least: int) -> re.Pattern:
+    """Tokens of at least so many bytes."""
+    return re.compile(rb"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}[A-Za-z0-9+/_=-]" % (least - 2))
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, str, bytes]]:
     """Pattern matches in bytes: start, end, kind, value."""
     found = [(m.start(), m.end(), "assign", m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST]
@@ -148,7 +161,9 @@ class Model:
     """The automata of all kinds, and a model of ordinary tokens' letters, each after the one before."""
 
     def __init__(self, values: dict[str, list[bytes]], plain: list[bytes]):
-        self.automata = [Automaton(v) for _, v in sorted(values.items()) if len(v) >= 5]
+        self.automata = [Automaton(v) for _, v in sorted(values.items()) if len(v) >= FEWEST]
+        self.least = min((a.shortest for a in self.automata), default=PLAIN_LONG)
+        self.known: dict[bytes, bool] = {}
         pairs = np.ones((256, 256))
         for token in plain:
             codes = np.frombuffer(token, np.uint8)
@@ -156,6 +171,14 @@ class Model:
         self.plain = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
     def accepts(self, token: bytes) -> bool:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[token] = self._judged(token)
+        return found
+
+    def _judged(self, token: bytes) -> bool:
         for automaton in self.automata:
             if automaton.shortest <= len(token) <= automaton.longest and (score := automaton.score(token, automaton.least)) >= automaton.least:
                 codes = np.frombuffer(token, np.uint8)
@@ -170,8 +193,8 @@ def spans(text: bytes, model: Model | None) -> tuple[list[tuple[int, int, str]],
     n = len(found)
     if model is not None and model.automata:
         taken = sorted((a, b) for a, b, _ in found)
-        for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken) and model.accepts(m[0]):
+        for m in candidates(model.least).finditer(text):
+            if model.accepts(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
                 found.append((m.start(), m.end(), "format"))
     if found and not text.isascii():
         before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
@@ -179,31 +202,52 @@ def spans(text: bytes, model: Model | None) -> tuple[list[tuple[int, int, str]],
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))), n
 
 
+def _order(value: bytes) -> tuple[int, bytes]:
+    """What Spark sorts by xxhash64 and value."""
+    h = xxhash.xxh64_intdigest(value, 42)
+    return h - (1 << 64) if h >> 63 else h, value
+
+
 def infer(docs: DataFrame, id_col: str, text_col: str) -> Model:
-    """Automata from the labelled values of at most about FIT_DOCS documents, chosen by a hash of the id."""
-    share = min(1.0, FIT_DOCS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_000)) < int(1_000_000 * share))
+    """Automata from the labelled values of all documents: those of least hash of each kind, and so with ordinary tokens."""
+    limits = dict.fromkeys(KINDS, FIT_VALUES)
 
     def run(batches):
+        found: dict[str, set[bytes]] = {}
         for batch in batches:
-            kinds, values = [], []
             for text in batch.column("t").cast(pa.binary()).to_pylist():
                 base = base_spans(text or b"")
-                kinds += [k for _, _, k, _ in base]
-                values += [v for _, _, _, v in base]
-                for m in CANDIDATE.finditer(text or b""):
-                    if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
-                        kinds.append("plain")
-                        values.append(m[0])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([v.decode() for v in values], pa.string())], names=["kind", "value"])
-
-    found = some.select(some[text_col].alias("t")).mapInArrow(run, "kind string, value string").distinct()
+                for _, _, kind, value in base:
+                    found.setdefault(kind, set()).add(value)
+                if base:
+                    tokens = [m[0] for m in candidates(ASSIGN_LEAST).finditer(text) if not any(a < m.end() and m.start() < b for a, b, _, _ in base)]
+                else:
+                    tokens = candidates(ASSIGN_LEAST).findall(text or b"")
+                for token in set(tokens):
+                    found.setdefault(_plain_kind(len(token)), set()).add(token)
+            for kind, values in found.items():
+                if len(values) > 4 * limits.get(kind, FIT_PLAIN):
+                    found[kind] = set(sorted(values, key=_order)[: limits.get(kind, FIT_PLAIN)])
+        for kind, values in found.items():
+            own = sorted(values, key=_order)[: limits.get(kind, FIT_PLAIN)]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.string()), pa.array([v.decode() for v in own], pa.string())], names=["kind", "value"])
+
+    sent = common.session(docs.sparkSession) and docs.select(docs[text_col].alias("t"))
+    found = sent.mapInArrow(run, "kind string, value string").distinct()
     order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    rows = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("kind") == "plain", FIT_PLAIN).otherwise(FIT_VALUES)).orderBy("kind", "k").collect()
+    most = max(FIT_VALUES, FIT_PLAIN)  # as a constant, it also bounds what each task sends
+    rows = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).where(F.col("k") <= F.when(F.col("kind").isin(*KINDS), FIT_VALUES).otherwise(FIT_PLAIN)).orderBy("kind", "k").collect()
     values: dict[str, list[bytes]] = {}
     for row in rows:
         values.setdefault(row["kind"], []).append(row["value"].encode())
-    return Model({k: v for k, v in values.items() if k != "plain"}, values.get("plain", []))
+    labelled = {k: v for k, v in values.items() if k in KINDS}
+    least = min((len(v) for of in labelled.values() if len(of) >= FEWEST for v in of), default=PLAIN_LONG)
+    plain = [v for k in map(_plain_kind, range(min(least, PLAIN_LONG), PLAIN_LONG + 1)) for v in values.get(k, [])]
+    return Model(labelled, sorted(plain, key=_order)[:FIT_PLAIN])
+
+
+def _plain_kind(length: int) -> str:
+    return f"plain {min(length, PLAIN_LONG)}"
 
 
 def scan(df: DataFrame, model: Model | None, carry: Column, text: Column) -> DataFrame:
