@@ -426,6 +426,15 @@ def test_repeated_rows_are_one_document(spark, rows):
     assert [(r[0], r[2]) for r in rows(substrings.digests(df))] == [(1, 0), (1, 0), (2, 300), (None, 300)]
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    r = random.Random(3)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(20)]
+    texts = [(passages[k % 20] if k % 2 else "".join(r.choice("ijklmnop ") for _ in range(150))) + f" text {k} " + "".join(r.choice("qrstuvw") for _ in range(30)) for k in range(3000)]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(passages)] + [(None if k % 3 else 77, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.t: substrings.kept_of(r.t.encode(), r.cut)[0].decode() for r in substrings.removed(df).collect()}
+    assert all(t[150:].endswith(got[t]) if k % 2 else got[t] == t for k, t in enumerate(texts)) and all(got[p] == p for p in passages)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as pipeline

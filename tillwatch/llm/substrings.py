@@ -6,7 +6,7 @@ anchor are a run; a task sends each distinct (anchor gram, run content) once, wi
 but the first of equal runs are repeats as they are. Where runs around one gram differ, the texts around the first of
 each are fetched, suffixes to the right of the anchor and reversed prefixes to its left are sorted deep-shallow, and
 windows fall into classes by the common prefixes of neighbours in either order: each window that isn't the first of its
-class is a repeat. Results equal a comparison of all windows of all documents (64-bit hashes of grams and runs aside).
+class is a repeat. Results equal a comparison of all windows of all documents (64-bit hashes of grams, runs, and texts of one id aside).
 
 A run that occurs everywhere is sent at most once a task. A first pass finds the grams around which too many runs
 differ, as at the edges of a passage that many documents share: their runs are dealt out by content, and their windows
@@ -38,7 +38,7 @@ HOT_RUNS, HOT_SHARE = 4096, 1_000_000
 #: Runs, and windows, that a task holds at once before it sends them.
 BLOCK_RUNS, BLOCK_WINDOWS = 4_000_000, 500_000
 _LAST_ID = (1 << 63) - 1
-_TAG_BITS, _POSITION_BITS = 18, 26
+_POSITION_BITS = 26
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -94,53 +94,52 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return piece[new], at, sizes, anchor, grams[anchor], content
 
 
-# A run's place in one number, in the order of places: start, windows, offset of the anchor, tag of the text.
-def _packed(start, size, offset, tag):
-    return ((start.astype(np.int64) << 7 | size) << 7 | offset) << _TAG_BITS | tag
+# A run's place in one number, in the order of places: start, windows, offset of the anchor. Texts of one id are told apart by a tag, their hash.
+def _packed(start, size, offset):
+    return (start.astype(np.int64) << 7 | size) << 7 | offset
 
 
-def _unpacked(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    head = z >> _TAG_BITS
-    return head >> 14, (head >> 7) & 127, head & 127, z & ((1 << _TAG_BITS) - 1)
+def _unpacked(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return z >> 14, (z >> 7) & 127, z & 127
 
 
 # Kinds of rows: 0 a run, 1 removed bytes, 2 an open run; of grams with too many runs 3 a run, 4 an open run or a window of one.
-_ROWS = "kind int, g long, s long, d long, z long, e long"
-_NAMES = ["kind", "g", "s", "d", "z", "e"]
+_ROWS = "kind int, g long, s long, d long, tag long, z long, e long"
+_NAMES = ["kind", "g", "s", "d", "tag", "z", "e"]
 
 
-def _batch(kind, g, s, d, z, e) -> pa.RecordBatch:
+def _batch(kind, g, s, d, tag, z, e) -> pa.RecordBatch:
     n = len(d)
     col = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), n))
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), col(g), col(s), col(d), col(z), col(e)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), col(g), col(s), col(d), col(tag), col(z), col(e)], names=_NAMES)
 
 
 def _texts_beside(batch: pa.RecordBatch, lefts: list[bytes] | None = None, rights: list[bytes] | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.binary()) if x is not None else pa.nulls(batch.num_rows, pa.binary()) for x in (lefts, rights)]], names=[*_NAMES, "l", "r"])
 
 
-def _first_of_runs(g, s, d, z):
+def _first_of_runs(g, s, d, tag, z):
     """Places in order without repeated rows, and which are the first of their gram and content."""
-    order = np.lexsort((z, d, s, g))
-    g, s, d, z = g[order], s[order], d[order], z[order]
+    order = np.lexsort((tag, z, d, s, g))
+    g, s, d, tag, z = g[order], s[order], d[order], tag[order], z[order]
     if len(g):
-        own = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (z[1:] != z[:-1]))
-        g, s, d, z = g[own], s[own], d[own], z[own]
+        own = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (z[1:] != z[:-1]))
+        g, s, d, tag, z = g[own], s[own], d[own], tag[own], z[own]
     first = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])) if len(g) else np.zeros(0, bool)
-    return g, s, d, z, first
+    return g, s, d, tag, z, first
 
 
-def _intervals(d: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-    """Whole runs as removed bytes; neighbours of one text become one row. z: start << tag bits | tag; e: end."""
-    start, size, _, tag = _unpacked(z)
+def _intervals(d: np.ndarray, tag: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    """Whole runs as removed bytes; neighbours of one text become one row. z: start; e: end."""
+    start, size, _ = _unpacked(z)
     end = start + size - 1 + WINDOW
     order = np.lexsort((start, tag, d))
-    d, start, end, tag = d[order], start[order], end[order], tag[order]
+    d, tag, start, end = d[order], tag[order], start[order], end[order]
     if not len(d):
-        return _batch(1, 0, 0, d, start, end)
+        return _batch(1, 0, 0, d, tag, start, end)
     apart = np.append(True, (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > end[:-1]))
     at = np.flatnonzero(apart)
-    return _batch(1, d[at], 0, d[at], start[at] << _TAG_BITS | tag[at], np.maximum.reduceat(end, at))
+    return _batch(1, d[at] ^ tag[at], 0, d[at], tag[at], start[at], np.maximum.reduceat(end, at))
 
 
 def _task_runs(batches, size_of_piece: int, limit: int):
@@ -161,7 +160,7 @@ def _task_runs(batches, size_of_piece: int, limit: int):
                 for lo, hi in _spans(b, e):
                     piece, at, size, anchor, g, s = runs_of(data[b[lo] : e[hi - 1]], b[lo:hi] - b[lo], e[lo:hi] - b[lo])
                     who = own[lo:hi][piece]
-                    found.append([g.view(np.int64), s.view(np.int64), d[who], _packed(at + b[lo] - offsets[who], size, anchor - at, tag[who])])
+                    found.append([g.view(np.int64), s.view(np.int64), d[who], tag[who], _packed(at + b[lo] - offsets[who], size, anchor - at)])
                     held += len(g)
                     if held >= limit:
                         yield _first_of_runs(*(np.concatenate(x) for x in zip(*found)))
@@ -173,7 +172,7 @@ def _task_runs(batches, size_of_piece: int, limit: int):
 def _counter(size_of_piece: int, limit: int):
     def run(batches):
         """How many runs each gram has, where it has several in a block; with a null gram, how many runs there are."""
-        for g, _, _, _, first in _task_runs(batches, size_of_piece, limit):
+        for g, *_, first in _task_runs(batches, size_of_piece, limit):
             grams, n = np.unique(g[first], return_counts=True)
             several = n > 1
             yield pa.RecordBatch.from_arrays([pa.array([*grams[several].tolist(), None], pa.int64()), pa.array(np.append(n[several], n.sum()))], names=["g", "n"])
@@ -184,11 +183,11 @@ def _counter(size_of_piece: int, limit: int):
 def _sender(busy, size_of_piece: int, limit: int):
     def run(batches):
         """Each distinct run of a block with its first place (kind 0 or 3), and what repeats within the block (kind 1)."""
-        for g, s, d, z, first in _task_runs(batches, size_of_piece, limit):
+        for g, s, d, tag, z, first in _task_runs(batches, size_of_piece, limit):
             for k in range(0, len(g), 50_000):
                 at = np.flatnonzero(first[k : k + 50_000]) + k
-                yield _batch(np.where(np.isin(g[at], busy.value), 3, 0), g[at], s[at], d[at], z[at], 0)
-            yield _intervals(d[~first], z[~first])
+                yield _batch(np.where(np.isin(g[at], busy.value), 3, 0), g[at], s[at], d[at], tag[at], z[at], 0)
+            yield _intervals(d[~first], tag[~first], z[~first])
 
     return run
 
@@ -230,19 +229,19 @@ def _judge_runs(batches):
         kind = table.column("kind").to_numpy()
         if (kind == 1).any():
             yield from table.filter(pa.array(kind == 1)).to_batches()
-        g, s, d, z = (table.column(c).to_numpy()[kind != 1] for c in "gsdz")
+        g, s, d, tag, z = (table.column(c).to_numpy()[kind != 1] for c in _NAMES[1:6])
         busy = np.unique(g[kind[kind != 1] == 3])
-        g, s, d, z, first = _first_of_runs(g, s, d, z)
+        g, s, d, tag, z, first = _first_of_runs(g, s, d, tag, z)
         if not len(g):
             continue
-        yield _intervals(d[~first], z[~first])
-        g, s, d, z = g[first], s[first], d[first], z[first]
+        yield _intervals(d[~first], tag[~first], z[~first])
+        g, s, d, tag, z = g[first], s[first], d[first], tag[first], z[first]
         own = np.isin(g, busy)
         several = own.copy()
         same = g[1:] == g[:-1]
         several[1:] |= same
         several[:-1] |= same
-        yield _batch(np.where(own, 4, 2)[several], g[several], s[several], d[several], z[several], 0)
+        yield _batch(np.where(own, 4, 2)[several], g[several], s[several], d[several], tag[several], z[several], 0)
 
 
 def _fetch(batches):
@@ -251,33 +250,33 @@ def _fetch(batches):
     import xxhash
 
     digest, seen = xxhash.xxh3_128_digest, set()
-    windows: list[tuple[bytes, int, int]] = []
+    windows: list[tuple[bytes, int, int, int]] = []
 
     def first_windows():
-        s = np.frombuffer(b"".join(h for h, _, _ in windows), np.int64).reshape(-1, 2)
-        g, s, d, z, first = _first_of_runs(s[:, 0], s[:, 1], np.array([d for _, d, _ in windows], np.int64), np.array([z for _, _, z in windows], np.int64))
+        s = np.frombuffer(b"".join(h for h, _, _, _ in windows), np.int64).reshape(-1, 2)
+        g, s, d, tag, z, first = _first_of_runs(s[:, 0], s[:, 1], *(np.array([w[k] for w in windows], np.int64) for k in (1, 2, 3)))
         windows.clear()
-        yield _texts_beside(_batch(4, g[first], s[first], d[first], z[first], 0))
-        yield _texts_beside(_intervals(d[~first], z[~first]))
+        yield _texts_beside(_batch(4, g[first], s[first], d[first], tag[first], z[first], 0))
+        yield _texts_beside(_intervals(d[~first], tag[~first], z[~first]))
 
     for batch in batches:
-        own: list[tuple[int, int, int, bytes, bytes]] = []
+        own: list[tuple[int, int, int, int, bytes, bytes]] = []
         texts = batch.column("t").cast(pa.binary()).to_pylist()
         for text, d, tag, places in zip(texts, batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("open").to_pylist()):
             if (d, tag) in seen:  # rows that repeat are one document
                 continue
             seen.add((d, tag))
-            start, size, offset, _ = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
+            start, size, offset = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
             for p, a, n, o in zip(places, start, size, offset):
                 if p["busy"]:
-                    windows += [(digest(text[b : b + WINDOW]), d, _packed(np.int64(b), 1, 0, tag)) for b in range(a, a + n)]
+                    windows += [(digest(text[b : b + WINDOW]), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
                 else:
-                    own.append((p["g"], d, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
+                    own.append((p["g"], d, tag, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
             if len(windows) >= BLOCK_WINDOWS:
                 yield from first_windows()
         if own:
-            g, d, z, lefts, rights = zip(*own)
-            yield _texts_beside(_batch(2, g, 0, d, z, 0), lefts, rights)
+            g, d, tags, z, lefts, rights = zip(*own)
+            yield _texts_beside(_batch(2, g, 0, d, tags, z, 0), lefts, rights)
     if windows:
         yield from first_windows()
 
@@ -294,7 +293,7 @@ def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: l
             order[a:b], lcp[a:b] = np.array(o) + a, c
         orders.append(order)
         heads.append(lcp)
-    _, size, offset, _ = _unpacked(z)
+    _, size, offset = _unpacked(z)
     out = np.zeros((n, PLACES), bool)
 
     def classes(k: int, depth: int) -> np.ndarray:
@@ -321,23 +320,23 @@ def _judge_windows(batches):
         if (kind == 1).any():
             yield from table.filter(pa.array(kind == 1)).select(_NAMES).to_batches()
         if (own := kind == 4).any():
-            _, _, d, z, first = _first_of_runs(*(table.column(c).to_numpy()[own] for c in "gsdz"))
-            yield _intervals(d[~first], z[~first])
+            _, _, d, tag, z, first = _first_of_runs(*(table.column(c).to_numpy()[own] for c in _NAMES[1:6]))
+            yield _intervals(d[~first], tag[~first], z[~first])
         if not (kind == 2).any():
             continue
         table = table.filter(pa.array(kind == 2))
-        g, d, z = (table.column(c).to_numpy() for c in "gdz")
-        order = np.lexsort((z, d, g))
-        order = order[np.append(True, (np.diff(g[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(z[order]) != 0))]
+        g, d, tag, z = (table.column(c).to_numpy() for c in ("g", "d", "tag", "z"))
+        order = np.lexsort((tag, z, d, g))
+        order = order[np.append(True, (np.diff(g[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(tag[order]) != 0) | (np.diff(z[order]) != 0))]
         lefts, rights = (table.column(c).combine_chunks().to_pylist() for c in "lr")
         lefts, rights = [lefts[i] for i in order], [rights[i] for i in order]
-        g, d, z = g[order], d[order], z[order]
+        g, d, tag, z = g[order], d[order], tag[order], z[order]
         again = repeated_windows(g, z, lefts, rights)
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         run, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
-        start, _, _, tag = _unpacked(z[run])
-        yield _batch(1, 0, 0, d[run], (start + begin) << _TAG_BITS | tag, start + end - 1 + WINDOW)
+        start, _, _ = _unpacked(z[run])
+        yield _batch(1, 0, 0, d[run], tag[run], start + begin, start + end - 1 + WINDOW)
 
 
 def busy_grams(sent: DataFrame) -> np.ndarray:
@@ -352,16 +351,15 @@ def busy_grams(sent: DataFrame) -> np.ndarray:
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text with the bytes to remove: i (the id), t (the text), cut array<struct<b, e>> (not merged, unordered)."""
     common.session(df.sparkSession)
-    docs = df.select(df[id_col].alias("i"), F.coalesce(df[id_col].cast("long"), F.lit(_LAST_ID)).alias("d"), F.pmod(F.xxhash64(df[text_col]), F.lit(1 << _TAG_BITS)).alias("tag"), df[text_col].alias("t"))
+    docs = df.select(df[id_col].alias("i"), F.coalesce(df[id_col].cast("long"), F.lit(_LAST_ID)).alias("d"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("t"))
     sent = docs.select("d", "tag", "t")
     busy = df.sparkSession.sparkContext.broadcast(busy_grams(sent))
     judged = common.stored(_dealt(sent.mapInArrow(_sender(busy, PIECE, BLOCK_RUNS), _ROWS), 3).mapInArrow(_judge_runs, _ROWS))
-    tag = F.col("z").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-    open_ = judged.where("kind in (2, 4)").groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("g", "z", (F.col("kind") == 4).alias("busy"))).alias("open"))
+    open_ = judged.where("kind in (2, 4)").groupBy("d", "tag").agg(F.collect_list(F.struct("g", "z", (F.col("kind") == 4).alias("busy"))).alias("open"))
     texts = docs.repartition("d", "tag")
     around = texts.join(open_, ["d", "tag"]).select("d", "tag", "t", "open").mapInArrow(_fetch, f"{_ROWS}, l binary, r binary")
     more = _dealt(around, 4).mapInArrow(_judge_windows, _ROWS)
-    cuts = judged.where("kind = 1").unionByName(more).select("d", tag.alias("tag"), F.struct(F.shiftright("z", _TAG_BITS).alias("b"), "e").alias("cut"))
+    cuts = judged.where("kind = 1").unionByName(more).select("d", "tag", F.struct(F.col("z").alias("b"), "e").alias("cut"))
     return texts.join(cuts.groupBy("d", "tag").agg(F.collect_list("cut").alias("cut")), ["d", "tag"], "left").select("i", "t", "cut")
 
 
