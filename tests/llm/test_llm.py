@@ -436,6 +436,19 @@ def test_texts_of_one_id_stay_apart(spark):
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
+def test_dissimilar_texts_of_one_id_stay(spark):
+    import corpus_pipeline as pipeline
+
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    clean = [text() for _ in range(12)]
+    docs = [(5 if k < 6 else None, t) for k, t in enumerate(clean)] + [(9, clean[0]), (5, clean[1]), (None, clean[7]), (2, clean[2])]
+    df = spark.createDataFrame([(i, t, "en", None, None) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = pipeline.near_duplicates(spark, df, "").select("doc_id", "text").collect()
+    want = [(2 if k == 2 else 5 if k < 6 else None, t) for k, t in enumerate(clean)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as pipeline
 
