@@ -449,6 +449,14 @@ def test_dissimilar_texts_of_one_id_stay(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_last_stage_decodes(spark):
+    import corpus_pipeline as pipeline
+
+    docs = awkward(spark).select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    got = {r.doc_id: r for r in pipeline.byte_bpe(spark, docs, "").collect()}
+    assert len(got) == len(AWKWARD) and all(got[r.doc_id].decoded == (r.text or "") and len(got[r.doc_id].ids) == got[r.doc_id].n_tokens for r in docs.collect())
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as pipeline
 

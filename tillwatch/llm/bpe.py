@@ -357,8 +357,8 @@ def encoded_rows(data: np.ndarray, offsets: np.ndarray, merges: Merges) -> tuple
     return ids, np.concatenate([[0], np.cumsum(counts)])[rows]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids and the byte offset of each id in its text: id, n_tokens long, ids array<int>, offsets array<int>.
+def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Ids and the byte offset of each id in its text: id, n_tokens long, ids array<int>, offsets array<int>; with `decoded` also the text of the ids.
 
     The vocabulary (bounded: one file, and the pairs that merge to its tokens) goes to the executors as a broadcast; texts stay where they are scanned.
     """
@@ -374,10 +374,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 places = ends[:-1] - np.repeat(ends[rows[:-1]], np.diff(rows))
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(x, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(np.diff(rows), pa.int64()), listed(ids), listed(places)], names=[id_col, "n_tokens", "ids", "offsets"])
+                columns = {id_col: part.column("i"), "n_tokens": pa.array(np.diff(rows), pa.int64()), "ids": listed(ids), "offsets": listed(places)}
+                if decoded:
+                    text, at = merges.decode(ids), ends[rows].tolist()
+                    columns["decoded"] = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("i"), df[text_col].alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, offsets array<int>")
+    return df.select(df[id_col].alias("i"), df[text_col].alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, offsets array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
