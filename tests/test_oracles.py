@@ -37,6 +37,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_canaries_of_large_user_ids(spark, tmp_path):
+    users = [(1, 3_000_000), (2, 6_000_000_003), (3, 6_000_000_004), (4, 6)]
+    spark.createDataFrame([(k, u, "click") for k, u in users], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["j14_canary_lookup"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(k, f"c-{u}.trap.example") for k, u in users if k != 3]
+
+
 def test_share_has_all_kinds_of_cells(spark):
     from tillwatch.operators import reports
     from tillwatch.plans.analog import MIN_CELL, Views

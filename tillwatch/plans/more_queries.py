@@ -191,9 +191,9 @@ def j13(spark, sf_dir):
 def j14(spark, sf_dir):
     from ..operators.usage import canary_hits
 
-    e = Views(spark, sf_dir).t("events").where("event_type = 'click'")
-    lines = e.select(F.concat_ws(" ", F.lit("2024-01-02T03:04:05Z"), F.concat(F.lit("MAIL.c-"), F.col("user_id").cast("string"), F.lit(".trap.example.")), F.lit("dns"), F.col("event_id").cast("string")).alias("line"))
-    known = spark.range(0, 3_000_000, 3).select(F.concat(F.lit("c-"), F.col("id").cast("string"), F.lit(".trap.example")).alias("domain"))
+    events = Views(spark, sf_dir).t("events")
+    lines = events.where("event_type = 'click'").select(F.concat_ws(" ", F.lit("2024-01-02T03:04:05Z"), F.concat(F.lit("MAIL.c-"), F.col("user_id").cast("string"), F.lit(".trap.example.")), F.lit("dns"), F.col("event_id").cast("string")).alias("line"))
+    known = events.where("user_id % 3 = 0").select("user_id").distinct().select(F.concat(F.lit("c-"), F.col("user_id").cast("string"), F.lit(".trap.example")).alias("domain"))
     return canary_hits(lines, known, "trap.example").select(F.col("detail").cast("bigint").alias("event_id"), "domain")
 
 
