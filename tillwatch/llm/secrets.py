@@ -2,8 +2,8 @@
 
 Values of pattern matches are labelled credentials, looked for in all documents. For each kind, the FIT_VALUES distinct
 values of least hash make a prefix tree over character classes; states whose futures agree within Hoeffding bounds are merged, red states first,
-into a small probabilistic automaton. Every token of every text that is as long as some automaton's values is then scored by the log-likelihood per
-character under each automaton. A token is a find if it is at least as likely as all but a few of the labelled values
+into a small probabilistic automaton. Every token of at least ASSIGN_LEAST characters of every text is then scored by the log-likelihood per
+symbol, its end included, under each automaton. A token is a find if it is at least as likely as all but a few of the labelled values
 of that kind, and likelier than under the letter model of ordinary tokens, and lies in no pattern's span.
 
 Spans are in code points, end exclusive. A null or empty text has none. No labelled credentials: the patterns' spans
@@ -12,11 +12,10 @@ only. Repeated rows give repeated results. Only the named columns are read; the
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import deque
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,6 @@ ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
-#: Ordinary tokens of this length and more count as of one length when they are sampled.
-PLAIN_LONG = 16
 #: Values a kind, and ordinary tokens that inference looks at.
 FIT_VALUES, FIT_PLAIN = 300, 2_000
 #: Distinct values from which a kind has an automaton.
@@ -47,10 +44,8 @@ _CLASS = np.array([0 if 48 <= c < 58 else 1 if 97 <= c < 103 else 2 if 103 <= c
 _SIZE = {0: 10, 1: 6, 2: 20, 3: 26}
 
 
-@lru_cache
-def candidates(least: int) -> re.Pattern:
-    """Tokens of at least so many bytes."""
-    return re.compile(rb"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}[A-Za-z0-9+/_=-]" % (least - 2))
+#: Candidates: tokens of as many bytes as the shortest value that a pattern takes, and more.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}[A-Za-z0-9+/_=-]" % (ASSIGN_LEAST - 2))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str, bytes]]:
@@ -84,9 +79,8 @@ class Automaton:
             self.ends[state] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        lengths = sorted(map(len, values)) or [0]
-        self.shortest, self.longest = lengths[0], lengths[-1]
         self.logp = [{s: math.log(n / (t + 1) / _SIZE.get(s, 1)) for s, n in m.items()} for m, t in zip(self.moves, self.through)]
+        self.logend = [math.log((n + 0.5) / (t + 1)) for n, t in zip(self.ends, self.through)]
         scores = sorted(self.score(v, -math.inf) for v in values)
         self.least = scores[int(TAIL * len(scores))] if scores else math.inf
 
@@ -143,8 +137,8 @@ class Automaton:
             blue = deque((r, s) for r in red for s in sorted(self.next[r]) if self.next[r][s] not in settled)
 
     def score(self, value: bytes, least: float) -> float:
-        """Log-likelihood per character; -inf as soon as it can't reach `least`."""
-        n = len(value)
+        """Log-likelihood per symbol, the end of the value being one: so a length that the values don't have costs. -inf as soon as it can't reach `least`."""
+        n = len(value) + 1
         left, state, total = least * n, 0, 0.0
         for symbol in _CLASS[np.frombuffer(value, np.uint8)].tolist():
             p = self.logp[state].get(symbol)
@@ -154,7 +148,7 @@ class Automaton:
             if total < left:
                 return -math.inf
             state = self.next[state][symbol]
-        return total / n
+        return (total + self.logend[state]) / n
 
 
 class Model:
@@ -162,7 +156,6 @@ class Model:
 
     def __init__(self, values: dict[str, list[bytes]], plain: list[bytes]):
         self.automata = [Automaton(v) for _, v in sorted(values.items()) if len(v) >= FEWEST]
-        self.least = min((a.shortest for a in self.automata), default=PLAIN_LONG)
         self.known: dict[bytes, bool] = {}
         pairs = np.ones((256, 256))
         for token in plain:
@@ -180,21 +173,33 @@ class Model:
 
     def _judged(self, token: bytes) -> bool:
         for automaton in self.automata:
-            if automaton.shortest <= len(token) <= automaton.longest and (score := automaton.score(token, automaton.least)) >= automaton.least:
+            if (score := automaton.score(token, automaton.least)) >= automaton.least:
                 codes = np.frombuffer(token, np.uint8)
                 if score > self.plain[codes[:-1], codes[1:]].mean():
                     return True
         return False
 
 
+def outside(found: list[tuple]):
+    """A test whether [start, end) meets any of the spans, by bisection over their union."""
+    starts, ends = [], []
+    for a, b in sorted(x[:2] for x in found):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda start, end: (k := bisect_right(ends, start)) < len(starts) and starts[k] < end
+
+
 def spans(text: bytes, model: Model | None) -> tuple[list[tuple[int, int, str]], int]:
     """All spans of a text in code points, by start and kind, and how many are of base kinds."""
     found = [x[:3] for x in base_spans(text)]
     n = len(found)
     if model is not None and model.automata:
-        taken = sorted((a, b) for a, b, _ in found)
-        for m in candidates(model.least).finditer(text):
-            if model.accepts(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
+        inside = outside(found)
+        for m in CANDIDATE.finditer(text):
+            if model.accepts(m[0]) and not inside(m.start(), m.end()):
                 found.append((m.start(), m.end(), "format"))
     if found and not text.isascii():
         before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
@@ -220,11 +225,11 @@ def infer(docs: DataFrame, id_col: str, text_col: str) -> Model:
                 for _, _, kind, value in base:
                     found.setdefault(kind, set()).add(value)
                 if base:
-                    tokens = [m[0] for m in candidates(ASSIGN_LEAST).finditer(text) if not any(a < m.end() and m.start() < b for a, b, _, _ in base)]
+                    inside = outside(base)
+                    tokens = [m[0] for m in CANDIDATE.finditer(text) if not inside(m.start(), m.end())]
                 else:
-                    tokens = candidates(ASSIGN_LEAST).findall(text or b"")
-                for token in set(tokens):
-                    found.setdefault(_plain_kind(len(token)), set()).add(token)
+                    tokens = CANDIDATE.findall(text or b"")
+                found.setdefault("plain", set()).update(tokens)
             for kind, values in found.items():
                 if len(values) > 4 * limits.get(kind, FIT_PLAIN):
                     found[kind] = set(sorted(values, key=_order)[: limits.get(kind, FIT_PLAIN)])
@@ -240,14 +245,7 @@ def infer(docs: DataFrame, id_col: str, text_col: str) -> Model:
     values: dict[str, list[bytes]] = {}
     for row in rows:
         values.setdefault(row["kind"], []).append(row["value"].encode())
-    labelled = {k: v for k, v in values.items() if k in KINDS}
-    least = min((len(v) for of in labelled.values() if len(of) >= FEWEST for v in of), default=PLAIN_LONG)
-    plain = [v for k in map(_plain_kind, range(min(least, PLAIN_LONG), PLAIN_LONG + 1)) for v in values.get(k, [])]
-    return Model(labelled, sorted(plain, key=_order)[:FIT_PLAIN])
-
-
-def _plain_kind(length: int) -> str:
-    return f"plain {min(length, PLAIN_LONG)}"
+    return Model({k: v for k, v in values.items() if k in KINDS}, values.get("plain", []))
 
 
 def scan(df: DataFrame, model: Model | None, carry: Column, text: Column) -> DataFrame:
