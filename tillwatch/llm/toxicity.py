@@ -7,7 +7,8 @@ for one or two. Viterbi decoding finds the likeliest reading. A logistic model o
 documents, gives the score.
 
 Labels are looked at for at most FIT_ROWS documents, the smallest by a hash of the id (a document with several labels is
-toxic if any says so). Nulls and empty texts score as texts without words. Without labels of both kinds, every score is
+toxic if any label is above 0). The model has the FIT_WORDS words of the greatest z-value that occur in LEAST_SHARE of the
+toxic documents and reach LEAST_Z: a bound on the model, whatever the size of the corpus. Nulls and empty texts score as texts without words. Without labels of both kinds, every score is
 the share of toxic labels (0 without labels). Repeated rows give repeated results. Only named columns are read.
 """
 
@@ -202,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = count_characters(docs, text_col).toArrow()
     channel = Channel(table.column("code").to_numpy(), table.column("n").to_numpy())
     usable = labels.where((common.crc_mod(id_col, 5) != 0) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    some = usable.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(FIT_ROWS).toArrow()
+    some = usable.groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(FIT_ROWS).toArrow()
     known = dict(zip(some.column("i").to_pylist(), some.column("y").to_pylist()))
     if len(set(known.values())) < 2:
         share = float(np.mean(list(known.values()))) if known else 0.0
