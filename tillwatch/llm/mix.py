@@ -5,8 +5,10 @@ dealt out and sorted by, so a hot source spreads over all tasks. Sums per (sourc
 prefix sum over at most `ranges` rows a source, and a running sum within a range gives each document's place in its
 source. A source takes whole epochs while its budget lasts and cuts the last epoch at the exact word.
 
+The key is a hash of id and text, so rows that share an id, or have none, spread as well.
+
 Nulls: a null text has size 0, a null source is a source of its own (last), a null id counts as the empty text for its
-key. Repeated rows are documents of their own; equal keys are cut in the order of id and size. A table without words
+key. Repeated rows are documents of their own with one key, cut in the order of id and size. A table without words
 gives targets of 0. Other columns of any name don't matter.
 """
 
@@ -48,7 +50,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     taken counts words, repeats included: whole epochs, and what the cut leaves of the last one. `carry` names further
     columns to hand through.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(df[id_col].cast("string"), F.lit(""))).cast("binary"))
+    named = F.coalesce(df[id_col].cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.lit(seed + ":"), named, F.lit(":"), F.md5(F.coalesce(df[text_col], F.lit("")).cast("binary"))).cast("binary"))
     sized = df.select(df[id_col].alias("i"), df[source_col].alias("source"), F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"), *[df[c].alias(f"c_{k}") for k, c in enumerate(carry)])
     sized = sized.withColumn("range", F.substring("key", 1, RANGES_HEX))
     dealt = common.checkpointed(sized.repartition("source", "range"))  # a narrow table; texts are read once
@@ -75,7 +78,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
