@@ -1,6 +1,7 @@
 """The text operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import html
 import math
 import random
 import re
@@ -368,14 +369,31 @@ def test_media_round_trip(spark, odd):
 
 
 def test_interleaved_pages(spark):
-    html = "<h1>Title</h1><script>x</script><p>one <b>two</b></p><figure><img src='media:d1' alt='alt'><figcaption>A  cat</figcaption></figure><p>end<img src='media:d2' alt='dog'><img src='x.png'></p>"
-    pages = spark.createDataFrame([(1, html, "clash"), (2, None, "clash"), (3, "<p>only", "clash")], "page_id long, html string, items string")
+    page = "<h1>Title</h1><script>x</script><p>one <b>two</b></p><figure><img src='media:d1' alt='alt'><figcaption>A  cat</figcaption></figure><p>end<img src='media:d2' alt='dog'><img src='x.png'></p>"
+    pages = spark.createDataFrame([(1, page, "clash"), (2, None, "clash"), (3, "<p>only", "clash")], "page_id long, html string, items string")
     payloads = spark.createDataFrame([("d1", b"bytes", "f")], "digest string, media binary, feature string")
     got = {r.page_id: [(x.item.kind, x.item.text, x.item.digest, x.item.caption, x.payload and x.payload.feature) for x in r["items"]] for r in media.interleave(pages, payloads, "page_id").collect()}
-    assert got[1] == [("text", "Title", None, None, None), ("text", "one two", None, None, None), ("media", None, "d1", "A cat", "f"), ("text", "end", None, None, None), ("media", None, "d2", "dog", None)]
+    assert got[1] == [("text", "Title", None, None, None), ("text", "one two", None, None, None), ("media", None, "d1", "A cat", "f"), ("text", "end", None, None, None), ("media", None, "d2", "dog", None), ("media", None, hashlib.sha256(b"x.png").hexdigest(), None, None)]
     assert got[2] == [] and got[3] == [("text", "only", None, None, None)]
 
 
+def test_items_of_all_pages(spark):
+    """Each image and each visible paragraph of the table's pages, in order, against patterns."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {}
+    for r in media.page_items(spark, SF).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert set(got) <= set(pages) and len(got) > 0.9 * len(pages)
+    for k, page in pages.items():
+        items = sorted(got.get(k, []), key=lambda r: r.pos)
+        assert [r.pos for r in items] == list(range(len(items)))
+        assert [r.source for r in items if r.kind == "media"] == re.findall(r"<(?:img|video|audio|source|embed)\b[^>]*?\bsrc=[\"']([^\"']+)[\"']", page)
+        at, text = 0, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style|template|noscript)\b.*?</\1>", " ", page))).split())
+        for words in (w for r in items if r.kind == "text" for w in r.text.split()[:1]):
+            at = text.find(words, at)
+            assert at >= 0
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 def test_deep_shallow_sort():
     import os.path

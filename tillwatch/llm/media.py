@@ -1,6 +1,8 @@
 """Media columns: interleaved sequences of text and media, with payloads resolved by digest.
 
-`parse_pages` reads HTML into ordered items: text, or a reference to a payload by digest with its caption. `store` keeps
+`parse_pages` reads HTML into ordered items: text, or a reference to a payload with its source and caption. A source
+`media:<digest>` names a payload by the digest of its bytes; any other is referred to by the digest of the source itself,
+under which a fetched payload can be held. `store` keeps
 payloads losslessly as 8-bit grey PNG images of 64 samples a row. `resolve` joins references to payloads by digest;
 `interleave` puts each page's items back in order. A payload moves once per distinct digest and task, and features are
 computed once per distinct payload, before the join; a payload that many pages share is never repeated per page.
@@ -13,6 +15,7 @@ position and caption, with null features. Repeated rows give repeated results in
 from __future__ import annotations
 
 import hashlib
+import html
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -26,7 +29,7 @@ from . import common
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
+ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string,source:string>"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -93,17 +96,17 @@ class _Page(HTMLParser):
         text = " ".join(" ".join(self.texts).split())
         self.texts = []
         if text:
-            self.items.append(["text", text, None, None])
+            self.items.append(["text", text, None, None, None])
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
             self.silent += 1
         elif tag in self.MEDIA:
             found = dict(attrs)
-            source = found.get("src") or ""
-            if source.startswith(self.PREFIX):
+            if source := (found.get("src") or "").strip():
+                digest = source[len(self.PREFIX) :] if source.startswith(self.PREFIX) else hashlib.sha256(source.encode("utf-8", "replace")).hexdigest()
                 self.flush()
-                self.items.append(["media", None, source[len(self.PREFIX) :], found.get("alt")])
+                self.items.append(["media", None, digest, found.get("alt"), source])
                 self.figure.append(self.items[-1])
         elif tag == "figure":
             self.figure = []
@@ -129,18 +132,18 @@ class _Page(HTMLParser):
             (self.texts if self.caption is None else self.caption).append(data)
 
 
-def items_of(html: str | None) -> list[dict]:
+def items_of(text: str | None) -> list[dict]:
     page = _Page()
-    page.feed(html or "")
+    page.feed(text or "")
     page.close()
     page.flush()
-    return [{"pos": k, "kind": kind, "text": text, "digest": digest, "caption": caption} for k, (kind, text, digest, caption) in enumerate(page.items)]
+    return [dict(zip(("pos", "kind", "text", "digest", "caption", "source"), (k, *item))) for k, item in enumerate(page.items)]
 
 
-def parse_pages(df: DataFrame, carry: Column, html: Column) -> DataFrame:
+def parse_pages(df: DataFrame, carry: Column, page: Column) -> DataFrame:
     """Pages as ordered items: row (the carried struct), items."""
-    sent = common.session(df.sparkSession) and df.select(carry.alias("row"), html.alias("h"))
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    sent = common.session(df.sparkSession) and df.select(carry.alias("row"), page.alias("h"))
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
 
     def run(batches):
         for batch in batches:
@@ -157,6 +160,7 @@ def pages_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pages, sizes = [], []
             for i, text in zip(batch.column("i").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist()):
                 digest = hashlib.sha256(padded(text or b"")).hexdigest()
+                i = html.escape(str(i))
                 pages.append(f'<article><p>document {i}</p><figure><img src="media:{digest}" alt="payload"><figcaption>text of document {i}</figcaption></figure></article>')
                 sizes.append(len(text or b""))
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=[id_col, "n_bytes", "html"])
@@ -182,12 +186,17 @@ def store(df: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "media"])
 
     def once(batches):
-        seen: set[str] = set()
+        last = None
         for batch in batches:
-            new = [k for k, d in enumerate(batch.column("digest").to_pylist()) if not (d in seen or seen.add(d))]
+            new = []
+            for k, d in enumerate(batch.column("digest").to_pylist()):
+                if d != last:
+                    new.append(k)
+                    last = d
             yield batch.take(pa.array(new, pa.int64()))
 
-    return df.select(df[text_col].alias("t")).mapInArrow(keep, "digest string, media binary").repartition("digest").mapInArrow(once, "digest string, media binary")
+    sent = df.select(df[text_col].alias("t")).mapInArrow(keep, "digest string, media binary")
+    return sent.repartition("digest").sortWithinPartitions("digest").mapInArrow(once, "digest string, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -220,6 +229,12 @@ def interleave(pages: DataFrame, payloads: DataFrame, id_col: str, html_col: str
     return found.groupBy(F.col("row.i").alias(id_col)).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["item"].alias("item"), x["payload"].alias("payload"))).alias("items"))
 
 
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of `pages` in reading order: page_id, pos, kind, text, source, caption, digest."""
+    found = parse_pages(common.session(spark).read.parquet(f"{sf_dir}/pages.parquet"), F.struct("page_id"), F.col("html"))
+    return found.select("row.page_id", F.explode("items").alias("item")).select("page_id", "item.pos", "item.kind", "item.text", "item.source", "item.caption", "item.digest")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query: every text of `documents` is the payload of a page of its own."""
     docs = common.session(spark).read.parquet(f"{sf_dir}/documents.parquet")
