@@ -179,24 +179,64 @@ def test_language_models_are_whole_in_any_sharding(spark, odd):
     assert [x[:4] for x in a] == [x[:4] for x in b] and np.allclose([x[4:] for x in a], [x[4:] for x in b], rtol=1e-9)
 
 
-def test_quality_is_a_distribution_in_any_sharding(spark):
-    counts = quality.count(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text").alias("t"))).cache()
-    whole, many = list(quality.shards(counts)), list(quality.shards(counts, 500))
-    assert len(whole) == 1 and len(many) > 5
-    for context in (b" the", b"\0\0\0\0", b"zqzq"):
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        assert math.isclose(np.exp(whole[0]._below(quality.ORDER)(keys)).sum(), 1, rel_tol=1e-5)
-    data, offsets = common.buffer_of(__import__("pyarrow").array(["The thing", "", "Hello wörld", "zzzz%%%"]))
-    assert np.allclose(whole[0].sums(data, offsets), sum(s.sums(data, offsets) for s in many))
-
-
-def test_quality_shards_keep_rows(spark, odd, monkeypatch):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    docs = docs.union(docs.where("doc_id < 5"))
-    rows = lambda: sorted((r.doc_id, round(r.perplexity, 6), r.keep) for r in quality.quality(docs, labels).collect())
-    one = rows()
-    monkeypatch.setattr(quality.shards, "__defaults__", (3000,))
-    assert rows() == one
+def _brute_kneser_ney(texts, order=5):
+    """Probability of a byte after four others, by the formulas alone, on dictionaries."""
+    full = {}
+    for t in texts:
+        b = bytes(c + 32 if 65 <= c < 91 else c for c in t.encode())
+        for k in range(len(b)):
+            gram = bytes(max(0, order - 1 - k)) + b[max(0, k - order + 1) : k + 1]
+            full[gram] = full.get(gram, 0) + 1
+    tables = {order: full}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for gram in tables[k + 1]:
+            tables[k][gram[1:]] = tables[k].get(gram[1:], 0) + 1
+    off = {}
+    for k in range(2, order + 1):
+        n = [sum(c == m for c in tables[k].values()) for m in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [m - (m + 1) * y * n[m] / n[m - 1] if n[m] and n[m - 1] else 0.5 * m for m in (1, 2, 3)]
+        off[k] = [min(m - 0.05, max(0.05, x)) for m, x in zip((1, 2, 3), d)]
+    around = {}
+    for k in range(2, order + 1):
+        for gram, c in tables[k].items():
+            around.setdefault(gram[:-1], []).append(c)
+
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            ones = tables[1]
+            total = sum(ones.values())
+            return max(0.0, ones.get(gram, 0) - 0.5) / total + 0.5 * len(ones) / total / 256 if ones else 1 / 256
+        after = around.get(gram[:-1])
+        if not after:
+            return p(gram[1:])
+        d = lambda c: off[k][min(c, 3) - 1]
+        c = tables[k].get(gram, 0)
+        return (c - d(c) if c else 0) / sum(after) + sum(map(d, after)) / sum(after) * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("limit, parts", [(500_000, 16), (400, 1)])
+def test_quality_equals_brute_force(spark, odd, monkeypatch, limit, parts):
+    monkeypatch.setattr(quality, "GROUP_PARTS", parts)
+    monkeypatch.setattr(quality, "PACK_BYTES", 20_000 if parts == 1 else 8_000_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000").select(F.col("doc_id").alias("i"), F.col("lang").alias("g"), F.col("text").alias("t"))
+    docs = docs.union(spark.read.parquet(f"{odd}/documents.parquet").where("length(text) < 3000 or text is null").select("doc_id", "lang", "text"))
+    docs = common.stored(docs.union(docs.where("i < 5")))
+    trusted = docs.where("i % 3 = 0").select(F.col("i").alias("k")).distinct()
+    counts = common.checkpointed(quality.count(docs, trusted))
+    assert (len(quality.Whole(counts, limit).bounds) > 5) == (limit == 400)
+    p = _brute_kneser_ney([r.t or "" for r in docs.collect() if r.i is not None and r.i % 3 == 0])
+    found = quality.perplexities(docs, counts, limit).collect()
+    assert len(found) == docs.count()
+    want = {}
+    for r in docs.collect():
+        b = bytes(c + 32 if 65 <= c < 91 else c for c in (r.t or "").encode())
+        want.setdefault((r.i, r.g, len(b)), set()).add(round(sum(math.log(p(bytes(max(0, 4 - k)) + b[max(0, k - 4) : k + 1])) for k in range(len(b))), 2))
+    assert all(any(abs(r.s - w) < 0.02 + 1e-5 * r.n for w in want[r.i, r.g, r.n]) for r in found)
 
 
 def test_quality_tells_good_from_bad(spark):

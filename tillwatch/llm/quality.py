@@ -1,29 +1,37 @@
 """Quality: perplexity under an interpolated modified Kneser-Ney model of byte sequences, trained on trusted text.
 
-Counts of all five-byte sequences of all trusted texts are summed by Spark; lower orders follow from the distinct longer
-sequences. The count table is cut into shards by the two bytes before the context's end, on which all longer orders
-of one position agree, so a position is looked up in one shard alone. A shard has a bounded number of sequences: it
-is broadcast, joined to the positions of all texts where they are scanned, and gives partial sums per text; sums over
-shards give the perplexity. A text is kept up to a quantile of the trusted texts' perplexity in its own language.
-
-Nulls and empty texts have no perplexity and aren't kept. Rows without a language are a language of their own; one
-without trusted texts takes the quantile over all. Labels that repeat an id count once; the best says so. With no
-trusted text, every text is equally likely byte by byte and kept. Repeated rows give repeated results. Only named
-columns are read.
+Counts of all five-byte sequences of the trusted texts are summed by Spark; lower orders follow from the distinct longer
+sequences. The count table is cut into shards by the two bytes before the last, on which all longer orders of one position
+agree. Texts are taken in packs of a few megabytes: a pack asks each shard for its own distinct sequences, requests and
+counts meet in a join by shard, and the answers go back to the packs, which add up their texts. Requests of many packs are
+dealt into groups, so that neither a shard nor a group outgrows a task; the counts are sent once a group. Nothing is
+broadcast but the counts of two-byte sequences (65,536 at most). Packs are named by a hash of their content, so a scan
+that is repeated finds its own answers; texts that a repeated scan cuts into other packs are an error.
+
+A tenth of the trusted texts, by a hash of the id, is left out of training. A text is kept up to a quantile, over the
+trusted texts of its own language, of the perplexity of unseen text: that of left-out texts as it is, that of the others
+times the ratio of the two medians. Nulls and empty texts have no perplexity and aren't kept. Rows without a language are
+a language of their own; one without trusted texts takes the quantile over all. Labels that repeat an id count once; the
+best says so. With no trusted text, every text is equally likely byte by byte and kept. Repeated rows give repeated
+results. Only named columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 5
-#: Most sequences in a shard, which bounds what is broadcast at once; quantile of trusted texts that is kept.
-SHARD_KEYS, KEPT = 4_000_000, 0.998
+#: Most sequences in a shard (a pair of bytes that has more is one); bytes of a pack; scanned partitions whose requests a task answers.
+SHARD_KEYS, PACK_BYTES, GROUP_PARTS = 500_000, 8_000_000, 16
+#: Quantile of trusted texts that is kept; one of so many trusted texts is left out of training.
+KEPT, LEFT_OUT = 0.998, 10
 _LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
 
 
@@ -37,22 +45,63 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys
 
 
-def count(texts: DataFrame) -> DataFrame:
-    """Counts of the sequences of a frame's column t: key, n. A task sends a sequence once."""
+def packs(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """Rows i, g, t of a frame in packs of about PACK_BYTES: pack (a hash of the content), i, g and size (arrays), body (compressed, or null)."""
+    kind = docs.schema["i"].dataType.simpleString()
 
     def run(batches):
-        parts = []
+        held, size = [], 0
         for batch in batches:
-            for _, data, offsets in common.chunks(batch, "t"):
-                parts.append(np.unique(sequences(data, offsets), return_counts=True))
+            for part, data, offsets in common.chunks(batch, "t"):
+                if held and size + len(data) > PACK_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+                held.append((part, data, offsets))
+                size += len(data)
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        sizes = np.concatenate([np.diff(offsets) for _, _, offsets in held])
+        body = b"".join(data.tobytes() for _, data, _ in held)
+        pack = xxhash.xxh3_64_intdigest(sizes.tobytes() + body) - (1 << 63)
+        i, g = (pa.chunked_array([part.column(c) for part, _, _ in held]).combine_chunks() for c in "ig")
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([pa.array([pack]), one(i), one(g), one(pa.array(sizes.astype(np.int64))), pa.array([pa.compress(body, "zstd", asbytes=True) if texts else None], pa.binary())], names=["pack", "i", "g", "size", "body"])
+
+    return docs.mapInArrow(run, f"pack long, i array<{kind}>, g array<string>, size array<bigint>, body binary")
+
+
+def _unpacked(table: pa.Table):
+    """Each pack of a table: ids, languages, text buffer, offsets."""
+    for row in table.combine_chunks().to_batches():
+        for k in range(row.num_rows):
+            sizes = row.column("size")[k].values.to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            body = row.column("body")[k].as_buffer()
+            data = np.frombuffer(pa.decompress(body, int(offsets[-1]), "zstd") if offsets[-1] else b"", np.uint8)
+            yield row.column("i")[k].values, row.column("g")[k].values, data, offsets
+
+
+def count(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Counts of the sequences of the texts whose id (i) is in `trusted` (k): key, n. A pack sends a sequence once."""
+    named = packs(docs, texts=False).select("pack", F.explode("i").alias("k")).join(trusted.select("k").hint("merge"), "k")
+
+    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        parts = []
+        for ids, _, data, offsets in _unpacked(held) if wanted.num_rows else ():
+            own = np.flatnonzero(pa.compute.is_in(ids, value_set=wanted.column("k").combine_chunks()).to_numpy(zero_copy_only=False))
+            for k in range(0, len(own), 512):
+                texts = [data[offsets[j] : offsets[j + 1]] for j in own[k : k + 512]]
+                keys = sequences(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+                parts.append(np.unique(keys, return_counts=True))
                 if len(parts) > 8:
                     parts = [_summed(parts)]
-        if parts:
-            keys, n = _summed(parts)
-            for k in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000]), pa.array(n[k : k + 50_000])], names=["key", "n"])
+        keys, n = _summed(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"key": keys, "n": n})
 
-    return texts.select("t").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = packs(docs).groupBy("pack").cogroup(named.groupBy("pack")).applyInArrow(run, "key long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +139,9 @@ def _look(level: tuple, keys: np.ndarray, lower) -> np.ndarray:
 
 
 class Shard:
-    """The model for positions whose third and fourth bytes of five lie in [low, high)."""
+    """The model for positions whose third and fourth bytes of five are those of the shard; keys are sorted."""
 
-    def __init__(self, low: int, high: int, keys: np.ndarray, n: np.ndarray, off: dict[int, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
-        self.low, self.high = low, high
+    def __init__(self, keys: np.ndarray, n: np.ndarray, off: dict[int, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
         ones, counts = np.unique(pairs[0] & 255, return_counts=True) if len(pairs[0]) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         single = np.full(256, -np.log(256.0))
         if len(ones):
@@ -113,70 +161,115 @@ class Shard:
             return lambda keys: self.single[keys & 255]
         return lambda keys: _look(self.levels[k], keys & ((1 << 8 * k) - 1), self._below(k - 1))
 
-    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Sum of log-probabilities of each row's own positions."""
-        keys = sequences(data, offsets)
-        pair = (keys >> 8) & 0xFFFF
-        own = np.flatnonzero((pair >= self.low) & (pair < self.high))
-        running = np.concatenate([[0.0], np.cumsum(self._below(ORDER)(keys[own]))])
-        rows = np.searchsorted(own, offsets)
-        return running[rows[1:]] - running[rows[:-1]]
-
-
-def shards(counts: DataFrame, limit: int = SHARD_KEYS):
-    """The model's shards, one after the other, from a (stored) table of counts."""
-    off, table = {}, counts
-    for k in range(ORDER, 1, -1):
-        row = table.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first()
-        off[k] = discounts(*row)
-        if k > 2:
-            table = table.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("key")).agg(F.count("*").alias("n"))
-    two = table.orderBy("key").toArrow()  # 65,536 rows at most
-    pairs = two.column("key").to_numpy(), two.column("n").to_numpy()
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    sizes = counts.groupBy(pair.alias("pair")).count().orderBy("pair").collect()  # as many at most
-    bounds, held = [0], 0
-    for row in sizes:
-        if held and held + row["count"] > limit:
-            bounds.append(row["pair"])
-            held = 0
-        held += row["count"]
-    for low, high in zip(bounds, [*bounds[1:], 1 << 16]):
-        own = counts.where((pair >= low) & (pair < high)).orderBy("key").toArrow()
-        yield Shard(low, high, own.column("key").to_numpy(), own.column("n").to_numpy(), off, pairs)
-
-
-def partial_sums(docs: DataFrame, shard: Shard) -> DataFrame:
-    """The share of one shard in each row's log-likelihood: i, g, h, n (bytes), s."""
-    shared = docs.sparkSession.sparkContext.broadcast(shard)
+    def logp(self, keys: np.ndarray) -> np.ndarray:
+        """Log-probability of each sequence's last byte after the four before it."""
+        return self._below(ORDER)(keys)
 
-    def run(batches):
-        for batch in batches:
-            for part, data, offsets in common.chunks(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("g"), part.column("h"), pa.array(np.diff(offsets)), pa.array(shared.value.sums(data, offsets))], names=["i", "g", "h", "n", "s"])
 
-    return docs.mapInArrow(run, f"i {docs.schema['i'].dataType.simpleString()}, g string, h long, n long, s double")
+class Whole:
+    """What all shards need of the (stored) table of counts: discounts of all orders, counts of pairs, and where shards begin."""
+
+    def __init__(self, counts: DataFrame, limit: int):
+        self.off, table = {}, counts
+        for k in range(ORDER, 1, -1):
+            self.off[k] = discounts(*table.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first())
+            if k > 2:
+                table = table.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("key")).agg(F.count("*").alias("n"))
+        two = table.orderBy("key").toArrow()  # 65,536 rows at most
+        self.pairs = two.column("key").to_numpy(), two.column("n").to_numpy()
+        bounds, held = [0], 0
+        for row in counts.groupBy(_pair().alias("pair")).count().orderBy("pair").collect():  # as many at most
+            if held and held + row["count"] > limit:
+                bounds.append(row["pair"])
+                held = 0
+            held += row["count"]
+        self.bounds = np.array(bounds, np.int64)
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, (keys >> 8) & 0xFFFF, "right") - 1
+
+
+def _pair() -> Column:
+    return F.shiftright(F.col("key"), 8).bitwiseAND(F.lit(0xFFFF))
+
+
+def answered(docs: DataFrame, counts: DataFrame, whole: Whole) -> DataFrame:
+    """For each pack of `docs`, its distinct sequences with their log-probabilities: pack, keys and logp (as bytes), in several rows."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(whole)
+    groups = max(1, -(-common.partitions_of(docs) // GROUP_PARTS))
+
+    def ask(batches):
+        for batch in batches:
+            for _, _, data, offsets in _unpacked(pa.Table.from_batches([batch])):
+                steps = range(0, len(offsets) - 1, 512)
+                found = [np.unique(sequences(data[offsets[k] : offsets[min(k + 512, len(offsets) - 1)]], offsets[k : k + 513] - offsets[k])) for k in steps]
+                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                pack, parts = batch.column("pack")[0].as_py(), shared.value.part_of(keys)
+                order = np.argsort(parts, kind="stable")
+                keys, parts = keys[order], parts[order]
+                starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(parts))
+                n = len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(parts[starts].astype(np.int32)), pa.array(np.full(n, pack % groups, np.int32)), pa.array(np.full(n, pack)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["part", "grp", "pack", "keys"])
+
+    def answer(counted: pa.Table, asked: pa.Table) -> pa.Table:
+        keys, n = counted.column("key").to_numpy(), counted.column("n").to_numpy()
+        order = np.argsort(keys)
+        shard = Shard(keys[order], n[order], shared.value.off, shared.value.pairs)
+        found = [shard.logp(np.frombuffer(x, np.int64)).astype(np.float32).tobytes() for x in asked.column("keys").to_pylist()]
+        return pa.table({"pack": asked.column("pack"), "keys": asked.column("keys"), "logp": pa.array(found, pa.binary())})
+
+    asked = packs(docs).mapInArrow(ask, "part int, grp int, pack long, keys binary")
+    cuts = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(whole.bounds, [*whole.bounds[1:], 1 << 16]))], "part int, low int, high int")
+    parts = F.broadcast(cuts.select("part", F.explode(F.sequence("low", F.col("high") - 1)).alias("pair")))  # 65,536 rows
+    dealt = counts.withColumn("pair", _pair().cast("int")).join(parts, "pair").select("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "key", "n")
+    return dealt.groupBy("part", "grp").cogroup(asked.groupBy("part", "grp")).applyInArrow(answer, "pack long, keys binary, logp binary")
+
+
+def perplexities(docs: DataFrame, counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows i, g, t of a frame under the model of stored counts: i, g, n (bytes), s (log-likelihood)."""
+    answers = answered(docs, counts, Whole(counts, SHARD_KEYS if limit is None else limit))
+    kind = docs.schema["i"].dataType.simpleString()
+    schema = pa.schema([("i", packs(docs, False).limit(0).toArrow().schema.field("i").type.value_type), ("g", pa.string()), ("n", pa.int64()), ("s", pa.float64())])
+
+    def run(held: pa.Table, found: pa.Table) -> pa.Table:
+        known = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in found.column("keys").to_pylist()]])
+        logp = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(x, np.float32) for x in found.column("logp").to_pylist()]]).astype(np.float64)
+        order = np.argsort(known)
+        known, logp = known[order], logp[order]
+        out = []
+        for ids, langs, data, offsets in _unpacked(held):
+            sums = np.zeros(len(offsets) - 1)
+            for k in range(0, len(sums), 512):
+                upto = min(k + 512, len(sums))
+                rows = offsets[k : upto + 1] - offsets[k]
+                keys = sequences(data[offsets[k] : offsets[upto]], rows)
+                at = np.searchsorted(known, keys)
+                if len(keys) and (not len(known) or at.max() == len(known) or not (known[at] == keys).all()):
+                    raise RuntimeError("another scan gave other packs: store the frame before it is scored")
+                full = np.flatnonzero(np.diff(rows))
+                if len(full):
+                    sums[k + full] = np.add.reduceat(logp[at], rows[full])
+            out.append(pa.table([ids, langs, pa.array(np.diff(offsets)), pa.array(sums)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return packs(docs).groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, f"i {kind}, g string, n long, s double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", kept: float = KEPT) -> DataFrame:
     """Per row: id, lang, n_bytes, perplexity, threshold, keep."""
     common.session(docs.sparkSession)
-    trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("q")).where("q = 1").select("k")
-    # a sort-merge join whatever the sizes: trusted ids have no bound that would allow a broadcast
-    counts = common.checkpointed(count(docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).join(trusted.hint("merge"), "k")))
-    sent = docs.select(docs[id_col].alias("i"), docs[lang_col].cast("string").alias("g"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("t"))
-    parts = [partial_sums(sent, shard) for shard in shards(counts)]
-    if len(parts) == 1:
-        scored = parts[0]
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        rows = F.count("*") / len(parts)  # rows that repeat id, language and text
-        scored = every.groupBy("i", "g", "h", "n").agg((F.sum("s") / rows).alias("s"), rows.cast("int").alias("rows"))
-        scored = scored.withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
+    trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("q")).where("q = 1").select("k", (F.pmod(F.xxhash64("k"), F.lit(LEFT_OUT)) == 0).alias("out"))
+    sent = docs.select(docs[id_col].alias("i"), docs[lang_col].cast("string").alias("g"), docs[text_col].alias("t"))
+    counts = common.checkpointed(count(sent, trusted.where("not out")))
+    scored = perplexities(sent, counts)
     scored = common.checkpointed(scored.select("i", "g", "n", F.when(F.col("n") > 0, F.round(F.exp(-F.col("s") / F.col("n")), 6)).alias("perplexity")))
-    sure = scored.join(trusted, scored["i"] == F.col("k"), "left_semi").where("perplexity is not null")
+    sure = scored.join(trusted.hint("merge"), scored["i"] == F.col("k")).where("perplexity is not null").select("g", "perplexity", "out")
+    middle = lambda out: F.percentile_approx(F.when(F.col("out") == out, F.col("perplexity")), 0.5, 10_000)
+    unseen, seen = sure.agg(middle(True), middle(False)).first()
+    ratio = unseen / seen if unseen and seen else 1.0
+    sure = sure.withColumn("perplexity", F.when(F.col("out"), F.col("perplexity")).otherwise(F.col("perplexity") * ratio))
     by_lang = sure.groupBy(F.col("g").alias("h")).agg(F.percentile_approx("perplexity", kept, 10_000).alias("own"))
     overall = sure.agg(F.percentile_approx("perplexity", kept, 10_000)).first()[0]
     threshold = F.coalesce("own", F.lit(overall if overall is not None else float("inf")).cast("double"))
