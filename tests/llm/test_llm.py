@@ -335,6 +335,35 @@ def test_links_find_all_components(spark, monkeypatch, block):
     assert len(set(zip(roots, brute))) == len(set(roots)) == len(set(brute))
 
 
+@pytest.mark.parametrize("pairs", [7, 100_000])
+def test_links_within_one_task(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    for _ in range(30):
+        centre, fps = R.getrandbits(64), set()
+        for _ in range(R.choice([1, 2, 9, 150])):
+            fps.add(centre ^ sum(1 << b for b in R.sample(range(R.choice([12, 64])), R.randrange(0, 6))))
+        rank = lambda f: [f := f ^ (f >> k) for k in (1, 2, 4, 8, 16, 32)][-1]
+        fps = sorted(fps, key=rank)
+        u, v = simhash.group_links(np.zeros(len(fps), np.int64), np.array(fps, np.uint64))
+        assert len(u) < len(fps)
+        parent = {f: f for f in fps} | dict(zip(u.tolist(), v.tolist()))
+        roots = [parent[f] for f in fps]
+        assert all(parent[r] == r for r in roots)
+        brute = _brute_components(fps)
+        assert len(set(zip(roots, brute))) == len(set(roots)) == len(set(brute))
+
+
+def test_near_duplicates_on_the_table(spark):
+    """The whole query against fingerprints and links by brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    fps = simhash.fingerprints_of([(r.text or "").encode() for r in docs]).tolist()
+    groups, least = _brute_components(fps), {}
+    for r, g in zip(docs, groups):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    want = sorted((r.doc_id, f"{f:016x}", least[g]) for r, f, g in zip(docs, fps, groups))
+    assert sorted(map(tuple, simhash.op7_simhash(spark, SF).select("doc_id", "fingerprint", "component_id").collect())) == want
+
+
 def test_fingerprints(spark):
     import xxhash
 

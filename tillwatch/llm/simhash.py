@@ -3,12 +3,15 @@
 Fingerprints of equal value are one node. Two fingerprints that differ in at most DISTANCE of 64 bits agree in at least
 two of six chunks, so the index's top level has a node for each pair of chunks and pattern of their bits: the patterns
 that groups of fingerprints share under a mask. A top node's fingerprints are sorted by Gray rank, where neighbours share
-long bit patterns; below it, halves of the sorted run are nodes with the bits on which all members agree. Two nodes
-whose agreed bits differ too often are pruned as a whole; a node whose members differ in at most DISTANCE bits
-altogether is linked without comparing any. Only a spanning set of links leaves a task, never all pairs of a group.
+long bit patterns; below it, halves of the sorted run are nodes with the bits on which all members agree, down to single
+fingerprints. Pairs of nodes are descended together, and each carries the bits that are settled and how many of them
+differ: a level adds the differences of the bits on which both nodes newly agree, and a pair is pruned as a whole once they
+are more than DISTANCE. Nodes whose members differ in at most DISTANCE bits altogether are linked without comparing any.
+Only a spanning set of links leaves a task, never all pairs of a group.
 
-Top nodes of over BLOCK fingerprints are cut into blocks by a hash, and pairs of blocks are tasks of their own, so no
-group grows a task. Links become components by large and small stars, without a driver-side list.
+Top nodes of over BLOCK fingerprints (sizes come from a grouped count that is joined, so that Spark can split a large one)
+are cut into blocks by a hash, and pairs of blocks are tasks of their own, so no group grows a task. Links become components
+by large and small stars, without a driver-side list.
 
 Nulls and empty texts have fingerprint zero. Null ids are allowed; a component's id is its smallest non-null id.
 Repeated rows share a component. An empty table gives no rows. Columns are carried in a struct, so names can't clash.
@@ -20,16 +23,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
-#: Bits of the six chunks; fingerprints that one task compares with as many others; a leaf of the index.
+#: Bits of the six chunks; fingerprints of one pattern that a task compares with as many others; pairs of nodes that are descended at once.
 CHUNKS = (11, 11, 11, 11, 10, 10)
-BLOCK, LEAF = 4096, 48
+BLOCK, PAIRS = 4096, 100_000
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
 
@@ -87,99 +90,76 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-class _Links:
-    """Spanning links among the fingerprints of one group."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps, self.parent = fps, list(range(len(fps)))
-        self.nodes: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def union(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
-
-    def pattern(self, a: int, b: int) -> tuple[int, int]:
-        """Bits that all members have, and bits that any has."""
-        if (a, b) not in self.nodes:
-            self.nodes[a, b] = int(np.bitwise_and.reduce(self.fps[a:b])), int(np.bitwise_or.reduce(self.fps[a:b]))
-        return self.nodes[a, b]
-
-    def one(self, a: int, b: int) -> None:
-        """Link within a node."""
-        every, some = self.pattern(a, b)
-        if (every ^ some).bit_count() <= DISTANCE:
-            for i in range(a + 1, b):
-                self.union(a, i)
-        elif b - a <= LEAF:
-            self.compare(a, b, a, b)
-        else:
-            m = (a + b) // 2
-            self.one(a, m)
-            self.one(m, b)
-            self.two(a, m, m, b)
-
-    def two(self, a: int, b: int, c: int, d: int) -> None:
-        """Link between two nodes."""
-        every, some = self.pattern(a, b)
-        other, any_ = self.pattern(c, d)
-        agreed = ~(every ^ some) & ~(other ^ any_)
-        if ((every ^ other) & agreed).bit_count() > DISTANCE:
-            return
-        if ((every & other) ^ (some | any_)).bit_count() <= DISTANCE:
-            for i in (*range(a, b), *range(c, d)):
-                self.union(a, i)
-        elif b - a <= LEAF and d - c <= LEAF:
-            self.compare(a, b, c, d)
-        elif b - a >= d - c:
-            m = (a + b) // 2
-            self.two(a, m, c, d)
-            self.two(m, b, c, d)
-        else:
-            m = (c + d) // 2
-            self.two(a, b, c, m)
-            self.two(a, b, m, d)
+class _Patterns:
+    """Bits that all, and that any, of a range of fingerprints have, for many ranges at once."""
+
+    def __init__(self, fps: np.ndarray, longest: int):
+        self.every, self.some = [fps], [fps]
+        for k in range(max(0, longest.bit_length() - 1)):
+            a, b = self.every[-1], self.some[-1]
+            self.every.append(a[: -(1 << k)] & a[1 << k :])
+            self.some.append(b[: -(1 << k)] | b[1 << k :])
 
-    def compare(self, a: int, b: int, c: int, d: int) -> None:
-        near = np.bitwise_count(self.fps[a:b, None] ^ self.fps[None, c:d]) <= DISTANCE
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            self.union(a + i, c + j)
+    def of(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = np.frexp(high - low)[1] - 1
+        every, some = np.empty(len(low), np.uint64), np.empty(len(low), np.uint64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            a, b = low[at], high[at] - (1 << k)
+            every[at] = self.every[k][a] & self.every[k][b]
+            some[at] = self.some[k][a] | self.some[k][b]
+        return every, some
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges, and the range of each."""
+    sizes = high - low
+    own = np.repeat(np.arange(len(low)), sizes)
+    return np.arange(len(own)) - (np.cumsum(sizes) - sizes)[own] + low[own], own
 
 
 def group_links(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of many groups: rows sorted by group, then Gray rank; group: a number per row."""
     n = len(fps)
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, n))
+    if not n:
+        return fps, fps
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.append(starts[1:], n)
+    patterns = _Patterns(fps, int((ends - starts).max()))
     label = np.arange(n)
-    small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
-    own, f = group[small], fps[small]
-    firsts, seconds = [], []
-    for d in range(1, int(min(LEAF, sizes.max(initial=1)))):
-        same = np.flatnonzero(own[:-d] == own[d:]) if d < len(own) else np.zeros(0, np.int64)
-        if not len(same):
-            break
-        near = same[np.bitwise_count(f[same] ^ f[same + d]) <= DISTANCE]
-        firsts.append(small[near])
-        seconds.append(small[near + d])
-    if firsts:
-        a, b = np.concatenate(firsts), np.concatenate(seconds)
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
-                break
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-    for at, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        links = _Links(fps[at : at + size])
-        links.one(0, size)
-        label[at : at + size] = at + np.array([links.find(i) for i in range(size)])
+
+    def link(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal label
+        while len(apart := np.flatnonzero(label[u] != label[v])):
+            u, v = u[apart], v[apart]
+            np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
+            while (label != (flat := label[label])).any():
+                label = flat
+
+    todo = [(starts, ends, starts, ends, np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint8))]
+    while todo:
+        a, b, c, d, settled, gap = todo.pop()
+        if len(a) > PAIRS:
+            todo += [tuple(x[k : k + PAIRS] for x in (a, b, c, d, settled, gap)) for k in range(0, len(a), PAIRS)]
+            continue
+        every, some = patterns.of(a, b)
+        other, any_ = patterns.of(c, d)
+        agreed = ~(every ^ some) & ~(other ^ any_)
+        gap = gap + np.bitwise_count((every ^ other) & agreed & ~settled)
+        tight = np.bitwise_count((every & other) ^ (some | any_)) <= DISTANCE
+        near = np.flatnonzero(tight)
+        for low, high in ((a[near], b[near]), (c[near], d[near])):
+            members, own = _ranges(low, high)
+            link(members, a[near][own])
+        rest = np.flatnonzero((gap <= DISTANCE) & ~tight)
+        if not len(rest):
+            continue
+        a, b, c, d, settled, gap = (x[rest] for x in (a, b, c, d, agreed, gap))
+        same, first = a == c, (b - a) >= (d - c)
+        m = np.where(first, (a + b) // 2, (c + d) // 2)
+        one, two, three = np.flatnonzero(same), np.flatnonzero(~same & first), np.flatnonzero(~same & ~first)
+        parts = [(a, m, a, m, one), (m, b, m, b, one), (a, m, m, b, one), (a, m, c, d, two), (m, b, c, d, two), (a, b, c, m, three), (a, b, m, d, three)]
+        todo.append(tuple(np.concatenate([p[k][p[4]] for p in parts]) for k in range(4)) + tuple(np.concatenate([x[p[4]] for p in parts]) for x in (settled, gap)))
     linked = np.flatnonzero(label != np.arange(n))
     return fps[linked], fps[label[linked]]
 
@@ -188,10 +168,11 @@ def links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) that span all pairs of `nodes` (fp, distinct) within DISTANCE."""
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(_masks())])
     rows = nodes.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    pairs = F.when(F.col("n") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(own, x) * F.lit(1 << 20) + F.greatest(own, x))).otherwise(F.array(F.lit(0)))
+    shared = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    counted = rows.join(shared.hint("merge"), ["t", "key"])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    pairs = F.when(F.col("n") > BLOCK, F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda x: F.shiftleft(F.least(own, x), 31) + F.greatest(own, x))).otherwise(F.array(F.lit(0).cast("bigint")))
     dealt = counted.select("t", "key", "fp", F.explode(pairs).alias("pair"))
     dealt = dealt.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair", gray_rank(F.col("fp"))).select("t", "key", "pair", "fp")
 
