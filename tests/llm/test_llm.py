@@ -101,21 +101,43 @@ def test_dual_search_is_exact(leaf, monkeypatch):
         for a in range(m):
             s = x @ x[a]
             order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[a]][:5]
-            want += [(a, int(ids[j]), int(s[j])) for j in order]
-        assert sorted(cover_tree.dual_search(ids[:m], x[:m], ids, x, 5)) == sorted(want)
+            want += [(int(ids[a]), int(ids[j]), int(s[j])) for j in order]
+        tree = cover_tree.block_tree(ids, x, False)
+        assert sorted(cover_tree.dual_search(cover_tree.block_tree(ids[:m], x[:m], True), tree, 5)) == sorted(want)
 
+        def covered(node, scale):  # children lie farther apart than the scale that they cover
+            own = tree[0][node.points].astype(float)
+            assert np.sqrt(((own - node.centre) ** 2).sum(axis=1)).max() <= node.radius + 1e-9
+            assert not node.children or sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+            for j, c in enumerate(node.children):
+                assert c.radius <= min([np.sqrt(((c.centre - o.centre) ** 2).sum()) for o in node.children[:j]], default=np.inf) + 1e-9
+                covered(c, node.radius)
 
-def test_blocks_of_queries_and_data(spark, monkeypatch):
+        covered(tree[2], np.inf)
+
+
+@pytest.mark.parametrize("apart", [0, 60])
+def test_blocks_of_queries_and_data(spark, monkeypatch, apart):
     monkeypatch.setattr(cover_tree, "DATA_BLOCK", 40)
     monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 7)
     r = np.random.default_rng(1)
-    x = r.integers(-5, 5, (150, 3))
+    x = r.integers(-5, 5, (150, 3)) + apart * np.eye(3, dtype=np.int64)[r.integers(0, 3, 150)]
+    asked = []
+    search = cover_tree.searched
+    monkeypatch.setattr(cover_tree, "searched", lambda pairs, *rest: asked.append(pairs.count()) or search(pairs, *rest))
     df = spark.createDataFrame([(k, [int(v) for v in row]) for k, row in enumerate(x)], "vec_id long, x array<long>")
     found = cover_tree.search(df, F.col("vec_id") % 3 == 0, 4, "vec_id", F.col("x")).collect()
     for q in range(0, 150, 3):
         s = x @ x[q]
         want = [(int(j), int(s[j])) for j in np.lexsort((np.arange(150), -s)) if j != q][:4]
         assert [(f.vec_id, f.score) for f in sorted((f for f in found if f.query_id == q), key=lambda f: f.rank)] == want
+    assert not apart or asked[1] < 2 * asked[0]  # regions that lie apart are pruned as whole blocks
+
+
+def test_vectors_of_several_lengths(spark):
+    df = spark.createDataFrame([(k, [k] * (1 + k % 2)) for k in range(20)] + [(30, []), (None, [1])], "vec_id long, x array<long>")
+    found = {(r.query_id, r.vec_id) for r in cover_tree.search(df, F.col("vec_id") < 2, 3, "vec_id", F.col("x")).collect()}
+    assert found == {(0, 2), (0, 4), (0, 6), (1, 19), (1, 17), (1, 15)}
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------

@@ -1,20 +1,23 @@
 """Exact top-k search by inner product, with cover trees over data and queries descended together.
 
-Data and queries are cut into blocks by a hash of the id, so copies of one vector spread evenly. Each pair of a query
-block and a data block is one task: it builds a cover tree over either side (equal vectors are one point with their
-ids) and descends both. For a query node of centre q and radius r and a data node of centre p and radius s, no inner
-product below them exceeds <q, p> + |q| s + |p| r + r s; a pair is pruned once that is less than the worst kth score in
-the query node's group. The best k of each pair of blocks are merged by query. The query set is stated, and meets all
-rows block by block: shuffled rows are (data x query blocks + queries x data blocks).
-
-Vectors that are null, or hold null or non-finite components, take no part; neither do null ids. Ties go to the smaller
-id. A query never finds its own id; fewer candidates than k give fewer rows. Repeated ids are repeated candidates (and
-a repeated query id is one query per distinct vector). An empty table gives no rows. Only named columns are read.
+Vectors are cut into regions around centres (chosen far apart from a bounded sample), and large regions into blocks. Each
+block of data and each block of queries gets its cover tree once (equal vectors are one point with their ids); trees are
+stored, with a centre and a radius a block. For a query node of centre q and radius r and a data node of centre p and radius
+s, no inner product below them exceeds <q, p> + |q| s + |p| r + r s. A block of queries first descends with the block of
+data whose bound is greatest; that gives its worst kth score, and only the blocks of data whose bound reaches it follow.
+Within two blocks, a pair of nodes is pruned once its bound is less than the worst kth score in the query node's group. The
+best k of all pairs of blocks are merged by query. The query set is stated, and meets the rows block by block.
+
+Vectors that are null, or hold null or non-finite components, take no part; neither do null ids. Vectors are compared with
+those of their own length alone. Ties go to the smaller id. A query never finds its own id; fewer candidates than k give
+fewer rows. Repeated ids are repeated candidates (and a repeated query id is one query per distinct vector). An empty table
+gives no rows. Only named columns are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows in a block of data and in one of queries, points in a leaf, and most children: large enough that a pair of leaves is one matrix product.
-DATA_BLOCK, QUERY_BLOCK, LEAF, BRANCHES = 16384, 4096, 512, 6
+#: Rows in a block of data and in one of queries, points in a leaf, and children from which points count as equidistant: large enough that a pair of leaves is one matrix product.
+DATA_BLOCK, QUERY_BLOCK, LEAF, BRANCHES = 16384, 4096, 512, 64
+#: Rows of which centres of regions are chosen, and most centres a length.
+SAMPLE, CENTRES = 4096, 256
 
 
 @dataclass
@@ -40,7 +45,8 @@ class Node:
 
 def cover_tree(x: np.ndarray) -> Node:
     """A cover tree over distinct points: at each level the scale halves, children of a node are farther apart than the
-    scale and cover the node's points within it. Radii are the true ones."""
+    scale and cover the node's points within it. Radii are the true ones. A node of few points is a leaf; so is one that
+    would need BRANCHES children or more, as no halved scale covers its nearly equidistant points by fewer."""
 
     def build(own: np.ndarray, first: int, distances: np.ndarray, scale: float) -> Node:
         node = Node(x[first], own, float(distances.max()) if len(own) else 0.0)
@@ -58,7 +64,7 @@ def cover_tree(x: np.ndarray) -> Node:
             centres.append(centre)
             each.append(d)
             if len(centres) >= BRANCHES:
-                break  # the points are near-equidistant: what is left goes to its nearest child, whose radius says so
+                return node
         if len(centres) == 1:
             return build(own, first, distances, scale / 2)
         for k, c in enumerate(centres):
@@ -82,12 +88,12 @@ def distinct_points(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple[n
 class Best:
     """The k best (score, id) of each query, in order; scores of -inf where there are fewer."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, floor: float = -np.inf):
+        self.k, self.floor = k, floor
         self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
 
     def worst(self, own: np.ndarray) -> np.ndarray:
-        return self.scores[own, -1]
+        return np.maximum(self.scores[own, -1], self.floor)
 
     def offer(self, own: np.ndarray, own_ids: np.ndarray, scores: np.ndarray, points: np.ndarray, held: tuple) -> None:
         """Scores of queries (rows) and points (columns). Of equal vectors, only the first k + 1 ids can matter."""
@@ -112,14 +118,21 @@ class Best:
         self.scores[own], self.ids[own] = value[keep].reshape(len(own), k), ids[keep].reshape(len(own), k)
 
 
-def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query index, id, score) of the k best of each query."""
-    points, held = distinct_points(ids, data.astype(np.float64))
-    best = Best(len(queries), k)
-    if not len(points) or not len(queries):
-        return []
-    q = queries.astype(np.float64)
-    q_tree, d_tree = cover_tree(q), cover_tree(points)
+def block_tree(ids: np.ndarray, x: np.ndarray, query: bool) -> tuple:
+    """A block's points, their ids and cover tree. Queries of one id and vector are one; rows of data that share a vector are one point."""
+    if query:
+        once = np.unique(np.column_stack([ids, x]), axis=0)
+        return once[:, 1:], once[:, 0], cover_tree(once[:, 1:].astype(np.float64))
+    points, held = distinct_points(ids, x)
+    return points, held, cover_tree(points.astype(np.float64))
+
+
+def dual_search(asked: tuple, data: tuple, k: int, floor: float = -np.inf) -> list[tuple[int, int, int]]:
+    """(query id, id, score) of the k best of each query of a block within a block of data, of those that reach `floor`."""
+    q, query_ids, q_tree = asked
+    points, held, d_tree = data
+    q, points = q.astype(np.float64), points.astype(np.float64)
+    best = Best(len(q), k, floor)
 
     def bounds(node: Node, others: list[Node]) -> np.ndarray:
         centres = np.stack([o.centre for o in others])
@@ -156,37 +169,94 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, dat
             keep = [o for o, b in zip(wider, bounds(child, wider).tolist()) if b >= worst]
             todo.append((child, keep))
     row, col = np.nonzero(np.isfinite(best.scores))
-    return list(zip(row.tolist(), best.ids[row, col].tolist(), best.scores[row, col].astype(np.int64).tolist()))
+    return list(zip(query_ids[row].tolist(), best.ids[row, col].tolist(), best.scores[row, col].astype(np.int64).tolist()))
+
+
+def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Centres of regions by length of vector: far apart among the SAMPLE rows of least hash, about one a block of data, CENTRES at most."""
+    some = rows.select("x", F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(SAMPLE).select("x").toArrow().column("x").to_pylist()
+    n = {r["w"]: r["count"] for r in rows.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count")).limit(SAMPLE).collect()}
+    out = {}
+    for w in sorted({len(v) for v in some}):
+        x = np.array([v for v in some if len(v) == w], np.float64)
+        found, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+        while len(found) < min(CENTRES, -(-n.get(w, 1) // DATA_BLOCK)) and near.max() > 0:
+            found.append(int(near.argmax()))
+            near = np.minimum(near, ((x - x[found[-1]]) ** 2).sum(axis=1))
+        out[w] = x[found]
+    return out
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Blocks with their trees, stored: q (of queries), w (length of vectors), block, centre, radius, tree."""
+    centres = rows.sparkSession.sparkContext.broadcast(centres_of(rows))
+
+    def place(batches):
+        for batch in batches:
+            column = batch.column("x")
+            sizes, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+            starts, region = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int32)
+            for w in np.unique(sizes).tolist():
+                if len(near := centres.value.get(w, ())) > 1:
+                    own = np.flatnonzero(sizes == w)
+                    x = values[starts[own][:, None] + np.arange(w)].astype(np.float64)
+                    region[own] = ((near**2).sum(axis=1) - 2 * x @ near.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), column, batch.column("q"), pa.array(sizes.astype(np.int32)), pa.array(region)], names=["i", "x", "q", "w", "region"])
+
+    placed = rows.mapInArrow(place, "i long, x array<long>, q boolean, w int, region int")
+    sides = placed.select("*", F.explode(F.when(F.col("q"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("of")).drop("q")
+    sizes = sides.groupBy("of", "w", "region").agg(F.count("*").alias("n"))
+    cuts = F.ceil(F.col("n") / F.when(F.col("of"), QUERY_BLOCK).otherwise(DATA_BLOCK))
+    dealt = sides.join(sizes, ["of", "w", "region"]).select("i", "x", "of", "w", "region", F.pmod(F.xxhash64("i", "x"), cuts).alias("cut"))
+
+    def plant(table: pa.Table) -> pa.Table:
+        ids, column = table.column("i").to_numpy(), table.column("x").combine_chunks()
+        x = column.flatten().to_numpy().reshape(len(ids), -1)
+        of, w, region, cut = (table.column(c)[0].as_py() for c in ("of", "w", "region", "cut"))
+        tree = block_tree(ids, x, of)
+        node = tree[2]
+        return pa.table({"q": [of], "w": pa.array([w], pa.int32()), "block": [f"{region}.{cut}"], "centre": pa.array([node.centre.tolist()], pa.list_(pa.float64())), "radius": [node.radius], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return common.stored(dealt.groupBy("of", "w", "region", "cut").applyInArrow(plant, "q boolean, w int, block string, centre array<double>, radius double, tree binary"))
+
+
+def searched(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The k best of each query within each pair of blocks (w, qb, db, floor): w, qb, query_id, i, score."""
+    asked = pairs.join(blocks.where("q").select("w", F.col("block").alias("qb"), F.col("tree").alias("asked")), ["w", "qb"])
+    held = blocks.where("not q").select(F.col("w").alias("dw"), F.col("block").alias("db"), F.col("tree").alias("data"))
+    wanted = pairs.select(F.col("w").alias("dw"), F.col("db"), F.col("qb").alias("of"))
+    data = wanted.join(held, ["dw", "db"]).select(F.col("dw"), F.col("of"), F.col("db").alias("d"), "data")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            found = []
+        else:
+            floor = a.column("floor")[0].as_py()
+            found = dual_search(pickle.loads(a.column("asked")[0].as_py()), pickle.loads(b.column("data")[0].as_py()), k, -np.inf if floor is None else floor)
+        query_id, i, score = zip(*found) if found else ((), (), ())
+        w, qb = (a.column(c)[0].as_py() if found else None for c in ("w", "qb"))
+        return pa.table({"w": pa.array([w] * len(i), pa.int32()), "qb": pa.array([qb] * len(i), pa.string()), "query_id": pa.array(query_id, pa.int64()), "i": pa.array(i, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    return asked.groupBy("w", "qb", "db").cogroup(data.groupBy("dw", "of", "d")).applyInArrow(run, "w int, qb string, query_id long, i long, score long")
 
 
 def search(df: DataFrame, is_query: Column, k: int, id_col: str, vector: Column) -> DataFrame:
     """The k best rows for each query: query_id, rank, <id_col>, score. `vector` is an array of whole numbers."""
     common.session(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("i"), vector.alias("x"), is_query.alias("q")).where("i is not null and x is not null")
-    n, queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    d_blocks, q_blocks = max(1, -(-n // DATA_BLOCK)), max(1, -(-queries // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("i", "x", F.lit(False).alias("q"), spread(q_blocks).alias("qb"), block(d_blocks).alias("db"))
-    asked = rows.where("q").select("i", "x", "q", spread(d_blocks).alias("db"), block(q_blocks).alias("qb"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        q = table.column("q").to_numpy()
-        ids = table.column("i").to_numpy()
-        column = table.column("x").combine_chunks()
-        x = column.flatten().to_numpy()
-        width = len(x) // max(1, len(ids))
-        sizes = np.diff(column.offsets.to_numpy())
-        if not (sizes == width).all():
-            raise ValueError("vectors differ in length")
-        x = x.reshape(len(ids), width)
-        asked = np.unique(np.column_stack([ids[q], x[q]]), axis=0)
-        asked_ids = asked[:, 0]
-        found = dual_search(asked_ids, asked[:, 1:], ids[~q], x[~q], k)
-        return pa.table({"query_id": pa.array([int(asked_ids[a]) for a, _, _ in found], pa.int64()), "i": pa.array([b for _, b, _ in found], pa.int64()), "score": pa.array([c for _, _, c in found], pa.int64())})
-
-    found = data.unionByName(asked).groupBy("qb", "db").applyInArrow(run, "query_id long, i long, score long")
+    rows = df.select(df[id_col].cast("long").alias("i"), vector.cast("array<long>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q")).where("i is not null and size(x) > 0")
+    blocks = blocks_of(rows)
+    q, d = (blocks.where(F.col("q") == of).select("w", F.col("block").alias(name + "b"), F.col("centre").alias(name + "c"), F.col("radius").alias(name + "r")) for of, name in ((True, "q"), (False, "d")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: F.sqrt(dot(a, a))
+    bound = dot("qc", "dc") + norm("qc") * F.col("dr") + norm("dc") * F.col("qr") + F.col("qr") * F.col("dr") + 1e-6
+    pairs = common.checkpointed(q.join(d, "w").select("w", "qb", "db", bound.alias("bound")))  # summaries of blocks, not rows
+    best = pairs.groupBy("w", "qb").agg(F.max_by("db", F.struct("bound", "db")).alias("db"))
+    first = common.checkpointed(searched(best.withColumn("floor", F.lit(None).cast("double")), blocks, k))
+    kth = first.groupBy("w", "qb", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    floor = kth.groupBy("w", "qb").agg(F.min(F.when(F.col("n") == k, F.col("s").cast("double")).otherwise(float("-inf"))).alias("floor"))
+    rest = pairs.join(best, ["w", "qb", "db"], "left_anti").join(floor, ["w", "qb"], "left")
+    rest = rest.where("floor is null or bound >= floor").select("w", "qb", "db", "floor")
+    found = first.unionByName(searched(rest, blocks, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "i")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("i").alias(id_col), "score")
