@@ -35,12 +35,12 @@ ASSIGN_LEAST = 6
 FIT_VALUES, FIT_PLAIN = 300, 2_000
 #: Distinct values from which a kind has an automaton.
 FEWEST = 5
-#: Tokens whose judgement a worker remembers.
+#: Shapes of tokens whose judgement a worker remembers.
 REMEMBERED = 100_000
 #: Confidence of the merge test; share of labelled values that may be less likely than a find.
 ALPHA, TAIL = 0.05, 0.02
 
-_CLASS = np.array([0 if 48 <= c < 58 else 1 if 97 <= c < 103 else 2 if 103 <= c < 123 else 3 if 65 <= c < 91 else c for c in range(256)])
+_CLASS = bytes(0 if 48 <= c < 58 else 1 if 97 <= c < 103 else 2 if 103 <= c < 123 else 3 if 65 <= c < 91 else c for c in range(256))
 _SIZE = {0: 10, 1: 6, 2: 20, 3: 26}
 
 
@@ -66,7 +66,7 @@ class Automaton:
         for value in values:
             state = 0
             self.through[0] += 1
-            for symbol in _CLASS[list(value)].tolist():
+            for symbol in value.translate(_CLASS):
                 self.moves[state][symbol] = self.moves[state].get(symbol, 0) + 1
                 if symbol not in self.next[state]:
                     self.next[state][symbol] = len(self.next)
@@ -81,7 +81,7 @@ class Automaton:
         self._merge()
         self.logp = [{s: math.log(n / (t + 1) / _SIZE.get(s, 1)) for s, n in m.items()} for m, t in zip(self.moves, self.through)]
         self.logend = [math.log((n + 0.5) / (t + 1)) for n, t in zip(self.ends, self.through)]
-        scores = sorted(self.score(v, -math.inf) for v in values)
+        scores = sorted(self.score(v.translate(_CLASS), -math.inf) for v in values)
         self.least = scores[int(TAIL * len(scores))] if scores else math.inf
 
     def _differ(self, a: int, na: int, b: int, nb: int) -> bool:
@@ -136,11 +136,11 @@ class Automaton:
                 settled.add(state)
             blue = deque((r, s) for r in red for s in sorted(self.next[r]) if self.next[r][s] not in settled)
 
-    def score(self, value: bytes, least: float) -> float:
-        """Log-likelihood per symbol, the end of the value being one: so a length that the values don't have costs. -inf as soon as it can't reach `least`."""
-        n = len(value) + 1
+    def score(self, shape: bytes, least: float) -> float:
+        """Log-likelihood per symbol of a value of this shape (its characters' classes), the end of the value being one: so a length that the values don't have costs. -inf as soon as it can't reach `least`."""
+        n = len(shape) + 1
         left, state, total = least * n, 0, 0.0
-        for symbol in _CLASS[np.frombuffer(value, np.uint8)].tolist():
+        for symbol in shape:
             p = self.logp[state].get(symbol)
             if p is None:
                 return -math.inf
@@ -156,7 +156,7 @@ class Model:
 
     def __init__(self, values: dict[str, list[bytes]], plain: list[bytes]):
         self.automata = [Automaton(v) for _, v in sorted(values.items()) if len(v) >= FEWEST]
-        self.known: dict[bytes, bool] = {}
+        self.known: dict[bytes, float] = {}
         pairs = np.ones((256, 256))
         for token in plain:
             codes = np.frombuffer(token, np.uint8)
@@ -164,20 +164,16 @@ class Model:
         self.plain = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
     def accepts(self, token: bytes) -> bool:
-        found = self.known.get(token)
-        if found is None:
+        shape = token.translate(_CLASS)
+        score = self.known.get(shape)
+        if score is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            found = self.known[token] = self._judged(token)
-        return found
-
-    def _judged(self, token: bytes) -> bool:
-        for automaton in self.automata:
-            if (score := automaton.score(token, automaton.least)) >= automaton.least:
-                codes = np.frombuffer(token, np.uint8)
-                if score > self.plain[codes[:-1], codes[1:]].mean():
-                    return True
-        return False
+            score = self.known[shape] = max((x for a in self.automata if (x := a.score(shape, a.least)) >= a.least), default=-math.inf)
+        if score == -math.inf:
+            return False
+        codes = np.frombuffer(token, np.uint8)
+        return bool(score > self.plain[codes[:-1], codes[1:]].mean())
 
 
 def outside(found: list[tuple]):
