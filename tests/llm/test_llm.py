@@ -176,6 +176,66 @@ def test_language_on_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.98 and all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_rejects_junk_and_keeps_text(spark):
+    """Random letters, shuffled letters and a language never seen go; unseen texts of the languages stay."""
+    r = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.trained_on(docs)
+    held = [x.text for x in docs.where((common.crc_mod("doc_id", 4) == 2) & F.col("text").rlike("[a-z]")).select("text").collect()]
+    words = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(40))
+    junk = [words("abcdefghijklmnopqrstuvwxyz") for _ in range(200)] + [words("bcdfghjklmnpqrstvwxz") for _ in range(200)] + ["".join(r.sample(t[:400], len(t[:400]))) for t in held if len(t) > 200]
+    rejected = lambda texts: np.mean(model.label(*common.buffer_of(__import__("pyarrow").array(texts)))[3])
+    assert rejected(junk) > 0.95 and rejected(held) < 0.005
+
+
+def _brute_language(texts, order=4):
+    """Interpolated Kneser-Ney over letters by the formulas alone: a function of a sequence, and of single letters' counts."""
+    full = {}
+    for t in texts:
+        s = re.sub(r"[\W\d_]+", " ", t.lower()).lstrip()
+        for k in range(len(s)):
+            gram = ("\0" * order + s[: k + 1])[-order:]
+            full[gram] = full.get(gram, 0) + 1
+    tables = {order: full}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for gram in tables[k + 1]:
+            tables[k][gram[1:]] = tables[k].get(gram[1:], 0) + 1
+    after = {}
+    for k in tables:
+        for gram, c in tables[k].items():
+            after.setdefault((k, gram[:-1]), []).append(c)
+
+    def p(gram, floor):
+        k = len(gram)
+        if k == 0:
+            return floor
+        one, two = (sum(c == m for c in tables[k].values()) for m in (1, 2))
+        d = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+        held = after.get((k, gram[:-1]))
+        if not held:
+            return p(gram[1:], floor)
+        c = tables[k].get(gram, 0)
+        return (c - d if c else 0) / sum(held) + d * len(held) / sum(held) * p(gram[1:], floor)
+
+    return p, tables
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEFT_OUT", 10**9)
+    texts = {"en": ["the cat sat on the mat", "a cat and another cat", "the hat"], "fr": ["le chat est ici", "un chat et le chien", "où est le chat"]}
+    model = language.train(language.count(spark.createDataFrame([(g, t) for g, ts in texts.items() for t in ts], "g string, t string"), F.col("g"), F.col("t")))
+    floor = 1 / (len({c for _, tables in [_brute_language(ts) for ts in texts.values()] for c in tables[1]}) + 2)
+    asked = ["the cat", "le chien où", "zebra", "hat chat"]
+    n, _, sums = model.sums(*common.buffer_of(__import__("pyarrow").array(asked)))
+    for j, name in enumerate(sorted(texts)):
+        p, _ = _brute_language(texts[name])
+        for t, got in zip(asked, sums[:, j]):
+            want = sum(math.log(p(("\0" * 4 + t[: k + 1])[-4:], floor)) for k in range(len(t)))
+            assert math.isclose(got, want, abs_tol=1e-3), (name, t)
+    assert n.tolist() == [len(t) for t in asked]
+
+
 def test_language_rejects_strangers_and_sums_to_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.trained_on(docs)
@@ -585,4 +645,6 @@ def test_pipeline(spark, odd, empty):
                 want = {r.doc_id: r.taken for r in mix.mix(before).collect()}
                 got = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(mix.WORD))).alias("n")).collect()}
                 assert got == {k: v for k, v in want.items() if v}
+                whole = {r.doc_id: r.text for r in before.collect()}
+                assert all(whole[r.doc_id].startswith(r.text) for r in docs.collect())
     assert pipeline.run(spark, SF).count() == docs.count()

@@ -6,9 +6,10 @@ of all languages share sorted arrays of sequence keys (16 bits a letter) with on
 language; what isn't in the arrays backs off. Where the sequences are too many for one broadcast, the count table is cut
 into shards by the two letters before the last, on which all longer orders of one position agree, so a position is looked
 up in one shard alone: each shard gives partial sums per distinct text, and sums over shards give the entropy. A text gets the language of the lowest cross-entropy per letter. It is
-rejected if that lies far above the entropy that the language's own training text has, with both the spread that so
-few letters may have and a share of the distance to the nearest other language allowed for; these figures come from the
-counts, so calibration takes no second pass.
+rejected if that lies far above the entropy that unseen text of the language has, with both the spread that so few letters
+may have and a share of the distance to the nearest other language allowed for. Unseen text is a tenth of the training
+rows, by a hash of the text: their sequences are counted apart and train nothing. A language without such rows is
+calibrated by what it was trained on, and one with no others is trained on them.
 
 Nulls and texts without letters are `und`, score 0. Rows without a language don't train. With no training rows at all,
 every text is `und`. Repeated rows count as often as they occur. Ties go to the language that sorts first. Columns are
@@ -30,6 +31,8 @@ from . import common
 ORDER, BITS = 4, 16
 #: Most sequences that a shard holds, which bounds what is broadcast at once; beyond it, the models have several shards.
 MAX_ENTRIES = 3_000_000
+#: One of so many training texts is left out for calibration.
+LEFT_OUT = 10
 #: Rejection: share of the way to the nearest other language, and standard errors beyond that.
 REJECT_SHARE, REJECT_ERRORS = 0.85, 6.0
 
@@ -66,30 +69,34 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def count(df: DataFrame, lang: Column, text: Column) -> DataFrame:
-    """Counts of all sequences: lang, key, n. Each task sends a sequence once a language."""
+    """Counts of all sequences: lang, key, n, and how often they occur in texts left out of training: left. Each task sends a sequence once a language."""
 
     def run(batches):
-        found: dict[str, list] = {}
+        found: dict[tuple[str, bool], list] = {}
         for batch in batches:
-            table = pa.table({"g": batch.column("g"), "t": batch.column("t")})
+            table = pa.table({"g": batch.column("g"), "t": batch.column("t"), "o": batch.column("o")})
             for name in table.column("g").unique().to_pylist():
-                own = table.filter(pa.compute.equal(table.column("g"), name)).combine_chunks()
-                for part in own.to_batches():
-                    for _, data, offsets in common.chunks(part, "t"):
-                        keys, _ = sequences(data, offsets)
-                        parts = found.setdefault(name, [])
-                        parts.append(np.unique(keys, return_counts=True))
-                        if len(parts) > 8:
-                            found[name] = [_summed(parts)]
-        for name, parts in found.items():
+                for out in (False, True):
+                    own = table.filter(pa.compute.and_(pa.compute.equal(table.column("g"), name), pa.compute.equal(table.column("o"), out))).combine_chunks()
+                    for part in own.to_batches():
+                        for _, data, offsets in common.chunks(part, "t"):
+                            keys, _ = sequences(data, offsets)
+                            parts = found.setdefault((name, out), [])
+                            parts.append(np.unique(keys, return_counts=True))
+                            if len(parts) > 8:
+                                found[name, out] = [_summed(parts)]
+        for (name, out), parts in found.items():
             keys, n = _summed(parts)
             for k in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys[k : k + 50_000])), pa.array(keys[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], names=["lang", "key", "n"])
+                own, times = keys[k : k + 50_000].view(np.int64), n[k : k + 50_000]
+                none = np.zeros(len(own), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(none if out else times), pa.array(times if out else none)], names=["lang", "key", "n", "left"])
 
     import pyarrow.compute  # noqa: F401
 
-    sent = df.select(lang.cast("string").alias("g"), text.alias("t")).where("g is not null and t is not null")
-    return sent.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    out = F.pmod(F.xxhash64(text), F.lit(LEFT_OUT)) == 0
+    sent = df.select(lang.cast("string").alias("g"), text.alias("t"), out.alias("o")).where("g is not null and t is not null")
+    return sent.mapInArrow(run, "lang string, key long, n long, left long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("left").alias("left"))
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +160,6 @@ class Model:
                 backed = lower[:, j] + logg[np.searchsorted(contexts, keys >> np.uint64(BITS)), j]
                 logp[:, j] = np.log(share + np.exp(backed.astype(np.float64)))
             self.keys.append(keys), self.logp.append(logp), self.contexts.append(contexts), self.logg.append(logg)
-        if not whole:
-            self.names, self.entropy, self.spread, self.limit = calibrated(self.names, *self.under(counts))
 
     @staticmethod
     def _orders(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -190,15 +195,15 @@ class Model:
             out[miss] = self._back_off(keys[miss], n) + weight
         return out
 
-    def under(self, counts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each language's counted positions: how many, sums of their log-probabilities under each language, and of squares under their own."""
-        n, sums, squares = np.zeros(len(self.names)), np.zeros((len(self.names), len(self.names))), np.zeros(len(self.names))
+    def under(self, counts: dict) -> np.ndarray:
+        """Of each language's counted positions: how many, sums of their log-probabilities under each language, and of squares under their own; a row a language."""
+        out = np.zeros((len(self.names), len(self.names) + 2))
         for j, name in enumerate(self.names):
             if name in counts:
                 keys, times = counts[name]
                 logp = self.score(keys).astype(np.float64)
-                n[j], sums[j], squares[j] = times.sum(), (logp * times[:, None]).sum(axis=0), (logp[:, j] ** 2 * times).sum()
-        return n, sums, squares
+                out[j] = times.sum(), *(logp * times[:, None]).sum(axis=0), (logp[:, j] ** 2 * times).sum()
+        return out
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per row: letters, how many of them are this shard's own, and the sums of the log-probabilities of these."""
@@ -216,13 +221,17 @@ class Model:
         return decided(self, sums, n)
 
 
-def calibrated(names: list[str], n: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The names, entropy and spread of each language under itself, and the entropy from which a text is foreign."""
+def calibrated(names: list[str], unseen: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entropy and spread of each language's unseen text (see `under`; or of its own, if there is none) under itself, and the entropy from which a text is foreign."""
+    if not names:
+        return (np.zeros(0),) * 3
+    found = np.where(unseen[:, :1] > 0, unseen, trained)
+    n, sums, squares = found[:, 0], found[:, 1:-1], found[:, -1]
     across = -sums / n[:, None]
     entropy = across.diagonal().copy()
     spread = np.sqrt(np.maximum(squares / n - entropy**2, 0))
     far = np.where(np.eye(len(names), dtype=bool), np.inf, across).min(axis=0) if len(names) > 1 else entropy + 1
-    return names, entropy, spread, entropy + REJECT_SHARE * np.maximum(far - entropy, 0.2)
+    return entropy, spread, entropy + REJECT_SHARE * np.maximum(far - entropy, 0.2)
 
 
 def pair_of(keys: np.ndarray) -> np.ndarray:
@@ -249,13 +258,13 @@ class Whole:
 class Shards:
     """Models in several shards, each of which is broadcast; calibrated over all."""
 
-    def __init__(self, counts: DataFrame, limit: int):
+    def __init__(self, counts: DataFrame, left: DataFrame, limit: int):
         context = common.session(counts.sparkSession).sparkContext
         whole = Whole(counts)
         shift = lambda k: F.shiftright("key", BITS * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
         last, pair = shift(1), F.shiftleft(shift(1), BITS).bitwiseOR(shift(2))
         parts, found, held = [0], [], 0
-        n, sums, squares = 0, 0, 0
+        unseen = trained = 0
         for at, size in self._sizes(counts, last, pair, limit):
             if held and held + size > limit:
                 parts.append(at)
@@ -264,10 +273,11 @@ class Shards:
         for low, high in zip(parts, [*parts[1:], 1 << 2 * BITS]):
             own = _by_language(counts.where((pair >= low) & (pair < high)))
             shard = Model(own, whole, _by_language(whole.twos.where((last >= low >> BITS) & (last <= (high - 1) >> BITS))), low, high)
-            n, sums, squares = (x + y for x, y in zip((n, sums, squares), shard.under(own)))
+            trained = trained + shard.under(own)
+            unseen = unseen + shard.under(_by_language(left.where((pair >= low) & (pair < high))))
             found.append(context.broadcast(shard))
-        self.shards = found
-        self.names, self.entropy, self.spread, self.limit = calibrated(whole.names, n, sums, squares)
+        self.shards, self.names = found, whole.names
+        self.entropy, self.spread, self.limit = calibrated(whole.names, unseen, trained)
 
     @staticmethod
     def _sizes(counts: DataFrame, last: Column, pair: Column, limit: int) -> list[tuple[int, int]]:
@@ -293,9 +303,17 @@ def _by_language(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def train(counts: DataFrame, max_entries: int | None = None) -> Model | Shards:
     """Models from all the counts of `count`, in shards of at most about `max_entries` (by default MAX_ENTRIES)."""
-    counts = common.checkpointed(counts)
+    every = common.checkpointed(counts)
+    trained = every.where("n > 0").select("lang", "key", "n")
+    left = every.where("left > 0").select("lang", "key", F.col("left").alias("n"))
+    counts = trained.unionByName(left.join(trained.select("lang").distinct(), "lang", "left_anti"))
     limit = MAX_ENTRIES if max_entries is None else max_entries
-    return Shards(counts, limit) if counts.count() > limit else Model(_by_language(counts))
+    if counts.count() > limit:
+        return Shards(counts, left, limit)
+    own = _by_language(counts)
+    model = Model(own)
+    model.entropy, model.spread, model.limit = calibrated(model.names, model.under(_by_language(left)), model.under(own))
+    return model
 
 
 def _identify_sharded(df: DataFrame, model: Shards, carry: Column, text: Column) -> DataFrame:
