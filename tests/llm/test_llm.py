@@ -301,7 +301,7 @@ def _brute_kneser_ney(texts, order=5):
     return p
 
 
-@pytest.mark.parametrize("limit, parts", [(500_000, 16), (400, 1)])
+@pytest.mark.parametrize("limit, parts", [(500_000, 16), (400, 1)])  # the second has many packs a task
 def test_quality_equals_brute_force(spark, odd, monkeypatch, limit, parts):
     monkeypatch.setattr(quality, "GROUP_PARTS", parts)
     monkeypatch.setattr(quality, "PACK_BYTES", 20_000 if parts == 1 else 8_000_000)

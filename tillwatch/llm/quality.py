@@ -45,29 +45,35 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys
 
 
-def packs(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """Rows i, g, t of a frame in packs of about PACK_BYTES: pack (a hash of the content), i, g and size (arrays), body (compressed, or null)."""
-    kind = docs.schema["i"].dataType.simpleString()
+def _packs(batches):
+    """Rows i, g, t in packs of about PACK_BYTES: pack (a hash of the content), i, g, sizes, body."""
+    held, size = [], 0
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part, data, offsets in common.chunks(batch, "t"):
-                if held and size + len(data) > PACK_BYTES:
-                    yield packed(held)
-                    held, size = [], 0
-                held.append((part, data, offsets))
-                size += len(data)
-        if held:
-            yield packed(held)
-
-    def packed(held):
+    def packed():
         sizes = np.concatenate([np.diff(offsets) for _, _, offsets in held])
         body = b"".join(data.tobytes() for _, data, _ in held)
-        pack = xxhash.xxh3_64_intdigest(sizes.tobytes() + body) - (1 << 63)
         i, g = (pa.chunked_array([part.column(c) for part, _, _ in held]).combine_chunks() for c in "ig")
+        return xxhash.xxh3_64_intdigest(sizes.tobytes() + body) - (1 << 63), i, g, sizes, body
+
+    for batch in batches:
+        for part, data, offsets in common.chunks(batch, "t"):
+            if held and size + len(data) > PACK_BYTES:
+                yield packed()
+                held, size = [], 0
+            held.append((part, data, offsets))
+            size += len(data)
+    if held:
+        yield packed()
+
+
+def packs(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """Packs as rows: pack, i, g and size (arrays), body (compressed, or null)."""
+    kind = docs.schema["i"].dataType.simpleString()
+
+    def run(batches):
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([pa.array([pack]), one(i), one(g), one(pa.array(sizes.astype(np.int64))), pa.array([pa.compress(body, "zstd", asbytes=True) if texts else None], pa.binary())], names=["pack", "i", "g", "size", "body"])
+        for pack, i, g, sizes, body in _packs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pack]), one(i), one(g), one(pa.array(sizes.astype(np.int64))), pa.array([pa.compress(body, "zstd", asbytes=True) if texts else None], pa.binary())], names=["pack", "i", "g", "size", "body"])
 
     return docs.mapInArrow(run, f"pack long, i array<{kind}>, g array<string>, size array<bigint>, body binary")
 
@@ -200,18 +206,17 @@ def answered(docs: DataFrame, counts: DataFrame, whole: Whole) -> DataFrame:
     groups = max(1, -(-common.partitions_of(docs) // GROUP_PARTS))
 
     def ask(batches):
-        for batch in batches:
-            for _, _, data, offsets in _unpacked(pa.Table.from_batches([batch])):
-                steps = range(0, len(offsets) - 1, 512)
-                found = [np.unique(sequences(data[offsets[k] : offsets[min(k + 512, len(offsets) - 1)]], offsets[k : k + 513] - offsets[k])) for k in steps]
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                pack, parts = batch.column("pack")[0].as_py(), shared.value.part_of(keys)
-                order = np.argsort(parts, kind="stable")
-                keys, parts = keys[order], parts[order]
-                starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
-                ends = np.append(starts[1:], len(parts))
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(parts[starts].astype(np.int32)), pa.array(np.full(n, pack % groups, np.int32)), pa.array(np.full(n, pack)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["part", "grp", "pack", "keys"])
+        for pack, _, _, sizes, body in _packs(batches):
+            data, offsets = np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            found = [np.unique(sequences(data[offsets[k] : offsets[min(k + 512, len(sizes))]], offsets[k : k + 513] - offsets[k])) for k in range(0, len(sizes), 512)]
+            keys = np.unique(np.concatenate(found))
+            parts = shared.value.part_of(keys)
+            order = np.argsort(parts, kind="stable")
+            keys, parts = keys[order], parts[order]
+            starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(parts))
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(parts[starts].astype(np.int32)), pa.array(np.full(n, pack % groups, np.int32)), pa.array(np.full(n, pack)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["part", "grp", "pack", "keys"])
 
     def answer(counted: pa.Table, asked: pa.Table) -> pa.Table:
         keys, n = counted.column("key").to_numpy(), counted.column("n").to_numpy()
@@ -220,7 +225,7 @@ def answered(docs: DataFrame, counts: DataFrame, whole: Whole) -> DataFrame:
         found = [shard.logp(np.frombuffer(x, np.int64)).astype(np.float32).tobytes() for x in asked.column("keys").to_pylist()]
         return pa.table({"pack": asked.column("pack"), "keys": asked.column("keys"), "logp": pa.array(found, pa.binary())})
 
-    asked = packs(docs).mapInArrow(ask, "part int, grp int, pack long, keys binary")
+    asked = docs.mapInArrow(ask, "part int, grp int, pack long, keys binary")
     cuts = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(whole.bounds, [*whole.bounds[1:], 1 << 16]))], "part int, low int, high int")
     parts = F.broadcast(cuts.select("part", F.explode(F.sequence("low", F.col("high") - 1)).alias("pair")))  # 65,536 rows
     dealt = counts.withColumn("pair", _pair().cast("int")).join(parts, "pair").select("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "key", "n")
