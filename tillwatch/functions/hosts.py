@@ -73,6 +73,15 @@ def with_host(df: DataFrame, raw: str, out: str = "hostname") -> DataFrame:
     return named.withColumn(out, F.when(valid_host(F.col(out)), F.col(out)))
 
 
+def watched_domain(raw: Column) -> Column:
+    """The name of a watchlist entry: without scheme, path, port and `www.`, in ASCII form; null if it is none."""
+    v = F.regexp_replace(F.lower(F.trim(raw)), "^https?://", "")
+    v = F.regexp_replace(F.regexp_replace(v, "[/:].*$", ""), r"^www\.", "")
+    ascii_ = v.rlike(r"^[\x00-\x7F]*$")
+    v = F.when(ascii_, v).otherwise(idna(F.when(~ascii_, v)))
+    return F.when(v.rlike(r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$") & (F.length(v) <= 253), v)
+
+
 def public_suffix(host: Column, suffixes: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The longest listed suffix of a name, or else its last label."""
     two = F.substring_index(host, ".", -2)
@@ -87,6 +96,22 @@ def etld1(host: Column, suffixes: tuple[str, ...] = SECOND_LEVEL) -> Column:
     return F.when(host != suffix, out)
 
 
+def registrable(df: DataFrame, host: str, rules: DataFrame, out: str = "etld1") -> DataFrame:
+    """Adds the suffix and one label more by a list of rules of any size (a column `rule`: `co.uk`, `*.ck`, `!www.ck`); null for a bare suffix.
+
+    Names are exploded to their suffixes, which meet the rules by an equi join. The longest rule counts, an exception before
+    all others; a name that no rule covers has its last label as suffix.
+    """
+    listed = rules.select(F.lower(F.trim("rule")).alias("r")).where("r <> '' and not startswith(r, '//')").select(F.regexp_replace("r", r"^(!|\*\.)", "").alias("_suffix"), F.when(F.col("r").startswith("!"), -1).when(F.col("r").startswith("*."), 1).otherwise(0).alias("_more")).distinct()
+    labels = F.size(F.split("_suffix", r"\."))
+    each = df.select(F.col(host).alias("_h")).where("_h is not null").distinct().select("_h", F.explode(suffixes_of(F.col("_h"))).alias("_suffix"))
+    hits = each.join(listed, "_suffix").groupBy("_h").agg(F.max(F.when(F.col("_more") < 0, labels - 1)).alias("_e"), F.max(F.when(F.col("_more") >= 0, labels + F.col("_more"))).alias("_n"))
+    parts = F.split(F.lower(F.rtrim(F.col(host), F.lit("."))), r"\.")
+    n = F.coalesce("_e", "_n", F.lit(1)) + 1
+    name = F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), "."))
+    return df.join(hits, F.col(host) == F.col("_h"), "left").withColumn(out, name).drop("_h", "_e", "_n")
+
+
 def url_host(url: Column) -> Column:
     """Host of a URL with or without scheme, lower case."""
     full = F.when(url.contains("://"), url).when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(F.concat(F.lit("https://"), url))
@@ -114,6 +139,13 @@ def suffix_match(hosts: DataFrame, patterns: DataFrame, host: str = "host") -> D
     return hosts.join(best, host, "left")
 
 
+def host_category(df: DataFrame, rules: DataFrame, categories: DataFrame, host: str = "host") -> DataFrame:
+    """Adds the category of a host: psp where an enabled provider rule (pattern, enabled) covers it, else that of the first listed suffix (place, pattern, category), else other."""
+    paid = rules.where("enabled").select(F.lit(-1).alias("place"), "pattern", F.lit("psp").alias("category"))
+    found = suffix_match(df, paid.unionByName(categories.select("place", "pattern", "category")), host)
+    return found.withColumn("category", F.coalesce("found.category", F.lit("other"))).drop("found")
+
+
 def hosted_checkout(urls: DataFrame, known: DataFrame, url: str = "url") -> DataFrame:
     """URLs with the known checkout of the same host whose path prefix is the longest: adds `provider_id`."""
     keyed = urls.withColumn("_host", url_host(F.col(url))).withColumn("_path", F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")))
@@ -122,6 +154,43 @@ def hosted_checkout(urls: DataFrame, known: DataFrame, url: str = "url") -> Data
     return keyed.drop("_host", "_path").join(best, url, "left")
 
 
+def ip_number(ip: Column) -> Column:
+    """A dotted IPv4 address as a number; null if it is none."""
+    parts = F.split(ip, r"\.")
+    sound = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    value = F.lit(0).cast("bigint")
+    for k in range(4):
+        value = value * 256 + F.try_element_at(parts, F.lit(k + 1)).try_cast("bigint")
+    return F.when(sound, value)
+
+
+def ip_key(ip: Column) -> Column:
+    """An address as 32 hexadecimal digits, which sort as addresses do; IPv4 as in IPv6's mapped form. Null if it is neither."""
+    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_number(ip)), 8, "0")))
+    sides = F.split(F.lower(ip), "::")
+    words = lambda s: F.filter(F.split(s, ":"), lambda w: w != "")
+    a, b = words(sides[0]), F.coalesce(words(F.try_element_at(sides, F.lit(2))), F.array().cast("array<string>"))
+    gap = F.lit(8) - F.size(a) - F.size(b)
+    full = F.concat(a, F.array_repeat(F.lit("0"), gap), b)
+    sound = ip.contains(":") & (F.size(sides) <= 2) & F.when(F.size(sides) == 2, gap >= 1).otherwise(gap == 0) & F.forall(full, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
+    v6 = F.when(sound, F.array_join(F.transform(full, lambda w: F.lpad(w, 4, "0")), ""))
+    return F.coalesce(F.when(ip_number(ip).isNotNull(), v4), v6)
+
+
+def _cell(key: Column) -> Column:
+    """Where in the join an address key belongs: a /16 of IPv4, a /32 of IPv6."""
+    number = lambda s: F.conv(s, 16, 10).cast("bigint")
+    return F.when(key.startswith("0" * 20 + "ffff"), number(F.substring(key, 25, 4))).otherwise(number(F.substring(key, 1, 8)) + (1 << 20))
+
+
+def ip_range_join(points: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
+    """Points with the range (low_key, high_key; disjoint, closed) that holds their address, if any, of either family."""
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(_cell(F.col("low_key")), _cell(F.col("high_key")))))
+    keyed = points.withColumn("_key", ip_key(F.col(ip))).withColumn("_at", _cell(F.col("_key")))
+    on = (F.col("_at") == F.col("_cell")) & (F.col("_key") >= F.col("low_key")) & (F.col("_key") <= F.col("high_key"))
+    return keyed.join(cells, on, "left").drop("_cell", "_at", "_key")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int = 1 << 16) -> DataFrame:
     """Points with the range (disjoint, closed) that holds them, if any: an equi join on buckets of `width`.
 

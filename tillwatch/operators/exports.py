@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.stats import wilson
 from ..schemas import confidence_rank
 
-#: What the columns of an export are.
+# The fields of an export with their types; a basic profile leaves FULL_ONLY out.
 FIELDS = {
-    "snapshot": ("domain", "as_of", "platform", "country", "provider_ids", "providers", "providers_active_on_checkout", "method_ids", "methods", "traffic_rank", "first_seen", "last_seen"),
-    "increment": ("event_id", "domain", "event_type", "entity_id", "detected_at"),
-    "aggregates": ("country", "platform", "provider_id", "stores", "total", "share", "lo", "hi"),
-}
-FULL_ONLY = {"snapshot": ("traffic_rank", "providers_active_on_checkout"), "increment": (), "aggregates": ("lo", "hi")}
-KEYS = {"snapshot": ("domain",), "increment": ("event_id",), "aggregates": ("country", "platform", "provider_id")}
+    "snapshot": {
+        "domain": "string", "as_of": "timestamp", "platform_id": "string", "platform_confidence": "string", "country": "string", "country_confidence": "string", "currency": "string", "vertical_id": "string",
+        "checkout_status": "string", "coverage": "string", "acquirer_hidden": "boolean", "provider_ids": "array<string>", "providers": "array<string>", "providers_active_on_checkout": "array<string>",
+        "method_ids": "array<string>", "methods": "array<string>", "checkout_psp_hosts": "array<string>", "traffic_rank": "bigint", "first_seen": "date", "last_seen": "date", "last_checkout_scan_at": "timestamp",
+    },
+    "increment": {"domain": "string", "event_type": "string", "entity": "string", "old_value": "string", "new_value": "string", "detected_at": "timestamp"},
+    "aggregates": {"country": "string", "platform_id": "string", "provider_id": "string", "stores": "bigint", "share": "double", "ci_low": "double", "ci_high": "double"},
+}
+FULL_ONLY = {
+    "snapshot": ("currency", "vertical_id", "acquirer_hidden", "providers_active_on_checkout", "checkout_psp_hosts", "traffic_rank", "last_checkout_scan_at"),
+    "increment": ("old_value", "new_value"), "aggregates": (),
+}
+KEYS = {"snapshot": ("domain",), "increment": ("domain", "event_type", "entity", "detected_at"), "aggregates": ("country", "platform_id", "provider_id")}
 
 
 def fields_for(kind: str, full: bool) -> list[str]:
@@ -29,36 +36,46 @@ def as_of(light: Column, checkout: Column, updated: Column) -> Column:
     return F.coalesce(F.greatest(light, checkout), updated)
 
 
-def snapshot_rows(stores: DataFrame, providers: DataFrame, methods: DataFrame) -> DataFrame:
+def _as_exported(rows: DataFrame, kind: str) -> DataFrame:
+    """The fields of a kind, in order, with their types; null where `rows` has no such column."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in FIELDS[kind].items()])
+
+
+def snapshot_rows(stores: DataFrame, providers: DataFrame, methods: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """One row per store with its lists: children are gathered once by host, never per page.
 
-    providers: host_id, provider_id, role, confidence, active, first_seen, last_seen; methods: host_id, method_id, method_type, confidence.
+    providers: host_id, provider_id, role, confidence, active, first_seen, last_seen; methods: host_id, method_id,
+    method_type, confidence; hosts: host_id, hostname, third_party. A store's own columns have the names of the fields.
     """
     entry = F.struct("provider_id", "role", "confidence", "active", "first_seen", "last_seen")
     p = providers.groupBy("host_id").agg(F.sort_array(F.collect_list(entry)).alias("p"))
     m = methods.groupBy("host_id").agg(F.sort_array(F.collect_list(F.struct("method_id", "method_type", "confidence"))).alias("m"))
-    out = stores.join(p, "host_id", "left").join(m, "host_id", "left")
+    out = stores.drop("first_seen", "last_seen").join(p, "host_id", "left").join(m, "host_id", "left")
+    if hosts is not None:
+        out = out.join(hosts.where("third_party").groupBy("host_id").agg(F.sort_array(F.collect_set("hostname")).alias("h")), "host_id", "left")
     of = lambda c, f: F.coalesce(F.transform(c, f), F.array().cast("array<string>"))
     joined = lambda *xs: F.concat_ws(":", *[x.cast("string") for x in xs])
-    return out.select(
-        "domain", "as_of", "platform", "country", of("p", lambda x: x["provider_id"].cast("string")).alias("provider_ids"), of("p", lambda x: joined(x["provider_id"], x["role"], x["confidence"])).alias("providers"),
-        of(F.filter("p", lambda x: x["active"]), lambda x: x["provider_id"].cast("string")).alias("providers_active_on_checkout"), of("m", lambda x: x["method_id"].cast("string")).alias("method_ids"),
-        of("m", lambda x: joined(x["method_id"], F.coalesce(x["method_type"], F.lit("other")), x["confidence"])).alias("methods"), "traffic_rank",
-        F.array_min(F.transform("p", lambda x: x["first_seen"])).alias("first_seen"), F.array_max(F.transform("p", lambda x: x["last_seen"])).alias("last_seen"),
-    )
+    listed = {
+        "provider_ids": of("p", lambda x: x["provider_id"].cast("string")), "providers": of("p", lambda x: joined(x["provider_id"], x["role"], x["confidence"])),
+        "providers_active_on_checkout": of(F.filter("p", lambda x: x["active"]), lambda x: x["provider_id"].cast("string")), "method_ids": of("m", lambda x: x["method_id"].cast("string")),
+        "methods": of("m", lambda x: joined(x["method_id"], F.coalesce(x["method_type"], F.lit("other")), x["confidence"])),
+        "checkout_psp_hosts": F.coalesce("h", F.array().cast("array<string>")) if hosts is not None else F.array().cast("array<string>"),
+        "first_seen": F.array_min(F.transform("p", lambda x: x["first_seen"])), "last_seen": F.array_max(F.transform("p", lambda x: x["last_seen"])),
+    }
+    return _as_exported(out.withColumns(listed), "snapshot")
 
 
 def increment_rows(events: DataFrame, stores: DataFrame, since: str, until: str) -> DataFrame:
     """Events of visible stores in [since, until)."""
     at = lambda t: F.to_timestamp_ntz(F.lit(t))
-    some = events.where((F.col("detected_at") >= at(since)) & (F.col("detected_at") < at(until)))
-    return some.join(stores.select("host_id", "domain"), "host_id").select(F.col("id").alias("event_id"), "domain", "event_type", "entity_id", "detected_at")
+    some = events.where((F.col("detected_at") >= at(since)) & (F.col("detected_at") < at(until))).withColumnRenamed("entity_id", "entity")
+    return _as_exported(some.join(stores.select("host_id", "domain"), "host_id"), "increment")
 
 
 def aggregate_rows(shares: DataFrame) -> DataFrame:
-    """Shares with their intervals, as an export has them."""
+    """Shares (country, platform, provider_id, stores, total) with their intervals, as an export has them."""
     low, high = wilson(F.col("stores"), F.col("total"))
-    return shares.select("country", "platform", "provider_id", "stores", "total", (F.col("stores") / F.col("total")).alias("share"), low.alias("lo"), high.alias("hi"))
+    return _as_exported(shares.select("country", F.col("platform").alias("platform_id"), "provider_id", "stores", (F.col("stores") / F.col("total")).alias("share"), low.alias("ci_low"), high.alias("ci_high")), "aggregates")
 
 
 def row_key(kind: str) -> Column:
@@ -103,9 +120,15 @@ def canaries(rows: DataFrame, export_hex: str, zone: str, low: int = 3, high: in
     return base.select(*[(made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
+ROW_GROUP = 50_000
+
+
 def write_parquet(rows: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """Zstandard Parquet, with its metadata and schema in a sidecar beside it, written through Spark so that any store will do."""
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Zstandard Parquet in row groups of ROW_GROUP rows. Metadata are in each file's footer, as those of the first column, and
+    with the schema in a sidecar beside it; all is written through Spark, so that any store will do."""
+    first, *rest = rows.columns
+    marked = rows.select(F.col(first).alias(first, metadata={"export": metadata}), *rest)
+    marked.write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", str(ROW_GROUP)).parquet(path)
     sidecar(rows, metadata).coalesce(1).write.mode("overwrite").text(f"{path}.meta")
 
 
@@ -153,6 +176,11 @@ def approval(estimate: int, limit: int, left: int) -> str:
     return "refused" if estimate > left else "approval" if estimate > limit else "queued"
 
 
+def approved(estimate: Column, limit: Column, left: Column) -> Column:
+    """`approval` for columns."""
+    return F.when(estimate > left, "refused").when(estimate > limit, "approval").otherwise("queued")
+
+
 def run_jobs(jobs: list[dict], build) -> list[dict]:
     """Run each job by itself; a failure is that job's own."""
     out = []

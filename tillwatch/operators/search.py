@@ -157,10 +157,16 @@ class SearchRequest:
 
 
 def search(views, request: SearchRequest, segment=None) -> DataFrame:
-    """Visible stores of a segment that pass the filters, one page, as documents of the profile."""
+    """Visible stores of a segment that pass the filters, one page, as documents of the profile.
+
+    The page is fetched first: at most limit + 1 rows. Their ids then filter the children's scans.
+    """
     from .visibility import Segment, with_profile
 
     held = (segment or Segment()).narrowed(request.filters.countries, request.filters.platforms)
     stores = apply_filters(views.visible.where(held.clause()), request.filters, views.providers, views.methods, views.events)
     found = page(stores, request.sort, request.cursor, request.limit)
-    return with_profile(documents(found, views.providers, views.methods, views.events), request.full)
+    rows = found.collect()
+    own = lambda df: df.where(F.col("host_id").isin([r["host_id"] for r in rows]))
+    held = stores.sparkSession.createDataFrame(rows, found.schema)
+    return with_profile(documents(held, own(views.providers), own(views.methods), own(views.events)), request.full)

@@ -25,21 +25,33 @@ def cell_totals(stores: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
     return stores.groupBy(*keys).agg(F.countDistinct("host_id").alias("total"))
 
 
+def _members(stores: DataFrame, providers: DataFrame, keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """Distinct rows of host, cell and provider, dealt out by them."""
+    held = providers.select("host_id", F.col("provider_id").cast("string").alias("provider_id"), *more)
+    return stores.select("host_id", *keys).join(held, "host_id").distinct()
+
+
+def _counted(member: DataFrame, slice_: tuple[str, ...], min_cell: int) -> DataFrame:
+    """slice_, provider_id, stores of distinct members. Small providers are those that have fewer than `min_cell` rows
+    among the first `min_cell` of each provider, so what decides leaves each task already cut to that many."""
+    counts = member.groupBy(*slice_, "provider_id").agg(F.count("*").alias("stores")).where(F.col("stores") >= min_cell)
+    of = Window.partitionBy(*slice_, "provider_id")
+    first = member.withColumn("_k", F.row_number().over(of.orderBy("host_id"))).where(F.col("_k") <= min_cell)
+    small = first.withColumn("_n", F.count("*").over(of)).where(F.col("_n") < min_cell)
+    other = small.groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores"))
+    columns = [*slice_, "provider_id", "stores"]
+    return counts.select(*columns).unionByName(other.withColumn("provider_id", F.lit("other")).select(*columns))
+
+
 def market_share(stores: DataFrame, providers: DataFrame, min_cell: int, role: str | None = None, keys: tuple[str, ...] = CELL) -> DataFrame:
     """Cell keys, provider_id (as text), stores, total, share and its interval.
 
     Cells of fewer than `min_cell` stores are withheld. Providers of fewer are merged into `other`, which counts the
-    distinct stores with any such provider. One pass from membership to (cell, provider) counts; the counts, not the
-    membership, decide what is small.
+    distinct stores with any such provider. Membership is shuffled once; both aggregations read that exchange.
     """
     totals = cell_totals(stores, keys).where(F.col("total") >= min_cell)
     held = providers if role is None else providers.where(F.col("role") == role)
-    member = stores.select("host_id", *keys).join(held.select("host_id", F.col("provider_id").cast("string")).distinct(), "host_id")
-    counts = member.groupBy(*keys, "provider_id").agg(F.countDistinct("host_id").alias("stores"))
-    large = counts.where(F.col("stores") >= min_cell)
-    small = same_cell(member, counts.where(F.col("stores") < min_cell), (*keys, "provider_id"), "left_semi")
-    other = small.groupBy(*keys).agg(F.countDistinct("host_id").alias("stores")).withColumn("provider_id", F.lit("other"))
-    rows = same_cell(large.select(*keys, "provider_id", "stores").unionByName(other.select(*keys, "provider_id", "stores")), totals, keys)
+    rows = same_cell(_counted(_members(stores, held, keys), keys, min_cell), totals, keys)
     low, high = wilson(F.col("stores"), F.col("total"))
     return rows.select(*keys, "provider_id", "stores", "total", (F.col("stores") / F.col("total")).alias("share"), low.alias("lo"), high.alias("hi"))
 
@@ -49,14 +61,10 @@ def snapshot(stores: DataFrame, providers: DataFrame, min_cell: int, keys: tuple
 
     Role slices come from one explode and one aggregation, not a pass per role.
     """
-    member = stores.select("host_id", *keys).join(providers.select("host_id", F.col("provider_id").cast("string"), F.explode(F.array(F.col("role"), F.lit(None).cast("string"))).alias("role")).distinct(), "host_id")
     slice_ = (*keys, "role")
-    counts = member.groupBy(*slice_, "provider_id").agg(F.countDistinct("host_id").alias("stores"))
-    small = same_cell(member, counts.where(F.col("stores") < min_cell), (*slice_, "provider_id"), "left_semi")
-    other = small.groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores")).withColumn("provider_id", F.lit("other"))
+    member = _members(stores, providers, keys, F.explode(F.array(F.col("role"), F.lit(None).cast("string"))).alias("role"))
     totals = cell_totals(stores, keys).select(*keys, F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("provider_id"), F.col("total").alias("stores"))
-    columns = [*slice_, "provider_id", "stores"]
-    return counts.where(F.col("stores") >= min_cell).select(*columns).unionByName(other.select(*columns)).unionByName(totals.select(*columns))
+    return _counted(member, slice_, min_cell).unionByName(totals.select(*slice_, "provider_id", "stores"))
 
 
 def from_snapshot(cells: DataFrame, min_cell: int, role: str | None = None, condition: Column | None = None, keys: tuple[str, ...] = CELL) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,35 +17,29 @@ def diff(scans: DataFrame, sightings: DataFrame, start: DataFrame | None = None)
     the order of time and id. The second sighting of an entity adds it, sightings need not be consecutive; two misses in
     a row remove it, and a new sighting starts afresh. `start` (host_id, entity_id, confirmations, misses) is what was known.
 
-    Each host's scans meet each of its entities once, as an ordered array of booleans, and a fold over the array in the
-    JVM carries the state: no driver loop, no Python.
+    Scans of a host are numbered. An entity's sightings fall into episodes, which end where two numbers or more are left
+    out: the second sighting of an episode adds, the second number after its last removes. What was known is a sighting as
+    many numbers before the first scan as it has misses. Windows over sightings only, which spill; no array per host.
     """
-    reached = scans.where(F.col("status") == REACHED).select("host_id", "scan_id", "ts")
-    seen = sightings.select("scan_id", "entity_id").distinct().join(reached, "scan_id")
-    known = seen.select("host_id", "entity_id")
-    begin = None
+    by_time = Window.partitionBy("host_id").orderBy("ts", "scan_id")
+    walks = scans.where(F.col("status") == REACHED).select("host_id", "scan_id", F.row_number().over(by_time).cast("bigint").alias("k"))
+    seen = sightings.select("scan_id", "entity_id").distinct().join(walks, "scan_id").select("host_id", "entity_id", "k", F.col("scan_id").cast("bigint").alias("scan_id"), F.lit(1).cast("bigint").alias("c"))
     if start is not None:
-        begin = start.select("host_id", "entity_id", F.col("confirmations").cast("int").alias("_c"), F.col("misses").cast("int").alias("_m"))
-        known = known.union(begin.select("host_id", "entity_id"))
-    walks = reached.groupBy("host_id").agg(F.sort_array(F.collect_list(F.struct("ts", "scan_id"))).alias("walks"))
-    held = known.distinct().join(walks, "host_id", "left").join(seen.groupBy("host_id", "entity_id").agg(F.collect_set("scan_id").alias("in")), ["host_id", "entity_id"], "left")
-    held = held.join(begin, ["host_id", "entity_id"], "left") if begin is not None else held.withColumn("_c", F.lit(None).cast("int")).withColumn("_m", F.lit(None).cast("int"))
-    none = F.array().cast("array<struct<event_type:string,scan_id:bigint>>")
-
-    def step(a: Column, w: Column) -> Column:
-        hit = F.coalesce(F.array_contains("in", w["scan_id"]), F.lit(False))
-        c = F.when(hit, a["c"] + 1).when(a["c"] == 0, 0).when(a["m"] + 1 >= 2, 0).otherwise(a["c"])
-        m = F.when(hit | (a["c"] == 0) | (a["m"] + 1 >= 2), 0).otherwise(a["m"] + 1)
-        kind = F.when(hit & (a["c"] + 1 == 2), "added").when(~hit & (a["c"] > 0) & (a["m"] + 1 >= 2), "removed")
-        event = F.when(kind.isNotNull(), F.array(F.struct(kind.alias("event_type"), w["scan_id"].cast("bigint").alias("scan_id")))).otherwise(none)
-        return F.struct(c.cast("int").alias("c"), m.cast("int").alias("m"), F.concat(a["e"], event).alias("e"))
-
-    first = F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.coalesce("_m", F.lit(0)).alias("m"), none.alias("e"))
-    empty = F.array().cast(walks.schema["walks"].dataType)
-    folded = held.select("host_id", "entity_id", F.aggregate(F.coalesce("walks", empty), first, step).alias("x"))
-    events = folded.select("host_id", "entity_id", F.explode("x.e").alias("e")).select("host_id", "entity_id", "e.event_type", "e.scan_id")
-    state = folded.where("x.c > 0").select("host_id", "entity_id", F.col("x.c").alias("confirmations"), F.col("x.m").alias("misses"))
-    return events, state
+        known = start.where("confirmations > 0").select("host_id", "entity_id", (-F.col("misses")).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("scan_id"), F.col("confirmations").cast("bigint").alias("c"))
+        seen = seen.unionByName(known)
+    entity = ["host_id", "entity_id"]
+    in_order = Window.partitionBy(*entity).orderBy("k")
+    fresh = F.coalesce((F.col("k") - F.lag("k").over(in_order) >= 3).cast("int"), F.lit(0))
+    marked = seen.withColumn("fresh", fresh).withColumn("episode", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    episode = Window.partitionBy(*entity, "episode").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    added = marked.withColumn("n", F.sum("c").over(episode)).where("n = 2 and scan_id is not null").select(*entity, F.lit("added").alias("event_type"), "scan_id")
+    spans = marked.groupBy(*entity, "episode").agg(F.max("k").alias("until"), F.sum("c").alias("n"))
+    ends = walks.select(F.col("host_id"), (F.col("k") - 2).alias("until"), F.col("scan_id").cast("bigint").alias("scan_id"))
+    removed = spans.join(ends, ["host_id", "until"]).select(*entity, F.lit("removed").alias("event_type"), "scan_id")
+    last = walks.groupBy("host_id").agg(F.max("k").alias("last"))
+    left = F.coalesce("last", F.lit(0)) - F.col("until")
+    state = spans.join(last, "host_id", "left").where(left < 2).select(*entity, F.col("n").cast("int").alias("confirmations"), left.cast("int").alias("misses"))
+    return added.unionByName(removed), state
 
 
 def platform_changes(observed: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -55,38 +48,31 @@ def platform_changes(observed: DataFrame, profiles: DataFrame) -> DataFrame:
     return sure.select("host_id", F.col("platform").alias("new_value")).join(profiles.select("host_id", F.col("platform").alias("old_value")), "host_id").where("old_value <> new_value")
 
 
-_PROFILE = "host_id long, platform string, platform_confidence string, country string, country_confidence string, vertical string, vertical_confidence string, currency string, traffic_rank long, last_light string, last_checkout string"
-
-
 def fold_profiles(updates: DataFrame) -> DataFrame:
-    """Profiles after all updates of each host in order: host_id, ... (ts as text).
+    """Profiles after all updates of each host in order (ts, scan_type, then the rest): host_id, ... (ts as text).
 
-    Rules compare with the state that earlier updates left, so no single aggregate says it; hosts are folded one by one
-    within tasks. updates: host_id, ts, scan_type, platform, platform_confidence, country, country_confidence, vertical,
-    vertical_confidence, currency, traffic_rank.
+    A platform is taken from a light scan always, from a checkout where its confidence isn't below the held one's; country
+    and vertical where their confidence isn't below, or either is none. So what counts begins with the last update that is
+    taken whatever is held; of the known confidences from there on, the last of the highest stays. Two grouped passes with
+    partial aggregation, joined by host. updates: host_id, ts, scan_type, platform, platform_confidence, country,
+    country_confidence, vertical, vertical_confidence, currency, traffic_rank.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        p: dict = dict.fromkeys(c.split()[0] for c in _PROFILE.split(", "))
-        rank = lambda x: _RANK.get(x) if isinstance(x, str) else None
-        rows = rows.sort_values(["ts", "scan_type"], kind="stable").astype(object).where(lambda x: x.notna(), None)
-        for u in rows.to_dict("records"):
-            p["host_id"] = u["host_id"]
-            light = u["scan_type"] == "light"
-            new, old = rank(u["platform_confidence"]), rank(p["platform_confidence"])
-            if u["platform"] is not None and (light or p["platform"] is None or old is None or (new is not None and new >= old)):
-                p["platform"], p["platform_confidence"] = u["platform"], u["platform_confidence"]
-            for c in ("country", "vertical"):
-                new, old = rank(u[f"{c}_confidence"]), rank(p[f"{c}_confidence"])
-                if u[c] is not None and (p[c] is None or old is None or new is None or new >= old):
-                    p[c], p[f"{c}_confidence"] = u[c], u[f"{c}_confidence"]
-            p["currency"] = u["currency"] or p["currency"]
-            if u["traffic_rank"] is not None:
-                p["traffic_rank"] = int(u["traffic_rank"])
-            p["last_light" if light else "last_checkout"] = u["ts"]
-        return pd.DataFrame([p]).astype({"traffic_rank": "Int64"})
-
-    return updates.groupBy("host_id").applyInPandas(fold, _PROFILE)
+    rest = ["ts", "scan_type", "traffic_rank", "platform", "platform_confidence", "country", "country_confidence", "vertical", "vertical_confidence", "currency"]
+    u = updates.withColumn("_o", F.struct(*rest))
+    rank = lambda c: F.when(F.col(c) == "low", 0).when(F.col(c) == "medium", 1).when(F.col(c) == "high", 2)
+    light = F.coalesce(F.col("scan_type") == "light", F.lit(False))
+    blind = {"platform": light, "country": rank("country_confidence").isNull(), "vertical": rank("vertical_confidence").isNull()}
+    marks = u.groupBy(F.col("host_id").alias("_h")).agg(*[F.max(F.when(F.col(c).isNotNull() & on, F.col("_o"))).alias(f"_{c}") for c, on in blind.items()])
+    j = u.join(marks, F.col("host_id") == F.col("_h"))
+    out = []
+    for c in blind:
+        counts = F.col(c).isNotNull() & (F.col(f"_{c}").isNull() | (F.col("_o") >= F.col(f"_{c}")))
+        after = F.lit(True) if c == "platform" else F.col(f"_{c}").isNull() | (F.col("_o") > F.col(f"_{c}"))
+        order = F.struct(after, F.coalesce(rank(f"{c}_confidence"), F.lit(-1)), F.col("_o"))
+        out.append(F.max_by(F.struct(c, f"{c}_confidence"), F.when(counts, order)).alias(f"_{c}"))
+    last = lambda c, on: F.max_by(c, F.when(on, F.col("_o"))).alias(c)
+    done = j.groupBy("host_id").agg(*out, last("currency", F.col("currency") != ""), last("traffic_rank", F.col("traffic_rank").isNotNull()), F.max(F.when(light, F.col("ts"))).alias("last_light"), F.max(F.when(~light, F.col("ts"))).alias("last_checkout"))
+    return done.select("host_id", *[F.col(f"_{c}.{f}").alias(f) for c in blind for f in (c, f"{c}_confidence")], "currency", "traffic_rank", "last_light", "last_checkout")
 
 
 def upsert_providers(state: DataFrame, observed: DataFrame) -> DataFrame:

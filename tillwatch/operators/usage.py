@@ -37,11 +37,12 @@ def summarise(usage: DataFrame, org_id, start: str, end: str) -> DataFrame:
     """Requests, records, addresses and errors by endpoint, by day and in total, in one pass of grouping sets: scope, key, ..."""
     at = lambda d: F.to_timestamp_ntz(F.lit(d))
     own = usage.where((F.col("org_id") == org_id) & (F.col("ts") >= at(start)) & (F.col("ts") < at(end))).select("endpoint", F.date_format("ts", "yyyy-MM-dd").alias("day"), "records", "ip", (F.get_json_object("params", "$.k") >= "40").alias("error"))
-    own.createOrReplaceTempView("_usage_of_org")
-    return own.sparkSession.sql("""
-      SELECT CASE WHEN grouping(endpoint) = 0 THEN 'endpoint' WHEN grouping(day) = 0 THEN 'day' ELSE 'total' END AS scope, coalesce(endpoint, day, '') AS key,
-             count(*) AS requests, coalesce(sum(records), 0) AS records, count(DISTINCT ip) AS addresses, count_if(error) AS errors
-      FROM _usage_of_org GROUP BY GROUPING SETS ((endpoint), (day), ())""")
+    sets = own.groupingSets([["endpoint"], ["day"], []], "endpoint", "day").agg(
+        F.grouping("endpoint").alias("_e"), F.grouping("day").alias("_d"), F.count("*").alias("requests"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+        F.countDistinct("ip").alias("addresses"), F.count_if("error").alias("errors"),
+    )
+    scope = F.when(F.col("_e") == 0, "endpoint").when(F.col("_d") == 0, "day").otherwise("total")
+    return sets.select(scope.alias("scope"), F.coalesce("endpoint", "day", F.lit("")).alias("key"), "requests", "records", "addresses", "errors")
 
 
 def detect(usage: DataFrame, now: Column, s: Limits = Limits(), lookup: str = "lookup") -> DataFrame:
@@ -99,6 +100,40 @@ def canary_hits(lines: DataFrame, canaries: DataFrame, zone: str, line: str = "l
     return hits.where("ok and ts is not null").drop("ok").join(canaries, "domain")
 
 
+def hmac_sha256(secret: bytes, message: Column) -> Column:
+    """The keyed SHA-256 digest of a text, as lower-case hexadecimal digits, computed in the JVM; the secret's two pads are constants."""
+    import hashlib
+
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in key).hex()))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)
+
+
+def screening_hits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, verdicts) of screening responses (org_id, query, body as JSON).
+
+    Hits: org_id, place, query, entity_id, caption, score, match, by score descending, then query, then id. Verdicts:
+    match if a hit says so, potential_match with others, clear without any. A response whose status isn't 200 gives `failed`.
+    """
+    shape = "status int, results array<struct<id:string,caption:string,score:double,match:boolean>>"
+    doc = responses.select("org_id", "query", F.from_json("body", shape).alias("d"))
+    each = doc.select("org_id", "query", F.explode("d.results").alias("r")).select("org_id", "query", F.coalesce("r.id", F.lit("")).alias("entity_id"), F.coalesce("r.caption", F.lit("")).alias("caption"), F.bround(F.coalesce("r.score", F.lit(0.0)), 4).alias("score"), F.coalesce("r.match", F.lit(False)).alias("match"))
+    order = Window.partitionBy("org_id").orderBy(F.desc("score"), "query", "entity_id")
+    counted = doc.groupBy("org_id").agg(F.bool_or(F.coalesce("d.status", F.lit(200)) != 200).alias("bad"), F.bool_or(F.exists("d.results", lambda r: F.coalesce(r["match"], F.lit(False)))).alias("match"), F.sum(F.coalesce(F.size("d.results"), F.lit(0))).alias("n"))
+    verdict = F.when(F.col("bad"), "failed").when(F.col("match"), "match").when(F.col("n") > 0, "potential_match").otherwise("clear")
+    return each.withColumn("place", F.row_number().over(order)), counted.select("org_id", verdict.alias("verdict"))
+
+
+def canary_incidents(hits: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(canaries with hits and last hit, incidents) after hits: one of high severity per organisation, merged into what is open.
+
+    hits: domain, org_id, ts, kind; open_: org_id, detector, severity. Counters have domain, hits, last_hit_at.
+    """
+    counted = hits.groupBy("domain").agg(F.count("*").alias("hits"), F.max("ts").alias("last_hit_at"))
+    found = hits.select("org_id", F.lit("canary_hit").alias("detector"), F.lit("high").alias("severity"))
+    return counted, merge_incidents(open_, found)
+
+
 def chain_breaks(log: DataFrame, by: list[str], order: list[str], payload: Column) -> DataFrame:
     """Rows of a hash chain whose hash isn't that of the hash before and their payload. log: ..., row_hash."""
     before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(*by).orderBy(*order)), F.lit(""))

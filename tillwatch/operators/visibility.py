@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hosts import ip_number
+
 #: Fields that only the full profile has.
 FULL_ONLY = frozenset({"evidence", "psp_hosts", "recent_changes", "confidence_score", "rule_ids", "traffic_rank"})
 
@@ -70,16 +72,6 @@ def quota_state(usage: DataFrame, now: str, daily: int, monthly: int) -> DataFra
     return used.withColumn("spent", (F.col("today") >= daily) | (F.col("month") >= monthly))
 
 
-def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a number; null if it is none."""
-    parts = F.split(ip, r"\.")
-    sound = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    value = F.lit(0).cast("bigint")
-    for k in range(4):
-        value = value * 256 + F.try_element_at(parts, F.lit(k + 1)).try_cast("bigint")
-    return F.when(sound, value)
-
-
 def ip_allowed(requests: DataFrame, networks: DataFrame) -> DataFrame:
     """Requests (org_id, ip) with `allowed`: true without networks (org_id, cidr) of the organisation, false for a null or bad address.
 

@@ -10,6 +10,7 @@ from ..session import ship
 from ..sources import readers
 from .analog import NOW, Views, sql
 from .registry import query
+from .search_queries import _share_sql, a06
 
 _AT = lambda t=NOW: F.to_timestamp_ntz(F.lit(t))
 WEIGHTS = dict.fromkeys(("ecommerce", "rank", "checkout", "watchlist", "staleness"), 1.0)
@@ -27,7 +28,7 @@ def x15(spark, sf_dir):
     return Views(spark, sf_dir).t("orders").select("o_orderkey", F.round(stats.rank_score(F.col("o_custkey")), 9).alias("rank_score"), stats.staleness(F.col("o_orderkey") % 90, F.lit(30)).alias("staleness"))
 
 
-@query("x15_priority")
+@query("x15_priority", sql("SELECT host_id, round_even(1.0::DOUBLE * (1 + CASE WHEN optout THEN 0.0 ELSE 1.0 END) * (1 + CASE WHEN traffic_rank >= 1 THEN greatest(0.0, least(1.0, 1 - log10(CAST(traffic_rank AS DOUBLE)) / 6)) ELSE 0.0 END) * (1 + CASE WHEN platform = 'BUILDING' THEN 1.0 ELSE 0.0 END) * (1 + CASE WHEN region = 'ASIA' THEN 1.0 ELSE 0.0 END) * (1 + greatest(0.0, least(3.0, CAST(host_id % 60 AS DOUBLE) / 30))), 4) AS priority FROM store", "store"))
 def x15_priority(spark, sf_dir):
     s = Views(spark, sf_dir).stores
     p = stats.priority(~F.col("optout"), F.col("traffic_rank"), F.col("platform") == "BUILDING", F.col("region") == "ASIA", F.col("host_id") % 60, F.lit(30), WEIGHTS)
@@ -82,16 +83,10 @@ def x01(spark, sf_dir):
     return hosts.with_host(Views(spark, sf_dir).t("customer").select("c_custkey", raw.alias("raw")), "raw").select("c_custkey", "hostname")
 
 
-@query("x02_displayed_hosts")
-def x02(spark, sf_dir):
-    names = ship(spark).range(3).select(F.element_at(F.array(F.lit("xn--mnchen-3ya.de"), F.lit("shop.example"), F.lit("xn--caf-dma.fr")), (F.col("id") + 1).cast("int")).alias("host"))
-    return names.select("host", hosts.displayed("host").alias("shown"))
-
-
 @query("x03_registrable_domain", "SELECT page_id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS etld1 FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages) WHERE host LIKE '%.%'")
 def x03(spark, sf_dir):
     p = Views(spark, sf_dir).t("pages").select("page_id", hosts.url_host(F.col("url")).alias("host"))
-    return p.where("host like '%.%'").select("page_id", hosts.etld1(F.col("host"), ()).alias("etld1"))
+    return p.where("host like '%.%'").select("page_id", hosts.etld1(F.col("host")).alias("etld1"))
 
 
 @query("x05_url_parts", "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_replace(url, '[?#].*$', '') AS bare FROM pages")
@@ -99,9 +94,9 @@ def x05(spark, sf_dir):
     return Views(spark, sf_dir).t("pages").select("page_id", hosts.url_host(F.col("url")).alias("host"), hosts.without_query(F.col("url")).alias("bare"))
 
 
-@query("x06_phrases", "SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("x06_phrases", "SELECT item_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM benchmark")
 def x06(spark, sf_dir):
-    return Views(spark, sf_dir).t("benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", text.phrase(F.col("text")).alias("folded"))
+    return (ship(spark) and Views(spark, sf_dir).t("benchmark")).select("item_id", text.phrase(F.col("text")).alias("folded"))
 
 
 @query("x07_slugs", "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9_]+', '_', 'g'), '_'), 64) AS slug FROM part")
@@ -126,9 +121,9 @@ def x11(spark, sf_dir):
     return Views(spark, sf_dir).t("orders").select("o_orderkey", (F.lit(3) + F.conv(F.substring(h, 1, 1), 16, 10).cast("bigint") % 8).alias("n"))
 
 
-@query("x12_masked_addresses", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) AS emails FROM documents WHERE text LIKE '%@%'")
+@query("x12_masked_addresses", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) AS emails FROM documents")
 def x12(spark, sf_dir):
-    d = ship(spark) and Views(spark, sf_dir).t("documents").where("text like '%@%'").select("doc_id", "text")
+    d = ship(spark) and Views(spark, sf_dir).t("documents").select("doc_id", "text")
     return text.mask_personal(d, "text").select("doc_id", F.col("emails").cast("bigint").alias("emails"))
 
 
@@ -199,9 +194,10 @@ def j14(spark, sf_dir):
 
 # --- detection -------------------------------------------------------------------------------------------------------
 _RULES = [
-    {"rule_id": "r1", "target_type": "provider", "target_id": "tracker", "signal_type": "js_global", "match": "contains", "pattern": "track", "weight": 0.4},
+    {"rule_id": "r1", "target_type": "provider", "target_id": "tracker", "signal_type": "js_global", "match": "exact", "pattern": "t", "weight": 0.4},
     {"rule_id": "r2", "target_type": "platform", "target_id": "site", "signal_type": "html_pattern", "match": "contains", "pattern": "<article>", "weight": 0.5},
     {"rule_id": "r3", "target_type": "platform", "target_id": "site", "signal_type": "html_pattern", "match": "regex", "pattern": r"<nav>.{0,200}<ul>", "weight": 0.3},
+    {"rule_id": "r5", "target_type": "platform", "target_id": "blog", "signal_type": "html_pattern", "match": "contains", "pattern": "<footer>", "weight": 0.2, "page_scope": "product"},
     {"rule_id": "r4", "target_type": "platform", "target_id": "blog", "signal_type": "script_src", "match": "url_contains", "pattern": ".js", "weight": 0.6},
 ]
 
@@ -210,20 +206,31 @@ def _signals(spark, sf_dir):
     pages = Views(ship(spark), sf_dir).t("pages")
     f = text.page_features(pages, "page_id").join(pages.select("page_id", "url", "html"), "page_id")
     none = F.array().cast("array<string>")
-    return f.select("page_id", F.lit("homepage").alias("page_type"), "url", "html", F.create_map().cast("map<string,string>").alias("headers"), none.alias("cookie_names"), "script_srcs", "iframe_srcs", "form_actions", none.alias("network_hosts"), text.js_globals(F.col("inline_scripts")).alias("js_globals"), F.lit(None).cast("string").alias("favicon_sha256"), none.alias("checkout_labels"))
+    return f.select("page_id", F.element_at(F.array(*[F.lit(p) for p in ("homepage", "product", "cart")]), (F.col("page_id") % 3 + 1).cast("int")).alias("page_type"), "url", "html", F.create_map().cast("map<string,string>").alias("headers"), none.alias("cookie_names"), "script_srcs", "iframe_srcs", "form_actions", none.alias("network_hosts"), text.js_globals(F.col("inline_scripts")).alias("js_globals"), F.lit(None).cast("string").alias("favicon_sha256"), none.alias("checkout_labels"))
 
 
-@query("d01_page_features")
+@query("d01_page_features", r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) AS lang, len(regexp_extract_all(html, '<a\s[^>]*href=')) AS links, len(regexp_extract_all(html, '<script[^>]*\ssrc=')) AS scripts, len(regexp_extract_all(html, '(?s)<script>[^<]*\S')) AS inline_scripts FROM pages")
 def d01(spark, sf_dir):
-    return text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id").select("page_id", "title", "lang", F.size("links").alias("links"), F.size("script_srcs").alias("scripts"), F.length("text").alias("chars"))
+    n = lambda c: F.size(c).cast("bigint")
+    return text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id").select("page_id", "title", "lang", n("links").alias("links"), n("script_srcs").alias("scripts"), n("inline_scripts").alias("inline_scripts"))
+
+
+_FOUND = r"""page AS (SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN 'homepage' WHEN 1 THEN 'product' ELSE 'cart' END AS page_type FROM pages),
+found AS (SELECT page_id, page_type, 'r1' AS rule_id, 'provider' AS target_type, 'tracker' AS target_id, 'js_global' AS signal_type, 0.4::DOUBLE AS weight, 't' AS signal_value FROM page WHERE contains(html, '<script>var t=')
+UNION ALL SELECT page_id, page_type, 'r2', 'platform', 'site', 'html_pattern', 0.5, '<article>' FROM page WHERE contains(lower(html), '<article>')
+UNION ALL SELECT page_id, page_type, 'r3', 'platform', 'site', 'html_pattern', 0.3, replace(regexp_extract(html, '(?is).{0,20}<nav>[^\n]{0,200}<ul>.{0,20}'), chr(10), ' ') FROM page WHERE regexp_matches(html, '(?i)<nav>.{0,200}<ul>')
+UNION ALL SELECT page_id, page_type, 'r5', 'platform', 'blog', 'html_pattern', 0.2, '<footer>' FROM page WHERE page_type = 'product' AND contains(lower(html), '<footer>')
+UNION ALL SELECT page_id, page_type, 'r4', 'platform', 'blog', 'script_src', 0.6, regexp_extract(html, '<script[^>]*\ssrc="([^"]*\.js[^"]*)"', 1) FROM page WHERE regexp_matches(html, '<script[^>]*\ssrc="[^"]*\.js'))"""
 
 
-@query("d03_rule_findings")
+@query("d03_rule_findings", f"WITH {_FOUND} SELECT page_id, page_type, rule_id, target_type, target_id, signal_type, weight, CASE WHEN rule_id = 'r3' THEN '' ELSE signal_value END AS signal_value FROM found")
 def d03(spark, sf_dir):
-    return detect.match_rules(_signals(spark, sf_dir), readers.rules(spark, _RULES), ["page_id"])
+    found = detect.match_rules(_signals(spark, sf_dir), readers.rules(spark, _RULES), ["page_id"])
+    return found.select("page_id", "page_type", "rule_id", "target_type", "target_id", "signal_type", "weight", F.when(F.col("rule_id") == "r3", "").otherwise(F.col("signal_value")).alias("signal_value"))
 
 
-@query("d05_target_scores")
+@query("d05_target_scores", f"""WITH {_FOUND}, typed AS (SELECT page_id, target_type, target_id, signal_type, max(weight) AS w, sum(weight) AS total FROM found GROUP BY 1, 2, 3, 4)
+SELECT page_id, target_type, target_id, round(least(1.0, sum(w)), 3)::DOUBLE AS score, CASE WHEN count(*) >= 2 AND target_type = 'platform' THEN 'high' WHEN target_type = 'platform' AND sum(total) >= 0.7 THEN 'medium' ELSE 'low' END AS confidence, false AS active_on_checkout, count(*) AS types FROM typed GROUP BY 1, 2, 3""")
 def d05(spark, sf_dir):
     return detect.scores(d03(spark, sf_dir), ["page_id"])
 
@@ -281,32 +288,44 @@ def d13(spark, sf_dir):
     return detect.currency_of(Views(spark, sf_dir).t("documents"), ["doc_id"], "text", ("EUR", "USD", "The", "Of", "Is"), {"€": "EUR"})
 
 
-@query("d14_phone_countries")
+@query("d14_phone_countries", r"SELECT doc_id, arg_min(country, (-n, country)) AS country FROM (SELECT doc_id, country, count(*) AS n FROM (SELECT doc_id, CASE WHEN d LIKE '49%' THEN 'DE' WHEN d LIKE '33%' THEN 'FR' WHEN d LIKE '34%' THEN 'ES' WHEN d LIKE '44%' THEN 'GB' WHEN d LIKE '1%' THEN 'US' END AS country FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\+|\b00)(\d{1,4})[\s.\-(]', 1)) AS d FROM documents)) WHERE country IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def d14(spark, sf_dir):
     return Views(spark, sf_dir).t("documents").select("doc_id", detect.phone_country(F.col("text"), {"1": "US", "49": "DE", "33": "FR", "34": "ES", "44": "GB"}).alias("country")).where("country is not null")
 
 
-@query("d15_country_ballots")
+@query("d15_country_ballots", r"""WITH p AS (SELECT page_id, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS lang FROM pages),
+ballot AS (SELECT page_id, unnest(['DE', 'FR']) AS choice, 0.1::DOUBLE AS weight FROM p UNION ALL SELECT page_id, unnest(['US', 'GB']), 0.075 FROM p WHERE lang = 'en' UNION ALL SELECT page_id, unnest(['DE', 'AT']), 0.075 FROM p WHERE lang = 'de' UNION ALL SELECT page_id, 'US', 0.05 FROM p),
+v AS (SELECT page_id, choice, sum(weight) AS v FROM ballot GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY v DESC, choice) AS k FROM v)
+SELECT page_id, max(choice) FILTER (k = 1) AS winner, round(max(v) FILTER (k = 1), 6) AS top, round(max(v) FILTER (k = 2), 6) AS runner, round(sum(v), 6) AS total, CASE WHEN max(v) FILTER (k = 1) >= 0.2 AND max(v) FILTER (k = 1) - max(v) FILTER (k = 2) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM r GROUP BY 1""")
 def d15(spark, sf_dir):
     f = text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id").select("page_id", "lang", "hreflangs", "schema_country")
     f = f.join(Views(spark, sf_dir).t("pages").select("page_id", hosts.etld1(hosts.url_host(F.col("url"))).alias("etld1")), "page_id").withColumns({"currency": F.lit("EUR"), "phone_country": F.lit(None).cast("string"), "hosting_country": F.lit("us")})
     tables = {"cctld": spark.createDataFrame([("de", "DE"), ("fr", "FR")], "tld string, country string"), "currency": spark.createDataFrame([("EUR", ["DE", "FR"])], "code string, countries array<string>"), "lang": spark.createDataFrame([("en", ["US", "GB"]), ("de", ["DE", "AT"])], "code string, countries array<string>")}
-    return detect.votes(detect.country_ballots(f, ["page_id"], tables), ["page_id"], (0.5, 0.6), (0.2, 0.1))
+    won = detect.votes(detect.country_ballots(f, ["page_id"], tables), ["page_id"], (0.5, 0.6), (0.2, 0.1))
+    return won.select("page_id", "winner", *[F.round(c, 6).alias(c) for c in ("top", "runner", "total")], "confidence")
 
 
-@query("d16_verticals", "SELECT doc_id, CASE WHEN a >= b AND a > 0 THEN 'articles' ELSE 'conjunctions' END AS winner FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\\b(the|a|an)\\b'))) AS a, 2 * least(len(list_distinct(regexp_extract_all(lower(text), '\\b(and|or)\\b'))), 1) AS b FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT contains(text, '_')) WHERE a + b > 0")
+_WORD = r"[\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}]"
+_KEYWORDS = {"articles": ["the", "a", "an", "der", "la", "le", "los"], "conjunctions": ["and", "or", "und", "et", "y"]}
+_HELD = {k: " + ".join(f"CAST(regexp_matches(t, '(^|[^{_WORD[1:-1]}]){w}($|[^{_WORD[1:-1]}])') AS INTEGER)" for w in ws) for k, ws in _KEYWORDS.items()}
+
+
+@query("d16_verticals", f"SELECT doc_id, CASE WHEN a >= b AND a > 0 THEN 'articles' ELSE 'conjunctions' END AS winner FROM (SELECT doc_id, {_HELD['articles']} AS a, 2 * least({_HELD['conjunctions']}, 1) AS b FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE a + b > 0")
 def d16(spark, sf_dir):
-    docs = Views(spark, sf_dir).t("documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.col("lang") == "en") & ~F.col("text").contains("_")).withColumn("again", F.col("text"))
-    a = detect.keyword_ballots(docs, ["doc_id"], {"articles": ["the", "a", "an"]}, {"text": (1.0, None)})
-    b = detect.keyword_ballots(docs, ["doc_id"], {"conjunctions": ["and", "or"]}, {"again": (2.0, 1)})
+    docs = Views(spark, sf_dir).t("documents").withColumn("again", F.col("text"))
+    a = detect.keyword_ballots(docs, ["doc_id"], {"articles": _KEYWORDS["articles"]}, {"text": (1.0, None)})
+    b = detect.keyword_ballots(docs, ["doc_id"], {"conjunctions": _KEYWORDS["conjunctions"]}, {"again": (2.0, 1)})
     return detect.votes(a.union(b), ["doc_id"], (6, 0.6), (3, 0.4), share_medium=True).select("doc_id", "winner")
 
 
-@query("d17_blocks", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'http_403_429' WHEN page_id % 10 = 1 THEN 'antibot_challenge' END AS reason FROM pages")
+@query("d17_blocks", "SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'http_403_429' WHEN 1 THEN 'antibot_challenge' WHEN 2 THEN 'age_gate' WHEN 3 THEN 'geo_blocked' WHEN 4 THEN 'captcha' WHEN 5 THEN 'antibot_challenge' END AS reason FROM pages")
 def d17(spark, sf_dir):
-    p = Views(spark, sf_dir).t("pages")
-    found = detect.block(F.when(F.col("page_id") % 10 == 0, 403).otherwise(200), F.when(F.col("page_id") % 10 == 1, "Just a moment...").otherwise("shop"), F.lit(""), F.repeat(F.lit("some text "), 300))
-    return p.select("page_id", found["reason"].alias("reason"))
+    k = F.col("page_id") % 10
+    title = F.when(k == 1, "Just a moment...").otherwise(F.regexp_extract("html", "(?s)<title>([^<]*)</title>", 1))
+    page = F.when(k == 4, F.concat("html", F.lit("<div class=h-captcha></div>"))).when(k == 5, F.concat("html", F.lit("<script src=https://geo.captcha-delivery.com/c.js>"))).otherwise(F.col("html"))
+    said = F.when(k == 2, "Weryfikacja wieku: masz 18 lat?").when(k == 3, "Não disponível no seu país").when(k.isin(4, 5), "little text").otherwise(F.repeat(F.lit("some text "), 300))
+    found = detect.block(F.when(k == 0, 403).otherwise(200), title, page, said)
+    return Views(spark, sf_dir).t("pages").select("page_id", found["reason"].alias("reason"))
 
 
 @query("d18_normalised_stops", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS reason, CASE WHEN event_type IN ('click', 'view') THEN '' ELSE event_type END AS detail FROM events")
@@ -360,12 +379,16 @@ def c02(spark, sf_dir):
     return state.platform_changes(seen, s.select("host_id", "platform"))
 
 
-@query("c03_folded_profiles")
+@query("c03_folded_profiles", """WITH RECURSIVE u AS (SELECT o_custkey AS host_id, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), CASE o_orderkey % 2 WHEN 0 THEN 'light' ELSE 'checkout' END, o_orderkey) AS k, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_orderkey % 2 = 0 AS light, o_orderpriority AS platform, o_orderkey % 3 AS pr, o_orderstatus AS country, 2 - o_orderkey % 3 AS cr, o_orderkey AS rank FROM orders),
+st AS (SELECT DISTINCT host_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS platform, CAST(NULL AS BIGINT) AS pr, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS BIGINT) AS cr, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS VARCHAR) AS last_light, CAST(NULL AS VARCHAR) AS last_checkout FROM u
+  UNION ALL SELECT u.host_id, u.k, CASE WHEN light OR st.pr IS NULL OR u.pr >= st.pr THEN u.platform ELSE st.platform END, CASE WHEN light OR st.pr IS NULL OR u.pr >= st.pr THEN u.pr ELSE st.pr END, CASE WHEN st.cr IS NULL OR u.cr >= st.cr THEN u.country ELSE st.country END, CASE WHEN st.cr IS NULL OR u.cr >= st.cr THEN u.cr ELSE st.cr END, u.rank, CASE WHEN light THEN u.ts ELSE last_light END, CASE WHEN light THEN last_checkout ELSE u.ts END
+  FROM st JOIN u ON u.host_id = st.host_id AND u.k = st.k + 1)
+SELECT host_id, platform, ['low', 'medium', 'high'][pr + 1] AS platform_confidence, country, ['low', 'medium', 'high'][cr + 1] AS country_confidence, rank AS traffic_rank, last_light, last_checkout FROM st QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY k DESC) = 1""")
 def c03(spark, sf_dir):
     pick = lambda c, *o: F.element_at(F.array(*[F.lit(x) for x in o]), (c + 1).cast("int"))
     k = F.col("o_orderkey")
     u = ship(spark) and Views(spark, sf_dir).t("orders").select(F.col("o_custkey").alias("host_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), pick(k % 2, "light", "checkout").alias("scan_type"), F.col("o_orderpriority").alias("platform"), pick(k % 3, "low", "medium", "high").alias("platform_confidence"), F.col("o_orderstatus").alias("country"), pick(k % 3, "high", "medium", "low").alias("country_confidence"), F.lit(None).cast("string").alias("vertical"), F.lit(None).cast("string").alias("vertical_confidence"), F.lit("EUR").alias("currency"), k.alias("traffic_rank"))
-    return state.fold_profiles(u)
+    return state.fold_profiles(u).drop("vertical", "vertical_confidence", "currency")
 
 
 @query("c05_offline", sql("SELECT host_id, 'ecommerce' AS old_value, 'unreachable' AS new_value FROM store WHERE NOT optout AND host_id % 7 >= 4", "store"))
@@ -398,35 +421,50 @@ def c11(spark, sf_dir):
 WATERMARK = "00112233-4455-6677-8899-aabbccddeeff"
 
 
-@query("e01_snapshot_rows", sql("SELECT domain, country, (SELECT coalesce(string_agg(provider_id || ':' || role || ':' || confidence, '|' ORDER BY provider_id), '') FROM provider p WHERE p.host_id = v.host_id) AS providers, (SELECT coalesce(string_agg(method_id || ':' || method_type || ':high', '|' ORDER BY method_id), '') FROM method m WHERE m.host_id = v.host_id) AS methods FROM visible v", "visible", "provider", "method"))
+def snapshot(v: Views):
+    """Rows of a full snapshot export, with every field."""
+    stores = v.visible.withColumns({"as_of": _AT(), "platform_id": F.col("platform"), "platform_confidence": F.lit("high"), "country_confidence": F.when(F.col("host_id") % 2 == 0, "low"), "currency": F.substring("country", 1, 3), "vertical_id": F.col("region"), "checkout_status": F.lit("reached_payment_step"), "coverage": F.lit("payment_step"), "acquirer_hidden": F.col("host_id") % 3 == 0, "last_checkout_scan_at": _AT()})
+    psp = v.methods.select("host_id", F.concat(F.lower("method_id"), F.lit(".example")).alias("hostname"), (F.col("method_id") < "Brand#3").alias("third_party"))
+    return exports.snapshot_rows(stores, v.providers.withColumn("active", F.col("role") == "N"), v.methods.withColumn("confidence", F.lit("high")), psp)
+
+
+@query("e01_snapshot_rows", sql("""SELECT domain, TIMESTAMP '2024-01-31' AS as_of, platform AS platform_id, 'high' AS platform_confidence, country, CASE WHEN host_id % 2 = 0 THEN 'low' END AS country_confidence, substr(country, 1, 3) AS currency, region AS vertical_id, 'reached_payment_step' AS checkout_status, 'payment_step' AS coverage, host_id % 3 = 0 AS acquirer_hidden,
+(SELECT coalesce(string_agg(CAST(provider_id AS VARCHAR), '|' ORDER BY provider_id), '') FROM provider p WHERE p.host_id = v.host_id) AS provider_ids, (SELECT coalesce(string_agg(provider_id || ':' || role || ':' || confidence, '|' ORDER BY provider_id), '') FROM provider p WHERE p.host_id = v.host_id) AS providers,
+(SELECT coalesce(string_agg(CAST(provider_id AS VARCHAR), '|' ORDER BY provider_id) FILTER (role = 'N'), '') FROM provider p WHERE p.host_id = v.host_id) AS providers_active_on_checkout,
+(SELECT coalesce(string_agg(method_id, '|' ORDER BY method_id), '') FROM method m WHERE m.host_id = v.host_id) AS method_ids, (SELECT coalesce(string_agg(method_id || ':' || method_type || ':high', '|' ORDER BY method_id), '') FROM method m WHERE m.host_id = v.host_id) AS methods,
+(SELECT coalesce(string_agg(lower(method_id) || '.example', '|' ORDER BY lower(method_id)) FILTER (method_id < 'Brand#3'), '') FROM method m WHERE m.host_id = v.host_id) AS checkout_psp_hosts, traffic_rank,
+(SELECT strftime(min(first_seen), '%Y-%m-%d') FROM provider p WHERE p.host_id = v.host_id) AS first_seen, (SELECT strftime(max(last_seen), '%Y-%m-%d') FROM provider p WHERE p.host_id = v.host_id) AS last_seen, TIMESTAMP '2024-01-31' AS last_checkout_scan_at FROM visible v""", "visible", "provider", "method"))
 def e01(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    rows = exports.snapshot_rows(v.visible.withColumn("as_of", _AT()), v.providers.withColumn("active", F.col("role") == "N"), v.methods.withColumn("confidence", F.lit("high")))
-    return rows.select("domain", "country", F.array_join("providers", "|").alias("providers"), F.array_join("methods", "|").alias("methods"))
+    rows = snapshot(Views(spark, sf_dir))
+    shown = {f.name: F.array_join(f.name, "|") if f.dataType.typeName() == "array" else F.date_format(f.name, "yyyy-MM-dd") if f.dataType.typeName() == "date" else F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in rows.schema}
+    return rows.select(*[c.alias(n) for n, c in shown.items()])
 
 
-@query("e02_increment_rows", sql("SELECT id AS event_id, domain, event_type FROM event e JOIN visible v ON v.host_id = e.host_id WHERE detected_at >= TIMESTAMP '2024-01-10' AND detected_at < TIMESTAMP '2024-01-20'", "visible", "event"))
+@query("e02_increment_rows", sql("SELECT domain, event_type, entity_id AS entity, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at FROM event e JOIN visible v ON v.host_id = e.host_id WHERE detected_at >= TIMESTAMP '2024-01-10' AND detected_at < TIMESTAMP '2024-01-20'", "visible", "event"))
 def e02(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return exports.increment_rows(v.events, v.visible, "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("event_id", "domain", "event_type")
+    return exports.increment_rows(v.events, v.visible, "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("domain", "event_type", "entity", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected_at"))
 
 
-@query("e03_aggregate_rows")
+@query("e03_aggregate_rows", f"SELECT country, platform AS platform_id, provider_id, stores, share, lo AS ci_low, hi AS ci_high FROM ({_share_sql()})")
 def e03(spark, sf_dir):
-    from .search_queries import a06
-
     return exports.aggregate_rows(a06(spark, sf_dir))
 
 
-@query("e04_watermark_order", sql("SELECT domain, sha256(unhex('00112233445566778899aabbccddeeff') || encode(domain)) AS key FROM visible ORDER BY key LIMIT 200", "visible"))
+@query("e04_watermark_order", sql("SELECT domain, sha256(unhex('00112233445566778899aabbccddeeff') || encode(domain)) AS key FROM visible", "visible"))
 def e04(spark, sf_dir):
     key = exports.order_key(WATERMARK, exports.row_key("snapshot"))
-    return Views(spark, sf_dir).visible.select("domain", key.alias("key")).orderBy("key").limit(200)
+    return Views(spark, sf_dir).visible.select("domain", key.alias("key")).orderBy("key")
+
+
+_DIGEST = "sha256(unhex('00112233445566778899aabbccddeeff') || unhex(printf('%02x', i)))"
+_BYTE = lambda k, n: f"CAST('0x' || substr(h, {2 * k + 1}, 2) AS INTEGER) % {n} + 1"
 
 
-@query("e05_canaries")
+@query("e05_canaries", sql(f"SELECT domain, country, platform FROM visible UNION ALL SELECT 'c-' || substr(h, 1, 12) || '.trap.example', ['DE', 'FR', 'GB'][{_BYTE(9, 3)}], ['woocommerce', 'shopify', 'magento2', 'shopware6', 'prestashop'][{_BYTE(10, 5)}] FROM (SELECT {_DIGEST} AS h FROM (SELECT range AS i FROM range(10)) WHERE i < 3 + CAST('0x' || substr(sha256(encode('count') || unhex('00112233445566778899aabbccddeeff')), 1, 2) AS INTEGER) % 8)", "visible"))
 def e05(spark, sf_dir):
-    return exports.canaries(spark.createDataFrame([], "domain string, platform string, country string, provider_ids array<string>, traffic_rank long"), WATERMARK, "trap.example")
+    rows = Views(spark, sf_dir).visible.select("domain", "country", "platform")
+    return rows.unionByName(exports.canaries(rows, WATERMARK, "trap.example"))
 
 
 @query("e08_due_exports", "SELECT c_custkey AS org_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01')")
@@ -437,13 +475,13 @@ def e08(spark, sf_dir):
     return exports.due_jobs(contracts, jobs, "1996-01").select("org_id")
 
 
-@query("e09_order_verified", sql("SELECT CAST(0 AS BIGINT) AS breaks", "store"))
+@query("e09_order_verified", sql("SELECT CAST(0 AS BIGINT) AS genuine, count(*) FILTER (key < before) AS foreign_order FROM (SELECT key, max(key) OVER (ORDER BY domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT domain, sha256(unhex('00112233445566778899aabbccddeeff') || encode(domain)) AS key FROM store))", "store"))
 def e09(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Breaks of a file delivered in the watermark's order, and of one in another: a sort numbers the lines, ascending within and over its partitions."""
     key = exports.row_key("snapshot")
-    placed = Views(spark, sf_dir).stores.select("domain").withColumn("place", F.row_number().over(Window.orderBy(exports.order_key(WATERMARK, key))))  # a delivered file's line numbers
-    return exports.order_breaks(placed, WATERMARK, key, "place").agg(F.count("*").alias("breaks"))
+    rows = Views(spark, sf_dir).stores.select("domain")
+    breaks = lambda df, name: exports.order_breaks(df.withColumn("place", F.monotonically_increasing_id()), WATERMARK, key, "place").agg(F.count("*").alias(name))
+    return breaks(exports.watermarked(rows, WATERMARK, key), "genuine").join(F.broadcast(breaks(rows.orderBy("domain"), "foreign_order")))
 
 
 @query("w02_upsert", "SELECT key, min(rank) AS rank, max(seen) AS seen, coalesce(max(tag) FILTER (n = 0), max(tag) FILTER (n = 1)) AS tag FROM (SELECT o_custkey AS key, min(o_orderkey) AS rank, max(o_shippriority) AS seen, min(tag) AS tag, n FROM (SELECT *, o_orderkey % 3 AS o_shippriority, o_orderstatus AS tag, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS n FROM orders) GROUP BY 1, 5) GROUP BY 1")
@@ -476,12 +514,3 @@ def w13(spark, sf_dir):
     stored = n.where("n_nationkey >= 5").withColumn("version", F.lit(4))
     loaded = n.withColumn("n_name", F.when((F.col("n_nationkey") >= 5) & (F.col("n_nationkey") % 3 == 0), F.lower("n_name")).otherwise(F.col("n_name")))
     return exports.sync_dictionary(stored, loaded, "n_nationkey")
-
-
-@query("s14_log_lines", "SELECT event_id, '203.0.' || (event_id % 9) || '.1' AS target FROM events WHERE event_id % 4 <> 0")
-def s14(spark, sf_dir):
-    e = Views(spark, sf_dir).t("events")
-    target = F.concat(F.lit("203.0."), (F.col("event_id") % 9).cast("string"), F.lit(".1"))
-    lines = e.select(F.when(F.col("event_id") % 4 == 0, F.lit("# note")).otherwise(F.concat_ws("  ", F.lit("2024-01-02T03:04:05Z"), target, F.lit("mail"), F.col("event_id").cast("string"))).alias("line"))
-    parts = F.split("line", r"\s+", 4)
-    return lines.where("not startswith(line, '#')").select(parts[3].cast("bigint").alias("event_id"), parts[1].alias("target"))

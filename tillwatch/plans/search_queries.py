@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson_sql
-from ..operators import reports, search, share, visibility
+from ..operators import reports, search, share, versions, visibility
 from ..operators.search import Filters
 from .analog import MIN_CELL, Views, sql
 from .registry import query
@@ -117,9 +117,9 @@ def j04(spark, sf_dir):
     return share.same_cell(cells, share.cell_totals(cells)).select("host_id", "total")
 
 
-@query("j05_removed_by_added", sql("SELECT DISTINCT a.host_id, a.entity_id AS removed, b.entity_id AS added FROM event a JOIN event b ON a.host_id = b.host_id AND a.entity_id <> b.entity_id WHERE a.event_type = 'provider_removed' AND b.event_type = 'provider_added' AND a.host_id < 20", "event"))
+@query("j05_removed_by_added", sql("SELECT DISTINCT a.host_id, a.entity_id AS removed, b.entity_id AS added FROM event a JOIN event b ON a.host_id = b.host_id AND a.entity_id <> b.entity_id WHERE a.event_type = 'provider_removed' AND b.event_type = 'provider_added'", "event"))
 def j05(spark, sf_dir):
-    e = Views(spark, sf_dir).events.where("host_id < 20")
+    e = Views(spark, sf_dir).events
     of = lambda kind, name: e.where(F.col("event_type") == kind).select("host_id", F.col("entity_id").alias(name)).distinct()
     return of("provider_removed", "removed").join(of("provider_added", "added"), "host_id").where("removed <> added").distinct()
 
@@ -190,8 +190,10 @@ def a07(spark, sf_dir):
 
 @query("a08_snapshot_read", _share_sql("WHERE role = 'R'").replace("JOIN totals t ON", "JOIN (SELECT * FROM totals WHERE country IN ('FRANCE', 'CHINA', 'JAPAN')) t ON"))
 def a08(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    return share.from_snapshot(share.snapshot(v.visible, v.providers, MIN_CELL), MIN_CELL, "R", F.col("country").isin("FRANCE", "CHINA", "JAPAN"))
+    from .source_queries import snapshot_folder
+
+    cells = versions.current(spark, snapshot_folder(spark, sf_dir))
+    return share.from_snapshot(cells, MIN_CELL, "R", F.col("country").isin("FRANCE", "CHINA", "JAPAN"))
 
 
 @query("l06_top_per_cell", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY country, platform ORDER BY provider_id = 'other', stores DESC, provider_id) AS INTEGER) AS place FROM ({_share_sql()})) WHERE place <= 5 OR provider_id = 'other'")
@@ -257,9 +259,14 @@ def a05(spark, sf_dir):
     return reports.monthly_exact(Views(spark, sf_dir).providers, ["role"])
 
 
-@query("a05_monthly_distinct_sketch")
+@query("a05_monthly_distinct_sketch", sql("SELECT strftime(first_seen, '%Y%m') AS month, role, true AS near FROM provider GROUP BY 1, 2", "provider"))
 def a05_sketch(spark, sf_dir):
-    return reports.merged_state(reports.monthly_state(Views(spark, sf_dir).providers, ["role"]), ["month", "role"])
+    """Whether the merged sketches lie within a tenth of the exact counts."""
+    p = Views(spark, sf_dir).providers
+    merged = reports.merged_state(reports.monthly_state(p, ["role"]), ["month", "role"])
+    found = [c for c in merged.columns if c not in ("month", "role")][0]
+    exact = reports.monthly_exact(p, ["role"])
+    return merged.join(exact.withColumnRenamed("hosts", "_exact"), ["month", "role"]).select("month", "role", (F.abs(F.col(found) - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.1 * F.col("_exact"))).alias("near"))
 
 
 @query("a01_grouped_counts", sql("SELECT confidence, role, count(*) AS n FROM provider GROUP BY 1, 2", "provider"))
@@ -334,7 +341,8 @@ def c06(spark, sf_dir):
     return d.select("host_id", F.array_join(listed, ",").alias("providers"), F.array_join("methods", ",").alias("methods"), F.size("recent_changes").cast("bigint").alias("changes"))
 
 
-@query("c07_search_page", sql("SELECT host_id, domain, country, region, platform FROM visible v WHERE country IN ('FRANCE', 'JAPAN') AND EXISTS (SELECT 1 FROM provider p WHERE p.host_id = v.host_id AND role = 'N') ORDER BY domain, host_id LIMIT 26", "visible", "provider"))
+@query("c07_search_page", sql("SELECT host_id, domain, country, region, platform, (SELECT string_agg(provider_id || ':' || role || ':' || confidence, ',' ORDER BY provider_id, role, confidence) FROM provider p WHERE p.host_id = v.host_id) AS providers FROM visible v WHERE country IN ('FRANCE', 'JAPAN') AND EXISTS (SELECT 1 FROM provider p WHERE p.host_id = v.host_id AND role = 'N') ORDER BY domain, host_id LIMIT 26", "visible", "provider"))
 def c07(spark, sf_dir):
     request = search.SearchRequest(Filters(countries=("FRANCE", "JAPAN"), roles=("N",)), "domain", None, 25)
-    return search.search(Views(spark, sf_dir), request).select("host_id", "domain", "country", "region", "platform")
+    listed = F.transform("providers", lambda p: F.concat_ws(":", p["provider_id"].cast("string"), p["role"], p["confidence"]))
+    return search.search(Views(spark, sf_dir), request).select("host_id", "domain", "country", "region", "platform", F.array_join(listed, ",").alias("providers"))

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hosts import with_host
-from ..operators.visibility import ip_number
+from ..functions.hosts import ip_key, ip_number, watched_domain, with_host
 from ..schemas import RULE, SIGNAL_TYPES
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +67,11 @@ def zone(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.array_contains(kinds, "NS")).select(F.lit(None).cast("bigint").alias("rank"), F.lower(F.rtrim(parts[0], F.lit("."))).alias("raw")).dropDuplicates(["raw"])
 
 
-def rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """A validated rule set. A rule set is curated by hand, so it is checked on the driver; the first fault is an error."""
+def rules(spark: SparkSession, entries: list[dict], known: dict[str, set[str]] | None = None) -> DataFrame:
+    """A validated rule set. A rule set is curated by hand, so it is checked on the driver; the first fault is an error.
+
+    `known` has the ids that a target type may name; types that it leaves out may name any.
+    """
     import re
 
     seen, rows = set(), []
@@ -78,6 +80,8 @@ def rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
         name = f"rule {e.get('rule_id')!r}"
         if e.get("signal_type") not in SIGNAL_TYPES:
             raise ValueError(f"{name}: unknown signal type")
+        if known is not None and e.get("target_id") not in known.get(e.get("target_type"), {e.get("target_id")}):
+            raise ValueError(f"{name}: unknown target {e.get('target_type')}:{e.get('target_id')}")
         if not 0 <= float(e["weight"]) <= 1:
             raise ValueError(f"{name}: a weight lies between 0 and 1")
         if e["enabled"] and e["needs_verification"]:
@@ -91,6 +95,74 @@ def rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
+# How a signal is matched where a rule doesn't say.
+DEFAULT_MATCH = {
+    "script_src": "url_contains", "network_host": "host_suffix", "iframe_src": "host_suffix", "js_global": "exact", "html_pattern": "regex", "form_action": "host_suffix",
+    "checkout_label": "regex", "platform_plugin": "url_contains", "header": "header_name", "cookie": "cookie_name", "favicon": "sha256",
+}
+
+
+def _documents(spark: SparkSession, path: str, glob: str = "*.{yaml,yml,json}") -> list[tuple[str, dict]]:
+    """YAML files below a folder (or JSON, which is YAML too), by name. They are curated by hand, so the driver reads them."""
+    try:
+        from yaml import safe_load
+    except ImportError:
+        from json import loads as safe_load
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("f"), "value").orderBy("f").collect()
+    found = [(r["f"].rsplit("/", 1)[-1], safe_load(r["value"])) for r in files]
+    for name, doc in found:
+        if not isinstance(doc, dict):
+            raise ValueError(f"{name}: the top level must be a mapping")
+    return found
+
+
+def rule_files(spark: SparkSession, path: str, known: dict[str, set[str]] | None = None, glob: str = "*.{yaml,yml,json}") -> DataFrame:
+    """The rules of all files below a folder, validated. A file names its target once; ids begin with it."""
+    entries = []
+    for name, doc in _documents(spark, path, glob):
+        of = {"target_type": doc["target_type"], "target_id": doc["target_id"]}
+        for r in doc["rules"]:
+            if not str(r["id"]).startswith(f"{of['target_type']}.{of['target_id']}."):
+                raise ValueError(f"{name}: rule id {r['id']!r} must begin with its target")
+            entries.append(of | {"match": DEFAULT_MATCH.get(r["signal_type"], "regex")} | {k: v for k, v in r.items() if k in ("version", "signal_type", "match", "pattern", "weight", "page_scope", "enabled", "needs_verification")} | {"rule_id": r["id"]})
+    return rules(spark, entries, known)
+
+
+#: Dictionaries, and the columns of each that name ids: of itself (a parent) or of another.
+DICTIONARIES = {"providers": {"parent_provider_id": "providers"}, "payment_methods": {"default_provider_id": "providers"}, "platforms": {"parent_id": "platforms"}, "verticals": {"parent_id": "verticals"}}
+
+
+def dictionaries(spark: SparkSession, path: str, least: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The dictionaries below a folder as id, name, and the columns of DICTIONARIES; any fault is an error."""
+    docs, out = {n.rsplit(".", 1)[0]: d for n, d in _documents(spark, path)}, {}
+    for name, links in DICTIONARIES.items():
+        rows = docs.get(name, {}).get(name, [])
+        out[name] = spark.createDataFrame([(str(r["id"]), r.get("name"), r.get("status"), *[r.get(c) for c in links]) for r in rows], ", ".join(f"{c} string" for c in ("id", "name", "status", *links)))
+    if faults := [tuple(r) for r in dictionary_faults(out, least or {}).collect()]:
+        raise ValueError("; ".join(" ".join(map(str, f)) for f in sorted(faults, key=str)[:5]))
+    return out
+
+
+def dictionary_faults(tables: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
+    """What is wrong with dictionaries: dictionary, id, fault. Repeated ids, links to no id, rows that are their own parent, and fewer rows (deprecated ones aside) than `least`."""
+    found = []
+    for name, df in tables.items():
+        say = lambda rows, fault, name=name: rows.select(F.lit(name).alias("dictionary"), "id", F.lit(fault).alias("fault"))
+        found.append(say(df.groupBy("id").count().where("count > 1"), "repeated"))
+        for column, other in DICTIONARIES.get(name, {}).items():
+            ids = tables[other].select(F.col("id").alias("_id"))
+            found.append(say(df.where(F.col(column).isNotNull()).join(ids, F.col(column) == F.col("_id"), "left_anti"), f"{column} is unknown"))
+            if other == name:
+                found.append(say(df.where(F.col(column) == F.col("id")), "its own parent"))
+        if name in least:
+            few = df.where("coalesce(status, '') <> 'deprecated'").agg(F.count("*").alias("n")).where(F.col("n") < least[name])
+            found.append(few.select(F.lit(name).alias("dictionary"), F.col("n").cast("string").alias("id"), F.lit("too few").alias("fault")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def signature_rules(spark: SparkSession, path: str) -> DataFrame:
     """Third-party signatures (a JSON object per technology) as disabled rules: tags behind a backslash and semicolon go, a confidence tag is the weight."""
     kinds = {"scriptSrc": "script_src", "html": "html_pattern", "js": "js_global", "cookies": "cookie", "headers": "header"}
@@ -124,9 +196,10 @@ def findings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """IPv4 ranges of networks: low, high, asn, country, name; unrouted ones (network 0) are dropped, NONE is null."""
+    """Ranges of networks: low and high (numbers, null for IPv6), low_key and high_key (see `ip_key`), asn, country, name; unrouted ones (network 0) are dropped, NONE is null."""
     raw = spark.read.csv(path, sep="\t", schema="a string, b string, asn bigint, country string, name string")
-    return raw.select(ip_number(F.col("a")).alias("low"), ip_number(F.col("b")).alias("high"), "asn", F.when(~F.upper("country").isin("NONE", ""), F.col("country")).alias("country"), "name").where("asn <> 0 and low is not null and high is not null")
+    ends = [f(F.col(c)).alias(n + s) for f, s in ((ip_number, ""), (ip_key, "_key")) for c, n in (("a", "low"), ("b", "high"))]
+    return raw.select(*ends, "asn", F.when(~F.upper("country").isin("NONE", ""), F.col("country")).alias("country"), "name").where("asn <> 0 and low_key is not null and high_key is not null")
 
 
 def log_lines(spark: SparkSession, path: str, columns: tuple[str, str, str, str]) -> DataFrame:
@@ -140,7 +213,7 @@ def log_lines(spark: SparkSession, path: str, columns: tuple[str, str, str, str]
 def watchlist(text: DataFrame, column: str = "text") -> DataFrame:
     """Names of an uploaded list, one a line; a `domain` header in the first line is skipped."""
     lines = text.select(F.posexplode(F.split(column, r"\r?\n")).alias("k", "line")).select("k", F.trim(F.split("line", ",")[0]).alias("raw"))
-    return with_host(lines.where("raw <> '' and not (k = 0 and lower(raw) = 'domain')"), "raw").where("hostname is not null").select("hostname").distinct()
+    return lines.where("raw <> '' and not (k = 0 and lower(raw) = 'domain')").select(watched_domain(F.col("raw")).alias("hostname")).where("hostname is not null").distinct()
 
 
 def ingest(state: DataFrame, records: DataFrame, source: str, batch: str, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
