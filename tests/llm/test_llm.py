@@ -556,6 +556,20 @@ def test_deep_shallow_sort():
         assert all(lcp[k] == len(os.path.commonprefix([ss[order[k - 1]], ss[order[k]]])) for k in range(1, len(order)))
 
 
+def test_sort_of_strings_with_a_shared_head():
+    for _ in range(100):
+        ss = [b"head" + bytes(R.choice(b"ab") for _ in range(R.choice([0, 3, 20, 40]))) for _ in range(R.randrange(1, 12))]
+        order, lcp = suffixes.sort_suffixes(ss, 4, 4)
+        assert [ss[k] for k in order] == sorted(ss) and min(lcp[1:], default=4) >= 4
+
+
+def test_windows_of_one_hash_are_told_apart():
+    texts = [b"a" * 100, b"b" * 100, b"a" * 100, b"a" * 99 + b"b", b"b" * 100, b"a" * 100]
+    one, place = np.zeros(6, np.int64), np.array([3, 1, 2, 9, 5, 2], np.int64)
+    again = substrings._again(one, one, np.array([0, 0, 0, 0, 0, 0]), one, place, texts)
+    assert again.tolist() == [True, False, False, False, True, False]  # the last is the third's own row once more
+
+
 def brute_removal(docs):
     seen, out = set(), []
     for i, t in docs:

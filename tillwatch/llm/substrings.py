@@ -6,12 +6,15 @@ anchor are a run; a task sends each distinct (anchor gram, run content) once, wi
 but the first of equal runs are repeats as they are. Where runs around one gram differ, the texts around the first of
 each are fetched, suffixes to the right of the anchor and reversed prefixes to its left are sorted deep-shallow, and
 windows fall into classes by the common prefixes of neighbours in either order: each window that isn't the first of its
-class is a repeat. Results equal a comparison of all windows of all documents (64-bit hashes of grams, runs, and texts of one id aside).
+class is a repeat.
 
 A run that occurs everywhere is sent at most once a task. A first pass finds the grams around which too many runs
-differ, as at the edges of a passage that many documents share: their runs are dealt out by content, and their windows
-by a 128-bit hash, so no group grows a task. Places go back to documents by id, and texts move once, for both joins.Order of places: id (null last), then start; rows that repeat id and text are one document and get
-equal results; rows that repeat an id with another text are further documents, ordered by start and a hash of the text.
+differ, as at the edges of a passage that many documents share: their runs are dealt out by content, and their windows,
+with their bytes, by a hash, so no group grows a task; the windows that a hash brings together are sorted like all others.
+Hashes of grams, and of windows, only bring texts together: their bytes decide. Two runs around one gram are taken for
+equal where 64 bits of a hash of their content are. Places go back to documents by id, and texts move once, for both joins.
+
+Order of places: id (null last), then start; rows that repeat id and text are one document and get equal results; rows that repeat an id with another text are further documents, ordered by start and a hash of the text.
 Nulls and empty texts lose nothing, as do texts shorter than WINDOW. An empty table gives no rows. Only named columns
 are read.
 """
@@ -246,17 +249,21 @@ def _judge_runs(batches):
 
 def _fetch(batches):
     """The text around each open run: right of its anchor, and reversed left of it (kind 2). Of the runs of a gram that
-    has too many, the hash of each window with its first place in a block (kind 4), and what repeats there (kind 1)."""
+    has too many, each window, its hash, and its first place in a block (kind 4), and what repeats there (kind 1)."""
     import xxhash
 
     digest, seen = xxhash.xxh3_128_digest, set()
-    windows: list[tuple[bytes, int, int, int]] = []
+    windows: list[tuple[int, int, int, int]] = []
+    known: dict[bytes, int] = {}  # the windows of a block, told apart by their bytes
 
     def first_windows():
-        s = np.frombuffer(b"".join(h for h, _, _, _ in windows), np.int64).reshape(-1, 2)
-        g, s, d, tag, z, first = _first_of_runs(s[:, 0], s[:, 1], *(np.array([w[k] for w in windows], np.int64) for k in (1, 2, 3)))
+        g, _, d, tag, z, first = _first_of_runs(*(np.array([w[k] for w in windows], np.int64) for k in (0, 0, 1, 2, 3)))
+        texts = list(known)
+        texts = [texts[k] for k in g[first].tolist()]
+        hashes = np.frombuffer(b"".join(map(digest, texts)), np.int64).reshape(-1, 2)
         windows.clear()
-        yield _texts_beside(_batch(4, g[first], s[first], d[first], tag[first], z[first], 0))
+        known.clear()
+        yield _texts_beside(_batch(4, hashes[:, 0], hashes[:, 1], d[first], tag[first], z[first], 0), texts)
         yield _texts_beside(_intervals(d[~first], tag[~first], z[~first]))
 
     for batch in batches:
@@ -269,7 +276,7 @@ def _fetch(batches):
             start, size, offset = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
             for p, a, n, o in zip(places, start, size, offset):
                 if p["busy"]:
-                    windows += [(digest(text[b : b + WINDOW]), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
+                    windows += [(known.setdefault(text[b : b + WINDOW], len(known)), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
                 else:
                     own.append((p["g"], d, tag, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
             if len(windows) >= BLOCK_WINDOWS:
@@ -286,10 +293,10 @@ def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: l
     n = len(g)
     starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist() + [n]
     orders, heads = [], []
-    for texts in (rights, lefts):
+    for texts, shared in ((rights, GRAM), (lefts, 0)):
         order, lcp = np.empty(n, np.int64), np.empty(n, np.int64)
         for a, b in zip(starts, starts[1:]):
-            o, c = sort_suffixes(texts[a:b])
+            o, c = sort_suffixes(texts[a:b], shared=shared)
             order[a:b], lcp[a:b] = np.array(o) + a, c
         orders.append(order)
         heads.append(lcp)
@@ -313,15 +320,35 @@ def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: l
     return out
 
 
+def _again(g, s, d, tag, z, texts: list[bytes]) -> np.ndarray:
+    """Rows that repeat a window of an earlier place: windows of one hash are sorted, and equal neighbours are one class."""
+    order = np.lexsort((tag, z, d, s, g))
+    starts = np.flatnonzero(np.append(True, (np.diff(g[order]) != 0) | (np.diff(s[order]) != 0))).tolist() + [len(order)]
+    out = np.zeros(len(order), bool)
+    for a, b in zip(starts, starts[1:]):
+        if b - a > 1:
+            own = order[a:b]
+            places, lcp = sort_suffixes([texts[i] for i in own])
+            first = None
+            for p, same in sorted(zip(np.cumsum(np.array(lcp) < WINDOW).tolist(), places)):
+                place = own[same]
+                if p == first and not (d[place] == at[0] and tag[place] == at[1] and z[place] == at[2]):
+                    out[place] = True
+                elif p != first:
+                    first, at = p, (d[place], tag[place], z[place])
+    return out
+
+
 def _judge_windows(batches):
-    """Repeated windows (kind 1): of open runs by sorting the texts around them, of single windows by their hashes."""
+    """Repeated windows (kind 1), by sorting the texts around open runs, and the windows that stand alone."""
     for table in _groups(batches, 4, 20_000):
         kind = table.column("kind").to_numpy()
         if (kind == 1).any():
             yield from table.filter(pa.array(kind == 1)).select(_NAMES).to_batches()
         if (own := kind == 4).any():
-            _, _, d, tag, z, first = _first_of_runs(*(table.column(c).to_numpy()[own] for c in _NAMES[1:6]))
-            yield _intervals(d[~first], tag[~first], z[~first])
+            g, s, d, tag, z = (table.column(c).to_numpy()[own] for c in _NAMES[1:6])
+            again = _again(g, s, d, tag, z, table.column("l").filter(pa.array(own)).to_pylist())
+            yield _intervals(d[again], tag[again], z[again])
         if not (kind == 2).any():
             continue
         table = table.filter(pa.array(kind == 2))
@@ -331,6 +358,11 @@ def _judge_windows(batches):
         lefts, rights = (table.column(c).combine_chunks().to_pylist() for c in "lr")
         lefts, rights = [lefts[i] for i in order], [rights[i] for i in order]
         g, d, tag, z = g[order], d[order], tag[order], z[order]
+        grams: dict[tuple[int, bytes], int] = {}  # told apart by their bytes
+        same = np.array([grams.setdefault((h, r[:GRAM]), len(grams)) for h, r in zip(g.tolist(), rights)], np.int64)
+        order = np.argsort(same, kind="stable")
+        g, d, tag, z = same[order], d[order], tag[order], z[order]
+        lefts, rights = [lefts[i] for i in order], [rights[i] for i in order]
         again = repeated_windows(g, z, lefts, rights)
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         run, begin = np.nonzero(edge == 1)

@@ -5,11 +5,11 @@ from __future__ import annotations
 SHALLOW = 16
 
 
-def sort_suffixes(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int], list[int]]:
-    """The order of the strings, and the common prefix length of each with its predecessor (-1 for the first)."""
+def sort_suffixes(strings: list[bytes], shallow: int = SHALLOW, shared: int = 0) -> tuple[list[int], list[int]]:
+    """The order of the strings, and the common prefix length of each with its predecessor (-1 for the first). The first `shared` bytes are known to be equal; `shallow` counts from there."""
     order: list[int] = []
     lcps: list[int] = []
-    todo = [(list(range(len(strings))), 0, -1)]  # members, depth they share, common prefix of the first with what is before
+    todo = [(list(range(len(strings))), shared, -1)]  # members, depth they share, common prefix of the first with what is before
     while todo:
         own, depth, before = todo.pop()
         if not own:
@@ -17,7 +17,7 @@ def sort_suffixes(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[in
         if len(own) == 1:
             order.append(own[0])
             lcps.append(before)
-        elif depth >= shallow:
+        elif depth >= shared + shallow:
             blind_trie(strings, own, depth, before, order, lcps)
         else:
             pivot = _at(strings[own[len(own) // 2]], depth)
