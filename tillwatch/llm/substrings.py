@@ -14,9 +14,9 @@ with their bytes, by a hash, so no group grows a task; the windows that a hash b
 Hashes of grams, and of windows, only bring texts together: their bytes decide. Two runs around one gram are taken for
 equal where 64 bits of a hash of their content are. Places go back to documents by id, and texts move once, for both joins.
 
-Order of places: id (null last), then start; rows that repeat id and text are one document and get equal results; rows that repeat an id with another text are further documents, ordered by start and a hash of the text.
-Nulls and empty texts lose nothing, as do texts shorter than WINDOW. An empty table gives no rows. Only named columns
-are read.
+Order of places: id (null last), then start; rows that repeat id and text are one document and get equal results; rows
+that repeat an id with another text are further documents, ordered by start and a hash of the text. Nulls and empty texts lose
+nothing, as do texts shorter than WINDOW. An empty table gives no rows. Only named columns are read.
 """
 
 from __future__ import annotations
@@ -277,10 +277,10 @@ def _fetch(batches):
             for p, a, n, o in zip(places, start, size, offset):
                 if p["busy"]:
                     windows += [(known.setdefault(text[b : b + WINDOW], len(known)), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
+                    if len(windows) >= BLOCK_WINDOWS:
+                        yield from first_windows()
                 else:
                     own.append((p["g"], d, tag, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
-            if len(windows) >= BLOCK_WINDOWS:
-                yield from first_windows()
         if own:
             g, d, tags, z, lefts, rights = zip(*own)
             yield _texts_beside(_batch(2, g, 0, d, tags, z, 0), lefts, rights)
