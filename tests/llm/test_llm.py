@@ -347,6 +347,44 @@ def test_deobfuscation(spark):
     assert score("you are a M0R0N!") > 0.5 and score("s t u p i d") > 0.5 and score("thé words are clean") < 0.1 and score(None) == score("")
 
 
+def test_decoding_is_the_cheapest_reading(spark):
+    """The lattice's best path against every path, one by one."""
+    from itertools import product
+
+    table = toxicity.count_characters(spark.read.parquet(f"{SF}/documents.parquet"), "text").toArrow()
+    channel = toxicity.Channel(table.column("code").to_numpy(), table.column("n").to_numpy())
+    symbol = lambda c: 0 if c == " " else ord(c) - 96
+
+    def readings(c, run, inner):
+        if c.isalpha():
+            kept = [(0.0, c * run)] if run < 3 else [(toxicity.REPEATED, c), (toxicity.REPEATED, c * 2)]
+            return kept + ([(4.0, c)] if run == 2 else [])
+        signs = [(toxicity.SUBSTITUTED * (1.5 if run > 1 else 1), x) for x in toxicity.SIGNS.get(c, "")]
+        ends = c in toxicity.SEPARATORS or not signs or inner
+        return signs + ([(toxicity.SKIPPED, "")] if c in toxicity.SEPARATORS else []) + ([(toxicity.ENDED, " ")] if ends else [])
+
+    def price(path):
+        total, x, y = 0.0, 0, 0
+        for extra, text in path:
+            total += extra
+            for c in text:
+                if c == " " and y == 0:
+                    continue
+                total += channel.cost[x][y][symbol(c)]
+                x, y = y, symbol(c)
+        return total + (channel.cost[x][y][0] if y else 0.0), "".join(t for _, t in path)
+
+    r = random.Random(8)
+    for _ in range(150):
+        token = "".join(r.choice("aeilost01@$!.-") * r.choice([1, 1, 1, 2, 3]) for _ in range(r.randrange(1, 6)))
+        runs = [m[0] for m in re.finditer(r"(.)\1*", token)]
+        begins = [sum(map(len, runs[:k])) for k in range(len(runs))]
+        paths = product(*[readings(x[0], len(x), 0 < b < len(token) - len(x)) for x, b in zip(runs, begins)])
+        best = min(map(price, paths))
+        mine = channel.decode(token)
+        assert any(math.isclose(price(p)[0], best[0], abs_tol=1e-9) and price(p)[1] == mine for p in product(*[readings(x[0], len(x), 0 < b < len(token) - len(x)) for x, b in zip(runs, begins)])), token
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_bpe_equals_the_library(spark):
     import public_tokenizers as P

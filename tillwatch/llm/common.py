@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.session import ship
+from tillwatch.session import shared_folder, ship
 
 #: Rows that Spark hands to a Python worker at once, and the bytes of text that a worker takes up at once.
 BATCH_ROWS = 1000
@@ -25,17 +23,6 @@ def session(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in `spark.checkpoint.dir`, which all machines reach. Only a local master may go without that setting: it gets a temporary folder, as all its threads are on one machine."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tillwatch-"))
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder. Spark removes it with `spark.cleaner.referenceTracking.cleanCheckpoints`."""
     shared_folder(df.sparkSession)
