@@ -9,13 +9,22 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MIN_CELL = 5
 NOW = "2024-01-31 00:00:00"
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its footers are read for the schema once an application, as a catalogue would."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 class Views:

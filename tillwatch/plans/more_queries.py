@@ -70,9 +70,9 @@ def x23(spark, sf_dir):
     return Views(spark, sf_dir).t("customer").select("c_custkey", F.abs(b).alias("size"), F.least(F.greatest(b, F.lit(0.0)), F.lit(5000.0)).alias("clamped"), F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("?")).alias("segment"))
 
 
-@query("x24_cell_label", sql("SELECT host_id, coalesce(nullif(country, 'CHINA'), '??') || '|' || coalesce(nullif(platform, 'BUILDING'), 'unknown') AS cell FROM store", "store"))
+@query("x24_cell_label", sql("SELECT host_id, coalesce(nullif(country, 'NATION_18'), '??') || '|' || coalesce(nullif(platform, 'BUILDING'), 'unknown') AS cell FROM store", "store"))
 def x24(spark, sf_dir):
-    return Views(spark, sf_dir).stores.select("host_id", reports.cell_label(F.nullif("country", F.lit("CHINA")), F.nullif("platform", F.lit("BUILDING"))).alias("cell"))
+    return Views(spark, sf_dir).stores.select("host_id", reports.cell_label(F.nullif("country", F.lit("NATION_18")), F.nullif("platform", F.lit("BUILDING"))).alias("cell"))
 
 
 # --- hosts and text --------------------------------------------------------------------------------------------------

@@ -224,7 +224,7 @@ def b11(spark, sf_dir):
     return usage.merge_incidents(u.where(~new), u.where(new))
 
 
-_RULES = """rule AS (SELECT r_regionkey AS rule_id, CASE r_regionkey WHEN 0 THEN ['provider_added'] WHEN 1 THEN ['provider_removed', 'provider_added'] WHEN 2 THEN ['click'] ELSE ['view', 'purchase'] END AS kinds, CASE r_regionkey WHEN 1 THEN ['FRANCE', 'CHINA'] ELSE [] END AS countries, CASE r_regionkey WHEN 2 THEN 'high' WHEN 3 THEN 'medium' END AS least FROM region)"""
+_RULES = """rule AS (SELECT r_regionkey AS rule_id, CASE r_regionkey WHEN 0 THEN ['provider_added'] WHEN 1 THEN ['provider_removed', 'provider_added'] WHEN 2 THEN ['click'] ELSE ['view', 'purchase'] END AS kinds, CASE r_regionkey WHEN 1 THEN ['NATION_6', 'NATION_18'] ELSE [] END AS countries, CASE r_regionkey WHEN 2 THEN 'high' WHEN 3 THEN 'medium' END AS least FROM region)"""
 
 
 def _alert_rules(v: Views):
@@ -232,7 +232,7 @@ def _alert_rules(v: Views):
     k = F.col("r_regionkey")
     of = lambda *x: F.array(*[F.lit(y) for y in x])
     kinds = F.when(k == 0, of("provider_added")).when(k == 1, of("provider_removed", "provider_added")).when(k == 2, of("click")).otherwise(of("view", "purchase"))
-    return v.t("region").select(k.alias("rule_id"), _AT("2024-01-05 00:00:00").alias("created_at"), kinds.alias("event_types"), none.alias("entities"), F.when(k == 1, of("FRANCE", "CHINA")).otherwise(none).alias("countries"), none.alias("platforms"), none.alias("domains"), F.when(k == 2, "high").when(k == 3, "medium").alias("min_confidence"), F.lit(True).alias("enabled"))
+    return v.t("region").select(k.alias("rule_id"), _AT("2024-01-05 00:00:00").alias("created_at"), kinds.alias("event_types"), none.alias("entities"), F.when(k == 1, of("NATION_6", "NATION_18")).otherwise(none).alias("countries"), none.alias("platforms"), none.alias("domains"), F.when(k == 2, "high").when(k == 3, "medium").alias("min_confidence"), F.lit(True).alias("enabled"))
 
 
 @query("b01_alert_matches", sql("""SELECT rule_id, e.id AS event_id FROM event e JOIN rule ON list_contains(kinds, e.event_type) LEFT JOIN store s ON s.host_id = e.host_id LEFT JOIN conf c ON c.host_id = e.host_id

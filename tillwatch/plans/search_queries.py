@@ -24,7 +24,7 @@ def _filtered(name: str, where: str, f: Filters, *views: str):
 
 
 _has = lambda cond: f"EXISTS (SELECT 1 FROM provider p WHERE p.host_id = v.host_id AND {cond})"
-_filtered("f01_in_lists", "country IN ('FRANCE', 'GERMANY', 'CHINA') AND platform IN ('BUILDING', 'MACHINERY')", Filters(countries=("FRANCE", "GERMANY", "CHINA"), platforms=("BUILDING", "MACHINERY")))
+_filtered("f01_in_lists", "country IN ('NATION_6', 'NATION_7', 'NATION_18') AND platform IN ('BUILDING', 'MACHINERY')", Filters(countries=("NATION_6", "NATION_7", "NATION_18"), platforms=("BUILDING", "MACHINERY")))
 _filtered("f02_has_all_providers", _has("provider_id = 3") + " AND " + _has("provider_id = 7"), Filters(has_providers=(3, 7)), "provider")
 _filtered("f03_lacks_providers", "NOT " + _has("provider_id IN (1, 2, 3, 4, 5)"), Filters(lacks_providers=(1, 2, 3, 4, 5)), "provider")
 _filtered("f04_role_in", _has("role IN ('N', 'R')"), Filters(roles=("N", "R")), "provider")
@@ -54,9 +54,9 @@ def f14(spark, sf_dir):
     return v.stores.join(verified, "host_id", "left").where(F.col("optout") | F.col("verified")).select("host_id")
 
 
-@query("f15_segment", sql("SELECT host_id, country FROM visible WHERE country IN ('FRANCE', 'GERMANY')", "visible"))
+@query("f15_segment", sql("SELECT host_id, country FROM visible WHERE country IN ('NATION_6', 'NATION_7')", "visible"))
 def f15(spark, sf_dir):
-    held = visibility.Segment(frozenset({"FRANCE", "GERMANY", "CHINA"})).narrowed(("FRANCE", "GERMANY"))
+    held = visibility.Segment(frozenset({"NATION_6", "NATION_7", "NATION_18"})).narrowed(("NATION_6", "NATION_7"))
     return Views(spark, sf_dir).visible.where(held.clause()).select("host_id", "country")
 
 
@@ -108,12 +108,12 @@ def j03(spark, sf_dir):
     return out.join(v.events.where("event_type = 'provider_removed'").select("host_id"), "host_id", "left_anti").select("host_id")
 
 
-_CELLS = "cell AS (SELECT nullif(country, 'CHINA') AS country, nullif(platform, 'BUILDING') AS platform, host_id FROM store)"
+_CELLS = "cell AS (SELECT nullif(country, 'NATION_18') AS country, nullif(platform, 'BUILDING') AS platform, host_id FROM store)"
 
 
 @query("j04_null_safe_cells", sql("SELECT a.host_id, t.total FROM cell a JOIN (SELECT country, platform, count(DISTINCT host_id) AS total FROM cell GROUP BY 1, 2) t ON a.country IS NOT DISTINCT FROM t.country AND a.platform IS NOT DISTINCT FROM t.platform", "store", ctes=_CELLS))
 def j04(spark, sf_dir):
-    cells = Views(spark, sf_dir).stores.select(F.nullif("country", F.lit("CHINA")).alias("country"), F.nullif("platform", F.lit("BUILDING")).alias("platform"), "host_id")
+    cells = Views(spark, sf_dir).stores.select(F.nullif("country", F.lit("NATION_18")).alias("country"), F.nullif("platform", F.lit("BUILDING")).alias("platform"), "host_id")
     return share.same_cell(cells, share.cell_totals(cells)).select("host_id", "total")
 
 
@@ -188,12 +188,12 @@ def a07(spark, sf_dir):
     return share.snapshot(v.visible, v.providers, MIN_CELL)
 
 
-@query("a08_snapshot_read", _share_sql("WHERE role = 'R'").replace("JOIN totals t ON", "JOIN (SELECT * FROM totals WHERE country IN ('FRANCE', 'CHINA', 'JAPAN')) t ON"))
+@query("a08_snapshot_read", _share_sql("WHERE role = 'R'").replace("JOIN totals t ON", "JOIN (SELECT * FROM totals WHERE country IN ('NATION_6', 'NATION_18', 'NATION_12')) t ON"))
 def a08(spark, sf_dir):
     from .source_queries import snapshot_folder
 
     cells = versions.current(spark, snapshot_folder(spark, sf_dir))
-    return share.from_snapshot(cells, MIN_CELL, "R", F.col("country").isin("FRANCE", "CHINA", "JAPAN"))
+    return share.from_snapshot(cells, MIN_CELL, "R", F.col("country").isin("NATION_6", "NATION_18", "NATION_12"))
 
 
 @query("l06_top_per_cell", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY country, platform ORDER BY provider_id = 'other', stores DESC, provider_id) AS INTEGER) AS place FROM ({_share_sql()})) WHERE place <= 5 OR provider_id = 'other'")
@@ -280,9 +280,9 @@ def a02(spark, sf_dir):
     return v.visible.join(v.providers, "host_id").groupBy("country", "platform", "provider_id").agg(F.countDistinct("host_id").alias("stores"))
 
 
-@query("a35_row_estimate", sql("SELECT count(*) AS rows FROM visible WHERE country = 'FRANCE'", "visible"))
+@query("a35_row_estimate", sql("SELECT count(*) AS rows FROM visible WHERE country = 'NATION_6'", "visible"))
 def a35(spark, sf_dir):
-    return Views(spark, sf_dir).visible.where("country = 'FRANCE'").agg(F.count("*").alias("rows"))
+    return Views(spark, sf_dir).visible.where("country = 'NATION_6'").agg(F.count("*").alias("rows"))
 
 
 @query("n01_recent_events", sql("SELECT host_id, id, event_type, CAST(row_number() OVER (PARTITION BY host_id ORDER BY detected_at DESC, id DESC) AS INTEGER) AS rn FROM event QUALIFY rn <= 10", "event"))
@@ -341,8 +341,8 @@ def c06(spark, sf_dir):
     return d.select("host_id", F.array_join(listed, ",").alias("providers"), F.array_join("methods", ",").alias("methods"), F.size("recent_changes").cast("bigint").alias("changes"))
 
 
-@query("c07_search_page", sql("SELECT host_id, domain, country, region, platform, (SELECT string_agg(provider_id || ':' || role || ':' || confidence, ',' ORDER BY provider_id, role, confidence) FROM provider p WHERE p.host_id = v.host_id) AS providers FROM visible v WHERE country IN ('FRANCE', 'JAPAN') AND EXISTS (SELECT 1 FROM provider p WHERE p.host_id = v.host_id AND role = 'N') ORDER BY domain, host_id LIMIT 26", "visible", "provider"))
+@query("c07_search_page", sql("SELECT host_id, domain, country, region, platform, (SELECT string_agg(provider_id || ':' || role || ':' || confidence, ',' ORDER BY provider_id, role, confidence) FROM provider p WHERE p.host_id = v.host_id) AS providers FROM visible v WHERE country IN ('NATION_6', 'NATION_12') AND EXISTS (SELECT 1 FROM provider p WHERE p.host_id = v.host_id AND role = 'N') ORDER BY domain, host_id LIMIT 26", "visible", "provider"))
 def c07(spark, sf_dir):
-    request = search.SearchRequest(Filters(countries=("FRANCE", "JAPAN"), roles=("N",)), "domain", None, 25)
+    request = search.SearchRequest(Filters(countries=("NATION_6", "NATION_12"), roles=("N",)), "domain", None, 25)
     listed = F.transform("providers", lambda p: F.concat_ws(":", p["provider_id"].cast("string"), p["role"], p["confidence"]))
     return search.search(Views(spark, sf_dir), request).select("host_id", "domain", "country", "region", "platform", F.array_join(listed, ",").alias("providers"))
