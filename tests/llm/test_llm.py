@@ -36,14 +36,14 @@ def tables(spark, path, docs, labels=None, vectors=None):
 
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
-    v = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (20, [0.5, -1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    v = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (20, [0.5, -1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>").withColumn("label", F.when(F.col("vec_id") != 5, 1))
     labels = spark.createDataFrame([(None, 1, 1), (4, None, None), (6, 1, 0), (6, 0, 1), (99, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     return tables(spark, tmp_path_factory.mktemp("odd"), awkward(spark), labels, v)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
-    return tables(spark, tmp_path_factory.mktemp("empty"), awkward(spark, []), None, spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    return tables(spark, tmp_path_factory.mktemp("empty"), awkward(spark, []), None, spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
 
 
 def names():
@@ -59,20 +59,23 @@ def test_odd_and_empty_tables(spark, odd, empty, name):
     query = llm.queries()[name]
     assert query(spark, empty).count() == 0
     found = query(spark, odd).collect()
-    assert len(found) == (len(AWKWARD) if name != "op1_topk_search" else len(found))
+    rows = {"op1_topk_search": len(found), "op11_packing": len(found), "op13_vector_codes": 5}  # vectors, and pieces of texts
+    assert len(found) == rows.get(name, len(AWKWARD))
     assert sorted(map(repr, query(spark, odd).collect())) == sorted(map(repr, found))
-    if name != "op1_topk_search":  # rows that repeat have equal results
+    if name not in rows:  # rows that repeat have equal results
         same = [r for r in found if r.doc_id == 7]
         assert len(same) == 2 and (same[0] == same[1] or name == "op2_mix_sources")
 
 
-@pytest.mark.parametrize("name", ["op1_topk_search", "op2_mix_sources"])
+@pytest.mark.parametrize("name", ["op1_topk_search", "op2_mix_sources", "op12_infill", "op13_vector_codes"])
 @pytest.mark.parametrize("where", ["odd", "/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_sql_says_the_same(spark, odd, name, where):
     import duckdb
 
     from tillwatch import llm
 
+    if (name, where) == ("op13_vector_codes", "odd"):
+        pytest.skip("the SQL takes vectors of one length, which 16 divides")
     where = odd if where == "odd" else where
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -82,7 +85,8 @@ def test_sql_says_the_same(spark, odd, name, where):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if os.path.isdir(p) else ''}')")
     mine = llm.queries()[name](spark, where).toPandas()
     theirs = c.sql(llm.oracle_sql()[name]).df()
-    rows = lambda f: sorted(repr(tuple(None if v != v or v is None else float(v) for v in r)) for r in f[sorted(f.columns)].astype("float64").itertuples(index=False))
+    one = lambda v: v if isinstance(v, str) else float(v)
+    rows = lambda f: sorted(repr(tuple(None if none else one(v) for v, none in zip(r, gone))) for r, gone in zip(f[sorted(f.columns)].itertuples(index=False), f[sorted(f.columns)].isna().itertuples(index=False)))
     assert rows(mine) == rows(theirs)
 
 

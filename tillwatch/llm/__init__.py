@@ -16,6 +16,9 @@ MODULES = {
     "op8_secrets": "secrets",
     "op9_media": "media",
     "op10_substrings": "substrings",
+    "op11_packing": "packing",
+    "op12_infill": "infill",
+    "op13_vector_codes": "codes",
 }
 
 
