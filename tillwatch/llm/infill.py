@@ -36,6 +36,8 @@ ORDERS = {"plain": (), "psm": ("prefix", "suffix", "middle"), "spm": ("suffix",
 RESTORED = ("prefix", "middle", "suffix")
 #: Hundredths of texts that stay plain, and of the others' that are spm. Units in a piece.
 PLAIN_FROM, SPM_BELOW, UNITS = 90, 20, 16384
+#: Bytes of text that a task of the sort takes, about.
+TASK_BYTES = 16_000_000
 SCHEMA = "{} {}, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
 
 
@@ -136,7 +138,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", units:
 def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS, texts: bool = False) -> DataFrame:
     """id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256; with `texts` also the output itself, whose pieces then meet in one row."""
     spark = common.session(df.sparkSession)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.partitions_of(df))
+    size = df.agg(F.sum(F.octet_length(df[text_col].cast("string")))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     sort = lambda keyed: keyed.repartitionAndSortWithinPartitions(tasks, owner)
     out = sort(pieces(df, id_col, text_col, units)).mapPartitions(lambda items: streamed(items, texts), preservesPartitioning=True)
     rows = sort(out).mapPartitions(lambda items: restored(items, texts))
