@@ -100,9 +100,9 @@ def measured(rows: DataFrame, width: int, parts: int, pivots: np.ndarray) -> Dat
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("x"), width)
-            away = roots(x.reshape(len(x), parts, -1), pivots).astype(np.float32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel()))
-            near = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * away[0].size if len(x) else [0], pa.int32()), pa.array(away.ravel()))
+            away = roots(x.reshape(len(x), parts, width // parts), pivots).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel(), pa.int64()))
+            near = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * parts * pivots.shape[1], pa.int32()), pa.array(away.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("label"), flat, near], names=["i", "label", "x", "away"])
 
     schema = f"i {rows.schema['i'].dataType.simpleString()}, label {rows.schema['label'].dataType.simpleString()}, x array<long>, away array<float>"
@@ -165,7 +165,7 @@ def encode(df: DataFrame, vector: Column, id_col: str = "vec_id", label_col: str
     longest = rows.agg(F.max(F.size("x"))).first()[0] or 0
     width = max(1, -(-longest // parts)) * parts
     first = rows.orderBy(F.col("i").asc_nulls_last(), "x").limit(entries).select("x").toArrow().column("x").combine_chunks()
-    books = matrix(first, width).reshape(len(first), parts, -1).transpose(1, 0, 2)
+    books = matrix(first, width).reshape(len(first), parts, width // parts).transpose(1, 0, 2)
     if not len(first):
         return rows.select(F.col("i").alias(id_col), F.col("label").alias(label_col), F.lit(None).cast("array<int>").alias("code"), F.lit(None).cast("long").alias("error")), books
     fixed = pivots_of(books, pivots)
