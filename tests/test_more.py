@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillwatch.functions import hosts, text
+from tillwatch.functions import addresses, hosts, text
 from tillwatch.operators import detect, state, usage, versions
 from tillwatch.sources import captures, readers
 
@@ -156,7 +156,7 @@ def test_attributes_as_browsers_read_them():
 
 def test_addresses(spark):
     seen = {"10.0.0.1": "0" * 20 + "ffff0a000001", "::": "0" * 32, "2001:DB8::1": "20010db8" + "0" * 23 + "1", "1:2:3:4:5:6:7:8": "00010002000300040005000600070008", "1::2::3": None, "1:2": None, "300.1.1.1": None, "g::1": None, "": None, None: None}
-    got = {r.ip: r.k for r in spark.createDataFrame([(i,) for i in seen], "ip string").select("ip", hosts.ip_key(F.col("ip")).alias("k")).collect()}
+    got = {r.ip: r.k for r in spark.createDataFrame([(i,) for i in seen], "ip string").select("ip", addresses.ip_key(F.col("ip")).alias("k")).collect()}
     assert got == seen
 
 

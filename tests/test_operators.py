@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tillwatch.functions import hosts, stats, text
+from tillwatch.functions import addresses, hosts, stats, text
 from tillwatch.operators import alerts, detect, exports, quality, reports, search, state, usage, visibility
 from tillwatch.sources import readers
 
@@ -60,7 +60,7 @@ def test_limits_halve_and_restart_after_a_lift(spark, rows):
 
 def test_token_bucket_goes_into_debt(spark, rows):
     r = spark.createDataFrame([("k", float(t)) for t in (0, 0, 0, 10)], "key string, at double")
-    assert [x[2] for x in rows(state.token_bucket(r, 1.0, 2.0))] == [0.0, 0.0, 1.0, 0.0]
+    assert [x[0] for x in rows(state.token_bucket(r, 1.0, 2.0), "wait", "at")] == [0.0, 0.0, 0.0, 1.0]
 
 
 def test_report_other_is_a_sum_and_market_other_is_distinct(spark):
@@ -261,7 +261,7 @@ def test_readers(spark, tmp_path, rows):
     f = put("f.csv", "domain,entity_type,entity_id,confidence,confidence_score,rule_id,rule_version,active_on_checkout\na.de,provider,x,medium,,r,1,true\n")
     assert readers.findings(spark, f).first().confidence_score == 0.6
     ranges = readers.ip_ranges(spark, put("i.tsv", "1.0.0.0\t1.0.0.255\t13335\tUS\tCLOUD\n2.0.0.0\t2.0.0.9\t0\tNONE\tNot routed\n3.0.0.0\t3.0.1.9\t5\tNONE\tX\n"))
-    pts = spark.createDataFrame([("1.0.0.7",), ("3.0.1.9",), ("9.9.9.9",)], "ip string").withColumn("n", visibility.ip_number(F.col("ip")))
+    pts = spark.createDataFrame([("1.0.0.7",), ("3.0.1.9",), ("9.9.9.9",)], "ip string").withColumn("n", addresses.ip_number(F.col("ip")))
     assert rows(hosts.range_join(pts, ranges, "n", "low", "high"), "ip", "asn", "country") == [("1.0.0.7", 13335, "US"), ("3.0.1.9", 5, None), ("9.9.9.9", None, None)]
     log = readers.log_lines(spark, put("l.txt", "2024-01-02T03:04:05Z AS13335 mail a long note\nrubbish\n# c\n"), ("ts", "target", "source", "note"))
     assert rows(log, "target", "source", "note") == [("AS13335", "mail", "a long note")]

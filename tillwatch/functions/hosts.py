@@ -154,43 +154,6 @@ def hosted_checkout(urls: DataFrame, known: DataFrame, url: str = "url") -> Data
     return keyed.drop("_host", "_path").join(best, url, "left")
 
 
-def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a number; null if it is none."""
-    parts = F.split(ip, r"\.")
-    sound = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    value = F.lit(0).cast("bigint")
-    for k in range(4):
-        value = value * 256 + F.try_element_at(parts, F.lit(k + 1)).try_cast("bigint")
-    return F.when(sound, value)
-
-
-def ip_key(ip: Column) -> Column:
-    """An address as 32 hexadecimal digits, which sort as addresses do; IPv4 as in IPv6's mapped form. Null if it is neither."""
-    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_number(ip)), 8, "0")))
-    sides = F.split(F.lower(ip), "::")
-    words = lambda s: F.filter(F.split(s, ":"), lambda w: w != "")
-    a, b = words(sides[0]), F.coalesce(words(F.try_element_at(sides, F.lit(2))), F.array().cast("array<string>"))
-    gap = F.lit(8) - F.size(a) - F.size(b)
-    full = F.concat(a, F.array_repeat(F.lit("0"), gap), b)
-    sound = ip.contains(":") & (F.size(sides) <= 2) & F.when(F.size(sides) == 2, gap >= 1).otherwise(gap == 0) & F.forall(full, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
-    v6 = F.when(sound, F.array_join(F.transform(full, lambda w: F.lpad(w, 4, "0")), ""))
-    return F.coalesce(F.when(ip_number(ip).isNotNull(), v4), v6)
-
-
-def _cell(key: Column) -> Column:
-    """Where in the join an address key belongs: a /16 of IPv4, a /32 of IPv6."""
-    number = lambda s: F.conv(s, 16, 10).cast("bigint")
-    return F.when(key.startswith("0" * 20 + "ffff"), number(F.substring(key, 25, 4))).otherwise(number(F.substring(key, 1, 8)) + (1 << 20))
-
-
-def ip_range_join(points: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
-    """Points with the range (low_key, high_key; disjoint, closed) that holds their address, if any, of either family."""
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(_cell(F.col("low_key")), _cell(F.col("high_key")))))
-    keyed = points.withColumn("_key", ip_key(F.col(ip))).withColumn("_at", _cell(F.col("_key")))
-    on = (F.col("_at") == F.col("_cell")) & (F.col("_key") >= F.col("low_key")) & (F.col("_key") <= F.col("high_key"))
-    return keyed.join(cells, on, "left").drop("_cell", "_at", "_key")
-
-
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int = 1 << 16) -> DataFrame:
     """Points with the range (disjoint, closed) that holds them, if any: an equi join on buckets of `width`.
 

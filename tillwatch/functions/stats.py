@@ -60,8 +60,3 @@ def scan_interval(scan_type: Column, status: Column, watched: Column) -> Column:
     """Days between scans: light 7 for shops and 30 for candidates, checkout 7 when watched and else 30."""
     light = F.when(status == "ecommerce", 7).otherwise(30)
     return F.when(scan_type == "light", light).otherwise(F.when(watched, 7).otherwise(30))
-
-
-def nearest_rank(value: str, q: float) -> Column:
-    """The nearest-rank percentile of a column, as an aggregate."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import order_statistics
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null without b."""
@@ -61,11 +63,15 @@ def walk_outcomes(walks: DataFrame, group: str = "platform") -> DataFrame:
 
 def freshness(stores: DataFrame, now: Column, light_days: float, checkout_days: float) -> DataFrame:
     """Median age, stale share and never-scanned count of either scan, in one row. stores: light_at, checkout_at, watched."""
-    out = []
+    out, medians = [], []
     for name, limit in (("light", light_days), ("checkout", checkout_days)):
         age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(f"{name}_at").cast("timestamp"))) / 86400
-        out += [F.median(age).alias(f"{name}_median"), ratio(F.count_if(age > limit), F.count(age)).alias(f"{name}_stale"), F.count_if(age.isNull()).alias(f"{name}_never")]
-    return stores.agg(*out)
+        medians.append(order_statistics(stores, age, {f"{name}_median": 0.5}, between=True))
+        out += [ratio(F.count_if(age > limit), F.count(age)).alias(f"{name}_stale"), F.count_if(age.isNull()).alias(f"{name}_never")]
+    one = stores.agg(*out)
+    for m in medians:
+        one = one.join(F.broadcast(m), how="left")  # one row each
+    return one
 
 
 def watchlist_stale(stores: DataFrame, now: Column, days: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import REACHED
+from .ordered import sliced
 
 _RANK = {"low": 0, "medium": 1, "high": 2}
 
@@ -113,18 +114,29 @@ def fold_limits(complaints: DataFrame, least: float = 0.01) -> DataFrame:
     """Limits per network after complaints and lifts in order: asn, factor, complaints, lifted.
 
     A repeated complaint halves the smaller factor, not below `least`; one after a lift starts afresh. complaints: asn, ts,
-    id, kind ('complaint' or 'lift'), factor. A fold over each network's ordered array.
-    """
-    rows = complaints.groupBy("asn").agg(F.sort_array(F.collect_list(F.struct("ts", "id", "kind", "factor"))).alias("rows"))
-
-    def step(a: Column, r: Column) -> Column:
-        complaint = r["kind"] == "complaint"
-        fresh = (a["n"] == 0) | a["lifted"]
-        factor = F.when(~complaint, a["factor"]).when(fresh, r["factor"]).otherwise(F.greatest(F.lit(least), F.least(a["factor"], r["factor"]) / 2))
-        return F.struct(factor.alias("factor"), (a["n"] + complaint.cast("int")).alias("n"), (~complaint & (a["n"] > 0)).alias("lifted"))
+    id, kind ('complaint' or 'lift'), factor.
 
-    start = F.struct(F.lit(None).cast("double").alias("factor"), F.lit(0).alias("n"), F.lit(False).alias("lifted"))
-    return rows.select("asn", F.aggregate("rows", start, step).alias("x")).select("asn", "x.factor", F.col("x.n").alias("complaints"), "x.lifted").where("complaints > 0")
+    A repeated complaint is the map f -> max(least, min(f, r) / 2). Products of such maps are f -> max(least, min(f / 2^m, g)), where g
+    is the least r / 2^(complaints from it on): the product is associative, and one aggregate a run of complaints without a lift
+    between them. What it needs is how many complaints and lifts follow a row: counted within slices, and carried over from later slices as
+    one row a slice and network. Networks without a complaint are left out; a null factor counts as none.
+    """
+    order = ["ts", "id"]
+    rows = sliced(complaints.select("asn", *order, "factor", (F.col("kind") == "complaint").cast("int").alias("c"), (F.col("kind") == "lift").cast("int").alias("l")).where("c + l = 1"), "asn", *order)
+    back = Window.partitionBy("_slice", "asn").orderBy(*[F.desc(c) for c in (*order, "_row")])
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumns({"after": F.coalesce(F.sum("c").over(later), F.lit(0)), "lifts": F.coalesce(F.sum("l").over(later), F.lit(0)), "before": F.lead("l").over(back)})
+    sums = rows.groupBy("asn", "_slice").agg(F.sum("c").alias("c"), F.sum("l").alias("l"), F.max_by("l", F.struct(*order, "_row")).alias("last"))
+    to_come = Window.partitionBy("asn").orderBy(F.desc("_slice"))
+    earlier = to_come.rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("asn", "_slice", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c_later"), F.coalesce(F.sum("l").over(earlier), F.lit(0)).alias("l_later"), F.lead("last").over(to_come).alias("last_before"))
+    placed = within.where("c = 1").join(carried, (within["asn"].eqNullSafe(carried["asn"])) & (within["_slice"] == carried["_slice"])).select(
+        within["asn"], "factor", (F.col("after") + F.col("c_later")).alias("after"), (F.col("lifts") + F.col("l_later")).alias("lifts"), (F.coalesce("before", "last_before", F.lit(1)) == 1).alias("fresh"))
+    halved = F.col("factor") * F.pow(F.lit(2.0), -(F.col("after") + F.when(F.col("fresh"), 0).otherwise(1)))
+    runs = placed.groupBy("asn", "lifts").agg(F.count("*").alias("n"), F.min(halved).alias("g"), F.max_by("factor", "after").alias("first"))
+    last = runs.groupBy("asn").agg(F.min_by(F.struct("n", "g", "first"), "lifts").alias("x"), F.sum("n").cast("int").alias("complaints"), (F.min("lifts") > 0).alias("lifted"))
+    factor = F.when(F.col("x.n") == 1, F.col("x.first")).otherwise(F.greatest(F.lit(least), F.col("x.g")))
+    return last.select("asn", factor.alias("factor"), "complaints", "lifted")
 
 
 def review_decisions(findings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,16 +158,28 @@ def script_pool(pool: DataFrame, requests: DataFrame, now: Column, ttl_days: int
 
 
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """Waits of requests (key, at: seconds) under a token bucket that may go into debt: key, at, wait. A fold per key."""
-    rows = requests.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    """Requests (key, at: seconds, and further columns) under a token bucket that may go into debt: adds `tokens` left and the `wait`.
 
-    def step(a: Column, at: Column) -> Column:
-        tokens = F.least(F.lit(burst), a["tokens"] + (at - a["at"]) * rate) - 1
-        wait = F.when(tokens < 0, -tokens / rate).otherwise(0.0)
-        return F.struct(tokens.alias("tokens"), at.alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("at"), wait.alias("wait")))).alias("out"))
-
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.element_at("ats", 1).alias("at"), F.array().cast("array<struct<at:double,wait:double>>").alias("out"))
-    return rows.select("key", F.explode(F.aggregate("ats", start, step)["out"]).alias("x")).select("key", "x.at", "x.wait")
+    A bucket begins full with its first request, fills by `rate` a second up to `burst`, and each request takes a token: the step is
+    tokens -> min(burst, tokens + gap * rate) - 1. Seen with refill and takings set aside, v = tokens + requests - rate * at, the step
+    is v -> min(v, burst - rate * at + requests before): a clamp, whose product is the least of them. So a slice is a running
+    minimum, and what it hands to the slices after it is one minimum and one count a key. Requests of one time and key are taken in any order.
+    """
+    rows = sliced(requests, "key", "at")
+    in_order = Window.partitionBy("_slice", "key").orderBy("at", "_row")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumns({"_k": F.row_number().over(in_order), "_from": F.first("at").over(upto)})
+    clamp = F.lit(float(burst)) - (F.col("at") - F.col("_from")) * rate + F.col("_k") - 1
+    placed = placed.withColumn("_c", clamp).withColumn("_least", F.min("_c").over(upto))
+    sums = placed.groupBy("key", "_slice").agg(F.count("*").alias("n"), F.min("_c").alias("m"), F.min("at").alias("from"))
+    before = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"ahead": F.coalesce(F.sum("n").over(before), F.lit(0)), "begin": F.min("from").over(Window.partitionBy("key"))})
+    shift = F.col("ahead") - (F.col("from") - F.col("begin")) * rate  # from a slice's own v to the key's
+    carried = sums.withColumn("shift", shift).withColumn("held", F.min(F.col("m") + F.col("shift")).over(before))
+    carried = carried.select(F.col("key").alias("_key"), F.col("_slice").alias("_of"), (F.col("held") - F.col("shift")).alias("_held"))
+    joined = placed.join(carried, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    tokens = F.least("_least", "_held") - F.col("_k") + (F.col("at") - F.col("_from")) * rate
+    return joined.withColumn("tokens", tokens).select(*requests.columns, "tokens", F.when(F.col("tokens") < 0, -F.col("tokens") / rate).otherwise(0.0).alias("wait"))
 
 
 def latest_state(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hosts import ip_number
+from ..functions.addresses import in_networks
 
 #: Fields that only the full profile has.
 FULL_ONLY = frozenset({"evidence", "psp_hosts", "recent_changes", "confidence_score", "rule_ids", "traffic_rank"})
@@ -73,18 +73,11 @@ def quota_state(usage: DataFrame, now: str, daily: int, monthly: int) -> DataFra
 
 
 def ip_allowed(requests: DataFrame, networks: DataFrame) -> DataFrame:
-    """Requests (org_id, ip) with `allowed`: true without networks (org_id, cidr) of the organisation, false for a null or bad address.
+    """Requests (org_id, ip) with `allowed`: true without entries (org_id, cidr) of the organisation, false for a null or bad address.
 
-    Networks of an organisation match by their masked number, one equi join a prefix length, so no pair is formed that fails.
+    Entries are addresses or networks of either family; bad ones are skipped, but an organisation that has only such allows nobody.
     """
-    bits = F.split("cidr", "/")
-    nets = networks.select("org_id", ip_number(bits[0]).alias("net"), F.coalesce(F.try_element_at(bits, F.lit(2)).try_cast("int"), F.lit(32)).alias("bits")).where("net is not null and bits between 0 and 32")
-    size = lambda b: F.pow(F.lit(2), F.lit(32) - b).cast("bigint")
-    nets = nets.select("org_id", "bits", F.floor(F.col("net") / size(F.col("bits"))).alias("head")).distinct()
-    lengths = nets.select("org_id", "bits").distinct()
-    asked = requests.withColumn("_n", ip_number(F.col("ip"))).withColumn("_id", F.struct("org_id", "ip"))
-    keyed = asked.select("org_id", "ip", "_n").distinct().join(lengths, "org_id").withColumn("head", F.floor(F.col("_n") / size(F.col("bits"))))
-    hits = keyed.join(nets, ["org_id", "bits", "head"], "left_semi").select("org_id", "ip").distinct().withColumn("_hit", F.lit(True))
+    hits = in_networks(requests, networks, by=("org_id",)).withColumn("_hit", F.lit(True))
     held = networks.select("org_id").distinct().withColumn("_held", F.lit(True))
     out = requests.join(hits, ["org_id", "ip"], "left").join(held, "org_id", "left")
     return out.withColumn("allowed", F.col("_held").isNull() | F.coalesce("_hit", F.lit(False))).drop("_hit", "_held")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hosts, stats, text
+from ..functions import addresses, hosts, stats, text
 from ..operators import detect, exports, reports, state, visibility
 from ..session import ship
 from ..sources import readers
@@ -140,7 +140,7 @@ def x13(spark, sf_dir):
 
 @query("x26_v4_numbers", sql("SELECT id, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS n FROM usage", "usage"))
 def x26(spark, sf_dir):
-    return Views(spark, sf_dir).usage.select("id", visibility.ip_number(F.col("ip")).alias("n"))
+    return Views(spark, sf_dir).usage.select("id", addresses.ip_number(F.col("ip")).alias("n"))
 
 
 @query("x27_composite_lists", sql("SELECT host_id, string_agg(provider_id || ':' || role || ':' || confidence, '|' ORDER BY provider_id) AS providers, strftime(min(first_seen), '%Y-%m-%d') AS first_seen, count(*) FILTER (confidence = 'high') AS sure FROM provider GROUP BY 1", "provider"))
@@ -156,7 +156,7 @@ def j08(spark, sf_dir):
     v = Views(spark, sf_dir)
     low = F.lit(203 * 16777216) + F.col("c_custkey") * 512
     ranges = v.t("customer").select(F.col("c_custkey").alias("asn"), low.alias("low"), (low + 300).alias("high"))
-    points = v.usage.select("id", visibility.ip_number(F.col("ip")).alias("n"))
+    points = v.usage.select("id", addresses.ip_number(F.col("ip")).alias("n"))
     return hosts.range_join(points, ranges, "n", "low", "high").where("asn is not null").select("id", "asn")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..operators import alerts, quality, usage
+from ..operators import alerts, ordered, quality, usage
 from .analog import NOW, Views, sql
 from .registry import query
 
@@ -129,8 +128,7 @@ def a28(spark, sf_dir):
 
 @query("a31_nearest_rank", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1")
 def a31(spark, sf_dir):
-    p = lambda q: stats.nearest_rank("l_extendedprice", q)
-    return Views(spark, sf_dir).t("lineitem").groupBy("l_returnflag").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    return ordered.order_statistics(Views(spark, sf_dir).t("lineitem"), F.col("l_extendedprice"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ("l_returnflag",))
 
 
 @query("a32_queue_dashboard", "SELECT o_orderpriority AS scan_type, count(*) AS depth, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') / count(*) AS blocked FROM orders GROUP BY 1")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search_queries", "quality_queries", "more_queries", "source_queries")
+MODULES = ("search_queries", "quality_queries", "more_queries", "source_queries", "ordered_queries")
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 

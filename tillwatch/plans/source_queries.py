@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hosts, text
-from ..operators import detect, exports, quality, search, share, state, usage, versions
+from ..operators import detect, exports, ordered, quality, search, share, state, usage, versions
 from ..session import shared_folder, ship
-from ..sources import captures, readers, synthetic
+from ..sources import captures, log_stream, readers, synthetic
 from .analog import MIN_CELL, NOW, Views, sql
 from .registry import query
 
@@ -79,15 +79,65 @@ def s06(spark, sf_dir):
     return n("ranked", s01(spark, sf_dir)).unionByName(n("manual", s02(spark, sf_dir))).unionByName(n("czds", s05(spark, sf_dir)))
 
 
-@query("s07_certificate_leaves", "SELECT 'a' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.example.com' AS raw FROM customer WHERE c_custkey % 5 > 1")
-def s07(spark, sf_dir):
+def _tlv(tag: int, *parts: bytes) -> bytes:
+    """A DER element."""
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def _certificate(common: bytes, alternative: tuple[bytes, ...]) -> bytes:
+    """A whole certificate that has the bytes of both names' ids in places where they mean nothing: issuer, key, another extension."""
+    oid = lambda x: _tlv(0x06, bytes.fromhex(x))
+    decoy = oid("551d11") + _tlv(0x04, _tlv(0x30, _tlv(0x82, b"decoy.example"))) + oid("550403") + _tlv(0x0C, b"decoy.example")
+    name = lambda *pairs: _tlv(0x30, *[_tlv(0x31, _tlv(0x30, oid(o), _tlv(0x0C, v))) for o, v in pairs])
+    algorithm = _tlv(0x30, oid("2a864886f70d01010b"), _tlv(0x05))
+    validity = _tlv(0x30, _tlv(0x17, b"240101000000Z"), _tlv(0x17, b"250101000000Z"))
+    key = _tlv(0x30, algorithm, _tlv(0x03, b"\0" + decoy))
+    listed = _tlv(0x30, _tlv(0x81, b"mail@decoy.example"), *[_tlv(0x82, x) for x in alternative])
+    extensions = _tlv(0xA3, _tlv(0x30, _tlv(0x30, oid("551d0e"), _tlv(0x04, decoy)), _tlv(0x30, oid("551d11"), _tlv(0x01, b"\xff"), _tlv(0x04, listed)), _tlv(0x30, oid("551d13"), _tlv(0x04, _tlv(0x30)))))
+    signed = _tlv(0x30, _tlv(0xA0, _tlv(0x02, b"\2")), _tlv(0x02, b"\x11\x22"), algorithm, name(("55040a", decoy), ("550403", b"issuer.decoy.example")), validity, name(("55040a", b"A Shop"), ("550403", common)), key, extensions)
+    return _tlv(0x30, signed, algorithm, _tlv(0x03, b"\0" + decoy))
+
+
+def _leaves(spark, sf_dir):
+    """A log's entry for each customer: two of five hold no certificate (one to be signed, one of an unknown kind), each other one names a host twice, and a third of them has another as its common name."""
     k = F.col("c_custkey")
-    name = _say("a", F.lpad(k.cast("string"), 8, "0"), ".example.com")  # 21 bytes
-    der = F.concat(F.lit("0603551d11041930178215"), F.hex(F.encode(name, "UTF-8")))
+    host = lambda letter: F.hex(F.encode(_say(letter, F.lpad(k.cast("string"), 8, "0"), ".example.com"), "UTF-8"))  # noqa: E731  21 bytes
+
+    def made(common: str) -> Column:
+        parts = _certificate(common.encode() * 21, (b"A" * 21,)).hex().upper()
+        for place, letter in (("A", "a"), ("C", "c")):
+            parts = parts.replace(place.encode().hex() * 21, f"|{letter}|")
+        found = [host(x) if x in ("a", "c") else F.lit(x) for x in parts.split("|")]
+        size = sum(42 if x in ("a", "c") else len(x) for x in parts.split("|")) // 2
+        return F.concat(F.lit(f"{size:06x}"), *found)
+
     kind = F.when(k % 5 == 0, "0001").when(k % 5 == 1, "0007").otherwise("0000")
-    leaf = F.concat(F.lit("00" * 10), kind, F.lpad(F.hex((F.length(der) / 2).cast("bigint")), 6, "0"), der)
-    entries = ship(spark) and _customers(spark, sf_dir).select(F.base64(F.unhex(leaf)).alias("leaf_input"))
-    return captures.certificate_log(entries).select("raw")
+    leaf = F.concat(F.lit("00" * 10), kind, F.when(k % 3 == 0, made("C")).otherwise(made("A")))
+    return _customers(spark, sf_dir).select((k - 1).alias("index"), F.base64(F.unhex(leaf)).alias("leaf_input"))
+
+
+_LEAF_NAMES = "SELECT {} 'a' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.example.com' AS raw FROM customer WHERE c_custkey % 5 > 1 UNION ALL SELECT {} 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.example.com' FROM customer WHERE c_custkey % 5 > 1 AND c_custkey % 3 = 0"
+
+
+@query("s07_certificate_leaves", _LEAF_NAMES.format("", ""))
+def s07(spark, sf_dir):
+    return captures.certificate_log(_leaves(ship(spark), sf_dir)).select("raw")
+
+
+@query("s07_log_in_batches", _LEAF_NAMES.format("c_custkey - 1 AS index,", "c_custkey - 1,"))
+def s07_stream(spark, sf_dir):
+    """The log read as a stream in three batches, started anew after the second, its names appended to a table."""
+    folder, entries = _path(ship(spark), "log"), _leaves(spark, sf_dir)
+    n = entries.agg(F.max("index")).first()[0] + 1
+    log_stream.write_log(entries, f"{folder}/tiles")
+    for batches in (2, 1):
+        stream = log_stream.log_stream(spark, f"{folder}/tiles", f"{folder}/checkpoint/cursor", entries=-(-n // 3))
+        named = stream.withColumn("raw", F.explode(captures.names_of_leaves("leaf_input"))).select("index", "raw")
+        for _ in range(batches):  # a run takes one batch
+            named.writeStream.format("parquet").option("path", f"{folder}/names").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/names").select("index", "raw")
 
 
 @query("s08_dictionary_faults", """SELECT 'providers' AS dictionary, CAST(s_suppkey AS VARCHAR) AS id, 'parent_provider_id is unknown' AS fault FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 7 <> 0
@@ -171,9 +221,9 @@ def _v6(k: Column, tail: str) -> Column:
 def j08_two_families(spark, sf_dir):
     k = F.col("c_custkey")
     low, high = F.when(k % 2 == 0, _say(_octets(k), "0")).otherwise(_v6(k, "::")), F.when(k % 2 == 0, _say(_octets(k), "255")).otherwise(_v6(k, ":ffff:ffff:ffff:ffff"))
-    ranges = _customers(spark, sf_dir).where("c_custkey % 7 = 0").select(k.alias("asn"), hosts.ip_key(low).alias("low_key"), hosts.ip_key(high).alias("high_key"))
+    ranges = _customers(spark, sf_dir).where("c_custkey % 7 = 0").select(k.alias("asn"), low.alias("low_ip"), high.alias("high_ip"))
     points = _customers(spark, sf_dir).select("c_custkey", F.when(k % 2 == 0, _say(_octets(k), "77")).otherwise(_v6(k, "::1:2")).alias("ip"))
-    return hosts.ip_range_join(points, ranges, "ip").select("c_custkey", "asn")
+    return ordered.address_ranges(points, ranges, "ip").select("c_custkey", "asn")
 
 
 @query("s14_log_lines", "SELECT event_id, '203.0.' || (event_id % 9) || '.1' AS target, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 4 > 1")

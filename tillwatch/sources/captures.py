@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import binascii
 import gzip
 
 import pandas as pd
@@ -60,54 +61,97 @@ def captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return j.select("host_id", "place", *[values.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in PAGE_SIGNALS.fields])
 
 
-_ALTERNATIVE, _COMMON = bytes.fromhex("0603551d11"), bytes.fromhex("0603550403")
+_ALTERNATIVE, _COMMON = bytes.fromhex("551d11"), bytes.fromhex("550403")
+_SEQUENCE, _SET, _OID, _OCTETS, _INTEGER, _BITS, _EXTENSIONS, _DNS = 0x30, 0x31, 0x06, 0x04, 0x02, 0x03, 0xA3, 0x82
+#: Encodings of a name's text by its tag.
+_TEXTS = {0x0C: "utf-8", 0x12: "ascii", 0x13: "ascii", 0x14: "latin-1", 0x16: "ascii", 0x1C: "utf-32-be", 0x1E: "utf-16-be"}
 
 
-def _element(der: bytes, at: int) -> tuple[int, int, int]:
-    """Tag, begin and end of the content of the DER element at a place."""
+def _element(der: bytes, at: int, end: int) -> tuple[int, int, int]:
+    """Tag, begin and end of the content of the DER element at a place; it must end by `end`."""
+    if at + 2 > end:
+        raise ValueError("an element is cut short")
     tag, n, at = der[at], der[at + 1], at + 2
     if n & 0x80:
         size = n & 0x7F
+        if not 1 <= size <= 4 or at + size > end:
+            raise ValueError("a length has no sound form")
         n, at = int.from_bytes(der[at : at + size], "big"), at + size
+    if at + n > end:
+        raise ValueError("an element runs out of its parent")
     return tag, at, at + n
 
 
+def _inside(der: bytes, begin: int, end: int) -> list[tuple[int, int, int]]:
+    """The elements that fill a stretch."""
+    found = []
+    while begin < end:
+        found.append(_element(der, begin, end))
+        begin = found[-1][2]
+    return found
+
+
+def _expect(element: tuple[int, int, int], *tags: int) -> tuple[int, int]:
+    if element[0] not in tags:
+        raise ValueError("an element is of another kind")
+    return element[1:]
+
+
+def certificate_names(der: bytes) -> list[str]:
+    """Names of a certificate: alternative names of its extension, then common names of its subject that hold a dot. A walk down the tree; a ValueError if that is not a certificate's."""
+    (whole,) = _inside(der, 0, len(der))
+    signed, algorithm, signature = _inside(der, *_expect(whole, _SEQUENCE))
+    _expect(algorithm, _SEQUENCE), _expect(signature, _BITS)
+    fields = _inside(der, *_expect(signed, _SEQUENCE))
+    if fields and fields[0][0] == 0xA0:  # the version, which only old certificates leave out
+        fields = fields[1:]
+    if len(fields) < 6:
+        raise ValueError("fields are missing")
+    for field, tag in zip(fields, (_INTEGER, _SEQUENCE, _SEQUENCE, _SEQUENCE, _SEQUENCE, _SEQUENCE)):
+        _expect(field, tag)
+    names: list[str] = []
+    for field in fields[6:]:
+        if field[0] == _EXTENSIONS:
+            (listed,) = _inside(der, *field[1:])
+            for extension in _inside(der, *_expect(listed, _SEQUENCE)):
+                parts = _inside(der, *_expect(extension, _SEQUENCE))
+                if len(parts) < 2 or der[slice(*_expect(parts[0], _OID))] != _ALTERNATIVE:
+                    continue
+                (general,) = _inside(der, *_expect(parts[-1], _OCTETS))
+                names += [der[a:b].decode("ascii", "ignore") for tag, a, b in _inside(der, *_expect(general, _SEQUENCE)) if tag == _DNS]
+    for relative in _inside(der, *fields[4][1:]):
+        for pair in _inside(der, *_expect(relative, _SET)):
+            kind, value = _inside(der, *_expect(pair, _SEQUENCE))
+            if der[slice(*_expect(kind, _OID))] == _COMMON and value[0] in _TEXTS:
+                said = der[value[1] : value[2]].decode(_TEXTS[value[0]], "ignore")
+                if "." in said and said not in names:
+                    names.append(said)
+    return names
+
+
 def leaf_names(leaf: bytes) -> list[str] | None:
-    """Names of a log's leaf that holds a certificate: alternative names, then common names with a dot. A leaf of another kind: None; an unreadable one: none."""
-    if len(leaf) < 15 or leaf[10:12] != b"\0\0":
+    """Names of a log's leaf that holds a certificate. A leaf with a certificate yet to be signed: None (the final one follows in the log); an unknown kind, or no certificate: none."""
+    if len(leaf) < 12 or leaf[10:12] != b"\0\0":
         return None if leaf[10:12] == b"\0\1" else []
-    der = leaf[15 : 15 + int.from_bytes(leaf[12:15], "big")]
-    names: list[str] = []
     try:
-        if (at := der.find(_ALTERNATIVE)) >= 0:
-            tag, begin, end = _element(der, at + len(_ALTERNATIVE))
-            if tag == 0x01:  # critical
-                tag, begin, end = _element(der, end)
-            _, begin, end = _element(der, begin)
-            while begin < end:
-                tag, start, begin = _element(der, begin)
-                if tag == 0x82:
-                    names.append(der[start:begin].decode("ascii", "ignore"))
-        places, at = [], der.find(_COMMON)
-        while at >= 0:
-            places.append(at)
-            at = der.find(_COMMON, at + 1)
-        for at in places[-1:]:  # the subject's comes after the issuer's
-            _, start, end = _element(der, at + len(_COMMON))
-            value = der[start:end].decode("utf-8", "ignore")
-            if "." in value and value not in names:
-                names.append(value)
-    except IndexError:
+        return certificate_names(leaf[15 : 15 + int.from_bytes(leaf[12:15], "big")])
+    except ValueError:
         return []
-    return names
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def names_of_leaves(leaves: pd.Series) -> pd.Series:
-    """Names of base64 leaves; null for leaves that hold no certificate."""
-    return leaves.map(lambda x: leaf_names(base64.b64decode(x)), na_action="ignore")
+    """Names of base64 leaves; null for leaves that hold no certificate, none for texts that aren't base64."""
+
+    def one(leaf: str) -> list[str] | None:
+        try:
+            return leaf_names(base64.b64decode(leaf))
+        except binascii.Error:
+            return []
+
+    return leaves.map(one, na_action="ignore")
 
 
 def certificate_log(entries: DataFrame, leaf: str = "leaf_input") -> DataFrame:
-    """Names in log entries, as a domain list: rank (null), raw. Entries carry their index, so a stream's offset is the cursor."""
+    """Names in log entries, as a domain list: rank (null), raw. For the entries themselves, see `log_stream`."""
     return entries.select(F.explode(names_of_leaves(leaf)).alias("raw")).select(F.lit(None).cast("bigint").alias("rank"), "raw")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hosts import ip_key, ip_number, watched_domain, with_host
+from ..functions.addresses import ip_key, ip_number
+from ..functions.hosts import watched_domain, with_host
 from ..schemas import RULE, SIGNAL_TYPES
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -196,10 +197,10 @@ def findings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """Ranges of networks: low and high (numbers, null for IPv6), low_key and high_key (see `ip_key`), asn, country, name; unrouted ones (network 0) are dropped, NONE is null."""
+    """Ranges of networks: low_ip and high_ip as given, low and high (numbers, null for IPv6), low_key and high_key (see `ip_key`), asn, country, name; unrouted ones (network 0) are dropped, NONE is null."""
     raw = spark.read.csv(path, sep="\t", schema="a string, b string, asn bigint, country string, name string")
-    ends = [f(F.col(c)).alias(n + s) for f, s in ((ip_number, ""), (ip_key, "_key")) for c, n in (("a", "low"), ("b", "high"))]
-    return raw.select(*ends, "asn", F.when(~F.upper("country").isin("NONE", ""), F.col("country")).alias("country"), "name").where("asn <> 0 and low_key is not null and high_key is not null")
+    ends = [f(F.trim(c)).alias(n + s) for f, s in ((ip_number, ""), (ip_key, "_key")) for c, n in (("a", "low"), ("b", "high"))]
+    return raw.select(F.trim("a").alias("low_ip"), F.trim("b").alias("high_ip"), *ends, "asn", F.when(~F.upper("country").isin("NONE", ""), F.col("country")).alias("country"), "name").where("asn <> 0 and low_key is not null and high_key is not null")
 
 
 def log_lines(spark: SparkSession, path: str, columns: tuple[str, str, str, str]) -> DataFrame:
