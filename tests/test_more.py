@@ -34,13 +34,36 @@ def test_literal_is_in_every_match():
                 assert detect.literal_of(pattern, True) in m[0]
 
 
-def test_candidates_without_the_automaton(spark, monkeypatch):
+def test_literals_are_found_in_one_pass():
     literals = {"ab": [0], "b": [1], "": [2], "abc": [3], "x": [4]}
-    one = detect._finder(literals)
-    monkeypatch.setitem(__import__("sys").modules, "ahocorasick", None)
-    two = detect._finder(literals)
+    built = detect._automaton(literals)
     for s in ("", "abc", "cab", "xb", "zzz"):
-        assert set(one(s)) == set(two(s)) == {k for w, ks in literals.items() if w in s for k in ks}
+        assert detect._held(built, s) == {k for w, ks in literals.items() if w in s for k in ks}
+    assert detect._held(detect._automaton({"": [7]}), "any") == {7}
+
+
+@pytest.mark.parametrize("shard", [1, 2, 1000])
+def test_rules_in_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(detect, "SHARD_RULES", shard)
+    rules = spark.createDataFrame([(f"r{k}", 1, "html_pattern", "contains", p) for k, p in enumerate(["ab", "b", "abc", "x", "AB"])], "rule_id string, version int, signal_type string, match string, pattern string")
+    signals = spark.createDataFrame([(1, "html_pattern", "zabc"), (2, "html_pattern", None), (3, "html_pattern", "X"), (4, "cookie", "ab")], "id long, signal_type string, value string")
+    found = {(r.id, r.rule_id) for r in detect.candidates(signals, rules, ["id"]).collect()}
+    assert found == {(1, "r0"), (1, "r1"), (1, "r2"), (1, "r4"), (3, "r3")}
+    assert detect.candidates(signals, rules.limit(0), ["id"]).count() == 0
+
+
+def test_links_keep_their_order(spark):
+    df = spark.createDataFrame([("s.example", [f"https://{h}.example/" for h in ("z", "a", "s", "z", "m", "b")]), ("s.example", ["https://q.example"])], "host string, links array<string>")
+    assert {r.hostname for r in detect.link_candidates(df, "host", "links", 3).collect()} == {"q.example", "z.example", "a.example"}
+
+
+def test_readers_see_changed_tables(spark, tmp_path):
+    from tillwatch.plans import analog
+
+    spark.range(3).write.parquet(f"{tmp_path}/region.parquet")
+    assert analog.table(spark, str(tmp_path), "region").columns == ["id"]
+    spark.range(3).selectExpr("id", "id as more").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
+    assert analog.table(spark, str(tmp_path), "region").columns == ["id", "more"]
 
 
 def test_preview_counts_labelled_hosts_only(spark):
@@ -148,7 +171,7 @@ def test_page_reads_the_snapshot_with_a_pushed_filter(spark):
 
 
 def test_attributes_as_browsers_read_them():
-    seen = {"a?x=1&currency=EUR": "a?x=1&currency=EUR", "a&amp;b": "a&b", "&copy=1": "&copy=1", "&copy 1": "© 1", "&copyx": "&copyx", "&#65;&#x42": "AB", "&nosuch;": "&nosuch;", "&lt;&gt;": "<>"}
+    seen = {"a?x=1&currency=EUR": "a?x=1&currency=EUR", "a&amp;b": "a&b", "&copy=1": "&copy=1", "&copy 1": "© 1", "&copyx": "&copyx", "&#65;&#x42": "AB", "&nosuch;": "&nosuch;", "&lt;&gt;": "<>", "?a=1&notit;b": "?a=1&notit;b", "&regid;x": "&regid;x", "&notin;": "∉", "&amp;lt;": "&lt;"}
     assert {k: text.attribute_text(k) for k in seen} == seen
     page = text._features('<a href="/p?a=1&currency=EUR&amp;b=2">x</a><a href=/q?&copy=1>y</a>', "https://s.example/")
     assert page["links"] == ["https://s.example/p?a=1&currency=EUR&b=2", "https://s.example/q?&copy=1"]

@@ -6,7 +6,7 @@ def test_streamed_changes_equal_batch(spark, tmp_path, rows):
     from pyspark.sql import functions as F
 
     scans = [(h, 10 * h + k, f"2024-01-0{k}", "timeout" if (h + k) % 5 == 0 else "reached_payment_step", [x for j, x in enumerate("abcd") if (h * 7 + k * 3 + j * 5) % 4]) for h in range(6) for k in range(1, 9)]
-    df = spark.createDataFrame(scans, "host_id long, scan_id long, ts string, status string, entities array<string>")
+    df = spark.createDataFrame(scans, "host_id long, scan_id long, ts string, status string, entities array<string>").withColumn("ts", F.to_timestamp("ts"))
     for part, on in enumerate(("ts < '2024-01-04'", "ts >= '2024-01-04' and ts < '2024-01-07'", "ts >= '2024-01-07'")):
         df.where(on).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = jobs.changes(jobs.observations(spark, str(tmp_path / "in"), df.schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -30,5 +30,27 @@ def test_states_append_and_alerts(spark, tmp_path, rows):
     r = spark.createDataFrame([(7, "2024-01-01", ["provider_added"], [], [], [], [], "high", True)], "rule_id long, created_at string, event_types array<string>, entities array<string>, countries array<string>, platforms array<string>, domains array<string>, min_confidence string, enabled boolean")
     jobs.alert_deliveries(jobs.observations(spark, str(tmp_path / "ev"), e.schema, 1), r, str(tmp_path / "al"), str(tmp_path / "c3")).awaitTermination()
     assert sorted(x.event_id for x in spark.read.parquet(str(tmp_path / "al")).collect()) == [0, 1, 2, 3, 4]
-    counts = jobs.late_tolerant_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "none"))) if (tmp_path / "none").exists() else None
-    assert counts is None or counts.isStreaming
+
+
+def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    schema = "ts timestamp, event_type string"
+    batches = [["2024-01-01 00:10:00", "2024-01-01 00:50:00"], ["2024-01-03 05:00:00"], ["2024-01-01 00:20:00", "2024-01-03 04:30:00"], ["2024-01-09 00:00:00"], ["2024-01-09 00:00:01"]]
+    q = lambda: jobs.late_tolerant_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).select("window.start", "event_type", "n").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    for times in batches:
+        spark.createDataFrame([(t, "click") for t in times], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q()
+    found = {(str(r.start), r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {("2024-01-01 00:00:00", 2), ("2024-01-03 05:00:00", 1), ("2024-01-03 04:00:00", 1)}  # the row of 00:20 came after its window was told
+
+
+def test_idle_hosts_are_forgotten(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    days = [(1, 1, "2024-01-01"), (2, 2, "2024-03-01"), (1, 3, "2024-03-02"), (2, 4, "2024-03-03"), (1, 5, "2024-03-04")]
+    for host, scan, day in days:
+        one = spark.createDataFrame([(host, scan, day, "reached_payment_step", ["x"])], "host_id long, scan_id long, d string, status string, entities array<string>").withColumn("ts", F.to_timestamp("d")).drop("d")
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.changes(jobs.observations(spark, f"{tmp_path}/in", one.schema), idle_days=30).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "host_id", "event_type", "scan_id") == [(1, "added", 5), (2, "added", 4)]

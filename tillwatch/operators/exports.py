@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
 from ..schemas import confidence_rank
+from . import file_sink
+from .ordered import checkpointed
 
 # The fields of an export with their types; a basic profile leaves FULL_ONLY out.
 FIELDS = {
@@ -120,15 +122,9 @@ def canaries(rows: DataFrame, export_hex: str, zone: str, low: int = 3, high: in
     return base.select(*[(made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
-ROW_GROUP = 50_000
-
-
 def write_parquet(rows: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """Zstandard Parquet in row groups of ROW_GROUP rows. Metadata are in each file's footer, as those of the first column, and
-    with the schema in a sidecar beside it; all is written through Spark, so that any store will do."""
-    first, *rest = rows.columns
-    marked = rows.select(F.col(first).alias(first, metadata={"export": metadata}), *rest)
-    marked.write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", str(ROW_GROUP)).parquet(path)
+    """Zstandard Parquet in row groups of 50 000 rows. Metadata are entries of each file's footer, and with the schema in a sidecar beside it."""
+    file_sink.write(rows, path, "parquet", metadata)
     sidecar(rows, metadata).coalesce(1).write.mode("overwrite").text(f"{path}.meta")
 
 
@@ -149,20 +145,19 @@ def as_text(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """CSV parts with a header each, and a `# k=v` line in a part of its own that readers skip as a comment."""
-    as_text(rows).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
-    line = "# " + " ".join(f"{k}={v}" for k, v in metadata.items())
-    rows.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+    """CSV files that begin with a `# k=v` line, which readers skip as a comment, and a header."""
+    file_sink.write(as_text(rows), path, "csv", metadata)
 
 
 def read_csv(spark, path: str) -> DataFrame:
+    """Rows of such files; the line of metadata is a comment, and the header comes after it."""
     return spark.read.option("header", True).option("comment", "#").csv(path, pathGlobFilter="*.csv")
 
 
 def write_report(metrics: dict[str, DataFrame], path: str) -> None:
-    """One folder of CSV a metric."""
-    for name, rows in metrics.items():
-        as_text(rows).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    """One ZIP, `report.zip` below the path, with one CSV a metric."""
+    rows, headers = file_sink.report_rows({name: as_text(m) for name, m in metrics.items()})
+    file_sink.write(rows, path, "zip", headers, name="report.zip")
 
 
 def due_jobs(contracts: DataFrame, jobs: DataFrame, month: str) -> DataFrame:
@@ -192,11 +187,65 @@ def run_jobs(jobs: list[dict], build) -> list[dict]:
     return out
 
 
+#: Months that observations, scans and stops of walks are kept.
+RETENTION = {"observations": 36, "scans": 12, "stops": 24}
+
+
 def retained(observations: DataFrame, today: str, months: int = 36, ts: str = "scan_date") -> DataFrame:
     """Observations within their retention; on a table partitioned by date only the partitions left are read."""
     return observations.where(F.col(ts) >= F.add_months(F.lit(today).cast("date"), -months))
 
 
+def expire_months(spark, path: str, today: str, months: int, dry_run: bool = False, column: str = "month") -> list[str]:
+    """Remove the months of a table partitioned by `column` (yyyyMM) that ended before the retention, and name them.
+
+    Folders are listed and dropped by name: no file is opened. A month that the period still touches stays whole. What is read
+    while a month goes fails and may be read again; a sweep that was cut short goes on with the next one. A dry run only names them.
+    """
+    year, month = int(today[:4]), int(today[5:7])
+    keep = year * 12 + month - 1 - months
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.listStatus(root) if store.exists(root) else ():
+        key, _, value = status.getPath().getName().partition("=")
+        if key == column and value.isdigit() and len(value) == 6 and int(value[:4]) * 12 + int(value[4:]) - 1 < keep:
+            gone.append(value)
+            if not dry_run:
+                store.delete(status.getPath(), True)
+    return sorted(gone)
+
+
+def sweep_captures(spark, path: str, before: Column, dry_run: bool = False, prefixes: tuple[str, ...] = ("light", "checkout")) -> DataFrame:
+    """Remove raw captures that are older than a time: prefix, removed (or, in a dry run, what would be).
+
+    Files are listed with their times, not opened, and removed by the tasks that were dealt them. A file that is gone already
+    counts as removed, so a sweep that is run again ends the same.
+    """
+    files = spark.read.format("binaryFile").load([f"{path}/{p}" for p in prefixes], recursiveFileLookup=True).where(F.col("modificationTime") < before)
+    old = files.select(F.regexp_extract("path", rf"/({'|'.join(prefixes)})/", 1).alias("prefix"), "path")
+
+    def run(batches):
+        for batch in batches:
+            if not dry_run:
+                for p in batch.column("path").to_pylist():
+                    store, at = file_sink.store_of(p)
+                    if store.get_file_info(at).is_file:
+                        store.delete_file(at)
+            yield batch.select(["prefix"])
+
+    counted = checkpointed(old.mapInArrow(run, "prefix string").groupBy("prefix").agg(F.count("*").alias("removed")))
+    names = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    return names.join(counted, "prefix", "left").select("prefix", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def without_optouts(plans: DataFrame, hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """Scan plans without those of hosts whose domain opted out. plans: host_id; hosts: host_id, domain; domains: domain, optout."""
+    out = hosts.join(domains.where("optout").select("domain"), "domain", "left_semi").select("host_id")
+    return plans.join(out, "host_id", "left_anti")
+
+
 def write_observations(rows: DataFrame, path: str, ts: str, order: list[str]) -> None:
     """Append observations under their month, sorted within files so that statistics skip."""
     rows.withColumn("month", F.date_format(ts, "yyyyMM")).sortWithinPartitions("month", *order).write.mode("append").partitionBy("month").parquet(path)

@@ -32,15 +32,17 @@ def _members(stores: DataFrame, providers: DataFrame, keys: tuple[str, ...], *mo
 
 
 def _counted(member: DataFrame, slice_: tuple[str, ...], min_cell: int) -> DataFrame:
-    """slice_, provider_id, stores of distinct members. Small providers are those that have fewer than `min_cell` rows
-    among the first `min_cell` of each provider, so what decides leaves each task already cut to that many."""
-    counts = member.groupBy(*slice_, "provider_id").agg(F.count("*").alias("stores")).where(F.col("stores") >= min_cell)
-    of = Window.partitionBy(*slice_, "provider_id")
-    first = member.withColumn("_k", F.row_number().over(of.orderBy("host_id"))).where(F.col("_k") <= min_cell)
-    small = first.withColumn("_n", F.count("*").over(of)).where(F.col("_n") < min_cell)
-    other = small.groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores"))
-    columns = [*slice_, "provider_id", "stores"]
-    return counts.select(*columns).unionByName(other.withColumn("provider_id", F.lit("other")).select(*columns))
+    """slice_, provider_id, stores of distinct members. Providers of fewer than `min_cell` are told by the counts; only their
+    members, fewer than `min_cell` each, are looked at again."""
+    pair = [*slice_, "provider_id"]
+    counts = member.groupBy(*pair).agg(F.count("*").alias("stores"))
+    small = counts.where(F.col("stores") < min_cell).select(*[F.col(c).alias(f"_{c}") for c in pair])
+    same = F.lit(True)
+    for c in pair:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    other = member.join(small, same, "left_semi").groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores"))
+    columns = [*pair, "stores"]
+    return counts.where(F.col("stores") >= min_cell).select(*columns).unionByName(other.withColumn("provider_id", F.lit("other")).select(*columns))
 
 
 def market_share(stores: DataFrame, providers: DataFrame, min_cell: int, role: str | None = None, keys: tuple[str, ...] = CELL) -> DataFrame:

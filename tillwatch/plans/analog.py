@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import fingerprint
+
 MIN_CELL = 5
 NOW = "2024-01-31 00:00:00"
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+_SCHEMAS: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its footers are read for the schema once an application, as a catalogue would."""
+    """A table; its footers are read for the schema once an application and again when its files change, as a catalogue would."""
     path = f"{sf_dir}/{name}.parquet"
-    key = spark.sparkContext.applicationId, path
-    if key not in _SCHEMAS:
-        _SCHEMAS[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    key, files = (spark.sparkContext.applicationId, path), fingerprint(spark, path)
+    if _SCHEMAS.get(key, ("",))[0] != files:
+        _SCHEMAS[key] = files, spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key][1]).parquet(path)
 
 
 class Views:

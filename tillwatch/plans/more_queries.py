@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import addresses, hosts, stats, text
 from ..operators import detect, exports, reports, state, visibility
-from ..session import ship
+from ..session import shared_folder, ship
 from ..sources import readers
 from .analog import NOW, Views, sql
 from .registry import query
@@ -367,6 +369,22 @@ def c01(spark, sf_dir):
     return _differ(Views(spark, sf_dir))[0]
 
 
+@query("c01_streamed_changes", f"WITH RECURSIVE {_SCANS} SELECT host_id, entity_id, event_type, scan_id FROM st WHERE event_type IS NOT NULL")
+def c01_streamed(spark, sf_dir):
+    """The same events from a stream of scans in three batches, started anew for each."""
+    from ..streaming import jobs
+
+    v, folder = Views(ship(spark), sf_dir), f"{shared_folder(spark)}/changes-{uuid.uuid4()}"
+    seen = v.t("lineitem").groupBy(F.col("l_orderkey").alias("scan_id")).agg(F.collect_set((F.col("l_suppkey") % 6).cast("string")).alias("entities"))
+    o = v.t("orders").select(F.col("o_custkey").alias("host_id"), F.col("o_orderkey").alias("scan_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.when(F.col("o_orderstatus") == "P", "blocked").otherwise("reached_payment_step").alias("status"))
+    scans = o.join(seen, "scan_id", "left").select("host_id", "scan_id", "ts", "status", "entities")
+    for part in ("ts < '1994-06-01'", "ts >= '1994-06-01' and ts < '1996-06-01'", "ts >= '1996-06-01'"):
+        scans.where(part).write.mode("append").parquet(f"{folder}/scans")
+        stream = jobs.changes(jobs.observations(spark, f"{folder}/scans", scans.schema, 1_000_000))
+        stream.writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.EVENTS).parquet(f"{folder}/events")
+
+
 @query("c01_confirmed_state", f"WITH RECURSIVE {_SCANS} SELECT host_id, entity_id, c AS confirmations, m AS misses FROM st WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY host_id, entity_id ORDER BY k DESC) = 1 AND k = (SELECT max(k) FROM scan s WHERE s.host_id = st.host_id)")
 def c01_state(spark, sf_dir):
     return _differ(Views(spark, sf_dir))[1]

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hosts, text
-from ..operators import detect, exports, ordered, quality, search, share, state, usage, versions
-from ..session import shared_folder, ship
+from ..operators import detect, exports, file_sink, ordered, quality, search, share, state, usage, versions
+from ..session import fingerprint, shared_folder, ship
 from ..sources import captures, log_stream, readers, synthetic
 from .analog import MIN_CELL, NOW, Views, sql
 from .registry import query
@@ -309,8 +309,9 @@ def a33(spark, sf_dir):
 
 
 def snapshot_folder(spark, sf_dir: str) -> str:
-    """Where this application keeps the share snapshot of a folder of tables; written on first use."""
-    folder = f"{shared_folder(spark)}/share-{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir)}"
+    """Where this application keeps the share snapshot of a folder of tables: written on first use, and anew once a table's files change."""
+    files = "/".join(fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "nation", "region"))
+    folder = f"{shared_folder(spark)}/share-{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir + files)}"
     if versions.version(spark, folder) is None:
         v = Views(spark, sf_dir)
         versions.replace(share.snapshot(v.visible, v.providers, MIN_CELL), folder)
@@ -331,19 +332,28 @@ def _rows(spark, sf_dir):
 
 @query("w07_parquet_metadata", "SELECT count(*) AS rows, 'e-1' AS export FROM customer")
 def w07(spark, sf_dir):
-    path = _path(spark, "parquet")
+    path = _path(ship(spark), "parquet")
     exports.write_parquet(_rows(spark, sf_dir), path, {"id": "e-1"})
-    back = spark.read.parquet(path)
-    return back.agg(F.count("*").alias("rows"), F.lit(back.schema["domain"].metadata["export"]["id"]).alias("export"))
+    told = file_sink.footers(spark, path).agg(F.min("metadata.id").alias("export"), F.max("metadata.id").alias("last")).where("export = last").select("export")
+    return spark.read.parquet(path).agg(F.count("*").alias("rows")).join(F.broadcast(told))
 
 
 @query("w08_csv_text", "SELECT c_name AS domain, c_mktsegment || '|x' AS lists, CASE WHEN c_acctbal < 0 THEN 'true' ELSE 'false' END AS flag, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS n FROM customer")
 def w08(spark, sf_dir):
-    path = _path(spark, "csv")
+    path = _path(ship(spark), "csv")
     exports.write_csv(_rows(spark, sf_dir), path, {"export": "e-1"})
     return exports.read_csv(spark, path).fillna("")
 
 
+@query("w08_csv_first_lines", "SELECT '# export=e-1 rows=all' AS line, true AS every_file")
+def w08_lines(spark, sf_dir):
+    """What the first lines of all files of an export say."""
+    path = _path(ship(spark), "csv")
+    exports.write_csv(_rows(spark, sf_dir).repartition(4, "domain"), path, {"export": "e-1", "rows": "all"})
+    lines = file_sink.first_lines(spark, path)
+    return lines.groupBy("line").agg((F.count("*") == F.lit(len(spark.read.csv(path, pathGlobFilter="*.csv").inputFiles()))).alias("every_file"))
+
+
 @query("w09_schema_sidecar", "SELECT unnest(['domain', 'lists', 'flag', 'n']) AS name, unnest(['string', 'array<string>', 'boolean', 'bigint']) AS type")
 def w09(spark, sf_dir):
     doc = F.from_json("value", "metadata map<string,string>, fields array<struct<name:string,type:string>>")
@@ -352,11 +362,47 @@ def w09(spark, sf_dir):
 
 @query("w11_report_files", "SELECT 'segments' AS metric, count(DISTINCT c_mktsegment) AS rows FROM customer UNION ALL SELECT 'nations', count(DISTINCT c_nationkey) FROM customer")
 def w11(spark, sf_dir):
-    folder, c = _path(spark, "report"), _customers(spark, sf_dir)
-    names = {"segments": c.groupBy("c_mktsegment").count(), "nations": c.groupBy("c_nationkey").count()}
-    exports.write_report(names, folder)
-    parts = [spark.read.option("header", True).csv(f"{folder}/{n}").agg(F.lit(n).alias("metric"), F.count("*").alias("rows")) for n in names]
-    return parts[0].unionByName(parts[1])
+    return _report(spark, sf_dir).where("place > 0").groupBy("metric").agg(F.count("*").alias("rows"))
+
+
+@query("w11_report_lines", "SELECT 'segments' AS metric, c_mktsegment AS name, CAST(count(*) AS VARCHAR) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'nations', CAST(c_nationkey AS VARCHAR), CAST(count(*) AS VARCHAR) FROM customer GROUP BY 2 UNION ALL SELECT unnest(['segments', 'nations', 'nothing']), unnest(['c_mktsegment', 'c_nationkey', 'c_name']), unnest(['count', 'count', 'n'])")
+def w11_lines(spark, sf_dir):
+    """Every line of a report's ZIP, headers included; a metric without rows has its header alone."""
+    return _report(spark, sf_dir).select("metric", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("n"))
+
+
+def _report(spark, sf_dir):
+    folder, c = _path(ship(spark), "report"), _customers(spark, sf_dir)
+    metrics = {"segments": c.groupBy("c_mktsegment").count(), "nations": c.groupBy("c_nationkey").count()}
+    exports.write_report(metrics | {"nothing": c.where("c_custkey < 0").select("c_name", F.lit(1).alias("n"))}, folder)
+    return file_sink.zip_lines(spark, folder)
+
+
+@query("w12_expired_months", "SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y%m') >= '199506' GROUP BY 1")
+def w12_months(spark, sf_dir):
+    """Observations by month after those before the retention of 36 months are removed."""
+    path = _path(spark, "observations")
+    exports.write_observations(Views(spark, sf_dir).t("orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate", ["o_orderkey"])
+    exports.expire_months(spark, path, "1998-06-15", exports.RETENTION["observations"])
+    return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("w12_swept_captures", "SELECT unnest(['light', 'checkout']) AS prefix, unnest([count(*) FILTER (c_mktsegment < 'C'), count(*) FILTER (c_mktsegment > 'C')]) AS removed FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)")
+def w12_sweep(spark, sf_dir):
+    """Captures, a file a segment and nation, all older than tomorrow; a dry run before removes none."""
+    path, c = _path(ship(spark), "captures"), _customers(spark, sf_dir)
+    for prefix, some in (("light", "c_mktsegment < 'C'"), ("checkout", "c_mktsegment > 'C'")):
+        named = c.where(some).select("c_mktsegment", "c_nationkey", F.lit("page").alias("value")).distinct()
+        named.repartition("c_mktsegment", "c_nationkey").write.partitionBy("c_mktsegment", "c_nationkey").text(f"{path}/{prefix}")
+    tomorrow = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    exports.sweep_captures(spark, path, tomorrow, dry_run=True)
+    return exports.sweep_captures(spark, path, tomorrow)
+
+
+@query("w12_plans_without_optouts", sql("SELECT host_id FROM store WHERE NOT optout AND host_id % 3 <> 0", "store"))
+def w12_plans(spark, sf_dir):
+    s = Views(spark, sf_dir).stores
+    return exports.without_optouts(s.where("host_id % 3 <> 0").select("host_id"), s.select("host_id", "domain"), s.select("domain", "optout"))
 
 
 @query("w14_rule_conflicts", "SELECT o_custkey AS rule_id, o_orderkey AS version FROM orders WHERE o_orderkey % 5 = 0")

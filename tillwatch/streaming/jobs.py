@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import alerts, reports
 from ..schemas import REACHED
@@ -40,42 +38,72 @@ def merged_share(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return reports.merged_state(spark.read.parquet(path), ["month", *keys])
 
 
-def changes(scans: DataFrame) -> DataFrame:
-    """Two-in-a-row change events of a stream: host_id, entity_id, event_type, scan_id.
+EVENTS = "host_id long, entity_id string, event_type string, scan_id long"
+
+
+class Sightings(StatefulProcessor):
+    """Two-in-a-row change detection of one host: a row of state an entity, and the last scan that counted.
 
-    scans: host_id, scan_id, ts (text that sorts), status, entities array<string>. Each host's state is its entities with
-    confirmations and misses, and the last scan; a scan that isn't later than the last one is none of news.
+    Only the entities that a scan changes are written; a host that no scan reached for `idle_days` of event time loses its
+    state by a timer, which each batch of the host moves on.
     """
-    events = "host_id long, entity_id string, event_type string, scan_id long"
-    state = "entities array<string>, confirmations array<int>, misses array<int>, last string"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        known, last = {}, ""
-        if held.exists:
-            names, c, m, last = held.get
-            known = {n: [int(a), int(b)] for n, a, b in zip(names, c, m)}
-        rows = pd.concat(list(frames)).sort_values(["ts", "scan_id"])
-        out = []
-        for r in rows[rows["status"] == REACHED].itertuples():
-            at = f"{r.ts}|{int(r.scan_id):020d}"
-            if at <= last:
+
+    def __init__(self, idle_days: int):
+        self.idle_ms = idle_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entities = handle.getMapState("entities", "entity_id string", "confirmations int, misses int")
+        self.last = handle.getValueState("last", "at timestamp, scan_id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        last = self.last.get() if self.last.exists() else None
+        newest = last[0] if last else None
+        for r in sorted(rows, key=lambda r: (r.ts, r.scan_id)):
+            if r.status != REACHED or (last and (r.ts, r.scan_id) <= last):
                 continue
-            last, seen = at, set(r.entities)
-            for n in sorted(seen):
-                c = known.setdefault(n, [0, 0])
-                c[0], c[1] = c[0] + 1, 0
-                if c[0] == 2:
-                    out.append((key[0], n, "added", r.scan_id))
-            for n in sorted(known.keys() - seen):
-                known[n][1] += 1
-                if known[n][1] >= 2:
-                    out.append((key[0], n, "removed", r.scan_id))
-                    del known[n]
-        names = sorted(known)
-        held.update((names, [known[n][0] for n in names], [known[n][1] for n in names], last))
-        yield pd.DataFrame(out, columns=["host_id", "entity_id", "event_type", "scan_id"])
-
-    return scans.groupBy("host_id").applyInPandasWithState(step, events, state, "append", GroupStateTimeout.NoTimeout)
+            last = newest, _ = (r.ts, r.scan_id)
+            yield from self._scan(key[0], r.scan_id, set(r.entities or ()))
+        if last:
+            self.last.update(last)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle_ms)
+
+    def _scan(self, host: int, scan_id: int, seen: set[str]) -> Iterator[Row]:
+        event = lambda name, kind: Row(host_id=host, entity_id=name, event_type=kind, scan_id=scan_id)
+        known = {k[0]: v for k, v in self.entities.iterator()}
+        for name in sorted(seen):
+            n = known.get(name, (0, 0))[0] + 1
+            self.entities.updateValue((name,), (n, 0))
+            if n == 2:
+                yield event(name, "added")
+        for name in sorted(known.keys() - seen):
+            n, misses = known[name]
+            if misses + 1 < 2:
+                self.entities.updateValue((name,), (n, misses + 1))
+            else:
+                self.entities.removeKey((name,))
+                yield event(name, "removed")
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+        self.entities.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def changes(scans: DataFrame, idle_days: int = 3650, late: str = "0 seconds") -> DataFrame:
+    """Two-in-a-row change events of a stream: host_id, entity_id, event_type, scan_id.
+
+    scans: host_id, scan_id, ts (timestamp), status, entities array<string>. A scan that isn't later than the host's last one, by time
+    and id, is none of news. State is kept in RocksDB, a row an entity, so a host's size bounds no batch. A host that is idle for
+    `idle_days` of event time is forgotten. Needs the protobuf package, as all of Spark's keyed state in Python does.
+    """
+    scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return scans.withWatermark("ts", late).groupBy("host_id").transformWithState(Sightings(idle_days), EVENTS, "append", "eventTime")
 
 
 def alert_deliveries(events: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
