@@ -54,21 +54,19 @@ class Sightings(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entities = handle.getMapState("entities", "entity_id string", "confirmations int, misses int")
-        self.last = handle.getValueState("last", "at timestamp, scan_id long")
+        self.last = handle.getValueState("last", "at long, scan_id long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
-        last = self.last.get() if self.last.exists() else None
-        newest = last[0] if last else None
-        for r in sorted(rows, key=lambda r: (r.ts, r.scan_id)):
-            if r.status != REACHED or (last and (r.ts, r.scan_id) <= last):
-                continue
-            last = newest, _ = (r.ts, r.scan_id)
-            yield from self._scan(key[0], r.scan_id, set(r.entities or ()))
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for r in sorted(rows, key=lambda r: (r.at, r.scan_id)):
+            if r.status == REACHED and (last is None or (r.at, r.scan_id) > last):
+                last = r.at, r.scan_id
+                yield from self._scan(key[0], r.scan_id, set(r.entities or ()))
         if last:
             self.last.update(last)
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle_ms)
+            self.handle.registerTimer(last[0] // 1000 + self.idle_ms)
 
     def _scan(self, host: int, scan_id: int, seen: set[str]) -> Iterator[Row]:
         event = lambda name, kind: Row(host_id=host, entity_id=name, event_type=kind, scan_id=scan_id)
@@ -103,7 +101,8 @@ def changes(scans: DataFrame, idle_days: int = 3650, late: str = "0 seconds") ->
     `idle_days` of event time is forgotten. Needs the protobuf package, as all of Spark's keyed state in Python does.
     """
     scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return scans.withWatermark("ts", late).groupBy("host_id").transformWithState(Sightings(idle_days), EVENTS, "append", "eventTime")
+    placed = scans.withWatermark("ts", late).select("host_id", "scan_id", "ts", F.unix_micros("ts").alias("at"), "status", "entities")
+    return placed.groupBy("host_id").transformWithState(Sightings(idle_days), EVENTS, "append", "eventTime")
 
 
 def alert_deliveries(events: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
