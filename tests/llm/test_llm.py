@@ -120,6 +120,47 @@ def test_dual_search_is_exact(leaf, monkeypatch):
         covered(tree[2], np.inf)
 
 
+def test_clustered_vectors_are_pruned():
+    """Pairs of nodes that are descended and pruned on far clusters: few pairs of points are scored."""
+    r = np.random.default_rng(3)
+    x = 400 * np.eye(32, dtype=np.int64)[r.integers(0, 32, 3000)] + r.integers(-8, 9, (3000, 32))
+    ids = np.arange(3000)
+    data, asked = cover_tree.block_tree(ids, x, False), cover_tree.block_tree(ids[::20], x[::20], True)
+    seen = {}
+    found = cover_tree.dual_search(asked, data, 10, seen=seen)
+    scores = x[::20] @ x.T
+    want = [(20 * k, int(j), int(s[j])) for k, s in enumerate(scores) for j in [j for j in np.lexsort((ids, -s)) if j != 20 * k][:10]]
+    assert sorted(found) == sorted(want)
+    assert data[2].depth > 2 and asked[2].depth > 1
+    assert seen["bounded"] > seen["pruned"] > 0.2 * seen["bounded"] and seen["scored"] < 0.05 * seen["all"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_trees_of_the_given_vectors_are_deep(sf, spark):
+    """Nearly orthogonal vectors: no node of several points is near enough to be told apart, so little is pruned, but both trees are descended."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", cover_tree.quantised(F.col("embedding")).alias("x")).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.x for r in rows])
+    seen, data, asked = {}, cover_tree.block_tree(ids, x, False), cover_tree.block_tree(ids[ids % 20 == 0], x[ids % 20 == 0], True)
+    assert len(cover_tree.dual_search(asked, data, 20, seen=seen)) == 20 * (ids % 20 == 0).sum()
+    assert data[2].depth >= 4 and asked[2].depth >= 2 and max(len(n.points) for n in leaves(data[2])) <= cover_tree.LEAF
+    assert seen["bounded"] > len(rows) / cover_tree.LEAF
+
+
+def leaves(node):
+    return [n for c in node.children for n in leaves(c)] if node.children else [node]
+
+
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 50)
+    rows = [(7, [1, 2, 3])] * 400 + [(k, [k % 5, 1, -k % 3]) for k in range(100, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, x array<long>").repartition(4)
+    assert max(len(cover_tree.pickle.loads(r.tree)[1][0]) for r in cover_tree.blocks_of(df.select(F.col("vec_id").alias("i"), "x", F.lit(False).alias("q"), F.monotonically_increasing_id().alias("salt"))).collect()) < 150
+    found = [tuple(r) for r in cover_tree.search(df, F.col("vec_id") == 150, 5, "vec_id", F.col("x")).collect()]
+    q = dict(rows)[150]
+    want = sorted(((-sum(a * b for a, b in zip(q, x)), i) for i, x in rows if i != 150))[:5]
+    assert sorted(found, key=lambda r: r[1]) == [(150, k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 @pytest.mark.parametrize("apart", [0, 60])
 def test_blocks_of_queries_and_data(spark, monkeypatch, apart):
     monkeypatch.setattr(cover_tree, "DATA_BLOCK", 40)

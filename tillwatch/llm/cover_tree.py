@@ -10,15 +10,14 @@ best k of all pairs of blocks are merged by query. The query set is stated, and
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do null ids. Vectors are compared with
 those of their own length alone. Ties go to the smaller id. A query never finds its own id; fewer candidates than k give
-fewer rows. Repeated ids are repeated candidates (and a repeated query id is one query per distinct vector). An empty table
-gives no rows. Only named columns are read.
+fewer rows. Repeated ids are repeated candidates, and rows that repeat are dealt to blocks one by one. Queries of one id share its k
+rows, which are the best for any of its vectors. An empty table gives no rows. Only named columns are read.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +26,123 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows in a block of data and in one of queries, points in a leaf, and children from which points count as equidistant: large enough that a pair of leaves is one matrix product.
-DATA_BLOCK, QUERY_BLOCK, LEAF, BRANCHES = 16384, 4096, 512, 64
+#: Rows in a block of data and in one of queries, points in a leaf at most, and points that one matrix product takes.
+DATA_BLOCK, QUERY_BLOCK, LEAF, PRODUCT = 16384, 4096, 16, 1024
+#: Children from which on a node's scale shrinks by less than a half.
+CHILDREN = 64
 #: Rows of which centres of regions are chosen, and most centres a length.
 SAMPLE, CENTRES = 4096, 256
 
 
+class Tree:
+    """A cover tree as arrays: nodes in the order of their levels, the children of each one after the other.
+
+    A node's points are `order[start:end]`; all lie within `radius` of its centre, which is one of them.
+    """
+
+    def __init__(self, x: np.ndarray, leaf: int):
+        self.x, self.order, sq = x, np.arange(len(x)), (x**2).sum(axis=1)
+        start, end, centre, radius, first, kids = [0], [len(x)], [0], [], [], []
+        far = lambda own, c: np.sqrt(np.maximum(sq[own] + sq[c] - 2 * (x[own] @ x[c]), 0))
+        near = [far(self.order, 0)]  # distances of a node's points to its centre, in their order
+        scale, at = [float(near[0].max())], 0
+        while at < len(start):
+            own, d = self.order[start[at] : end[at]], near[at]
+            near[at] = None
+            radius.append(float(d.max()))
+            first.append(len(start))
+            kids.append(0)
+            if len(own) > leaf and radius[at] > 0:
+                s = scale[at] / 2
+                while s >= radius[at]:
+                    s /= 2
+                split = self._split(own, d, centre[at], s, far, min(CHILDREN, len(own) // 4))
+                if split is None:  # a base below 2: the centre covers half of the points
+                    s = max(s, float(np.median(d)))
+                    s = float(d[d < radius[at]].max()) if s >= radius[at] else s
+                    split = self._split(own, d, centre[at], s, far, len(own))
+                centres, belongs, best = split
+                by = belongs.argsort(kind="stable")
+                self.order[start[at] : end[at]] = own[by]
+                bounds = np.searchsorted(belongs[by], np.arange(len(centres) + 1))
+                for k, c in enumerate(centres):
+                    if bounds[k] < bounds[k + 1]:
+                        start.append(start[at] + int(bounds[k]))
+                        end.append(start[at] + int(bounds[k + 1]))
+                        centre.append(int(c))
+                        near.append(best[by][bounds[k] : bounds[k + 1]])
+                        scale.append(s)
+                        kids[at] += 1
+            at += 1
+        self.start, self.end, self.first, self.kids = (np.array(v) for v in (start, end, first, kids))
+        self.middle, self.radius = np.array(centre), np.array(radius)
+        self.centre = x[self.middle]
+        self.norm = np.sqrt((self.centre**2).sum(axis=1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "centre"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.centre = self.x[self.middle]
+
+    @staticmethod
+    def _split(own: np.ndarray, d: np.ndarray, centre: int, s: float, far, most: int):
+        """Centres farther apart than `s` that cover points within it, the nearest of them for each point, and its distance; none if they would be more than `most`."""
+        centres, belongs, best = [centre], np.zeros(len(own), np.int64), d.copy()
+        while best.max() > s:
+            if len(centres) == most:
+                return None
+            c = own[best.argmax()]  # the farthest point: separated from all others
+            each = far(own, c)
+            closer = each < best
+            belongs[closer], best[closer] = len(centres), each[closer]
+            centres.append(c)
+        return centres, belongs, best
+
+    def children(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of nodes that have some."""
+        many = self.kids[nodes]
+        return np.repeat(self.first[nodes] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+    def points(self, nodes: np.ndarray) -> np.ndarray:
+        many = self.end[nodes] - self.start[nodes]
+        return self.order[np.repeat(self.start[nodes] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+
 @dataclass
 class Node:
-    """Points of a subtree: all lie within `radius` of the centre; a leaf has no children."""
+    """One node of a tree."""
+
+    tree: Tree
+    k: int = 0
+
+    @property
+    def centre(self) -> np.ndarray:
+        return self.tree.centre[self.k]
+
+    @property
+    def radius(self) -> float:
+        return float(self.tree.radius[self.k])
 
-    centre: np.ndarray
-    points: np.ndarray
-    radius: float = 0.0
-    children: list = field(default_factory=list)
+    @property
+    def points(self) -> np.ndarray:
+        return self.tree.points(np.array([self.k]))
+
+    @property
+    def children(self) -> list[Node]:
+        return [Node(self.tree, k) for k in self.tree.children(np.array([self.k])).tolist()] if self.tree.kids[self.k] else []
+
+    @property
+    def depth(self) -> int:
+        return 1 + max((c.depth for c in self.children), default=0)
 
 
 def cover_tree(x: np.ndarray) -> Node:
-    """A cover tree over distinct points: at each level the scale halves, children of a node are farther apart than the
-    scale and cover the node's points within it. Radii are the true ones. A node of few points is a leaf; so is one that
-    would need BRANCHES children or more, as no halved scale covers its nearly equidistant points by fewer."""
-
-    def build(own: np.ndarray, first: int, distances: np.ndarray, scale: float) -> Node:
-        node = Node(x[first], own, float(distances.max()) if len(own) else 0.0)
-        while scale > node.radius > 0:
-            scale /= 2
-        if len(own) <= LEAF or node.radius == 0:
-            return node
-        centre, near, belongs = first, distances.copy(), np.zeros(len(own), np.int64)
-        centres, each = [first], [distances]
-        while near.max() > scale:
-            centre = own[near.argmax()]  # the farthest point: a new child, separated from all others
-            d = np.sqrt(np.maximum(((x[own] - x[centre]) ** 2).sum(axis=1), 0))
-            closer = d < near
-            belongs[closer], near[closer] = len(centres), d[closer]
-            centres.append(centre)
-            each.append(d)
-            if len(centres) >= BRANCHES:
-                return node
-        if len(centres) == 1:
-            return build(own, first, distances, scale / 2)
-        for k, c in enumerate(centres):
-            mine = belongs == k
-            if mine.any():
-                node.children.append(build(own[mine], c, each[k][mine], scale / 2))
-        return node
-
-    start = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
-    return build(np.arange(len(x)), 0, start, float(start.max()))
+    """The root of a cover tree over distinct points. A node's children are farther apart than its next scale and cover its
+    points within it. Scales halve, or shrink by less where that would give more than CHILDREN children, or fewer than four points a child, as nearly equidistant points do: then the
+    centre covers half of its node, so the tree stays deep. Radii are the true ones."""
+    return Node(Tree(x, LEAF))
 
 
 def distinct_points(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,52 +190,90 @@ def block_tree(ids: np.ndarray, x: np.ndarray, query: bool) -> tuple:
     """A block's points, their ids and cover tree. Queries of one id and vector are one; rows of data that share a vector are one point."""
     if query:
         once = np.unique(np.column_stack([ids, x]), axis=0)
-        return once[:, 1:], once[:, 0], cover_tree(once[:, 1:].astype(np.float64))
+        root = cover_tree(once[:, 1:].astype(np.float64))
+        return root.tree.x, once[:, 0], root
     points, held = distinct_points(ids, x)
-    return points, held, cover_tree(points.astype(np.float64))
-
-
-def dual_search(asked: tuple, data: tuple, k: int, floor: float = -np.inf) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of the k best of each query of a block within a block of data, of those that reach `floor`."""
-    q, query_ids, q_tree = asked
-    points, held, d_tree = data
-    q, points = q.astype(np.float64), points.astype(np.float64)
-    best = Best(len(q), k, floor)
-
-    def bounds(node: Node, others: list[Node]) -> np.ndarray:
-        centres = np.stack([o.centre for o in others])
-        radii = np.array([o.radius for o in others])
-        return centres @ node.centre + np.sqrt((node.centre**2).sum()) * radii + np.sqrt((centres**2).sum(axis=1)) * node.radius + node.radius * radii + 1e-6
-
-    def leaf(node: Node, others: list[Node]) -> None:
-        """Data nodes by descending bound, until the rest can't reach the group's worst kth score."""
-        heap, ticket = [(-b, n, o) for n, (b, o) in enumerate(zip(bounds(node, others).tolist(), others))], len(others)
-        heapq.heapify(heap)
-        own = node.points
-        while heap:
-            bound, _, other = heapq.heappop(heap)
-            if -bound < best.worst(own).min():
+    root = cover_tree(points.astype(np.float64))
+    return root.tree.x, held, root
+
+
+def dual_search(asked: tuple, data: tuple, k: int, floor: float = -np.inf, seen: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
+    """(query id, id, score) of the k best of each query of a block within a block of data, of those that reach `floor`.
+
+    Both trees are descended together. What becomes of pairs is added to `seen`: pairs of nodes `bounded`, of those `pruned`, and
+    pairs of points `scored`, of `all`.
+    """
+    (q, query_ids, q_root), (points, held, d_root) = asked, data
+    qt, dt = q_root.tree, d_root.tree
+    best, seen = Best(len(q), k, floor), {} if seen is None else seen
+
+    def count(name: str, n: int) -> None:
+        seen[name] = seen.get(name, 0) + int(n)
+
+    def bounds(node: int, others: np.ndarray) -> np.ndarray:
+        r, s = qt.radius[node], dt.radius[others]
+        return dt.centre[others] @ qt.centre[node] + qt.norm[node] * s + dt.norm[others] * r + r * s + 1e-6
+
+    def reaching(node: int, own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of data nodes, those that may hold one of the k best of a group of queries, and their bounds."""
+        b = bounds(node, others)
+        keep = b >= best.worst(own).min()
+        count("bounded", len(keep))
+        count("pruned", len(keep) - keep.sum())
+        return others[keep], b[keep]
+
+    def score(own: np.ndarray, leaves: np.ndarray) -> None:
+        found = dt.points(leaves)
+        count("scored", len(own) * len(found))
+        best.offer(own, query_ids[own], q[own] @ points[found].T, found, held)
+
+    def leaf(node: int, others: np.ndarray) -> None:
+        """A group of queries: first the smallest node of more than k points where the greatest bounds lead, for a worst kth score; then all that still reaches it, by descending bound."""
+        own = qt.points(np.array([node]))
+        others, b = reaching(node, own, others)
+        if not len(others):
+            return
+        lead = int(others[b.argmax()])
+        while dt.kids[lead]:
+            below = dt.children(np.array([lead]))
+            nearest = int(below[bounds(node, below).argmax()])
+            if dt.end[nearest] - dt.start[nearest] <= k:
+                break
+            lead = nearest
+        score(own, np.array([lead]))
+        others, b = reaching(node, own, others)
+        while (inner := dt.kids[others] > 0).any():
+            below, c = reaching(node, own, dt.children(others[inner]))
+            others, b = np.concatenate([others[~inner], below]), np.concatenate([b[~inner], c])
+        order = (-b).argsort(kind="stable")
+        others, b = others[order], b[order]
+        rest = (dt.start[others] < dt.start[lead]) | (dt.start[others] >= dt.end[lead])
+        others, b = others[rest], b[rest]
+        sizes = np.cumsum(dt.end[others] - dt.start[others])
+        at = 0
+        while at < len(others):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PRODUCT, "right")))
+            worst = best.worst(own).min()
+            end = min(end, at + int((b[at:end] >= worst).sum()))  # bounds descend
+            if end == at:
+                count("pruned", len(others) - at)
                 return
-            if other.children:
-                least = best.worst(own).min()
-                for b, o in zip(bounds(node, other.children).tolist(), other.children):
-                    if b >= least:
-                        heapq.heappush(heap, (-b, ticket, o))
-                        ticket += 1
-                continue
-            best.offer(own, query_ids[own], q[own] @ points[other.points].T, other.points, held)
-
-    todo = [(q_tree, [d_tree])]
+            score(own, others[at:end])
+            at = end
+
+    count("all", len(q) * len(points))
+    todo = [(0, np.zeros(1, np.int64))]
     while todo:
         node, others = todo.pop()
-        if not node.children:
+        if not qt.kids[node]:
             leaf(node, others)
             continue
-        wider = [c for o in others for c in (o.children if o.children and o.radius > node.radius else [o])]
-        for child in node.children:
-            worst = best.worst(child.points).min()
-            keep = [o for o, b in zip(wider, bounds(child, wider).tolist()) if b >= worst]
-            todo.append((child, keep))
+        wide = (dt.kids[others] > 0) & (dt.radius[others] > qt.radius[node])
+        wider = np.concatenate([others[~wide], dt.children(others[wide])])
+        for child in qt.children(np.array([node])).tolist():
+            keep, _ = reaching(child, qt.points(np.array([child])), wider)
+            if len(keep):
+                todo.append((child, keep))
     row, col = np.nonzero(np.isfinite(best.scores))
     return list(zip(query_ids[row].tolist(), best.ids[row, col].tolist(), best.scores[row, col].astype(np.int64).tolist()))
 
@@ -201,13 +307,14 @@ def blocks_of(rows: DataFrame) -> DataFrame:
                     own = np.flatnonzero(sizes == w)
                     x = values[starts[own][:, None] + np.arange(w)].astype(np.float64)
                     region[own] = ((near**2).sum(axis=1) - 2 * x @ near.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), column, batch.column("q"), pa.array(sizes.astype(np.int32)), pa.array(region)], names=["i", "x", "q", "w", "region"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), column, batch.column("q"), pa.array(sizes.astype(np.int32)), pa.array(region), batch.column("salt")], names=["i", "x", "q", "w", "region", "salt"])
 
-    placed = rows.mapInArrow(place, "i long, x array<long>, q boolean, w int, region int")
-    sides = placed.select("*", F.explode(F.when(F.col("q"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("of")).drop("q")
+    placed = rows.mapInArrow(place, "i long, x array<long>, q boolean, w int, region int, salt long")
+    asked = placed.where("q").select("i", "x", "w", "region", F.lit(True).alias("of")).distinct().withColumn("salt", F.lit(0).cast("bigint"))
+    sides = placed.select("i", "x", "w", "region", F.lit(False).alias("of"), "salt").unionByName(asked)
     sizes = sides.groupBy("of", "w", "region").agg(F.count("*").alias("n"))
     cuts = F.ceil(F.col("n") / F.when(F.col("of"), QUERY_BLOCK).otherwise(DATA_BLOCK))
-    dealt = sides.join(sizes, ["of", "w", "region"]).select("i", "x", "of", "w", "region", F.pmod(F.xxhash64("i", "x"), cuts).alias("cut"))
+    dealt = sides.join(sizes, ["of", "w", "region"]).select("i", "x", "of", "w", "region", F.pmod(F.xxhash64("i", "x", "salt"), cuts).alias("cut"))
 
     def plant(table: pa.Table) -> pa.Table:
         ids, column = table.column("i").to_numpy(), table.column("x").combine_chunks()
@@ -243,7 +350,7 @@ def searched(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 def search(df: DataFrame, is_query: Column, k: int, id_col: str, vector: Column) -> DataFrame:
     """The k best rows for each query: query_id, rank, <id_col>, score. `vector` is an array of whole numbers."""
     common.session(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("i"), vector.cast("array<long>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q")).where("i is not null and size(x) > 0")
+    rows = df.select(df[id_col].cast("long").alias("i"), vector.cast("array<long>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("salt")).where("i is not null and size(x) > 0")
     blocks = blocks_of(rows)
     q, d = (blocks.where(F.col("q") == of).select("w", F.col("block").alias(name + "b"), F.col("centre").alias(name + "c"), F.col("radius").alias(name + "r")) for of, name in ((True, "q"), (False, "d")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
