@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions import addresses, hosts, text
 from tillwatch.operators import detect, state, usage, versions
+from tillwatch.plans import source_queries
 from tillwatch.sources import captures, readers
 
 
@@ -231,8 +232,11 @@ def test_captures_with_and_without_pages(spark, tmp_path):
 def test_leaves_of_other_kinds_and_broken_ones():
     name = lambda v: bytes([0x82, len(v)]) + v
     names = name(b"a.example") + bytes([0x87, 4, 1, 2, 3, 4]) + name(b"b.example")
-    san = bytes.fromhex("0603551d11") + b"\x01\x01\xff" + bytes([0x04, len(names) + 2, 0x30, len(names)]) + names
-    der = bytes.fromhex("0603550403") + b"\x0c\x09issuer.ca" + bytes.fromhex("0603550403") + b"\x0c\x09c.example" + san
+    tlv = source_queries._tlv
+    san = tlv(0x30, bytes.fromhex("0603551d11"), b"\x01\x01\xff", tlv(0x04, tlv(0x30, names)))
+    subject = lambda v: tlv(0x30, tlv(0x31, tlv(0x30, bytes.fromhex("0603550403"), tlv(0x0C, v))))
+    signed = tlv(0x30, tlv(0x02, b"\1"), tlv(0x30), subject(b"issuer.ca"), tlv(0x30), subject(b"c.example"), tlv(0x30), tlv(0xA3, tlv(0x30, san)))
+    der = tlv(0x30, signed, tlv(0x30), tlv(0x03, b"\0"))
     leaf = lambda kind, body: b"\0" * 10 + kind + len(body).to_bytes(3, "big") + body
     assert captures.leaf_names(leaf(b"\0\0", der)) == ["a.example", "b.example", "c.example"]
     assert captures.leaf_names(leaf(b"\0\1", der)) is None and captures.leaf_names(b"short") == []

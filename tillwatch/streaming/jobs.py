@@ -56,7 +56,7 @@ class Sightings(StatefulProcessor):
         self.entities = handle.getMapState("entities", "entity_id string", "confirmations int, misses int")
         self.last = handle.getValueState("last", "at long, scan_id long")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last = tuple(self.last.get()) if self.last.exists() else None
         for r in sorted(rows, key=lambda r: (r.at, r.scan_id)):
             if r.status == REACHED and (last is None or (r.at, r.scan_id) > last):
@@ -84,7 +84,7 @@ class Sightings(StatefulProcessor):
                 self.entities.removeKey((name,))
                 yield event(name, "removed")
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.entities.clear()
         self.last.clear()
         return iter(())
