@@ -2,7 +2,7 @@
 
 Tasks write under `_pending-<write>/` with a name of their own for each attempt, and tell the driver which files they finished.
 Only the commit moves those to the folder, then puts `_SUCCESS` beside them; with overwrite, what was there before goes after that.
-A write that fails leaves nothing, a task that runs twice leaves one file. Rows pass through a task batch by batch.
+A write that fails leaves no file, a task that runs twice leaves one. Rows pass through a task batch by batch.
 """
 
 from __future__ import annotations
@@ -122,6 +122,8 @@ class FileWriter(DataSourceArrowWriter):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.schema = to_arrow_schema(schema)
+        store, root = store_of(self.path)  # on the driver, before any task: a task that outlives an aborted write doesn't bring the folder back
+        store.create_dir(f"{root}/{self.pending}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         first = next(iterator, None)
@@ -129,7 +131,6 @@ class FileWriter(DataSourceArrowWriter):
         if first is None and task:  # an empty export still has one file
             return Written(None, 0)
         store, root = store_of(self.path)
-        store.create_dir(f"{root}/{self.pending}", recursive=True)
         name = f"part-{task:05d}-{uuid.uuid4()}.{self.kind}"
 
         def batches():

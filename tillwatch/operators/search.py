@@ -159,7 +159,8 @@ class SearchRequest:
 def search(views, request: SearchRequest, segment=None) -> DataFrame:
     """Visible stores of a segment that pass the filters, one page, as documents of the profile.
 
-    The page is fetched first: at most limit + 1 rows. Their ids then filter the children's scans.
+    Filters on a store's own columns come before its visibility, so sources are looked up for few. The page is fetched first, in one job: at most
+    limit + 1 rows. Their ids then filter the children's scans.
     """
     from .visibility import Segment, with_profile
 

@@ -6,12 +6,13 @@ Each view has a DataFrame form and the SQL of the same rows, so that queries can
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import fingerprint
+from ..session import fingerprint, shared_folder
 
 MIN_CELL = 5
 NOW = "2024-01-31 00:00:00"
@@ -89,6 +90,40 @@ class Views:
         return client_visible(self.stores, self.sources)
 
 
+class StoredViews(Views):
+    """The same views, with the children of stores kept as tables clustered by host, as a database would keep them.
+
+    A table is written on first use and anew when the files that it is made of change. A search's existence tests then read two
+    columns of one table, and a page's hosts skip all row groups but theirs.
+    """
+
+    def _kept(self, name: str, df: DataFrame, made_of: tuple[str, ...]) -> DataFrame:
+        files = "/".join(fingerprint(self.spark, f"{self.sf_dir}/{t}.parquet") for t in made_of)
+        folder = f"{shared_folder(self.spark)}/{name}-{uuid.uuid5(uuid.NAMESPACE_URL, self.sf_dir + files)}"
+        key = self.spark.sparkContext.applicationId, folder
+        if key not in _SCHEMAS:
+            df.repartitionByRange("host_id").sortWithinPartitions("host_id").write.mode("overwrite").parquet(folder)
+            _SCHEMAS[key] = "", df.schema
+        return self.spark.read.schema(_SCHEMAS[key][1]).parquet(folder)
+
+    @property
+    def providers(self) -> DataFrame:
+        return self._kept("providers", super().providers, ("orders", "lineitem"))
+
+    @property
+    def methods(self) -> DataFrame:
+        return self._kept("methods", super().methods, ("orders", "lineitem", "part"))
+
+    @property
+    def events(self) -> DataFrame:
+        return self._kept("events", super().events, ("events",))
+
+    @property
+    def sources(self) -> DataFrame:
+        """Kinds of sources, once a host."""
+        return self._kept("sources", super().sources.select("host_id", "source").distinct(), ("orders",))
+
+
 SQL = {
     "store": """store AS (SELECT c_custkey AS host_id, c_name AS domain, n_name AS country, r_name AS region, c_mktsegment AS platform,
   CASE WHEN c_acctbal > 0 THEN CAST(floor(10000 - c_acctbal) AS BIGINT) + 1 END AS traffic_rank, c_acctbal < 0 AS optout

@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def sql_of(name: str) -> str | None:
+    """The SQL of a query that is registered already."""
+    return _QUERIES[name][1]
+
+
 def _load() -> None:
     """Import the modules that register queries."""
     for name in MODULES:

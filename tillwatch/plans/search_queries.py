@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import wilson_sql
 from ..operators import reports, search, share, versions, visibility
 from ..operators.search import Filters
-from .analog import MIN_CELL, Views, sql
+from .analog import MIN_CELL, StoredViews, Views, sql
 from .registry import query
 
 EVENTS = ("visible", "provider", "method", "event")
@@ -345,4 +345,4 @@ def c06(spark, sf_dir):
 def c07(spark, sf_dir):
     request = search.SearchRequest(Filters(countries=("NATION_6", "NATION_12"), roles=("N",)), "domain", None, 25)
     listed = F.transform("providers", lambda p: F.concat_ws(":", p["provider_id"].cast("string"), p["role"], p["confidence"]))
-    return search.search(Views(spark, sf_dir), request).select("host_id", "domain", "country", "region", "platform", F.array_join(listed, ",").alias("providers"))
+    return search.search(StoredViews(spark, sf_dir), request).select("host_id", "domain", "country", "region", "platform", F.array_join(listed, ",").alias("providers"))

@@ -12,7 +12,8 @@ from ..operators import detect, exports, file_sink, ordered, quality, search, sh
 from ..session import fingerprint, shared_folder, ship
 from ..sources import captures, log_stream, readers, synthetic
 from .analog import MIN_CELL, NOW, Views, sql
-from .registry import query
+from .more_queries import snapshot
+from .registry import query, sql_of
 
 
 def _path(spark, name: str) -> str:
@@ -270,14 +271,14 @@ def _pick_sql(u: str, options: list[str]) -> str:
 _COUNTRIES, _PLATFORMS, _NAMES = ["DE", "FR", "GB", "US", "PL"], ["shopify", "woocommerce", "magento2"], ["stripe", "adyen", "paypal", "mollie", "klarna"]
 
 
-@query("s17_synthetic_stores", f"SELECT range AS host_id, {_pick_sql(_unit_sql('country', 'range'), _COUNTRIES)} AS country, {_pick_sql(_unit_sql('platform', 'range'), _PLATFORMS)} AS platform, CASE WHEN {_unit_sql('ranked', 'range')} < {2 / 3!r}::DOUBLE THEN CAST(floor({_unit_sql('rank', 'range')} * 1000000) AS BIGINT) + 1 END AS traffic_rank FROM range(5000)")
+@query("s17_synthetic_stores", f"SELECT range AS host_id, {_pick_sql(_unit_sql('country', 'range'), _COUNTRIES)} AS country, {_pick_sql(_unit_sql('platform', 'range'), _PLATFORMS)} AS platform, CASE WHEN {_unit_sql('ranked', 'range')} < {2 / 3!r}::DOUBLE THEN CAST(floor({_unit_sql('rank', 'range')} * 1000000) AS BIGINT) + 1 END AS traffic_rank FROM (SELECT c_custkey AS range FROM customer)")
 def s17(spark, sf_dir):
-    return synthetic.stores(spark, 5000, 42, _COUNTRIES, _PLATFORMS).select("host_id", "country", "platform", "traffic_rank")
+    return synthetic.twins(_customers(spark, sf_dir), "c_custkey", 42, _COUNTRIES, _PLATFORMS).select("host_id", "country", "platform", "traffic_rank")
 
 
-@query("s17_synthetic_providers", f"SELECT DISTINCT host_id, {_pick_sql(_unit_sql('provider', 'host_id || chr(58) || k'), _NAMES)} AS provider_id FROM (SELECT range AS host_id, unnest(range(1, CAST(floor({_unit_sql('many', 'range')} * 3) AS BIGINT) + 2)) AS k FROM range(5000))")
+@query("s17_synthetic_providers", f"SELECT DISTINCT host_id, {_pick_sql(_unit_sql('provider', 'host_id || chr(58) || k'), _NAMES)} AS provider_id FROM (SELECT range AS host_id, unnest(range(1, CAST(floor({_unit_sql('many', 'range')} * 3) AS BIGINT) + 2)) AS k FROM (SELECT c_custkey AS range FROM customer))")
 def s17_providers(spark, sf_dir):
-    return synthetic.providers(synthetic.stores(spark, 5000, 42, _COUNTRIES, _PLATFORMS), 42, _NAMES)
+    return synthetic.providers(synthetic.twins(_customers(spark, sf_dir), "c_custkey", 42, _COUNTRIES, _PLATFORMS), 42, _NAMES)
 
 
 # --- sinks and writes ------------------------------------------------------------------------------------------------
@@ -360,6 +361,18 @@ def w09(spark, sf_dir):
     return exports.sidecar(_rows(spark, sf_dir), {"export": "e-1"}).select(F.explode(doc["fields"]).alias("f")).select("f.*")
 
 
+@query("w09_sidecar_beside_files", "SELECT name, type, rows, rows AS filled FROM (SELECT unnest(['domain', 'lists', 'flag', 'n']) AS name, unnest(['string', 'array<string>', 'boolean', 'bigint']) AS type) JOIN (SELECT count(*) AS rows FROM customer) ON true WHERE name <> 'n' UNION ALL SELECT 'n', 'bigint', count(*), count(*) FILTER (c_custkey % 2 = 0) FROM customer")
+def w09_files(spark, sf_dir):
+    """What a written export's sidecar says of each field, beside the rows that its footers count and the values that its files hold."""
+    path = _path(ship(spark), "parquet")
+    exports.write_parquet(_rows(spark, sf_dir), path, {"id": "e-1"})
+    doc = F.from_json("value", "metadata map<string,string>, fields array<struct<name:string,type:string>>")
+    told = spark.read.text(f"{path}.meta").select(F.explode(doc["fields"]).alias("f")).select("f.*")
+    rows, back = file_sink.footers(spark, path).agg(F.sum("rows").alias("rows")), spark.read.parquet(path)
+    filled = back.agg(F.map_from_arrays(F.array(*[F.lit(c) for c in back.columns]), F.array(*[F.count(c) for c in back.columns])).alias("n"))
+    return told.join(F.broadcast(rows.join(F.broadcast(filled)))).select("name", "type", "rows", F.element_at("n", F.col("name")).alias("filled"))  # one row
+
+
 @query("w11_report_files", "SELECT 'segments' AS metric, count(DISTINCT c_mktsegment) AS rows FROM customer UNION ALL SELECT 'nations', count(DISTINCT c_nationkey) FROM customer")
 def w11(spark, sf_dir):
     return _report(spark, sf_dir).where("place > 0").groupBy("metric").agg(F.count("*").alias("rows"))
@@ -590,12 +603,24 @@ def e07(spark, sf_dir):
 
 @query("e10_field_types", "SELECT 'domain' AS field, 'string' AS type, false AS full_only UNION ALL SELECT 'as_of', 'timestamp', false UNION ALL SELECT unnest(['platform_id', 'platform_confidence', 'country', 'country_confidence', 'checkout_status', 'coverage']), 'string', false UNION ALL SELECT unnest(['currency', 'vertical_id']), 'string', true UNION ALL SELECT 'acquirer_hidden', 'boolean', true UNION ALL SELECT unnest(['provider_ids', 'providers', 'method_ids', 'methods']), 'array<string>', false UNION ALL SELECT unnest(['providers_active_on_checkout', 'checkout_psp_hosts']), 'array<string>', true UNION ALL SELECT 'traffic_rank', 'bigint', true UNION ALL SELECT unnest(['first_seen', 'last_seen']), 'date', false UNION ALL SELECT 'last_checkout_scan_at', 'timestamp', true")
 def e10(spark, sf_dir):
-    from .more_queries import snapshot
-
     basic = exports.fields_for("snapshot", False)
     return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.name not in basic) for f in snapshot(Views(spark, sf_dir)).schema], "field string, type string, full_only boolean")
 
 
+def _filled_sql() -> str:
+    body = sql_of("e01_snapshot_rows")
+    return "WITH RECURSIVE snap AS (" + body + ") " + " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS type, count({f}) AS filled, count(*) AS rows FROM snap" for f, t in exports.FIELDS["snapshot"].items())
+
+
+@query("e10_filled_fields", _filled_sql())
+def e10_filled(spark, sf_dir):
+    """The field dictionary of a snapshot export held against its rows: the type of each field, and how many rows fill it."""
+    rows = snapshot(Views(spark, sf_dir))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(kinds[f]).alias("type"), F.count(f).alias("filled"), F.count("*").alias("rows")) for f in exports.FIELDS["snapshot"]])
+    return rows.agg(each.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 @query("e11_isolated_jobs", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN n_nationkey % 4 <> 0 THEN n END AS rows FROM (SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
 def e11(spark, sf_dir):
     c = _customers(spark, sf_dir).groupBy("c_nationkey").count()

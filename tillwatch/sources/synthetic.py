@@ -32,8 +32,12 @@ def pick(u: Column, options: list[str], exponent: float = 1.0) -> Column:
 
 def stores(spark: SparkSession, n: int, seed: int, countries: list[str], platforms: list[str], parts: int | None = None) -> DataFrame:
     """n stores: host_id, domain, country, platform, traffic_rank (for two in three)."""
-    rows = spark.range(0, n, 1, parts) if parts else spark.range(n)
-    i = F.col("id")
+    return twins(spark.range(0, n, 1, parts) if parts else spark.range(n), "id", seed, countries, platforms)
+
+
+def twins(rows: DataFrame, key: str, seed: int, countries: list[str], platforms: list[str]) -> DataFrame:
+    """A made-up store for each row of a table, by its key: as many as there are real ones, with nothing of theirs."""
+    i = F.col(key)
     ranked = F.when(unit("ranked", seed, i) < 2 / 3, F.floor(unit("rank", seed, i) * 1_000_000).cast("bigint") + 1)
     return rows.select(i.alias("host_id"), F.concat(F.lit("shop-"), i.cast("string"), F.lit(".example")).alias("domain"), pick(unit("country", seed, i), countries).alias("country"), pick(unit("platform", seed, i), platforms).alias("platform"), ranked.alias("traffic_rank"))
 
