@@ -95,6 +95,8 @@ class Tree:
                 return None
             c = own[best.argmax()]  # the farthest point: separated from all others
             each = far(own, c)
+            if len(centres) == 1 and most < len(own) and max((d <= s).sum(), (each <= s).sum()) * most < len(own):
+                return None  # neither of two distant points covers its share
             closer = each < best
             belongs[closer], best[closer] = len(centres), each[closer]
             centres.append(c)
