@@ -34,9 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _tie(df: DataFrame) -> Column:
+    """What tells rows of one place apart: a hash of the row, then a number. Only rows that are equal in all but maps are told by the number, which may differ when a task runs again."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.struct(F.xxhash64(*plain).alias("h"), F.monotonically_increasing_id().alias("n"))
+
+
 def sliced(df: DataFrame, *order: str) -> DataFrame:
     """Rows with `_row` (tells rows of one place apart) and `_slice`: slices ascend with the order, and no slice is larger for a hot key."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = df.withColumn("_row", _tie(df))
     return stored(numbered.repartitionByRange(*order, "_row").withColumn("_slice", F.spark_partition_id()))
 
 
@@ -53,7 +59,7 @@ def as_of(points: DataFrame, point: Column, starts: DataFrame, start: Column, fo
     p_type, s_type = shape(left), shape(right)
     both = left.select("_k", "_kind", F.col("_x").alias("_p"), F.lit(None).cast(s_type).alias("_s")).unionByName(right.select("_k", "_kind", F.lit(None).cast(p_type).alias("_p"), F.col("_x").alias("_s")))
     names = ["_p", "_f", "_slice", "_open", "_end"]
-    dealt = both.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("_k", "_kind", "_row").sortWithinPartitions("_k", "_kind", "_row")
+    dealt = both.withColumn("_row", _tie(both)).repartitionByRange("_k", "_kind", "_row").sortWithinPartitions("_k", "_kind", "_row")
 
     def carry(batches):
         held = where = None

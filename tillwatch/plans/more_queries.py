@@ -206,7 +206,7 @@ _RULES = [
 
 def _signals(spark, sf_dir):
     pages = Views(ship(spark), sf_dir).t("pages")
-    f = text.page_features(pages, "page_id").join(pages.select("page_id", "url", "html"), "page_id")
+    f = text.page_features(pages, "page_id", scanned=True).join(pages.select("page_id", "url", "html"), "page_id")
     none = F.array().cast("array<string>")
     return f.select("page_id", F.element_at(F.array(*[F.lit(p) for p in ("homepage", "product", "cart")]), (F.col("page_id") % 3 + 1).cast("int")).alias("page_type"), "url", "html", F.create_map().cast("map<string,string>").alias("headers"), none.alias("cookie_names"), "script_srcs", "iframe_srcs", "form_actions", none.alias("network_hosts"), text.js_globals(F.col("inline_scripts")).alias("js_globals"), F.lit(None).cast("string").alias("favicon_sha256"), none.alias("checkout_labels"))
 
@@ -214,7 +214,7 @@ def _signals(spark, sf_dir):
 @query("d01_page_features", r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) AS lang, len(regexp_extract_all(html, '<a\s[^>]*href=')) AS links, len(regexp_extract_all(html, '<script[^>]*\ssrc=')) AS scripts, len(regexp_extract_all(html, '(?s)<script>[^<]*\S')) AS inline_scripts FROM pages")
 def d01(spark, sf_dir):
     n = lambda c: F.size(c).cast("bigint")
-    return text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id").select("page_id", "title", "lang", n("links").alias("links"), n("script_srcs").alias("scripts"), n("inline_scripts").alias("inline_scripts"))
+    return text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id", scanned=True).select("page_id", "title", "lang", n("links").alias("links"), n("script_srcs").alias("scripts"), n("inline_scripts").alias("inline_scripts"))
 
 
 _FOUND = r"""page AS (SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN 'homepage' WHEN 1 THEN 'product' ELSE 'cart' END AS page_type FROM pages),
@@ -300,7 +300,7 @@ ballot AS (SELECT page_id, unnest(['DE', 'FR']) AS choice, 0.1::DOUBLE AS weight
 v AS (SELECT page_id, choice, sum(weight) AS v FROM ballot GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY v DESC, choice) AS k FROM v)
 SELECT page_id, max(choice) FILTER (k = 1) AS winner, round(max(v) FILTER (k = 1), 6) AS top, round(max(v) FILTER (k = 2), 6) AS runner, round(sum(v), 6) AS total, CASE WHEN max(v) FILTER (k = 1) >= 0.2 AND max(v) FILTER (k = 1) - max(v) FILTER (k = 2) >= 0.1 THEN 'medium' ELSE 'low' END AS confidence FROM r GROUP BY 1""")
 def d15(spark, sf_dir):
-    f = text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id").select("page_id", "lang", "hreflangs", "schema_country")
+    f = text.page_features(ship(spark) and Views(spark, sf_dir).t("pages"), "page_id", scanned=True).select("page_id", "lang", "hreflangs", "schema_country")
     f = f.join(Views(spark, sf_dir).t("pages").select("page_id", hosts.etld1(hosts.url_host(F.col("url"))).alias("etld1")), "page_id").withColumns({"currency": F.lit("EUR"), "phone_country": F.lit(None).cast("string"), "hosting_country": F.lit("us")})
     tables = {"cctld": spark.createDataFrame([("de", "DE"), ("fr", "FR")], "tld string, country string"), "currency": spark.createDataFrame([("EUR", ["DE", "FR"])], "code string, countries array<string>"), "lang": spark.createDataFrame([("en", ["US", "GB"]), ("de", ["DE", "AT"])], "code string, countries array<string>")}
     won = detect.votes(detect.country_ballots(f, ["page_id"], tables), ["page_id"], (0.5, 0.6), (0.2, 0.1))
