@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, common, cover_tree, language, media, mix, quality, secrets, simhash, substrings, suffixes, toxicity
+from tillwatch.llm import bpe, common, cover_tree, language, media, mix, quality, secrets, simhash, similar, substrings, suffixes, toxicity
 
 SF = "/root/testdata/sf0.001"
 R = random.Random(7)
@@ -572,8 +572,7 @@ def test_grammar_finds_formats_and_leaves_words(spark):
     assert {r[0]: r[1] for r in got.select("d", secrets.redacted(F.col("text"), F.col("found"))).collect()} == {1: "é key=x [SECRET] and [SECRET]", 2: None}
 
 
-def test_rare_and_short_credentials_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "FIT_DOCS", 40, raising=False)
+def test_rare_and_short_credentials_are_learned(spark):
     rare = ["".join(R.choice("0123456789abcdef") for _ in range(40)) for _ in range(9)]
     pin = lambda: "".join(R.choice("BCDFGHJK") + R.choice("0123456789") for _ in range(5))
     docs = [(k, "plain words of another ordinary document") for k in range(900)] + [(1000 + k, f"see {v} there") for k, v in enumerate(rare)]
@@ -733,7 +732,7 @@ def test_pipeline(spark, odd, empty):
             if k < len(pipeline.STAGES) - 1:
                 assert docs.columns == list(pipeline.COLUMNS), name
             if sf == SF and name == "SimHash near-dedup":
-                found = simhash.near_duplicates(before)
+                found = simhash.near_duplicates(before, similarity=similar.SIMILARITY)
                 assert docs.count() == found.select("component_id").distinct().count()
                 assert docs.join(found.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_anti").count() == 0
             if sf == SF and name == "secret scans":

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .similar import similar_links
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Bits of the six chunks; fingerprints of one pattern that a task compares with as many others; pairs of nodes that are descended at once.
@@ -206,11 +207,20 @@ def _linked(group: np.ndarray, table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's fingerprint and component: id, fp long, component_id."""
-    hashed = common.checkpointed(fingerprints(df, F.struct(df[id_col].alias("i")), df[text_col]).select("row.i", "fp"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """Each row's fingerprint and component: id, fp long, component_id. With a similarity, texts whose shingle sets are as
+    similar are linked too, as far from each other as their fingerprints may be."""
+    if similarity is None:
+        hashed = common.checkpointed(fingerprints(df, F.struct(df[id_col].alias("i")), df[text_col]).select("row.i", "fp"))
+    else:
+        hashed = common.checkpointed(fingerprints(df, F.struct(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("h")), df[text_col]).select("row.i", "row.h", "fp"))
     nodes = common.checkpointed(hashed.groupBy("fp").agg(F.min("i").alias("first")))
-    roots = components(links(nodes.select("fp")))
+    found = links(nodes.select("fp"))
+    if similarity is not None:
+        of = hashed.select("h", "fp").distinct()
+        more = similar_links(df, text_col, similarity).join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b")
+        found = found.unionByName(more.where("u <> v").select("u", "v"))
+    roots = components(found)
     joined = common.checkpointed(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = common.checkpointed(joined.groupBy("root").agg(F.min("first").alias("component_id")))  # stored, so that the partition of a large component can be split
     named = joined.join(least, "root").select(F.col("fp").alias("node"), "component_id")
