@@ -11,8 +11,10 @@ class is a repeat.
 A run that occurs everywhere is sent at most once a task. A first pass finds the grams around which too many runs
 differ, as at the edges of a passage that many documents share: their runs are dealt out by content, and their windows,
 with their bytes, by a hash, so no group grows a task; the windows that a hash brings together are sorted like all others.
-Hashes of grams, and of windows, only bring texts together: their bytes decide. Two runs around one gram are taken for
-equal where 64 bits of a hash of their content are. Places go back to documents by id, and texts move once, for both joins.
+Hashes of grams, runs and windows only bring texts together: their bytes decide. Runs of one hash claim to be a repeat of
+the first; claims that go on side by side are one stretch, cut into cells of CELL bytes of its source, and each distinct
+content of a cell is sent once a block to where all are compared. A cell with two contents (hashes that collided) starts
+the job again under hashes of another seed, up to SEEDS. Places go back to documents by id, and texts move once, for both joins.
 
 Order of places: id (null last), then start; rows that repeat id and text are one document and get equal results; rows
 that repeat an id with another text are further documents, ordered by start and a hash of the text. Nulls and empty texts lose
@@ -40,6 +42,8 @@ PIECE = 1 << 20
 HOT_RUNS, HOT_SHARE = 4096, 1_000_000
 #: Runs, and windows, that a task holds at once before it sends them.
 BLOCK_RUNS, BLOCK_WINDOWS = 4_000_000, 500_000
+#: Bytes of a stretch that are compared at once, cells that a task holds before it sends them, and seeds of hashes that are tried.
+CELL, BLOCK_CELLS, SEEDS = 4096, 10_000, 8
 _LAST_ID = (1 << 63) - 1
 _POSITION_BITS = 26
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,9 +57,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.random.default_rng(2024).integers(1, 1 << 63, 256, np.uint64)
+def _letters(seed: int) -> np.ndarray:
+    return np.random.default_rng(2024 + seed).integers(1, 1 << 63, 256, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -75,12 +78,12 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows of the pieces [start, end) of a buffer: piece, first window, length, anchor's place, gram hash, run hash."""
     powers = 1 << (len(data) + 1).bit_length()
     base, inverse = _powers(powers)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters()[data] * base[: len(data)], out=sums[1:])
+    np.cumsum(letters[data] * base[: len(data)], out=sums[1:])
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
     low = np.uint64((1 << _POSITION_BITS) - 1)
     least = _least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), PLACES)
@@ -106,15 +109,16 @@ def _unpacked(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z >> 14, (z >> 7) & 127, z & 127
 
 
-# Kinds of rows: 0 a run, 1 removed bytes, 2 an open run; of grams with too many runs 3 a run, 4 an open run or a window of one.
-_ROWS = "kind int, g long, s long, d long, tag long, z long, e long"
-_NAMES = ["kind", "g", "s", "d", "tag", "z", "e"]
+# Kinds of rows: 0 a run, 1 removed bytes, 2 an open run; of grams with too many runs 3 a run, 4 an open run or a window of
+# one; 5 a cell's content, 6 a cell that has several. Removed bytes that a hash claims have a source: id d0, tag s, start o.
+_ROWS = "kind int, g long, s long, d long, tag long, z long, e long, d0 long, o long"
+_NAMES = ["kind", "g", "s", "d", "tag", "z", "e", "d0", "o"]
 
 
-def _batch(kind, g, s, d, tag, z, e) -> pa.RecordBatch:
+def _batch(kind, g, s, d, tag, z, e, d0=0, o=0) -> pa.RecordBatch:
     n = len(d)
     col = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), n))
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), col(g), col(s), col(d), col(tag), col(z), col(e)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), col(g), col(s), col(d), col(tag), col(z), col(e), col(d0), col(o)], names=_NAMES)
 
 
 def _texts_beside(batch: pa.RecordBatch, lefts: list[bytes] | None = None, rights: list[bytes] | None = None) -> pa.RecordBatch:
@@ -132,20 +136,31 @@ def _first_of_runs(g, s, d, tag, z):
     return g, s, d, tag, z, first
 
 
-def _intervals(d: np.ndarray, tag: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-    """Whole runs as removed bytes; neighbours of one text become one row. z: start; e: end."""
+def _intervals(d: np.ndarray, tag: np.ndarray, z: np.ndarray, source: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    """Whole runs as removed bytes; neighbours of one text become one row, and with sources (d, tag, z) those of one stretch of one source. z: start; e: end."""
     start, size, _ = _unpacked(z)
     end = start + size - 1 + WINDOW
-    order = np.lexsort((start, tag, d))
-    d, tag, start, end = d[order], tag[order], start[order], end[order]
+    zero = np.zeros(len(d), np.int64)
+    d0, tag0, shift = (source[0], source[1], _unpacked(source[2])[0] - start) if source else (zero, zero, zero)
+    order = np.lexsort((start, shift, tag0, d0, tag, d))
+    d, tag, start, end, d0, tag0, shift = (x[order] for x in (d, tag, start, end, d0, tag0, shift))
     if not len(d):
         return _batch(1, 0, 0, d, tag, start, end)
-    apart = np.append(True, (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > end[:-1]))
+    apart = np.append(True, start[1:] > end[:-1])
+    for x in (d, tag, d0, tag0, shift):
+        apart[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(apart)
-    return _batch(1, d[at] ^ tag[at], 0, d[at], tag[at], start[at], np.maximum.reduceat(end, at))
+    o = start[at] + shift[at] if source else 0
+    return _batch(1, d[at] ^ tag[at], tag0[at], d[at], tag[at], start[at], np.maximum.reduceat(end, at), d0[at], o)
 
 
-def _task_runs(batches, size_of_piece: int, limit: int):
+def _claims(d: np.ndarray, tag: np.ndarray, z: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """What repeats by its hash, each with the place of the first of its content."""
+    of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))[~first]
+    return _intervals(d[~first], tag[~first], z[~first], (d[of], tag[of], z[of]))
+
+
+def _task_runs(batches, size_of_piece: int, limit: int, letters: np.ndarray):
     """A task's runs, in blocks of about `limit`: gram, content, place, and whether it is the first of its gram and content."""
     found: list[list[np.ndarray]] = []
     held = 0
@@ -161,7 +176,7 @@ def _task_runs(batches, size_of_piece: int, limit: int):
             for k in range(0, len(doc), 4096):
                 b, e, own = begin[k : k + 4096], end[k : k + 4096], doc[k : k + 4096]
                 for lo, hi in _spans(b, e):
-                    piece, at, size, anchor, g, s = runs_of(data[b[lo] : e[hi - 1]], b[lo:hi] - b[lo], e[lo:hi] - b[lo])
+                    piece, at, size, anchor, g, s = runs_of(data[b[lo] : e[hi - 1]], b[lo:hi] - b[lo], e[lo:hi] - b[lo], letters)
                     who = own[lo:hi][piece]
                     found.append([g.view(np.int64), s.view(np.int64), d[who], tag[who], _packed(at + b[lo] - offsets[who], size, anchor - at)])
                     held += len(g)
@@ -172,10 +187,10 @@ def _task_runs(batches, size_of_piece: int, limit: int):
         yield _first_of_runs(*(np.concatenate(x) for x in zip(*found)))
 
 
-def _counter(size_of_piece: int, limit: int):
+def _counter(size_of_piece: int, limit: int, letters: np.ndarray):
     def run(batches):
         """How many runs each gram has, where it has several in a block; with a null gram, how many runs there are."""
-        for g, *_, first in _task_runs(batches, size_of_piece, limit):
+        for g, *_, first in _task_runs(batches, size_of_piece, limit, letters):
             grams, n = np.unique(g[first], return_counts=True)
             several = n > 1
             yield pa.RecordBatch.from_arrays([pa.array([*grams[several].tolist(), None], pa.int64()), pa.array(np.append(n[several], n.sum()))], names=["g", "n"])
@@ -183,14 +198,14 @@ def _counter(size_of_piece: int, limit: int):
     return run
 
 
-def _sender(busy, size_of_piece: int, limit: int):
+def _sender(busy, size_of_piece: int, limit: int, letters: np.ndarray):
     def run(batches):
         """Each distinct run of a block with its first place (kind 0 or 3), and what repeats within the block (kind 1)."""
-        for g, s, d, tag, z, first in _task_runs(batches, size_of_piece, limit):
+        for g, s, d, tag, z, first in _task_runs(batches, size_of_piece, limit, letters):
             for k in range(0, len(g), 50_000):
                 at = np.flatnonzero(first[k : k + 50_000]) + k
                 yield _batch(np.where(np.isin(g[at], busy.value), 3, 0), g[at], s[at], d[at], tag[at], z[at], 0)
-            yield _intervals(d[~first], tag[~first], z[~first])
+            yield _claims(d, tag, z, first)
 
     return run
 
@@ -237,7 +252,7 @@ def _judge_runs(batches):
         g, s, d, tag, z, first = _first_of_runs(g, s, d, tag, z)
         if not len(g):
             continue
-        yield _intervals(d[~first], tag[~first], z[~first])
+        yield _claims(d, tag, z, first)
         g, s, d, tag, z = g[first], s[first], d[first], tag[first], z[first]
         own = np.isin(g, busy)
         several = own.copy()
@@ -248,11 +263,12 @@ def _judge_runs(batches):
 
 
 def _fetch(batches):
-    """The text around each open run: right of its anchor, and reversed left of it (kind 2). Of the runs of a gram that
+    """Contents of the cells that claims and their sources cover (kind 5). The text around each open run: right of its anchor, and reversed left of it (kind 2). Of the runs of a gram that
     has too many, each window, its hash, and its first place in a block (kind 4), and what repeats there (kind 1)."""
     import xxhash
 
     digest, seen = xxhash.xxh3_128_digest, set()
+    cells: set[tuple[int, int, int, int, bytes]] = set()  # source's id, tag, start, end; content
     windows: list[tuple[int, int, int, int]] = []
     known: dict[bytes, int] = {}  # the windows of a block, told apart by their bytes
 
@@ -266,6 +282,13 @@ def _fetch(batches):
         yield _texts_beside(_batch(4, hashes[:, 0], hashes[:, 1], d[first], tag[first], z[first], 0), texts)
         yield _texts_beside(_intervals(d[~first], tag[~first], z[~first]))
 
+    def contents():
+        *place, texts = zip(*cells)
+        g = np.frombuffer(b"".join(xxhash.xxh64_digest(np.array(p, np.int64).tobytes()) for p in zip(*place)), np.int64)
+        cells.clear()
+        d, tag, z, e = place
+        yield _texts_beside(_batch(5, g, 0, d, tag, z, e), texts)
+
     for batch in batches:
         own: list[tuple[int, int, int, int, bytes, bytes]] = []
         texts = batch.column("t").cast(pa.binary()).to_pylist()
@@ -273,9 +296,17 @@ def _fetch(batches):
             if (d, tag) in seen:  # rows that repeat are one document
                 continue
             seen.add((d, tag))
+            for p in (p for p in places if p["kind"] == 1):
+                begin, end, shift = p["o"], p["o"] + p["e"] - p["z"], p["z"] - p["o"]
+                for b in range(begin - begin % CELL, end, CELL):
+                    a, e = max(b, begin), min(b + CELL, end)
+                    cells.add((p["d0"], p["s"], a, e, text[a + shift : e + shift]))
+                if len(cells) >= BLOCK_CELLS:
+                    yield from contents()
+            places = [p for p in places if p["kind"] != 1]
             start, size, offset = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
             for p, a, n, o in zip(places, start, size, offset):
-                if p["busy"]:
+                if p["kind"] == 4:
                     windows += [(known.setdefault(text[b : b + WINDOW], len(known)), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
                     if len(windows) >= BLOCK_WINDOWS:
                         yield from first_windows()
@@ -286,6 +317,8 @@ def _fetch(batches):
             yield _texts_beside(_batch(2, g, 0, d, tags, z, 0), lefts, rights)
     if windows:
         yield from first_windows()
+    if cells:
+        yield from contents()
 
 
 def repeated_windows(g: np.ndarray, z: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
@@ -340,7 +373,7 @@ def _again(g, s, d, tag, z, texts: list[bytes]) -> np.ndarray:
 
 
 def _judge_windows(batches):
-    """Repeated windows (kind 1), by sorting the texts around open runs, and the windows that stand alone."""
+    """Repeated windows (kind 1), by sorting the texts around open runs, and the windows that stand alone; cells with several contents (kind 6)."""
     for table in _groups(batches, 4, 20_000):
         kind = table.column("kind").to_numpy()
         if (kind == 1).any():
@@ -349,6 +382,12 @@ def _judge_windows(batches):
             g, s, d, tag, z = (table.column(c).to_numpy()[own] for c in _NAMES[1:6])
             again = _again(g, s, d, tag, z, table.column("l").filter(pa.array(own)).to_pylist())
             yield _intervals(d[again], tag[again], z[again])
+        if (own := kind == 5).any():
+            held: dict[tuple[int, ...], bytes] = {}
+            cells = table.filter(pa.array(own))
+            places = list(zip(*(cells.column(c).to_pylist() for c in ("d", "tag", "z", "e"))))
+            if other := [p for p, text in zip(places, cells.column("l").to_pylist()) if held.setdefault(p, text) != text]:
+                yield _batch(6, 0, 0, *map(list, zip(*other)))
         if not (kind == 2).any():
             continue
         table = table.filter(pa.array(kind == 2))
@@ -371,9 +410,9 @@ def _judge_windows(batches):
         yield _batch(1, 0, 0, d[run], tag[run], start + begin, start + end - 1 + WINDOW)
 
 
-def busy_grams(sent: DataFrame) -> np.ndarray:
+def busy_grams(sent: DataFrame, letters: np.ndarray) -> np.ndarray:
     """Grams with too many runs for one task: HOT_SHARE at most, as each has at least that part of all runs."""
-    counts = sent.mapInArrow(_counter(PIECE, BLOCK_RUNS), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = sent.mapInArrow(_counter(PIECE, BLOCK_RUNS, letters), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     counts = common.checkpointed(counts.where(F.col("g").isNull() | (F.col("n") >= HOT_RUNS)))
     every = counts.where("g is null").agg(F.sum("n")).first()[0] or 0
     found = counts.where(F.col("g").isNotNull() & (F.col("n") >= max(HOT_RUNS, every // HOT_SHARE))).orderBy("g")
@@ -384,17 +423,29 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Each row's text with the bytes to remove: i (the id), t (the text), cut array<struct<b, e>> (not merged, unordered)."""
     common.session(df.sparkSession)
     docs = df.select(df[id_col].alias("i"), F.coalesce(df[id_col].cast("long"), F.lit(_LAST_ID)).alias("d"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("t"))
-    sent = docs.select("d", "tag", "t")
-    busy = df.sparkSession.sparkContext.broadcast(busy_grams(sent))
-    judged = common.stored(_dealt(sent.mapInArrow(_sender(busy, PIECE, BLOCK_RUNS), _ROWS), 3).mapInArrow(_judge_runs, _ROWS))
-    open_ = judged.where("kind in (2, 4)").groupBy("d", "tag").agg(F.collect_list(F.struct("g", "z", (F.col("kind") == 4).alias("busy"))).alias("open"))
     texts = docs.repartition("d", "tag")
-    around = texts.join(open_, ["d", "tag"]).select("d", "tag", "t", "open").mapInArrow(_fetch, f"{_ROWS}, l binary, r binary")
-    more = _dealt(around, 4).mapInArrow(_judge_windows, _ROWS)
-    cuts = judged.where("kind = 1").unionByName(more).select("d", "tag", F.struct(F.col("z").alias("b"), "e").alias("cut"))
+    for seed in range(SEEDS):
+        judged, more = _judged(docs.select("d", "tag", "t"), texts, _letters(seed))
+        if more.where("kind = 6").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"hashes of {SEEDS} seeds collided")
+    cuts = judged.where("kind = 1").unionByName(more.where("kind = 1")).select("d", "tag", F.struct(F.col("z").alias("b"), "e").alias("cut"))
     return texts.join(cuts.groupBy("d", "tag").agg(F.collect_list("cut").alias("cut")), ["d", "tag"], "left").select("i", "t", "cut")
 
 
+def _judged(sent: DataFrame, texts: DataFrame, letters: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """What repeats by the hashes of one seed, and what bytes say of it and of the rest."""
+    busy = sent.sparkSession.sparkContext.broadcast(busy_grams(sent, letters))
+    judged = common.stored(_dealt(sent.mapInArrow(_sender(busy, PIECE, BLOCK_RUNS, letters), _ROWS), 3).mapInArrow(_judge_runs, _ROWS))
+    claims = judged.where("kind = 1")
+    sources = claims.selectExpr("d0 d", "s tag", "o z", "o + e - z e").distinct().selectExpr("d", "tag", "1 kind", "0L g", "tag s", "z", "e", "d d0", "z o")
+    asked = judged.where("kind in (1, 2, 4)").select("d", "tag", "kind", "g", "s", "z", "e", "d0", "o").unionByName(sources)
+    open_ = asked.groupBy("d", "tag").agg(F.collect_list(F.struct("kind", "g", "s", "z", "e", "d0", "o")).alias("open"))
+    around = texts.join(open_, ["d", "tag"]).select("d", "tag", "t", "open").mapInArrow(_fetch, f"{_ROWS}, l binary, r binary")
+    return judged, common.stored(_dealt(around, 4).mapInArrow(_judge_windows, _ROWS).where("kind in (1, 6)"))
+
+
 def kept_of(text: bytes, cuts: list[dict] | None) -> tuple[bytes, int]:
     """What is left of a text, and how many maximal runs went."""
     if not cuts:
