@@ -284,34 +284,43 @@ def _fetch(batches):
 
     def contents():
         *place, texts = zip(*cells)
-        g = np.frombuffer(b"".join(xxhash.xxh64_digest(np.array(p, np.int64).tobytes()) for p in zip(*place)), np.int64)
         cells.clear()
-        d, tag, z, e = place
+        d, tag, z, e = (np.array(x, np.int64) for x in place)
+        g = np.zeros(len(d), np.uint64)
+        for x in (d, tag, z, e):
+            g = _mixed(g + x.view(np.uint64))
+        g = g.view(np.int64)
         yield _texts_beside(_batch(5, g, 0, d, tag, z, e), texts)
 
     for batch in batches:
         own: list[tuple[int, int, int, int, bytes, bytes]] = []
         texts = batch.column("t").cast(pa.binary()).to_pylist()
-        for text, d, tag, places in zip(texts, batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("open").to_pylist()):
+        asked = batch.column("open")
+        ends = np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        fields = {f.name: asked.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in asked.type.value_type}
+        for text, d, tag, lo, hi in zip(texts, batch.column("d").to_pylist(), batch.column("tag").to_pylist(), [0, *ends], ends):
             if (d, tag) in seen:  # rows that repeat are one document
                 continue
             seen.add((d, tag))
-            for p in (p for p in places if p["kind"] == 1):
-                begin, end, shift = p["o"], p["o"] + p["e"] - p["z"], p["z"] - p["o"]
-                for b in range(begin - begin % CELL, end, CELL):
-                    a, e = max(b, begin), min(b + CELL, end)
-                    cells.add((p["d0"], p["s"], a, e, text[a + shift : e + shift]))
+            kinds = fields["kind"][lo:hi]
+            at = np.flatnonzero(kinds == 1) + lo
+            begin, shift = fields["o"][at], fields["z"][at] - fields["o"][at]
+            for d0, tag0, a, e, by in zip(*(x.tolist() for x in (fields["d0"][at], fields["s"][at], begin, fields["e"][at] - shift, shift))):
+                while a < e:
+                    upto = min(a - a % CELL + CELL, e)
+                    cells.add((d0, tag0, a, upto, text[a + by : upto + by]))
+                    a = upto
                 if len(cells) >= BLOCK_CELLS:
                     yield from contents()
-            places = [p for p in places if p["kind"] != 1]
-            start, size, offset = (x.tolist() for x in _unpacked(np.array([p["z"] for p in places], np.int64)))
-            for p, a, n, o in zip(places, start, size, offset):
-                if p["kind"] == 4:
+            at = np.flatnonzero(kinds != 1) + lo
+            start, size, offset = (x.tolist() for x in _unpacked(fields["z"][at]))
+            for kind, g, z, a, n, o in zip(kinds[at - lo].tolist(), fields["g"][at].tolist(), fields["z"][at].tolist(), start, size, offset):
+                if kind == 4:
                     windows += [(known.setdefault(text[b : b + WINDOW], len(known)), d, tag, _packed(np.int64(b), 1, 0)) for b in range(a, a + n)]
                     if len(windows) >= BLOCK_WINDOWS:
                         yield from first_windows()
                 else:
-                    own.append((p["g"], d, tag, p["z"], text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
+                    own.append((g, d, tag, z, text[a : a + o][::-1], text[a + o : a + n - 1 + WINDOW]))
         if own:
             g, d, tags, z, lefts, rights = zip(*own)
             yield _texts_beside(_batch(2, g, 0, d, tags, z, 0), lefts, rights)
@@ -385,7 +394,7 @@ def _judge_windows(batches):
         if (own := kind == 5).any():
             held: dict[tuple[int, ...], bytes] = {}
             cells = table.filter(pa.array(own))
-            places = list(zip(*(cells.column(c).to_pylist() for c in ("d", "tag", "z", "e"))))
+            places = list(zip(*(cells.column(c).to_numpy().tolist() for c in ("d", "tag", "z", "e"))))
             if other := [p for p, text in zip(places, cells.column("l").to_pylist()) if held.setdefault(p, text) != text]:
                 yield _batch(6, 0, 0, *map(list, zip(*other)))
         if not (kind == 2).any():
