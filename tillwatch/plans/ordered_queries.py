@@ -51,14 +51,20 @@ def j09_families(spark, sf_dir):
 @query("j08_addresses_as_of", """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey WHEN 4 THEN -3 WHEN 5 THEN -12
   WHEN 6 THEN CASE WHEN c_custkey % 3 = 0 THEN c_custkey END END AS asn FROM customer""")
 def j08_as_of(spark, sf_dir):
-    """Ranges of very different size (a /3, a /12, a /48 or a /24 a customer) and points inside, on both borders, and just behind them."""
+    """Ranges of very different size (a /3, a /12, a /64 or a /24 a customer) and points inside, on both borders, and just behind them.
+
+    No two customers share a block: keys beyond the blocks of IPv4 have theirs in IPv6.
+    """
     k = F.col("c_custkey")
     c = Views(spark, sf_dir).t("customer")
-    head = F.format_string("fd%02x:%x:1", F.floor(k / 65536), k % 65536)
-    four = F.format_string("11.%d.%d.", F.floor(k / 256) % 256, k % 256)
-    own = c.select(k.alias("asn"), F.when(k % 8 == 6, F.concat(four, F.lit("0"))).otherwise(F.concat(head, F.lit("::"))).alias("low_ip"), F.when(k % 8 == 6, F.concat(four, F.lit("255"))).otherwise(F.concat(head, F.lit(":ffff:ffff:ffff:ffff:ffff"))).alias("high_ip")).where("asn % 8 <> 6 or asn % 3 = 0")
+    words = F.floor(k / 2**32), F.floor(k / 65536) % 65536, k % 65536
+    head, behind = F.format_string("fd%02x:%x:%x:1", *words), F.format_string("fd%02x:%x:%x:2::", *words)
+    low, high = F.concat(head, F.lit("::")), F.concat(head, F.lit(":ffff:ffff:ffff:ffff"))
+    four = F.when(k < 245 * 65536, F.format_string("%d.%d.%d.", F.lit(11) + F.floor(k / 65536), F.floor(k / 256) % 256, k % 256))
+    of_four = lambda last, else_: F.coalesce(F.concat(four, F.lit(last)), else_)
+    own = c.select(k.alias("asn"), F.when(k % 8 == 6, of_four("0", low)).otherwise(low).alias("low_ip"), F.when(k % 8 == 6, of_four("255", high)).otherwise(high).alias("high_ip")).where("asn % 8 <> 6 or asn % 3 = 0")
     wide = spark.createDataFrame([(-3, "2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), (-12, "4000::", "400f:ffff:ffff:ffff:ffff:ffff:ffff:ffff")], "asn long, low_ip string, high_ip string")
-    tails = [F.concat(head, F.lit("::")), F.concat(head, F.lit(":ffff:ffff:ffff:ffff:ffff")), F.concat(head, F.lit(":0:7::9")), F.format_string("fd%02x:%x:2::", F.floor(k / 65536), k % 65536), F.format_string("3fff:%x::1", k % 65536), F.format_string("400f:%x::1", k % 65536), F.concat(four, F.lit("255")), F.format_string("4010::%x", k % 65536)]
+    tails = [low, high, F.concat(head, F.lit(":0:7::9")), behind, F.format_string("3fff:%x::1", k % 65536), F.format_string("400f:%x::1", k % 65536), of_four("255", high), F.format_string("4010::%x", k % 65536)]
     ip = tails[-1]
     for n, tail in enumerate(tails[:-1]):
         ip = F.when(k % 8 == n, tail).otherwise(ip)

@@ -220,10 +220,13 @@ def _v6(k: Column, tail: str) -> Column:
 
 @query("j08_two_families", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_custkey END AS asn FROM customer")
 def j08_two_families(spark, sf_dir):
+    """A block of addresses a customer: of IPv4 for even keys while its blocks last, of IPv6 for the others."""
     k = F.col("c_custkey")
-    low, high = F.when(k % 2 == 0, _say(_octets(k), "0")).otherwise(_v6(k, "::")), F.when(k % 2 == 0, _say(_octets(k), "255")).otherwise(_v6(k, ":ffff:ffff:ffff:ffff"))
+    four, block = (k % 2 == 0) & (k < 246 * 65536), _say(F.lit(10) + F.floor(k / 65536), ".", F.floor(k / 256) % 256, ".", k % 256, ".")
+    six = F.format_string("2001:db8:%x:%x:%x", F.floor(k / 2**32), F.floor(k / 65536) % 65536, k % 65536)
+    low, high = F.when(four, _say(block, "0")).otherwise(_say(six, "::")), F.when(four, _say(block, "255")).otherwise(_say(six, ":ffff:ffff:ffff"))
     ranges = _customers(spark, sf_dir).where("c_custkey % 7 = 0").select(k.alias("asn"), low.alias("low_ip"), high.alias("high_ip"))
-    points = _customers(spark, sf_dir).select("c_custkey", F.when(k % 2 == 0, _say(_octets(k), "77")).otherwise(_v6(k, "::1:2")).alias("ip"))
+    points = _customers(spark, sf_dir).select("c_custkey", F.when(four, _say(block, "77")).otherwise(_say(six, "::1:2")).alias("ip"))
     return ordered.address_ranges(points, ranges, "ip").select("c_custkey", "asn")
 
 
