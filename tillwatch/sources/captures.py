@@ -7,12 +7,13 @@ import binascii
 import gzip
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hosts import url_host
-from ..functions.text import cookie_names, js_globals, page_features
+from ..functions.text import cookie_names, js_globals, page_features, portions
 from ..schemas import PAGE_SIGNALS
 
 MANIFEST = (
@@ -22,17 +23,25 @@ MANIFEST = (
 _NONE = "array<string>"
 
 
-@F.pandas_udf(T.StringType())
-def unzipped(bodies: pd.Series) -> pd.Series:
-    """Compressed texts; null where one can't be read."""
+def _unzipped(body: bytes | None) -> str | None:
+    """A compressed text; null if it can't be read."""
+    try:
+        return gzip.decompress(body).decode("utf-8", "replace")
+    except (OSError, EOFError, TypeError):
+        return None
 
-    def one(body: bytes | None) -> str | None:
-        try:
-            return gzip.decompress(body).decode("utf-8", "replace")
-        except (OSError, EOFError, TypeError):
-            return None
 
-    return bodies.map(one)
+def unzipped(files: DataFrame, key: str, content: str) -> DataFrame:
+    """Compressed texts with their keys: `_key`, `html` (null where one can't be read)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in portions(batch, content):
+                bodies = part.column(content)
+                for k in range(0, len(bodies), 16):  # a text may be many times as long as its file
+                    yield pa.RecordBatch.from_arrays([part.column(key).slice(k, 16), pa.array([_unzipped(b) for b in bodies.slice(k, 16).to_pylist()], pa.string())], names=["_key", "html"])
+
+    return files.select(key, content).mapInArrow(run, "_key string, html string")
 
 
 def captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -43,7 +52,7 @@ def captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """
     listed = spark.read.schema(MANIFEST).json(path, multiLine=not lines, recursiveFileLookup=True, pathGlobFilter="*.json").select("host_id", F.posexplode("pages").alias("place", "p"))
     files = spark.read.format("binaryFile").load(path, recursiveFileLookup=True, pathGlobFilter="*.gz")
-    bodies = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("_key"), unzipped("content").alias("html"))
+    bodies = unzipped(files.withColumn("_key", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)), "_key", "content")
     page = listed.select("host_id", "place", "p.*").join(bodies, F.col("html_key") == F.col("_key"), "left").withColumn("url", F.coalesce("final_url", "url", F.lit("")))
     page = page.withColumn("id", F.concat_ws("/", F.col("host_id").cast("string"), F.col("place").cast("string")))
     f = page_features(page.where("html <> ''"), "id")
