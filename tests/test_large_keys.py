@@ -43,3 +43,18 @@ def test_portions_of_a_batch_are_few_rows_and_few_bytes():
         assert 0 < p.num_rows <= text.PORTION_ROWS
         assert p.num_rows == 1 or sum(len(t or "") for t in p.column("t").to_pylist()) <= text.PORTION_BYTES
     assert list(text.portions(pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["t"]), "t")) == []
+
+
+def test_tasks_follow_from_the_bytes_of_files(spark, tmp_path, monkeypatch):
+    from tillwatch import session
+    from tillwatch.operators import share
+
+    path = str(tmp_path / "a b%.parquet")
+    spark.range(50_000).selectExpr("id as host_id", "id % 7 as provider_id", "'A' as country", "'B' as platform", "'N' as role").repartition(3).write.parquet(path)
+    held = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "a b%.parquet").glob("*.parquet"))
+    monkeypatch.setattr(session, "TASK_BYTES", size // 50)
+    assert 50 <= session.tasks_for(held, held) <= 51  # a file counts once
+    assert [f.rdd.getNumPartitions() for f in session.dealt("host_id", held)] == [session.tasks_for(held)]
+    plan = share.snapshot(held, held, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # it would be moved below the distinct members, which would be computed anew

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PSP_ROLES
+from ..session import dealt
 
 
 def cell_label(country: Column | None = None, platform: Column | None = None) -> Column:
@@ -60,7 +61,8 @@ def flows(events: DataFrame, min_n: int) -> DataFrame:
 
 def monthly_cumulative(stores: DataFrame, providers: DataFrame) -> DataFrame:
     """Stores first seen with a provider up to each month, carried over months without news: month, provider_id, stores."""
-    first = stores.select("host_id").join(providers.select("host_id", "provider_id", F.date_format("first_seen", "yyyy-MM").alias("month")), "host_id")
+    own, held = dealt("host_id", stores.select("host_id"), providers.select("host_id", "provider_id", F.date_format("first_seen", "yyyy-MM").alias("month")))
+    first = own.join(held, "host_id")
     news = first.groupBy("provider_id", "month").agg(F.countDistinct("host_id").alias("n"))
     order = Window.partitionBy("provider_id").orderBy("month")
     known = news.withColumn("upto", F.sum("n").over(order)).withColumn("next", F.lead("month").over(order))

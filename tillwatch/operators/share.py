@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
+from ..session import dealt
 
 CELL = ("country", "platform")
 
@@ -26,21 +27,23 @@ def cell_totals(stores: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
 
 
 def _members(stores: DataFrame, providers: DataFrame, keys: tuple[str, ...], *more: Column) -> DataFrame:
-    """Distinct rows of host, cell and provider, dealt out by them."""
+    """Distinct rows of host, cell and provider, dealt out by host to tasks of a bounded size."""
     held = providers.select("host_id", F.col("provider_id").cast("string").alias("provider_id"), *more)
-    return stores.select("host_id", *keys).join(held, "host_id").distinct()
+    own, held = dealt("host_id", stores.select("host_id", *keys), held)
+    return own.join(held, "host_id").distinct()
 
 
 def _counted(member: DataFrame, slice_: tuple[str, ...], min_cell: int) -> DataFrame:
     """slice_, provider_id, stores of distinct members. Providers of fewer than `min_cell` are told by the counts; only their
-    members, fewer than `min_cell` each, are looked at again."""
+    members, fewer than `min_cell` each, are looked at again. An inner join keeps to the distinct members, where a semi join would
+    be moved below them and have all computed anew."""
     pair = [*slice_, "provider_id"]
     counts = member.groupBy(*pair).agg(F.count("*").alias("stores"))
     small = counts.where(F.col("stores") < min_cell).select(*[F.col(c).alias(f"_{c}") for c in pair])
     same = F.lit(True)
     for c in pair:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    other = member.join(small, same, "left_semi").groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores"))
+    other = member.join(small, same).groupBy(*slice_).agg(F.countDistinct("host_id").alias("stores"))
     columns = [*pair, "stores"]
     return counts.where(F.col("stores") >= min_cell).select(*columns).unionByName(other.withColumn("provider_id", F.lit("other")).select(*columns))
 

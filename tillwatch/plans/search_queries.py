@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import wilson_sql
 from ..operators import reports, search, share, versions, visibility
 from ..operators.search import Filters
+from ..session import dealt
 from .analog import MIN_CELL, StoredViews, Views, sql
 from .registry import query
 
@@ -277,7 +278,8 @@ def a01(spark, sf_dir):
 @query("a02_distinct_hosts", sql("SELECT country, platform, provider_id, count(DISTINCT v.host_id) AS stores FROM visible v JOIN provider p ON v.host_id = p.host_id GROUP BY 1, 2, 3", "visible", "provider"))
 def a02(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return v.visible.join(v.providers, "host_id").groupBy("country", "platform", "provider_id").agg(F.countDistinct("host_id").alias("stores"))
+    own, held = dealt("host_id", v.visible, v.providers)
+    return own.join(held, "host_id").groupBy("country", "platform", "provider_id").agg(F.countDistinct("host_id").alias("stores"))
 
 
 @query("a35_row_estimate", sql("SELECT count(*) AS rows FROM visible WHERE country = 'NATION_6'", "visible"))
