@@ -54,3 +54,43 @@ def test_idle_hosts_are_forgotten(spark, tmp_path, rows):
         one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         jobs.changes(jobs.observations(spark, f"{tmp_path}/in", one.schema), idle_days=30).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "host_id", "event_type", "scan_id") == [(1, "added", 5), (2, "added", 4)]
+
+
+def test_a_batch_reads_and_writes_the_state_of_a_host_once():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Store:
+        def __init__(self, value=None):
+            self.value = value
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                return self.value if name == "get" else self.value is not None if name == "exists" else iter(())
+
+            return call
+
+    handle = Store()
+    handle.getValueState = handle.getMapState = lambda *a: Store()
+    sightings = jobs.Sightings(30)
+    sightings.init(handle)
+    scan = lambda k: Row(at=k, scan_id=k, status="reached_payment_step", entities=[str((k + j) % 9) for j in range(6)])
+    for part in (range(50), range(50, 100)):
+        calls.clear()
+        assert len(list(sightings.handleInputRows((1,), iter([scan(k) for k in part]), None))) >= 50
+        assert len(calls) <= 3  # messages to the JVM; there were over 300
+
+
+def test_hosts_with_news_outlive_their_first_timer(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    days = [(1, 1, "2024-01-01", ["y"]), (1, 2, "2024-01-20", ["x"]), (2, 3, "2024-02-10", []), (2, 4, "2024-02-11", []), (1, 5, "2024-02-12", ["x"]), (2, 6, "2024-04-01", []), (2, 7, "2024-04-02", []), (1, 8, "2024-04-03", ["x"]), (1, 9, "2024-04-04", ["x"])]
+    for host, scan, day, entities in days:
+        one = spark.createDataFrame([(host, scan, day, "reached_payment_step", entities)], "host_id long, scan_id long, d string, status string, entities array<string>").withColumn("ts", F.to_timestamp("d")).drop("d")
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.changes(jobs.observations(spark, f"{tmp_path}/in", one.schema), idle_days=30).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "host_id", "entity_id", "event_type", "scan_id") == [(1, "x", "added", 5), (1, "x", "added", 9), (1, "y", "removed", 5)]

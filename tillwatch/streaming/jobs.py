@@ -39,13 +39,16 @@ def merged_share(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 EVENTS = "host_id long, entity_id string, event_type string, scan_id long"
+_EVENT = Row("host_id", "entity_id", "event_type", "scan_id")
 
 
 class Sightings(StatefulProcessor):
-    """Two-in-a-row change detection of one host: a row of state an entity, and the last scan that counted.
+    """Two-in-a-row change detection of one host: its state is the last scan that counted, and the entities it knows.
 
-    Only the entities that a scan changes are written; a host that no scan reached for `idle_days` of event time loses its
-    state by a timer, which each batch of the host moves on.
+    Every call to the state is a message to the JVM and back, and a scan changes all entities that a host is known for. So a
+    host's state is one row: a batch reads it once, folds all the host's scans and writes it once. A host that no scan reached
+    for `idle_days` of event time loses its state by a timer; one that fires before that, as scans came after it was set, is
+    set anew.
     """
 
     def __init__(self, idle_days: int):
@@ -53,40 +56,46 @@ class Sightings(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entities = handle.getMapState("entities", "entity_id string", "confirmations int, misses int")
-        self.last = handle.getValueState("last", "at long, scan_id long")
+        self.host = handle.getValueState("host", "at long, scan_id long, entities array<string>, confirmations array<int>, misses array<int>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = tuple(self.last.get()) if self.last.exists() else None
+        stored = self.host.get()
+        last = before = tuple(stored[:2]) if stored is not None else None
+        known = {name: (n, misses) for name, n, misses in zip(*stored[2:])} if stored is not None else {}
         for r in sorted(rows, key=lambda r: (r.at, r.scan_id)):
             if r.status == REACHED and (last is None or (r.at, r.scan_id) > last):
                 last = r.at, r.scan_id
-                yield from self._scan(key[0], r.scan_id, set(r.entities or ()))
-        if last:
-            self.last.update(last)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(last[0] // 1000 + self.idle_ms)
-
-    def _scan(self, host: int, scan_id: int, seen: set[str]) -> Iterator[Row]:
-        event = lambda name, kind: Row(host_id=host, entity_id=name, event_type=kind, scan_id=scan_id)
-        known = {k[0]: v for k, v in self.entities.iterator()}
+                yield from self._scan(key[0], r.scan_id, set(r.entities or ()), known)
+        if last != before:
+            self.host.update((*last, list(known), [n for n, _ in known.values()], [misses for _, misses in known.values()]))
+            if before is None:
+                self.handle.registerTimer(self._due(last[0]))
+
+    def _scan(self, host: int, scan_id: int, seen: set[str], known: dict[str, tuple[int, int]]) -> Iterator[Row]:
+        """Events of one scan; `known`, the confirmations and misses of each entity, becomes what holds after it."""
+        missed = sorted(known.keys() - seen)
         for name in sorted(seen):
             n = known.get(name, (0, 0))[0] + 1
-            self.entities.updateValue((name,), (n, 0))
+            known[name] = n, 0
             if n == 2:
-                yield event(name, "added")
-        for name in sorted(known.keys() - seen):
+                yield _EVENT(host, name, "added", scan_id)
+        for name in missed:
             n, misses = known[name]
             if misses + 1 < 2:
-                self.entities.updateValue((name,), (n, misses + 1))
+                known[name] = n, misses + 1
             else:
-                self.entities.removeKey((name,))
-                yield event(name, "removed")
+                del known[name]
+                yield _EVENT(host, name, "removed", scan_id)
+
+    def _due(self, at: int) -> int:
+        return at // 1000 + self.idle_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.entities.clear()
-        self.last.clear()
+        stored = self.host.get()
+        if stored is not None and (due := self._due(stored[0])) >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.host.clear()
         return iter(())
 
     def close(self) -> None:
@@ -97,7 +106,7 @@ def changes(scans: DataFrame, idle_days: int = 3650, late: str = "0 seconds") ->
     """Two-in-a-row change events of a stream: host_id, entity_id, event_type, scan_id.
 
     scans: host_id, scan_id, ts (timestamp), status, entities array<string>. A scan that isn't later than the host's last one, by time
-    and id, is none of news. State is kept in RocksDB, a row an entity, so a host's size bounds no batch. A host that is idle for
+    and id, is none of news. State is kept in RocksDB, a row a host. A host that is idle for
     `idle_days` of event time is forgotten. Needs the protobuf package, as all of Spark's keyed state in Python does.
     """
     scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
