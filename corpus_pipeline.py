@@ -30,11 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: by SimHash, and by shingle sets that its distance misses."""
     hashed = F.xxhash64("text").alias("h"), F.xxhash64("source", "lang").alias("w")
-    keyed = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *hashed).alias("k"))
-    found = simhash.near_duplicates(keyed.select("k", "text"), "k", "text", similar.SIMILARITY)
-    first = found.where(F.col("k") == F.col("component_id")).select("k").distinct()
-    once = keyed.groupBy("k").agg(*[F.first(c).alias(c) for c in COLUMNS[:-1]], F.min("n_chars").alias("n_chars"))  # equal rows, put together within tasks
-    return once.join(first, "k", "left_semi").select(*COLUMNS)
+    key = ["none", "id", "h", "w"]
+    keyed = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *hashed)
+    found = simhash.near_duplicates(keyed.select(F.struct(*key).alias("k"), "text"), "k", "text", similar.SIMILARITY)
+    first = found.where(F.col("k") == F.col("component_id")).select("k.*").distinct()
+    once = keyed.groupBy(*key).agg(*[F.first(c).alias(c) for c in COLUMNS[:-1]], F.min("n_chars").alias("n_chars"))  # equal rows, put together within tasks
+    return once.join(first, key, "left_semi").select(*COLUMNS)  # by columns, not a struct: its cast to the other side's nullability would shuffle the texts again
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

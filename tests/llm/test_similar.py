@@ -77,3 +77,27 @@ def test_similarity_is_of_sets():
     assert (keys[0] == keys[1]).all() and not keys[2:].any() and keys[0].all()
     assert similar.bucket_links([7, 9], [a.encode(), b.encode()], 0.5) == [(9, 7)]
     assert similar.bucket_links([7, 9], [a.encode(), b.encode()], 0.51) == []
+
+
+def test_kept_texts_are_shuffled_once(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (None, "g h", None, None, 3), (None, "g h", None, None, 3), (4, None, "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        node = kept._jdf.queryExecution().executedPlan()
+        while "Join" not in node.nodeName():
+            node = node.children().apply(0)
+        seen, todo = [], [node.children().apply(0)]
+        while todo:
+            node = todo.pop()
+            seen.append(node.nodeName())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+        assert seen.count("Exchange") == 1
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "g h"), (1, "a b c d e f"), (4, None)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
