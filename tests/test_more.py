@@ -229,6 +229,37 @@ def test_captures_with_and_without_pages(spark, tmp_path):
     assert got[0].network_hosts == ["js.pay.example", "pay.example"] and got[0].js_globals == ["a"] and got[1].script_srcs == ["https://m.example/a.js"] and got[2].network_hosts == ["z.example"]
 
 
+@pytest.mark.parametrize("store", ["file", "viewfs"])
+def test_captures_are_found_by_their_whole_key(spark, tmp_path, store):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.captures.link./in", f"file://{tmp_path}")
+    keys = {"light/a.example/pages/home.html.gz": gzip.compress(b"one"), "light/b.example/pages/home.html.gz": gzip.compress("zw\u00f6lf".encode()), "light/b.example/pages/cut.html.gz": gzip.compress(b"cut" * 99)[:-9], "light/b.example/pages/bad.html.gz": gzip.compress(b"")[:10] + b"\xff" * 20}
+    for key, body in keys.items():
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_bytes(body)
+    pages = [{"url": "https://s.example/", "html_key": key, "scripts": ["https://m.example/a.js"]} for key in (*keys, "light/none.html.gz", "light/a.example", "light/manifest.json/x", "light/../light/a.example/pages/home.html.gz", "")]
+    (tmp_path / "light" / "manifest.json").write_text(json.dumps({"host_id": 1, "pages": pages}))
+    path = str(tmp_path) if store == "file" else "viewfs://captures/in"
+    for where in ({}, {"manifests": f"{path}/light"}):
+        got = captures.captures(spark, path, **where).orderBy("place").collect()
+        assert [r.html for r in got] == ["one", "zw\u00f6lf"] + [""] * 7
+        assert [r.script_srcs for r in got] == [[], []] + [["https://m.example/a.js"]] * 7
+
+
+def test_captures_cost_no_task_a_page(spark, tmp_path):
+    html = {1: "a\n", 2: "", 3: "b\n\n", 5: "c\r\n", 6: "<script>var t=1</script>\u00e9", None: "no id"} | {k: f"<p>{k}</p>" for k in range(7, 300)}
+    spark.createDataFrame([(k, f"https://s.example/{k}", h) for k, h in html.items()], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+
+    def tasks():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalTasks() for k in range(executors.size()))
+
+    before = tasks()
+    got = {r.host_id: (r.url, r.html, r.scripts, r.cookies, r.globals) for r in source_queries.s16(spark, str(tmp_path)).collect()}
+    assert tasks() - before < 100
+    none = lambda k: k is not None and k % 4 == 0
+    assert got == {k: (f"https://s.example/{k}", "" if none(k) else h, "https://m.example/s.js" if none(k) else "", "a,b", "t" if k == 6 else "") for k, h in html.items()}
+
+
 def test_leaves_of_other_kinds_and_broken_ones():
     name = lambda v: bytes([0x82, len(v)]) + v
     names = name(b"a.example") + bytes([0x87, 4, 1, 2, 3, 4]) + name(b"b.example")

@@ -251,15 +251,14 @@ def s15(spark, sf_dir):
 @query("s16_captures", r"SELECT page_id AS host_id, url, CASE WHEN page_id % 4 = 0 THEN '' ELSE html END AS html, CASE WHEN page_id % 4 = 0 THEN 'https://m.example/s.js' ELSE '' END AS scripts, 'a,b' AS cookies, CASE WHEN page_id % 4 = 0 THEN '' WHEN contains(html, '<script>var t=') THEN 't' ELSE '' END AS globals FROM pages")
 def s16(spark, sf_dir):
     pages, folder = ship(spark) and Views(spark, sf_dir).t("pages"), _path(spark, "captures")
-    pages.where("page_id % 4 <> 0").select(F.col("page_id").alias("page"), "html").write.option("compression", "gzip").option("lineSep", "\n").partitionBy("page").text(f"{folder}/html")
-    files = spark.read.format("binaryFile").load(f"{folder}/html", recursiveFileLookup=True, pathGlobFilter="*.gz").select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("bigint").alias("page"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("html_key"))
+    body = F.when(F.col("page_id") % 4 == 0, F.lit(None)).otherwise(F.concat(F.coalesce("html", F.lit("")), F.lit("\n")))  # the line's end keeps an empty page from being none
+    files = captures.stored(pages.select("page_id", "url", body.alias("html")), folder, "html")
     none = F.array().cast("array<string>")
     page = F.struct(F.lit("homepage").alias("page_type"), F.col("url"), F.col("html_key"), F.create_map(F.lit("Set-Cookie"), F.lit("a=1; path=/\nb=2")).alias("headers"), F.array(F.lit("https://m.example/s.js")).alias("scripts"), none.alias("iframes"), none.alias("external_hosts"))
-    manifest = pages.join(files, F.col("page_id") == F.col("page"), "left").select(F.col("page_id").alias("host_id"), F.array(page).alias("pages"))
-    manifest.write.json(f"{folder}/manifests")
-    got = captures.captures(spark, folder, lines=True)
+    files.select(F.col("page_id").alias("host_id"), F.array(page).alias("pages")).write.json(f"{folder}/manifests")
+    got = captures.captures(spark, folder, lines=True, manifests=f"{folder}/manifests")
     joined = lambda c: F.array_join(c, ",")
-    return got.select("host_id", "url", F.regexp_replace("html", "\n$", "").alias("html"), joined("script_srcs").alias("scripts"), joined("cookie_names").alias("cookies"), joined("js_globals").alias("globals"))
+    return got.select("host_id", "url", F.regexp_replace("html", r"\n\z", "").alias("html"), joined("script_srcs").alias("scripts"), joined("cookie_names").alias("cookies"), joined("js_globals").alias("globals"))
 
 
 def _unit_sql(salt: str, keys: str) -> str:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import errno
 import gzip
+import uuid
+import zlib
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.hosts import url_host
 from ..functions.text import cookie_names, js_globals, page_features, portions
+from ..operators import file_sink
 from ..schemas import PAGE_SIGNALS
 
 MANIFEST = (
@@ -21,13 +25,17 @@ MANIFEST = (
     "scripts:array<string>,iframes:array<string>,external_hosts:array<string>>>"
 )
 _NONE = "array<string>"
+#: What a store says of a name that is no file's.
+_NO_FILE = (errno.ENOENT, errno.ENOTDIR, errno.ENAMETOOLONG)
+#: Texts that a Python worker holds unzipped at once: one may be many times as long as its file.
+_AT_ONCE = 16
 
 
 def _unzipped(body: bytes | None) -> str | None:
     """A compressed text; null if it can't be read."""
     try:
         return gzip.decompress(body).decode("utf-8", "replace")
-    except (OSError, EOFError, TypeError):
+    except (OSError, EOFError, TypeError, zlib.error):
         return None
 
 
@@ -38,25 +46,99 @@ def unzipped(files: DataFrame, key: str, content: str) -> DataFrame:
         for batch in batches:
             for part in portions(batch, content):
                 bodies = part.column(content)
-                for k in range(0, len(bodies), 16):  # a text may be many times as long as its file
-                    yield pa.RecordBatch.from_arrays([part.column(key).slice(k, 16), pa.array([_unzipped(b) for b in bodies.slice(k, 16).to_pylist()], pa.string())], names=["_key", "html"])
+                for k in range(0, len(bodies), _AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([part.column(key).slice(k, _AT_ONCE), pa.array([_unzipped(b) for b in bodies.slice(k, _AT_ONCE).to_pylist()], pa.string())], names=["_key", "html"])
 
     return files.select(key, content).mapInArrow(run, "_key string, html string")
 
 
-def captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Page signals of all captures below a folder: host_id, place (in its manifest) and PAGE_SIGNALS.
+def stored(pages: DataFrame, path: str, folder: str, html: str = "html") -> DataFrame:
+    """Pages with an `html_key` in place of their text: each text becomes a compressed file of its own in a folder below a path; without a text both are null.
 
-    Manifests (`*.json`, one a host; with `lines`, one a line) list pages; a page's HTML is the compressed file of its key, and its features come from
-    there. A page without one, or with one that can't be read, has what the manifest says.
+    Tasks write the files and pass their keys on, in the one pass in which the result is read. Each attempt of a task writes to a
+    place of its own, so files of attempts that failed stay, but no row names them. Write the result once; reading it anew stores the pages anew.
     """
-    listed = spark.read.schema(MANIFEST).json(path, multiLine=not lines, recursiveFileLookup=True, pathGlobFilter="*.json").select("host_id", F.posexplode("pages").alias("place", "p"))
+    schema = T.StructType([*pages.drop(html).schema.fields, T.StructField("html_key", T.StringType())])
+    rest = schema.names[:-1]
+
+    def run(batches):
+        store, root = file_sink.store_of(path)
+        place, n = f"{folder}/{uuid.uuid4()}", 0
+        for batch in batches:
+            for part in portions(batch, html):
+                below, keys = f"{place}/{n}", []
+                store.create_dir(f"{root}/{below}", recursive=True)
+                for k, text in enumerate(part.column(html).to_pylist()):
+                    keys.append(None if text is None else f"{below}/{k}.html.gz")
+                    if text is not None:
+                        with store.open_output_stream(f"{root}/{keys[-1]}", compression=None) as out:
+                            out.write(gzip.compress(text.encode("utf-8"), 6))
+                n += 1
+                yield pa.RecordBatch.from_arrays([*part.select(rest).columns, pa.array(keys, pa.string())], names=schema.names)
+
+    own, cores = pages.select(*rest, html), pages.sparkSession.sparkContext.defaultParallelism
+    return (own.repartition(cores) if own.rdd.getNumPartitions() < cores else own).mapInArrow(run, schema)
+
+
+def _fetched(pages: DataFrame, path: str) -> DataFrame:
+    """Pages with the text of their key, `html`; null without one, or where it can't be read. A page's file is opened by its name, so that no folder is listed."""
+    schema = T.StructType([*pages.schema.fields, T.StructField("html", T.StringType())])
+
+    def run(batches):
+        store, root = file_sink.store_of(path)
+
+        def text(key: str | None) -> str | None:
+            if not key or "\0" in key or ".." in key.split("/"):
+                return None
+            try:
+                with store.open_input_file(f"{root}/{key}") as f:
+                    body = f.read()
+            except OSError as e:
+                if e.errno not in _NO_FILE and store.get_file_info(f"{root}/{key}").is_file:
+                    raise  # the store failed, not the page
+                return None
+            return _unzipped(body)
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(k, _AT_ONCE)
+                texts = pa.array([text(key) for key in part.column("html_key").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=schema.names)
+
+    return pages.mapInArrow(run, schema)
+
+
+def _listed(pages: DataFrame, path: str) -> DataFrame:
+    """As `_fetched`, in stores that only Spark's readers reach: all files are listed and meet their pages in a join."""
+    spark = pages.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     files = spark.read.format("binaryFile").load(path, recursiveFileLookup=True, pathGlobFilter="*.gz")
-    bodies = unzipped(files.withColumn("_key", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)), "_key", "content")
-    page = listed.select("host_id", "place", "p.*").join(bodies, F.col("html_key") == F.col("_key"), "left").withColumn("url", F.coalesce("final_url", "url", F.lit("")))
-    page = page.withColumn("id", F.concat_ws("/", F.col("host_id").cast("string"), F.col("place").cast("string")))
-    f = page_features(page.where("html <> ''"), "id")
-    j = page.join(f.select("id", "script_srcs", "iframe_srcs", "form_actions", "inline_scripts", "links"), "id", "left")
+    bodies = unzipped(files.withColumn("_key", F.expr(f"substring(path, {len(root) + 2})")), "_key", "content")
+    return pages.join(bodies, F.col("html_key") == F.col("_key"), "left").drop("_key")
+
+
+def captures(spark: SparkSession, path: str, lines: bool = False, manifests: str | None = None) -> DataFrame:
+    """Page signals of all captures below a folder: host_id, place (in its manifest) and PAGE_SIGNALS.
+
+    Manifests (`*.json`, one a host; with `lines`, one a line; below `manifests` if that folder is named, which spares a listing of all
+    pages) list pages; a page's HTML is the compressed file of its key, a path below the folder, and its features come from there.
+    A page without one, or with one that can't be read, has what the manifest says.
+    """
+    read = spark.read.schema(MANIFEST).json(manifests or path, multiLine=not lines, recursiveFileLookup=True, pathGlobFilter="*.json")
+    page = read.select("host_id", F.posexplode("pages").alias("place", "p")).select("host_id", "place", "p.*").withColumn("url", F.coalesce("final_url", "url", F.lit("")))
+    # manifests are small beside the pages that they name, so few partitions of them are dealt out
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    page = page.repartition(tasks, "host_id", "place") if page.rdd.getNumPartitions() < tasks else page
+    try:
+        file_sink.store_of(path)
+        page = _fetched(page, path)
+    except (OSError, pa.ArrowInvalid):
+        page = _listed(page, path)
+    kept = [c for c in page.columns if c not in ("host_id", "url")]
+    f = page_features(page, "host_id", kept=["url", *kept])
+    read_from = lambda c: F.when(F.col("html") != "", F.col(c))
+    j = f.select("host_id", "url", *kept, *[read_from(c).alias(c) for c in ("script_srcs", "iframe_srcs", "form_actions", "inline_scripts")])
     headers = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
     given = lambda c, m: F.coalesce(c, m, F.array().cast(_NONE))
     own = url_host(F.col("url"))
